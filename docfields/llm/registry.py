@@ -15,5 +15,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.substring_dedup import drop_repeats
+
+    return drop_repeats(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_substring_dedup)}
 ORACLES: dict[str, str] = {}
