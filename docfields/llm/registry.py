@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,5 +22,21 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return drop_repeats(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_substring_dedup)}
+def op7_token_binary(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.dac import read_documents, write_ids
+    from docfields.llm.tokens import vocabulary
+
+    return read_documents(write_ids(table(spark, folder, "documents"), vocabulary()))
+
+
+def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.bpe import encode_and_decode
+    from docfields.llm.tokens import vocabulary
+
+    found = encode_and_decode(table(spark, folder, "documents"), vocabulary())
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_substring_dedup, op7_token_binary, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
