@@ -11,7 +11,9 @@ Combinations are indexed for sets below ``COMBINE_BELOW`` tokens, which bounds t
 Larger sets, and sets of at least t times that size (which may link with larger ones), index their frequent
 prefix tokens singly.
 
-Each list of the index links its members with one pivot; those candidates are verified on the whole sets. Lists
+Each list of the index links its members with one pivot. A candidate must pass a rigorous bound first: the xor bitmaps of
+two sets (a token flips one bit) differ in at most as many bits as the sets have unshared tokens. What passes is
+verified on the whole sets. Lists
 whose members are not all connected after that give their remaining pairs, between different components
 only, in a second round. So a hot list of n members costs n candidates when they really are near copies.
 """
@@ -43,8 +45,37 @@ def _long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """A set's xor bitmap: at least two bits a token, a power of two, 64 at least."""
+    width = max(64, 1 << int(2 * max(1, len(own)) - 1).bit_length())
+    odd = np.bincount((own >> np.uint64(7)).astype(np.int64) & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(x: bytes, y: bytes, nx: int, ny: int, percent: int) -> bool:
+    """False only if sets of these sizes and bitmaps cannot reach the similarity."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    apart = int(np.bitwise_count(x ^ y).sum())
+    # the overlap is at most (nx + ny - apart) / 2
+    return (100 + percent) * (nx + ny - apart) >= 2 * percent * (nx + ny)
+
+
+def _bound(percent: int):
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)))
+            passed = [may_link(x, y, nx, ny, percent) for x, y, nx, ny in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(passed, pa.bool_()))
+
+    return bound
+
+
 def _scan(n: int):
-    """Of each document its set's size and hash; beside them the tokens that repeat in the task."""
+    """Of each document its set's size, hash and bitmap; beside them (row = false) the tokens that repeat in the task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -54,7 +85,7 @@ def _scan(n: int):
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             many = counts >= LOCAL_LEAST
             k = int(many.sum())
-            return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(k, pa.int64()), "n": pa.array(counts[many].astype(np.int64)), "key": pa.array(_long(tokens[many]))})
+            return pa.RecordBatch.from_pydict({"row": pa.array(np.zeros(k, bool)), "doc_id": pa.nulls(k, pa.int64()), "n": pa.array(counts[many].astype(np.int64)), "key": pa.array(_long(tokens[many])), "bits": pa.nulls(k, pa.binary())})
 
         for batch in batches:
             ids = batch.column(0)
@@ -62,7 +93,7 @@ def _scan(n: int):
                 sets = T.shingle_sets(piece, n)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 own = _long(np.array([T.whole_hash(s) for s in sets], np.uint64))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(piece.row, piece.docs), "n": pa.array(sizes), "key": pa.array(own)})
+                yield pa.RecordBatch.from_pydict({"row": pa.array(np.ones(len(sets), bool)), "doc_id": ids.slice(piece.row, piece.docs), "n": pa.array(sizes), "key": pa.array(own), "bits": pa.array([bitmap(s) for s in sets], pa.binary())})
                 held += sets
                 size += int(sizes.sum())
                 if size >= FLUSH:
@@ -207,9 +238,9 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(n: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.pieces(batch.column(1), fold=True):
+            for piece in T.pieces(batch.column(0), fold=True):
                 found = T.shingle_sets(piece, n)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(piece.row, piece.docs), "tokens": pa.array([s.tobytes() for s in found], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(_long(np.array([T.whole_hash(s) for s in found], np.uint64))), "tokens": pa.array([s.tobytes() for s in found], pa.binary())})
 
     return sets
 
@@ -238,15 +269,15 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``percent`` hundredths.
 
     docs: doc_id and text; further columns are ignored. Returns doc_id, n_shingles, component_id (the smallest
-    doc_id reachable by links), n_copies (documents of the same set). Null, empty and blank texts have an empty set and
-    link with nothing. Equal sets are one node of the join; a doc_id that comes repeatedly is one row per row.
-    An empty table gives an empty one. Sets are equal if their 64-bit hashes and sizes are.
+    doc_id reachable by links). Null, empty and blank texts have an empty set and link with nothing. Equal sets are one node of
+    the join, equal if their 64-bit hashes are. A doc_id that comes repeatedly gives a row each time; a row without
+    one is linked like any other but has component_id null if none it reaches has one. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     docs = only(docs, doc_id="long", text="string")
-    scanned = written(docs.mapInArrow(_scan(words), "doc_id long, n long, key long"))
-    owners = scanned.where("doc_id is not null")
-    frequent = scanned.where("doc_id is null").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT_MOST).toPandas()
+    scanned = written(docs.mapInArrow(_scan(words), "row boolean, doc_id long, n long, key long, bits binary"))
+    owners = scanned.where("row").select("doc_id", "n", "key")
+    frequent = scanned.where("not row").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT_MOST).toPandas()
     tokens = frequent["key"].to_numpy(np.int64).view(np.uint64)
     ranks = np.arange(len(tokens), 0, -1, dtype=np.int64)
     by = np.argsort(tokens)
@@ -256,7 +287,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     posted = docs.select("text").mapInArrow(_post(order, buckets, words, percent), "bucket int, keys binary, sets binary, sizes binary")
     index = written(posted.groupBy("bucket").applyInArrow(_lists, "a long, b long, members binary"))
 
-    classes = owners.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    classes = written(scanned.where("row and n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits")))
     pairs = index.where("b is not null").select("a", "b").distinct()
     first = _linked(docs, classes, pairs, words, percent)
     parts = connected_components(first)
@@ -270,7 +301,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     second = _linked(docs, classes, more.join(pairs, ["a", "b"], "left_anti"), words, percent)
     parts = connected_components(first.unionByName(second))
 
-    reps = classes.join(parts, classes["key"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
+    reps = classes.select("key", "rep").join(parts, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     lowest = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = reps.join(lowest, "component").select("key", "component_id")
     out = owners.where("n > 0").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -278,12 +309,14 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
 
 
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set hashes that are links, judged on the whole sets of their representatives."""
-    pairs = written(pairs.select("a", "b"))
+    """The pairs (a, b) of set hashes that are links: those within the bitmaps' bound, judged on the whole sets."""
+    a, b = (classes.select(F.col("key").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
+    bounded = pairs.select("a", "b").join(b, "b").join(a, "a").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    pairs = written(bounded.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(_bound(percent), "a long, b long"))
     nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    reps = written(nodes.join(classes, "key").select("key", F.col("rep").alias("doc_id")))
-    few = reps.limit(FILTER_ROWS + 1).count() <= FILTER_ROWS
-    texts = docs.join(F.broadcast(reps) if few else reps, "doc_id").select("key", "text").where("text is not null")
-    sets = written(texts.mapInArrow(_sets(words), "doc_id long, tokens binary").select(F.col("doc_id").alias("key"), "tokens").dropDuplicates(["key"]))
+    ids = written(nodes.join(classes, "key").select(F.col("rep").alias("doc_id")))
+    few = ids.limit(FILTER_ROWS + 1).count() <= FILTER_ROWS
+    texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    sets = written(texts.select("text").mapInArrow(_sets(words), "key long, tokens binary"))
     a, b = (sets.select(F.col("key").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
     return written(pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"))

@@ -16,6 +16,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"))
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.language import identify
+
+    return identify(table(spark, folder, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from docfields.llm.substring_dedup import drop_repeats
 
@@ -38,5 +44,5 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_substring_dedup, op7_token_binary, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_language_id, op6_substring_dedup, op7_token_binary, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
