@@ -23,6 +23,9 @@ _BYTE_FOLDED = _BYTE.copy()
 _BYTE_FOLDED[0x41:0x5B] = _BYTE[0x61:0x7B]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+_IS_MARK = _IS_SPACE.copy()
+_IS_MARK[[b for b in range(128) if not chr(b).isalnum()]] = True
+_BYTE_LETTERS = np.where(_IS_MARK, np.uint64(0), _BYTE_FOLDED)
 _PLACE = np.multiply.accumulate(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64))
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _ODD_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -47,6 +50,7 @@ class Words:
     first: np.ndarray
     hashes: np.ndarray  # uint64
     row: int  # number of the first document in the batch
+    prefixes: np.ndarray | None = None  # uint64, hashes of the words' first bytes
 
     @property
     def docs(self) -> int:
@@ -56,10 +60,11 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def pieces(texts: pa.Array, fold: bool = False, most: int = PIECE_BYTES) -> Iterator[Words]:
+def pieces(texts: pa.Array, fold: bool = False, most: int = PIECE_BYTES, prefix: int = 0) -> Iterator[Words]:
     """Cut a string array into pieces of about ``most`` bytes; null counts as the empty text.
 
-    fold: A-Z count as a-z in the hashes."""
+    fold: A-Z count as a-z in the hashes. prefix: words end at any ASCII character but letters and digits as
+    well, A-Z count as a-z, and the hashes of the words' first ``prefix`` bytes come along."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -69,12 +74,12 @@ def pieces(texts: pa.Array, fold: bool = False, most: int = PIECE_BYTES) -> Iter
     i, n = 0, len(texts)
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
-        yield _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i, fold)
+        yield _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i, fold, prefix)
         i = j
 
 
-def _words(data: np.ndarray, bounds: np.ndarray, row: int, fold: bool) -> Words:
-    filled = ~_IS_SPACE[data]
+def _words(data: np.ndarray, bounds: np.ndarray, row: int, fold: bool, prefix: int) -> Words:
+    filled = ~(_IS_MARK if prefix else _IS_SPACE)[data]
     begins = filled.copy()
     begins[1:] &= ~filled[:-1]
     inner = bounds[:-1][bounds[:-1] < len(data)]
@@ -82,7 +87,7 @@ def _words(data: np.ndarray, bounds: np.ndarray, row: int, fold: bool) -> Words:
     starts = np.flatnonzero(begins)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return Words(data, none, none, np.zeros(len(bounds), np.int64), np.zeros(0, np.uint64), row)
+        return Words(data, none, none, np.zeros(len(bounds), np.int64), np.zeros(0, np.uint64), row, np.zeros(0, np.uint64))
     finishes = filled.copy()
     finishes[:-1] &= ~filled[1:]
     last = bounds[1:][bounds[1:] > 0] - 1
@@ -90,14 +95,15 @@ def _words(data: np.ndarray, bounds: np.ndarray, row: int, fold: bool) -> Words:
     ends = np.flatnonzero(finishes) + 1
     lengths = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
-    weighted = (_BYTE_FOLDED if fold else _BYTE)[data[starts[0] :]]
+    weighted = (_BYTE_LETTERS if prefix else _BYTE_FOLDED if fold else _BYTE)[data[starts[0] :]]
     if (ends - starts).max() > len(_PLACE):
         high = mix((place >> 12).astype(np.uint64)) | np.uint64(1)
         weighted *= _PLACE[place & 4095] * np.where(place > 4095, high, np.uint64(1))
     else:
         weighted *= _PLACE[place & 4095]
     hashes = mix(np.add.reduceat(weighted, starts - starts[0]) + (ends - starts).astype(np.uint64))
-    return Words(data, starts, ends, np.searchsorted(starts, bounds).astype(np.int64), hashes, row)
+    prefixes = mix(np.add.reduceat(np.where(place < prefix, weighted, np.uint64(0)), starts - starts[0])) if prefix else None
+    return Words(data, starts, ends, np.searchsorted(starts, bounds).astype(np.int64), hashes, row, prefixes)
 
 
 def sequence_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
