@@ -16,6 +16,17 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"))
 
 
+#: What the mixing query and stage aim at: half the tokens of poor documents and none of toxic ones, all of the others.
+MIX = {"poor": 0.5, "toxic": 0.0}
+
+
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.mixing import label_domains, mix
+
+    rates, domains = mix(table(spark, folder, "documents"), label_domains(table(spark, folder, "labels")), MIX)
+    return rates.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate")
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from docfields.llm.language import identify
 
@@ -50,5 +61,5 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_language_id, op6_substring_dedup, op7_token_binary, op8_toxicity, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_mixing, op5_language_id, op6_substring_dedup, op7_token_binary, op8_toxicity, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
