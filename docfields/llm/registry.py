@@ -52,6 +52,12 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.html_main import main_text
+
+    return main_text(table(spark, folder, "pages"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     from docfields.llm.bpe import encode_and_decode
     from docfields.llm.tokens import vocabulary
@@ -61,5 +67,5 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_mixing, op5_language_id, op6_substring_dedup, op7_token_binary, op8_toxicity, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_mixing, op5_language_id, op6_substring_dedup, op7_token_binary, op8_toxicity, op9_html_extraction, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
