@@ -16,6 +16,19 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"))
 
 
+def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.top_k import integers, top_k
+
+    vectors = integers(table(spark, folder, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.near_vectors import near_copies
+
+    return near_copies(table(spark, folder, "embeddings"))
+
+
 #: What the mixing query and stage aim at: half the tokens of poor documents and none of toxic ones, all of the others.
 MIX = {"poor": 0.5, "toxic": 0.0}
 
@@ -67,5 +80,5 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_mixing, op5_language_id, op6_substring_dedup, op7_token_binary, op8_toxicity, op9_html_extraction, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_top_k, op3_embedding_near_dedup, op4_mixing, op5_language_id, op6_substring_dedup, op7_token_binary, op8_toxicity, op9_html_extraction, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
