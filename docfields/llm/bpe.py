@@ -17,7 +17,6 @@ import regex
 from pyspark.sql import DataFrame
 
 from docfields.llm import text as T
-from docfields.llm.tables import only
 from docfields.llm.tokens import WordTable, _tables
 
 END = "</w>"
@@ -173,15 +172,21 @@ def _round_trip(path: str):
                     texts = [" ".join([x for x in decoded[a:b].tolist() if x]) for a, b in zip(words.first[:-1], words.first[1:])]
                 else:
                     texts = [" ".join(decoded[a:b].tolist()) for a, b in zip(words.first[:-1], words.first[1:])]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(words.row, words.docs), "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), "decoded": pa.array(texts, pa.string())})
+                columns = {"doc_id": batch.column(0).slice(words.row, words.docs), "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), "decoded": pa.array(texts, pa.string())}
+                for k, name in enumerate(batch.schema.names[2:], 2):
+                    columns[name] = batch.column(k).slice(words.row, words.docs)
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int) and decoded, the text that the ids give, for every row of docs (doc_id, text).
+def encode_and_decode(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids (array of int), decoded, the text that the ids give, and the columns ``keep`` for every row of docs (doc_id, text).
 
     path: a vocabulary file that every worker can open. Null and empty texts have no ids and decode to the empty text. Rows come
     back one for one, also repeated ones and those without a doc_id; further columns are ignored. No shuffle.
     """
-    return only(docs, doc_id="long", text="string").mapInArrow(_round_trip(path), "doc_id long, ids array<int>, decoded string")
+    kept = {f"keep_{k}": docs[c] for k, c in enumerate(keep)}
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[c.alias(k) for k, c in kept.items()])
+    schema = "doc_id long, ids array<int>, decoded string" + "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in kept)
+    return rows.mapInArrow(_round_trip(path), schema).withColumnsRenamed(dict(zip(kept, keep)))

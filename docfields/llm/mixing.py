@@ -13,11 +13,13 @@ no state by document is kept: every step is one aggregation over the small table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from docfields.llm import text as T
 from docfields.llm.tables import only, written
@@ -162,6 +164,28 @@ def _rates(gaps: list[np.ndarray], k: int):
     return run
 
 
+@dataclass
+class Mix:
+    """What ``fit`` found: rates follow from a document's posterior."""
+
+    classifier: Classifier
+    gaps: list[np.ndarray]
+
+    @property
+    def domains(self) -> list[str]:
+        return self.classifier.domains
+
+
+def _fitted(docs: DataFrame, labelled: DataFrame, factors: dict[str, float]) -> tuple[Mix, DataFrame]:
+    docs = only(docs, doc_id="long", text="string")
+    classifier = learn(docs, labelled)
+    members = written(posteriors(docs, classifier))
+    k = len(classifier.domains)
+    held = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("posterior")[i]), F.lit(0.0)).alias(str(i)) for i in range(k)]).head()
+    targets = np.array([held[i] * factors.get(d, 1.0) for i, d in enumerate(classifier.domains)])
+    return Mix(classifier, fit_rates(members, targets)), members
+
+
 def mix(docs: DataFrame, labelled: DataFrame, factors: dict[str, float]) -> tuple[DataFrame, list[str]]:
     """Fit rates whose expected tokens by domain are ``factors`` times what the documents hold (1 where not named).
 
@@ -170,14 +194,31 @@ def mix(docs: DataFrame, labelled: DataFrame, factors: dict[str, float]) -> tupl
     for one, also repeated ones and those without a doc_id; further columns are ignored. Empty tables give an empty one;
     without labelled rows there is one domain, all.
     """
-    docs = only(docs, doc_id="long", text="string")
-    classifier = learn(docs, labelled)
-    members = written(posteriors(docs, classifier))
-    k = len(classifier.domains)
-    held = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("posterior")[i]), F.lit(0.0)).alias(str(i)) for i in range(k)]).head()
-    targets = np.array([held[i] * factors.get(d, 1.0) for i, d in enumerate(classifier.domains)])
-    gaps = fit_rates(members, targets)
-    return members.mapInArrow(_rates(gaps, k), "doc_id long, n_tokens long, posterior array<double>, rate double"), classifier.domains
+    found, members = _fitted(docs, labelled, factors)
+    return members.mapInArrow(_rates(found.gaps, len(found.domains)), "doc_id long, n_tokens long, posterior array<double>, rate double"), found.domains
+
+
+def _with_rates(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sent.value
+        for batch in batches:
+            rates = [follow(found.classifier.posteriors(words), found.gaps)[0] for words in T.pieces(batch.column(batch.schema.names.index("text")), fold=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(rates) if rates else np.zeros(0))], [*batch.schema.names, "rate"])
+
+    return run
+
+
+def resample(docs: DataFrame, labelled: DataFrame, factors: dict[str, float]) -> DataFrame:
+    """docs with each row as often as its rate says: the whole part, and once more with the chance of the rest.
+
+    The chance is a hash of doc_id and text, so the result is the same each time. Keeps docs' columns and no others."""
+    found, _ = _fitted(docs, labelled, factors)
+    sent = docs.sparkSession.sparkContext.broadcast(found)
+    names = docs.columns
+    rated = docs.mapInArrow(_with_rates(sent), StructType([*docs.schema.fields, StructField("rate", DoubleType())]))
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    times = F.floor(F.col("rate") + chance).cast("int")
+    return rated.withColumn("times", times).where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*names)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

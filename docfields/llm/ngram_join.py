@@ -14,8 +14,9 @@ prefix tokens singly.
 Each list of the index links its members with one pivot. A candidate must pass a rigorous bound first: the xor bitmaps of
 two sets (a token flips one bit) differ in at most as many bits as the sets have unshared tokens. What passes is
 verified on the whole sets. Lists
-whose members are not all connected after that give their remaining pairs, between different components
-only, in a second round. So a hot list of n members costs n candidates when they really are near copies.
+whose members are not all connected after that are compared once more in a second round, in chunks of bounded size and
+between different components only; the same bound leaves few pairs. So a hot list of n members costs n candidates when
+they really are near copies, and otherwise no rows but those of its chunks.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from docfields.llm.tables import only, parallelism, written
 COMBINE_BELOW = 128
 #: A token that some stretch of FLUSH tokens holds at least so often is counted as possibly frequent.
 LOCAL_LEAST = 3
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: At most so many tokens form the frequent classes; only the order's quality depends on it, never the result.
 FREQUENT_MOST = 1 << 17
 SIGN = np.uint64(1 << 63)
@@ -74,6 +75,34 @@ def _bound(percent: int):
     return bound
 
 
+def _across(percent: int):
+    """Two chunks of an index list -> the pairs of different components that sizes and bitmaps allow."""
+
+    def rows(column: pa.Array, k: int):
+        part = column.slice(k, 1).flatten()
+        node, component, n = (part.field(c).to_numpy() for c in range(3))
+        return node, component, n, np.frombuffer(b"".join(part.field(3).to_pylist()), np.uint64).reshape(len(node), -1)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                (node_a, part_a, n_a, bits_a), (node_b, part_b, n_b, bits_b) = (rows(c, k) for c in batch.columns)
+                while bits_b.shape[1] > bits_a.shape[1]:
+                    half = bits_b.shape[1] // 2
+                    bits_b = bits_b[:, :half] ^ bits_b[:, half:]
+                for i in range(len(node_a)):
+                    at = np.flatnonzero((part_b != part_a[i]) & (100 * np.minimum(n_b, n_a[i]) >= percent * np.maximum(n_b, n_a[i])))
+                    both = n_b[at] + n_a[i]
+                    apart = np.bitwise_count(bits_b[at] ^ bits_a[i]).sum(1, dtype=np.int64)
+                    at = at[(100 + percent) * (both - apart) >= 2 * percent * both]
+                    found.append(np.stack([np.minimum(node_b[at], node_a[i]), np.maximum(node_b[at], node_a[i])]))
+            pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return across
+
+
 def _scan(n: int):
     """Of each document its set's size, hash and bitmap; beside them (row = false) the tokens that repeat in the task."""
 
@@ -261,6 +290,8 @@ def _verify(percent: int):
     return verify
 
 
+#: Members of a list that are compared as one chunk in the second round.
+LIST_CHUNK = 512
 #: Rows of (id) that may be broadcast as a filter; beyond it the same join shuffles.
 FILTER_ROWS = 1 << 20
 
@@ -294,11 +325,14 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
 
     lists = index.where("members is not null").dropDuplicates(["a", "members"]).select("a", "members").mapInArrow(_members, "list long, node long")
     lists = lists.join(parts, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
-    open_lists = lists.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("list")
-    left = written(lists.join(open_lists, "list", "left_semi").join(classes.select(F.col("key").alias("node"), "n"), "node"))
-    x, y = (left.select("list", F.col("component").alias(f"c{k}"), F.col("node").alias(f"{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-    more = x.join(y, "list").where(f"a < b and ca != cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-    second = _linked(docs, classes, more.join(pairs, ["a", "b"], "left_anti"), words, percent)
+    open_lists = lists.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x != y").select("list", "members")
+    left = lists.join(open_lists, "list").join(classes.select(F.col("key").alias("node"), "n", "bits"), "node")
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / LIST_CHUNK)).alias("chunk")
+    held = left.groupBy("list", F.length("bits").alias("width"), chunk).agg(F.collect_list(F.struct("node", "component", "n", "bits")).alias("rows"))
+    x, y = (written(held).select("list", *[F.col(c).alias(f"{c}_{k}") for c in ("width", "chunk", "rows")]) for k in "ab")
+    near = "(width_a = width_b and chunk_a <= chunk_b) or 2 * width_a = width_b"
+    more = x.join(y, "list").where(near).select("rows_a", "rows_b").mapInArrow(_across(percent), "a long, b long").distinct()
+    second = _linked(docs, classes, more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), words, percent)
     parts = connected_components(first.unionByName(second))
 
     reps = classes.select("key", "rep").join(parts, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component"))

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.llm import text as T
-from docfields.llm.tables import only, parallelism, written
+from docfields.llm.tables import parallelism, written
 
 ANCHOR_WORDS = 12
 #: Entries that a task holds before it sends them on.
 FLUSH = 1 << 20
-#: Bytes up to which a table of positions or spans is broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 24 << 20
+#: Slots of the filter that spares documents a shuffle; 16 bytes each, so the broadcast is bounded whatever the input.
+FILTER_SLOTS = 1 << 20
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -72,8 +72,8 @@ class _Seeds:
 def _entries(find, buckets: int):
     """find(words, extras) -> (hash, place in the piece) of a piece; settles or packs them.
 
-    Out: rows with key and places, of entries that repeat within the task, or rows with bucket, hashes, keys and places.
-    A place is a word's number in its document."""
+    Out: rows with part, keys and places, of entries that repeat within the task, or rows with bucket, hashes, keys and
+    places. A place is a word's number in its document; keys are dealt to as many parts as there are buckets."""
 
     def settle(hashes, keys, places) -> Iterator[pa.RecordBatch]:
         by = np.argsort(hashes, kind="stable")
@@ -82,7 +82,9 @@ def _entries(find, buckets: int):
         group = np.cumsum(fresh) - 1
         many = np.bincount(group)[group] > 1
         again = np.sort(by[many])
-        yield from _by_key(keys[again], places[again])
+        for row in _by_part(keys[again], places[again], buckets):
+            n = row.num_rows
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), row.column(0), pa.nulls(n, pa.binary()), row.column(1), row.column(2)], NAMES)
         # one entry for each different hash; that of a settled one only tells others, and has place -1
         kept = by[fresh]
         places = places.copy()
@@ -95,7 +97,7 @@ def _entries(find, buckets: int):
         ends = np.append(cuts[1:], len(bucket))
         parts = {name: [x[kept[a:b]].tobytes() for a, b in zip(cuts, ends)] for name, x in (("hashes", hashes), ("keys", keys), ("places", places))}
         n = len(cuts)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts]), "key": pa.nulls(n, pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in parts.items()})
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts]), "part": pa.nulls(n, pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in parts.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -116,45 +118,68 @@ def _entries(find, buckets: int):
     return run
 
 
-ENTRY = "bucket int, key long, hashes binary, keys binary, places binary"
+NAMES = ["bucket", "part", "hashes", "keys", "places"]
+ENTRY = "bucket int, part int, hashes binary, keys binary, places binary"
+PART = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("places", pa.binary())])
 
 
-def _by_key(keys: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _by_part(keys: np.ndarray, places: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     if not len(keys):
         return
-    order = np.argsort(keys, kind="stable")
-    keys, places = keys[order], places[order]
-    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    ends = np.append(cuts[1:], len(keys))
-    n = len(cuts)
-    yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(n, pa.int32()), "key": pa.array(keys[cuts]), "hashes": pa.nulls(n, pa.binary()), "keys": pa.nulls(n, pa.binary()), "places": pa.array([places[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())})
+    part = (T.mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    keys, places, part = keys[order], places[order], part[order]
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    ends = np.append(cuts[1:], len(part))
+    yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), *[pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for x in (keys, places)]], schema=PART)
+
 
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
-def _meet(table: pa.Table) -> pa.Table:
+
+def _meet(parts: int):
     """One bucket: the places of hashes that several tasks sent."""
-    hashes, keys, places = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("hashes", np.uint64), ("keys", np.int64), ("places", np.int32)))
-    by = np.argsort(hashes, kind="stable")
-    ordered = hashes[by]
-    group = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])) - 1
-    found = by[np.bincount(group)[group] > 1]
-    found = found[places[found] >= 0]
-    batches = list(_by_key(keys[found], places[found]))
-    schema = pa.schema([("key", pa.int64()), ("places", pa.binary())])
-    return pa.Table.from_batches([b.select(["key", "places"]) for b in batches], schema) if batches else schema.empty_table()
+
+    def meet(table: pa.Table) -> pa.Table:
+        hashes, keys, places = _column(table, "hashes", np.uint64), _column(table, "keys", np.int64), _column(table, "places", np.int32)
+        by = np.argsort(hashes, kind="stable")
+        ordered = hashes[by]
+        group = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])) - 1
+        found = by[np.bincount(group)[group] > 1]
+        found = found[places[found] >= 0]
+        return pa.Table.from_batches(_by_part(keys[found], places[found], parts), PART)
+
+    return meet
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One part: a row for each key with its places in order."""
+    keys, places = _column(table, "keys", np.int64), _column(table, "places", np.int32)
+    by = np.lexsort((places, keys))
+    keys, places = keys[by], places[by]
+    fresh = np.append(True, (keys[1:] != keys[:-1]) | (places[1:] != places[:-1]))[: len(keys)]
+    keys, places = keys[fresh], places[fresh]
+    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    ends = np.append(cuts[1:], len(keys))
+    return pa.table({"key": pa.array(keys[cuts]), "places": pa.array([places[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())})
 
 
 def _repeated(docs: DataFrame, find, buckets: int) -> DataFrame:
-    """(key, parts: places of what repeats) of the hashes that find() gives for each row (key, text, ...)."""
+    """(key, places of what repeats, as int32) of the hashes that find() gives for each row (key, text, ...)."""
     entries = written(docs.mapInArrow(_entries(find, buckets), ENTRY))
-    met = entries.where("bucket is not null").groupBy("bucket").applyInArrow(_meet, "key long, places binary")
-    return entries.where("bucket is null").select("key", "places").unionByName(met).groupBy("key").agg(F.collect_set("places").alias("parts"))
+    kind = "part int, keys binary, places binary"
+    met = entries.where("bucket is not null").groupBy("bucket").applyInArrow(_meet(buckets), kind)
+    found = entries.where("bucket is null").select("part", "keys", "places").unionByName(met)
+    return written(found.groupBy("part").applyInArrow(_gather, "key long, places binary"))
 
 
-def _joined(docs: DataFrame, side: DataFrame, size: str, how: str) -> DataFrame:
-    """Join on key; the side is broadcast if its bytes are few."""
-    side = written(side)
-    few = (side.agg(F.sum(size)).head()[0] or 0) <= BROADCAST_BYTES
-    return docs.join(F.broadcast(side) if few else side, "key", how)
+def _marked(docs: DataFrame, side: DataFrame) -> DataFrame:
+    """docs with maybe: false only if its key is not in the side. A bitmap of bounded size; the fuller it is, the more pass."""
+    slot, bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_SLOTS)), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(64)).cast("int")
+    slots = side.select(slot.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("slot").agg(F.bit_or("b").alias("bits"))
+    marked = docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left")
+    return marked.withColumn("maybe", F.coalesce(F.call_function("bit_get", "bits", bit) == 1, F.lit(False))).drop("slot", "bits")
 
 
 def _spans(window: int):
@@ -163,8 +188,8 @@ def _spans(window: int):
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for parts in batch.column(1).to_pylist():
-                starts = np.unique(np.frombuffer(b"".join(parts), np.int32))
+            for places in batch.column(1).to_pylist():
+                starts = np.frombuffer(places, np.int32)
                 new = np.append(True, starts[1:] > starts[:-1] + window)
                 ends = np.append(np.flatnonzero(new)[1:], len(starts)) - 1
                 out.append(np.stack([starts[new], starts[ends] + window], 1).astype(np.int32).tobytes())
@@ -208,6 +233,8 @@ def _cut(with_text: bool):
                 }
                 if with_text:
                     columns["kept"] = pa.array([x.decode() for x in texts], pa.string())
+                for k, name in enumerate(batch.schema.names[3:], 3):
+                    columns[name] = batch.column(k).slice(words.row, words.docs)
                 yield pa.RecordBatch.from_pydict(columns)
 
     return cut
@@ -223,26 +250,30 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
         return found.grams[at], at
 
     def windows(words: T.Words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        shared = [np.frombuffer(b"".join(p), np.int32) + words.first[d] for d, p in enumerate(batch.column(2).slice(words.row, words.docs).to_pylist()) if p]
+        shared = [np.frombuffer(p, np.int32) + words.first[d] for d, p in enumerate(batch.column(2).slice(words.row, words.docs).to_pylist())]
         found = _Seeds(words, window)
         at = found.resting(np.concatenate(shared)) if shared else np.zeros(0, np.int64)
         return T.sequence_hashes(words.hashes, window)[at], at
 
     shared = _repeated(docs, seeds, buckets)
-    shared = shared.withColumn("bytes", F.expr("aggregate(parts, 16L, (n, p) -> n + length(p))"))
-    seeded = _joined(docs, shared, "bytes", "inner")
-    return _repeated(seeded.select("key", "text", "parts"), windows, buckets).mapInArrow(_spans(window), "key long, spans binary")
+    seeded = _marked(docs, shared).where("maybe").select("key", "text").join(shared, "key").select("key", "text", "places")
+    return written(_repeated(seeded, windows, buckets).mapInArrow(_spans(window), "key long, spans binary"))
 
 
-def drop_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = 35, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word that a repeated window of ``window`` words covers.
 
     docs: doc_id and text; further columns are ignored. Returns doc_id, n_words, n_removed, kept_sha256, and with
-    ``with_text`` kept, the words that stay joined by one space. A null, empty or blank text has no words and
+    ``with_text`` kept, the words that stay joined by one space, then the columns ``keep``. A null, empty or blank text has no words and
     keeps the empty text. Rows are judged apart even if they share a doc_id or have none; a row that is there twice is a
     repeat of itself. An empty table gives an empty one.
     """
-    keyed = only(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id", "text"))
+    kept = {f"keep_{k}": docs[c] for k, c in enumerate(keep)}
+    columns = ["doc_id", "text", *kept]
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[c.alias(k) for k, c in kept.items()]).withColumn("key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(keyed.select("key", "text"), window)
-    joined = _joined(keyed, spans.withColumn("bytes", F.length("spans") + F.lit(16)), "bytes", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    marked = _marked(keyed, spans)
+    cut = marked.where("maybe").drop("maybe").join(spans, "key", "left")
+    joined = cut.select("doc_id", "text", "spans", *kept).unionByName(marked.where("not maybe").select(*columns, F.lit(None).cast("binary").alias("spans")))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text + "".join(f", {k} {keyed.schema[k].dataType.simpleString()}" for k in kept)
+    return joined.mapInArrow(_cut(with_text), schema).withColumnsRenamed(dict(zip(kept, keep)))
