@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from docfields.plans import field_queries, source_queries, spatial_queries, text_queries, workspace_queries
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in (field_queries, spatial_queries, text_queries, workspace_queries, source_queries):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
