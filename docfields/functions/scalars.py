@@ -117,7 +117,7 @@ def instrument_codes(c: Column) -> Column:
 
 def address_parts(c: Column) -> Column:
     """line1, line2 and the six-digit PIN of a comma-separated address."""
-    parts = F.filter(F.transform(F.split(c, ","), F.trim), lambda x: (x != "") & ~x.rlike(r"^\d{6}$"))
+    parts = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^\d{6}$"))
     pin = F.nullif(F.regexp_extract(c, r"(?:^|[^0-9])([1-9]\d{5})(?:[^0-9]|$)", 1), F.lit(""))
     rest = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 2, 100), ", "))
     return F.struct(F.try_element_at(parts, F.lit(1)).alias("line1"), rest.alias("line2"), pin.alias("pin"))

@@ -11,12 +11,13 @@ Combinations are indexed for sets below ``COMBINE_BELOW`` tokens, which bounds t
 Larger sets, and sets of at least t times that size (which may link with larger ones), index their frequent
 prefix tokens singly.
 
-Each list of the index links its members with one pivot. A candidate must pass a rigorous bound first: the xor bitmaps of
+Each list of the index links its members with one pivot, the member with the fewest rare tokens in its prefix, which is
+nearest to the middle of a group of near copies. A candidate must pass a rigorous bound first: the xor bitmaps of
 two sets (a token flips one bit) differ in at most as many bits as the sets have unshared tokens. What passes is
-verified on the whole sets. Lists
-whose members are not all connected after that are compared once more in a second round, in chunks of bounded size and
-between different components only; the same bound leaves few pairs. So a hot list of n members costs n candidates when
-they really are near copies, and otherwise no rows but those of its chunks.
+verified on the whole sets. The
+lists of one pivot are one cluster. If a cluster's members are not all connected after that, they are compared once more in
+a second round, in chunks of bounded size and between different components only; the same bound leaves few pairs. So a hot
+list of n members costs n candidates when they really are near copies, and otherwise no rows but those of its chunks.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def _bound(percent: int):
 
 
 def _across(percent: int):
-    """Two chunks of an index list -> the pairs of different components that sizes and bitmaps allow."""
+    """Two chunks of a cluster -> the pairs of different components that sizes and bitmaps allow."""
 
     def rows(column: pa.Array, k: int):
         part = column.slice(k, 1).flatten()
@@ -151,8 +152,8 @@ class _Order:
         at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
         return np.where(self.tokens[at] == tokens, self.ranks[at], 0)
 
-    def keys(self, own: np.ndarray, percent: int) -> np.ndarray:
-        """The index keys of one set."""
+    def keys(self, own: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+        """The index keys of one set, and the share of rare tokens in its prefix, 0 to 255."""
         n = len(own)
         ranks = self.rank(own)
         spread = T.mix(own)
@@ -164,24 +165,24 @@ class _Order:
             first = np.lexsort((spread, ranks))[:most]
         rare = own[first[ranks[first] == 0]]
         frequent = own[first[ranks[first] > 0]]
+        share = 255 * len(rare) // len(first)
         if not len(frequent):
-            return rare
+            return rare, share
         if n >= COMBINE_BELOW:
-            return np.concatenate([rare, frequent])
+            return np.concatenate([rare, frequent]), share
         a, b = np.triu_indices(len(frequent), 1)
         low, high = np.minimum(frequent[a], frequent[b]), np.maximum(frequent[a], frequent[b])
         out = [rare, T.mix(T.mix(low) * np.uint64(3) + high)]
         if 100 * n >= percent * COMBINE_BELOW:
             out.append(frequent)
-        return np.concatenate(out)
+        return np.concatenate(out), share
 
 
 def _post(order, buckets: int, n: int, percent: int):
-    """The index entries of a task, packed by bucket of the key: arrays of keys, sets' hashes and sets' sizes."""
+    """The index entries of a task, packed by bucket of the key: arrays of keys, sets' hashes and shares of rare tokens."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranking = order.value
-        ranking = _Order(*ranking)
+        ranking = _Order(*order.value)
         seen: set[int] = set()
         held: list[tuple[np.ndarray, int, int]] = []
         size = 0
@@ -190,10 +191,10 @@ def _post(order, buckets: int, n: int, percent: int):
             keys = np.concatenate([k for k, _, _ in held])
             counts = [len(k) for k, _, _ in held]
             own = np.repeat(np.array([o for _, o, _ in held], np.uint64), counts)
-            sizes = np.repeat(np.array([s for _, _, s in held], np.int32), counts)
+            shares = np.repeat(np.array([s for _, _, s in held], np.uint8), counts)
             place = (keys % np.uint64(buckets)).astype(np.int32)
             by = np.argsort(place, kind="stable")
-            keys, own, sizes, place = keys[by], own[by], sizes[by], place[by]
+            keys, own, shares, place = keys[by], own[by], shares[by], place[by]
             cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
             ends = np.append(cuts[1:], len(place))
             return pa.RecordBatch.from_pydict(
@@ -201,7 +202,7 @@ def _post(order, buckets: int, n: int, percent: int):
                     "bucket": pa.array(place[cuts]),
                     "keys": pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
                     "sets": pa.array([own[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-                    "sizes": pa.array([sizes[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                    "shares": pa.array([shares[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
                 }
             )
 
@@ -211,7 +212,8 @@ def _post(order, buckets: int, n: int, percent: int):
                     if len(s) and (own := int(T.whole_hash(s))) not in seen:
                         if len(seen) < 1 << 18:
                             seen.add(own)
-                        held.append((ranking.keys(s, percent), own, len(s)))
+                        keys, share = ranking.keys(s, percent)
+                        held.append((keys, own, share))
                         size += len(held[-1][0])
                 if size >= FLUSH:
                     yield flush()
@@ -222,46 +224,19 @@ def _post(order, buckets: int, n: int, percent: int):
     return post
 
 
-#: Members of an index list that one row holds.
-LIST_PART = 4096
-
-
-def _lists(table: pa.Table) -> pa.Table:
-    """One bucket's entries -> candidate pairs with each list's pivot, and the lists of three and more members."""
-    joined = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("sets", np.uint64), ("sizes", np.int32))}
-    by = np.lexsort((joined["sets"], joined["keys"]))
-    keys, own, sizes = (joined[c][by] for c in ("keys", "sets", "sizes"))
+def _pairs(table: pa.Table) -> pa.Table:
+    """One bucket's entries -> each list's members with its pivot."""
+    keys, own, shares = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("sets", np.uint64), ("shares", np.uint8)))
+    by = np.lexsort((own, shares, keys))
+    keys, own = keys[by], own[by]
     fresh = np.append(True, (keys[1:] != keys[:-1]) | (own[1:] != own[:-1]))
-    keys, own, sizes = keys[fresh], own[fresh], sizes[fresh]
+    keys, own = keys[fresh], own[fresh]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    counts = np.diff(np.append(starts, len(keys)))
-    starts, counts = starts[counts > 1], counts[counts > 1]
-    within = np.repeat(starts, counts - 1)
-    place = np.arange(len(within)) - np.repeat(np.cumsum(counts - 1) - (counts - 1), counts - 1) + 1
-    pairs = np.unique(np.stack([own[within], own[within + place]]), axis=1)
-    ids, parts, seen = [], [], set()
-    for a, c in zip(starts[counts > 2], counts[counts > 2]):
-        members = own[a : a + c]
-        name = T.whole_hash(members)
-        if name not in seen:
-            seen.add(name)
-            for k in range(0, c, LIST_PART):
-                ids.append(name)
-                parts.append(members[k : k + LIST_PART].tobytes())
-    return pa.table(
-        {
-            "a": pa.array(np.concatenate([_long(pairs[0]), _long(np.array(ids, np.uint64))])),
-            "b": pa.concat_arrays([pa.array(_long(pairs[1])), pa.nulls(len(ids), pa.int64())]),
-            "members": pa.concat_arrays([pa.nulls(pairs.shape[1], pa.binary()), pa.array(parts, pa.binary())]),
-        }
-    )
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = np.frombuffer(members, np.int64)
-            yield pa.RecordBatch.from_pydict({"list": pa.array(np.full(len(own), name, np.int64)), "node": pa.array(own)})
+    others = np.diff(np.append(starts, len(keys))) - 1
+    pivots = np.repeat(own[starts], others)
+    members = np.delete(own, starts)
+    pairs = np.unique(np.stack([pivots, members]), axis=1)
+    return pa.table({"a": pa.array(_long(pairs[0])), "b": pa.array(_long(pairs[1]))})
 
 
 def _sets(n: int):
@@ -290,8 +265,8 @@ def _verify(percent: int):
     return verify
 
 
-#: Members of a list that are compared as one chunk in the second round.
-LIST_CHUNK = 512
+#: Members of a cluster that are compared as one chunk in the second round.
+CHUNK = 512
 #: Rows of (id) that may be broadcast as a filter; beyond it the same join shuffles.
 FILTER_ROWS = 1 << 20
 
@@ -315,23 +290,22 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     order = spark.sparkContext.broadcast((tokens[by], ranks[by]))
 
     buckets = 4 * parallelism(spark)
-    posted = docs.select("text").mapInArrow(_post(order, buckets, words, percent), "bucket int, keys binary, sets binary, sizes binary")
-    index = written(posted.groupBy("bucket").applyInArrow(_lists, "a long, b long, members binary"))
+    posted = docs.select("text").mapInArrow(_post(order, buckets, words, percent), "bucket int, keys binary, sets binary, shares binary")
+    pairs = written(posted.groupBy("bucket").applyInArrow(_pairs, "a long, b long").distinct())
 
     classes = written(scanned.where("row and n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits")))
-    pairs = index.where("b is not null").select("a", "b").distinct()
     first = _linked(docs, classes, pairs, words, percent)
     parts = connected_components(first)
 
-    lists = index.where("members is not null").dropDuplicates(["a", "members"]).select("a", "members").mapInArrow(_members, "list long, node long")
-    lists = lists.join(parts, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
-    open_lists = lists.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x != y").select("list", "members")
-    left = lists.join(open_lists, "list").join(classes.select(F.col("key").alias("node"), "n", "bits"), "node")
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / LIST_CHUNK)).alias("chunk")
-    held = left.groupBy("list", F.length("bits").alias("width"), chunk).agg(F.collect_list(F.struct("node", "component", "n", "bits")).alias("rows"))
-    x, y = (written(held).select("list", *[F.col(c).alias(f"{c}_{k}") for c in ("width", "chunk", "rows")]) for k in "ab")
+    clusters = pairs.join(parts.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"))
+    open_clusters = clusters.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x != y").select("a", "members")
+    left = clusters.join(open_clusters, "a").join(classes.select(F.col("key").alias("b"), "n", "bits"), "b")
+    chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / CHUNK)).alias("chunk")
+    held = left.groupBy("a", F.length("bits").alias("width"), chunk).agg(F.collect_list(F.struct(F.col("b").alias("node"), "component", "n", "bits")).alias("rows"))
+    held = written(held)
+    x, y = (held.select("a", *[F.col(c).alias(f"{c}_{k}") for c in ("width", "chunk", "rows")]) for k in "ab")
     near = "(width_a = width_b and chunk_a <= chunk_b) or 2 * width_a = width_b"
-    more = x.join(y, "list").where(near).select("rows_a", "rows_b").mapInArrow(_across(percent), "a long, b long").distinct()
+    more = x.join(y, "a").where(near).select("rows_a", "rows_b").mapInArrow(_across(percent), "a long, b long").distinct()
     second = _linked(docs, classes, more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), words, percent)
     parts = connected_components(first.unionByName(second))
 

@@ -24,7 +24,7 @@ from docfields.llm.tables import parallelism, written
 
 ANCHOR_WORDS = 12
 #: Entries that a task holds before it sends them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 21
 #: Slots of the filter that spares documents a shuffle; 16 bytes each, so the broadcast is bounded whatever the input.
 FILTER_SLOTS = 1 << 20
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -72,8 +72,9 @@ class _Seeds:
 def _entries(find, buckets: int):
     """find(words, extras) -> (hash, place in the piece) of a piece; settles or packs them.
 
-    Out: rows with part, keys and places, of entries that repeat within the task, or rows with bucket, hashes, keys and
-    places. A place is a word's number in its document; keys are dealt to as many parts as there are buckets."""
+    Out: rows with part, keys, counts and runs (start and length), of entries that repeat within the task, or rows with
+    bucket, hashes, keys, counts and places. A place is a word's number in its document; counts say how many entries in a
+    row have a key; keys are dealt to as many parts as there are buckets."""
 
     def settle(hashes, keys, places) -> Iterator[pa.RecordBatch]:
         by = np.argsort(hashes, kind="stable")
@@ -84,7 +85,7 @@ def _entries(find, buckets: int):
         again = np.sort(by[many])
         for row in _by_part(keys[again], places[again], buckets):
             n = row.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), row.column(0), pa.nulls(n, pa.binary()), row.column(1), row.column(2)], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), row.column(0), pa.nulls(n, pa.binary()), *row.columns[1:]], NAMES)
         # one entry for each different hash; that of a settled one only tells others, and has place -1
         kept = by[fresh]
         places = places.copy()
@@ -95,9 +96,9 @@ def _entries(find, buckets: int):
         kept, bucket = kept[order], bucket[order]
         cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         ends = np.append(cuts[1:], len(bucket))
-        parts = {name: [x[kept[a:b]].tobytes() for a, b in zip(cuts, ends)] for name, x in (("hashes", hashes), ("keys", keys), ("places", places))}
-        n = len(cuts)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts]), "part": pa.nulls(n, pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in parts.items()})
+        rows = [(hashes[own].tobytes(), *_counted(keys[own]), places[own].tobytes()) for own in (kept[a:b] for a, b in zip(cuts, ends))]
+        packed = [pa.array(x, pa.binary()) for x in zip(*rows)] if rows else [pa.array([], pa.binary())] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.nulls(len(cuts), pa.int32()), *packed], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -118,20 +119,31 @@ def _entries(find, buckets: int):
     return run
 
 
-NAMES = ["bucket", "part", "hashes", "keys", "places"]
-ENTRY = "bucket int, part int, hashes binary, keys binary, places binary"
-PART = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("places", pa.binary())])
+NAMES = ["bucket", "part", "hashes", "keys", "counts", "places"]
+ENTRY = "bucket int, part int, hashes binary, keys binary, counts binary, places binary"
+PART = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+
+
+def _counted(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """The keys that stand in a row, each once, and how often each does."""
+    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[cuts].tobytes(), np.diff(np.append(cuts, len(keys))).astype(np.int32).tobytes()
 
 
 def _by_part(keys: np.ndarray, places: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Runs of neighbouring places by key, packed by part."""
     if not len(keys):
         return
     part = (T.mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((places, keys, part))
     keys, places, part = keys[order], places[order], part[order]
+    begins = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (places[1:] != places[:-1] + 1)))
+    lengths = np.diff(np.append(begins, len(keys))).astype(np.int32)
+    keys, runs, part = keys[begins], np.stack([places[begins], lengths]), part[begins]
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     ends = np.append(cuts[1:], len(part))
-    yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), *[pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for x in (keys, places)]], schema=PART)
+    rows = [(*_counted(keys[a:b]), runs[:, a:b].tobytes()) for a, b in zip(cuts, ends)]
+    yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), *[pa.array(x, pa.binary()) for x in zip(*rows)]], schema=PART)
 
 
 def _column(table: pa.Table, name: str, kind) -> np.ndarray:
@@ -142,7 +154,8 @@ def _meet(parts: int):
     """One bucket: the places of hashes that several tasks sent."""
 
     def meet(table: pa.Table) -> pa.Table:
-        hashes, keys, places = _column(table, "hashes", np.uint64), _column(table, "keys", np.int64), _column(table, "places", np.int32)
+        hashes, places = _column(table, "hashes", np.uint64), _column(table, "places", np.int32)
+        keys = np.repeat(_column(table, "keys", np.int64), _column(table, "counts", np.int32))
         by = np.argsort(hashes, kind="stable")
         ordered = hashes[by]
         group = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])) - 1
@@ -154,24 +167,30 @@ def _meet(parts: int):
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    """One part: a row for each key with its places in order."""
-    keys, places = _column(table, "keys", np.int64), _column(table, "places", np.int32)
-    by = np.lexsort((places, keys))
-    keys, places = keys[by], places[by]
-    fresh = np.append(True, (keys[1:] != keys[:-1]) | (places[1:] != places[:-1]))[: len(keys)]
-    keys, places = keys[fresh], places[fresh]
-    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    """One part: a row for each key with its runs in order, as pairs of start and length."""
+    keys = np.repeat(_column(table, "keys", np.int64), _column(table, "counts", np.int32))
+    runs = np.concatenate([np.frombuffer(x, np.int32).reshape(2, -1) for x in table.column("places").to_pylist()], axis=1)
+    by = np.lexsort((runs[0], keys))
+    keys, runs = keys[by], runs[:, by]
+    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     ends = np.append(cuts[1:], len(keys))
-    return pa.table({"key": pa.array(keys[cuts]), "places": pa.array([places[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())})
+    return pa.table({"key": pa.array(keys[cuts]), "runs": pa.array([np.ascontiguousarray(runs[:, a:b].T).tobytes() for a, b in zip(cuts, ends)], pa.binary())})
+
+
+def _expand(runs: bytes) -> np.ndarray:
+    """The places of runs."""
+    starts, lengths = np.frombuffer(runs, np.int32).reshape(-1, 2).T
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
 
 
 def _repeated(docs: DataFrame, find, buckets: int) -> DataFrame:
-    """(key, places of what repeats, as int32) of the hashes that find() gives for each row (key, text, ...)."""
+    """(key, runs of places of what repeats) of the hashes that find() gives for each row (key, text, ...)."""
     entries = written(docs.mapInArrow(_entries(find, buckets), ENTRY))
-    kind = "part int, keys binary, places binary"
+    kind = "part int, keys binary, counts binary, places binary"
     met = entries.where("bucket is not null").groupBy("bucket").applyInArrow(_meet(buckets), kind)
-    found = entries.where("bucket is null").select("part", "keys", "places").unionByName(met)
-    return written(found.groupBy("part").applyInArrow(_gather, "key long, places binary"))
+    found = entries.where("bucket is null").select("part", "keys", "counts", "places").unionByName(met)
+    return written(found.groupBy("part").applyInArrow(_gather, "key long, runs binary"))
 
 
 def _marked(docs: DataFrame, side: DataFrame) -> DataFrame:
@@ -188,11 +207,12 @@ def _spans(window: int):
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for places in batch.column(1).to_pylist():
-                starts = np.frombuffer(places, np.int32)
-                new = np.append(True, starts[1:] > starts[:-1] + window)
-                ends = np.append(np.flatnonzero(new)[1:], len(starts)) - 1
-                out.append(np.stack([starts[new], starts[ends] + window], 1).astype(np.int32).tobytes())
+            for runs in batch.column(1).to_pylist():
+                starts, lengths = np.frombuffer(runs, np.int32).reshape(-1, 2).T
+                ends = np.maximum.accumulate(starts + lengths - 1 + window)
+                new = np.append(True, starts[1:] > ends[:-1])
+                last = np.append(np.flatnonzero(new)[1:], len(starts)) - 1
+                out.append(np.stack([starts[new], ends[last]], 1).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "spans"])
 
     return spans
@@ -250,13 +270,13 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
         return found.grams[at], at
 
     def windows(words: T.Words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        shared = [np.frombuffer(p, np.int32) + words.first[d] for d, p in enumerate(batch.column(2).slice(words.row, words.docs).to_pylist())]
+        shared = [_expand(p) + words.first[d] for d, p in enumerate(batch.column(2).slice(words.row, words.docs).to_pylist())]
         found = _Seeds(words, window)
         at = found.resting(np.concatenate(shared)) if shared else np.zeros(0, np.int64)
         return T.sequence_hashes(words.hashes, window)[at], at
 
     shared = _repeated(docs, seeds, buckets)
-    seeded = _marked(docs, shared).where("maybe").select("key", "text").join(shared, "key").select("key", "text", "places")
+    seeded = _marked(docs, shared).where("maybe").select("key", "text").join(shared, "key").select("key", "text", "runs")
     return written(_repeated(seeded, windows, buckets).mapInArrow(_spans(window), "key long, spans binary"))
 
 

@@ -1,8 +1,305 @@
-"""Queries."""
+"""Queries over page and clause texts."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from docfields.functions import scalars as S
+from docfields.operators import extract as X
+from docfields.operators import rules as Ru
+from docfields.operators import status as St
 from docfields.plans.registry import Registry
 
 _r = Registry()
 query, QUERIES, ORACLES = _r.add, _r.queries, _r.oracles
+
+WORDS = "CASE w WHEN 'seven' THEN 7 WHEN 'five' THEN 5 ELSE TRY_CAST(w AS BIGINT) END"
+
+
+def found(pattern: str, group: int = 1, c: str = "text") -> str:
+    return f"nullif(regexp_extract({c}, '{pattern}', {group}), '')"
+
+
+def days(c: str) -> str:
+    return f"TRY_CAST(regexp_extract({c}, '([0-9]+) (day|week|month)', 1) AS BIGINT) * CASE regexp_extract({c}, '([0-9]+) (day|week|month)', 2) WHEN 'day' THEN 1 WHEN 'week' THEN 7 ELSE 30 END"
+
+
+MODE = found("Mode: ([^\\n]*)")
+CODES = f"concat_ws(',', CASE WHEN regexp_matches(lower(m), 'neft|rtgs|bank transfer|online') THEN 'BT' END, CASE WHEN lower(m) LIKE '%demand draft%' THEN 'DD' END, CASE WHEN lower(m) LIKE '%surety bond%' THEN 'SB' END, CASE WHEN lower(m) LIKE '%fdr%' OR lower(m) LIKE '%fixed deposit%' THEN 'FDR' END, CASE WHEN lower(m) LIKE '%bank guarantee%' AND NOT regexp_matches(lower(m), 'neft|rtgs|bank transfer|online') THEN 'BG' END)"
+
+
+@query("p1_text_quality", r"SELECT doc_id, CAST(floor(length(regexp_replace(text, '[^\p{L}\p{N} \n\r\t]', '', 'g')) * 1000 / greatest(length(text), 1)) AS BIGINT) AS ratio, text IS NULL OR text = '' OR CAST(floor(length(regexp_replace(text, '[^\p{L}\p{N} \n\r\t]', '', 'g')) * 1000 / greatest(length(text), 1)) AS BIGINT) < 600 AS garbage FROM {documents}")
+def _(get):
+    ratio = S.quality_ratio(F.col("text"))
+    return get("documents").select("doc_id", ratio.alias("ratio"), (F.col("text").isNull() | (F.col("text") == "") | (F.size(F.split("text", r"\(cid:")) > 4) | (ratio < 600)).alias("garbage"))
+
+
+@query("p2_classify_doc_type", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'explicit' WHEN max(CASE WHEN page = 1 AND (text LIKE '%?%' OR regexp_matches(text, '[0-9]{3}')) THEN 1 ELSE 0 END) = 1 THEN 'structured' ELSE 'generic' END AS doc_type FROM {threads} GROUP BY doc_id")
+def _(get):
+    sniffed = F.bool_or((F.col("page") == 1) & (F.contains("text", F.lit("?")) | F.col("text").rlike("[0-9]{3}")))
+    explicit = F.when(F.col("doc_id") % 10 == 0, "explicit")
+    return get("threads").groupBy("doc_id").agg(sniffed.alias("s")).select("doc_id", F.coalesce(explicit, F.when(F.col("s"), "structured").otherwise("generic")).alias("doc_type"))
+
+
+@query("p3_classify_by_keywords", "SELECT doc_id, CASE WHEN text LIKE '%installation%' AND text LIKE '%NEFT%' THEN 'SITC' WHEN text LIKE '%Demand Draft%' THEN 'Goods' WHEN text LIKE '%surety%' THEN 'Service' ELSE 'Unknown' END AS kind FROM {clause_docs}")
+def _(get):
+    rules = (("SITC", ("installation", "NEFT")), ("Goods", ("Demand Draft",)), ("Service", ("surety",)))
+    return get("clause_docs").select("doc_id", Ru.first_class(F.col("text"), rules, "Unknown").alias("kind"))
+
+
+@query("p6_match_typed", rf"SELECT doc_id, {found('([0-9]+)%')} AS percentage, {found('(Rs[.] [0-9]+ (Lakh|Crore))')} AS currency, {found('([0-9]+ (days|weeks|months))')} AS period, {found('([A-Za-z0-9.]+@[a-z.]+)')} AS email, {found('Total Quantity: ([0-9]+)')} AS whole FROM {{clause_docs}}")
+def _(get):
+    return get("clause_docs").select("doc_id", *[Ru.typed(F.col("text"), t).alias(t) for t in ("percentage", "currency", "period", "email", "whole")])
+
+
+@query("p8_paragraph_filter", "SELECT doc_id, page, length(text) > 100 OR regexp_matches(text, '[.] (the|and|of|to) ') AS paragraph FROM {threads}")
+def _(get):
+    return get("threads").select("doc_id", "page", Ru.looks_like_paragraph(F.col("text")).alias("paragraph"))
+
+
+@query("p9_anchor_match", "SELECT doc_id, regexp_matches(t, '(^| )total( [^ ]+)? quantity( |$)') AS total_quantity, regexp_matches(t, '(^| )delivery( [^ ]+)? period( |$)') AS delivery_period, regexp_matches(t, '(^| )past( [^ ]+)? years( |$)') AS past_years FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[/\\\\_.:\\-]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM {clause_docs})")
+def _(get):
+    text = S.match_normalize(F.col("text"))
+    return get("clause_docs").select("doc_id", *[text.rlike(Ru.anchor_pattern(a)).alias(a.replace(" ", "_")) for a in ("total quantity", "delivery period", "past years")])
+
+
+@query("p13_reject_terms", "SELECT doc_id, mode FROM (SELECT doc_id, nullif(regexp_extract(text, 'Mode: ([^\\n]*)', 1), '') AS mode FROM {clause_docs}) WHERE lower(mode) NOT LIKE '%cash%' AND lower(mode) NOT LIKE '%surety%'")
+def _(get):
+    docs = get("clause_docs").select("doc_id", F.nullif(F.regexp_extract("text", r"Mode: ([^\n]*)", 1), F.lit("")).alias("mode"))
+    return Ru.reject_terms(docs, "mode", ("cash", "surety"), 100)
+
+
+@query("j12_fuzzy_label_join")
+def _(get):
+    labels = get("labels4").select("field_name")
+    labels = labels.unionByName(labels.sparkSession.createDataFrame([("Total Quantities",), ("Delivery Peroid",), ("Refer Anexure",)], "field_name string"))
+    return Ru.fuzzy_labels(get("clause_docs"), labels)
+
+
+@query("j19_deferral", "SELECT doc_id, CASE WHEN d <> '' THEN 'REFER_TO_' || d END AS target, CASE WHEN d <> '' THEN w ELSE r END AS value FROM (SELECT doc_id, regexp_extract(text, 'PRICE REDUCTION SCHEDULE as per (SECTION-[IVX]+)', 1) AS d, nullif(regexp_extract(text, 'PRICE REDUCTION SCHEDULE ([0-9/.]+%)', 1), '') AS r, nullif(regexp_extract(text, 'experience in past ([a-z0-9]+ years)', 1), '') AS w FROM {clause_docs})")
+def _(get):
+    text = F.col("text")
+    target = F.nullif(F.regexp_extract(text, r"PRICE REDUCTION SCHEDULE as per (SECTION-[IVX]+)", 1), F.lit(""))
+    clauses = get("clause_docs").select("doc_id", F.concat(F.lit("REFER_TO_"), target).alias("target"), F.nullif(F.regexp_extract(text, r"PRICE REDUCTION SCHEDULE ([0-9/.]+%)", 1), F.lit("")).alias("own"))
+    sections = get("clause_docs").select("doc_id", F.lit("REFER_TO_SECTION-III").alias("target"), F.nullif(F.regexp_extract(text, r"experience in past ([a-z0-9]+ years)", 1), F.lit("")).alias("other"))
+    return clauses.join(sections, ["doc_id", "target"], "left").select("doc_id", "target", F.coalesce("own", "other").alias("value"))
+
+
+@query("c8_normalize_text", r"SELECT doc_id, page, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM {threads}")
+def _(get):
+    return get("threads").select("doc_id", "page", S.normalize_text(F.col("text")).alias("clean"))
+
+
+@query("c9_split_modes", f"SELECT doc_id, CASE WHEN k = '' THEN m ELSE k END AS modes FROM (SELECT doc_id, m, concat_ws('|', CASE WHEN m LIKE '%Demand Draft%' THEN 'DD' END, CASE WHEN m LIKE '%Bank Guarantee%' THEN 'BG' END, CASE WHEN m LIKE '%FDR%' THEN 'FDR' END, CASE WHEN m LIKE '%NEFT%' THEN 'NEFT' END, CASE WHEN m LIKE '%surety bond%' THEN 'SB' END) AS k FROM (SELECT doc_id, {MODE} AS m FROM {{clause_docs}}))")
+def _(get):
+    mode = F.nullif(F.regexp_extract("text", r"Mode: ([^\n]*)", 1), F.lit(""))
+    return get("clause_docs").select("doc_id", F.array_join(S.split_modes(mode), "|").alias("modes"))
+
+
+@query("c10_instrument_codes", f"SELECT doc_id, {CODES} AS codes FROM (SELECT doc_id, {MODE} AS m FROM {{clause_docs}})")
+def _(get):
+    return get("clause_docs").select("doc_id", S.instrument_codes(F.nullif(F.regexp_extract("text", r"Mode: ([^\n]*)", 1), F.lit(""))).alias("codes"))
+
+
+@query("c11_address_parts", "SELECT tender_id, ord, trim(split_part(value_raw, ',', 1)) AS line1, trim(split_part(value_raw, ',', 2)) || ', ' || trim(split_part(value_raw, ',', 3)) AS line2, trim(split_part(value_raw, ',', 4)) AS pin FROM {occurrences} WHERE field_name = 'courier_address'")
+def _(get):
+    return get("occurrences").where("field_name = 'courier_address'").select("tender_id", "ord", S.address_parts(F.col("value_raw")).alias("a")).select("tender_id", "ord", "a.*")
+
+
+@query("c14_duration_days", f"SELECT doc_id, {days('text')} AS days FROM {{clause_docs}}")
+def _(get):
+    return get("clause_docs").select("doc_id", S.duration_days(F.regexp_extract("text", r"Delivery Period: ([^\n]*)", 1)).alias("days"))
+
+
+@query("c15_fraction_rate", "SELECT doc_id, CASE r WHEN '1/2' THEN 0.5 ELSE TRY_CAST(nullif(r, '') AS DECIMAL(9,4)) END AS rate FROM (SELECT doc_id, regexp_extract(text, 'SCHEDULE ([0-9/.]+)%', 1) AS r FROM {clause_docs})")
+def _(get):
+    return get("clause_docs").select("doc_id", S.fraction_rate(F.regexp_extract("text", r"SCHEDULE ([0-9/.]+)%", 1)).alias("rate"))
+
+
+@query("c17_match_text", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[/\\_.:\-]', ' ', 'g'), '\s+', ' ', 'g')) AS plain, nullif(trim(regexp_extract(lower(text), 'total\s+quantity\s*[:\-]?\s*([^\n]*)', 1)), '') AS after_anchor FROM {clause_docs}")
+def _(get):
+    return get("clause_docs").select("doc_id", S.match_normalize(F.col("text")).alias("plain"), S.suffix_after(F.col("text"), "Total Quantity").alias("after_anchor"))
+
+
+@query("c19_clean_name", "SELECT doc_id, 'Officer ' || regexp_extract(text, 'Officer ([A-Z])', 1) AS name FROM {clause_docs}")
+def _(get):
+    return get("clause_docs").select("doc_id", S.clean_name(F.concat(F.lit("Shri "), F.regexp_extract("text", r"Contact Person: ([^\n]*)", 1))).alias("name"))
+
+
+@query("c21_sandwich", "SELECT doc_id, page, CASE WHEN length(text) <= 90 THEN text ELSE substr(text, 1, 30) || ' ... ' || substr(text, greatest(1, strpos(text, 'the') - 15), 30) || ' ... ' || right(text, 30) END AS cut FROM {threads}")
+def _(get):
+    return get("threads").select("doc_id", "page", S.sandwich(F.col("text"), "the", 90).alias("cut"))
+
+
+@query("a12_distinct_emails", r"SELECT doc_id, string_agg(e, ';' ORDER BY n) AS emails FROM (SELECT doc_id, lower(e) AS e, min(n) AS n FROM (SELECT doc_id, unnest(l) AS e, unnest(range(len(l))) AS n FROM (SELECT doc_id, regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})', 1) AS l FROM {documents})) WHERE NOT regexp_matches(lower(e), '\.(png|jpg|pdf)$') GROUP BY 1, 2) GROUP BY doc_id")
+def _(get):
+    return X.distinct_emails(get("documents"))
+
+
+@query("x1_keyword_windows", "SELECT doc_id, CAST(n AS BIGINT) AS n, place, substr(text, greatest(1, place - 20), least(20, place - 1)) AS \"left\", substr(text, place + 4, 20) AS \"right\" FROM (SELECT doc_id, text, n, 1 + 4 * (n + 1) + len(array_to_string(list_slice(p, 1, n + 1), '')) - 4 AS place FROM (SELECT doc_id, text, p, unnest(range(len(p) - 1)) AS n FROM (SELECT doc_id, text, string_split(text, ' the') AS p FROM {documents} WHERE contains(text, ' the'))))")
+def _(get):
+    return X.keyword_windows(get("documents"), " the", 20, 20)
+
+
+@query("x2_slice_section", "SELECT doc_id, substr(text, strpos(text, 'TERMS OF PAYMENT'), strpos(text, chr(10) || 'PRICE REDUCTION') - strpos(text, 'TERMS OF PAYMENT')) AS section FROM {clause_docs}")
+def _(get):
+    return get("clause_docs").select("doc_id", X.slice_section(F.col("text"), "TERMS OF PAYMENT", "PRICE REDUCTION|SECTION-").alias("section"))
+
+
+@query("x3_bounded_search", "SELECT doc_id, nullif(regexp_extract(substr(text, strpos(text, 'PRICE REDUCTION SCHEDULE') + 24, 60), 'maximum of ([0-9]+)%', 1), '') AS cap FROM {clause_docs}")
+def _(get):
+    return get("clause_docs").select("doc_id", X.bounded_search(F.col("text"), "PRICE REDUCTION SCHEDULE", r"maximum of ([0-9]+)%", 60).alias("cap"))
+
+
+@query("x4_label_value", f"SELECT doc_id, {found('Total Quantity: ([^\\n]*)')} AS quantity, {found('TERMS OF PAYMENT\\n([^\\n]{1,60})')} AS payment FROM {{clause_docs}}")
+def _(get):
+    return get("clause_docs").select("doc_id", X.label_value(F.col("text"), "Total Quantity").alias("quantity"), X.label_value(F.col("text"), "TERMS OF PAYMENT").alias("payment"))
+
+
+@query("x5_resolve_staged", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN q WHEN regexp_matches(text, 'financial criteria not applicable') THEN 'Exempt' ELSE n END AS value, CASE WHEN doc_id % 3 = 0 THEN 'grid' WHEN regexp_matches(text, 'financial criteria not applicable') THEN 'exemption' ELSE 'label' END AS stage, CASE WHEN doc_id % 3 = 0 THEN 95 WHEN regexp_matches(text, 'financial criteria not applicable') THEN 90 ELSE 85 END AS conf_pct FROM (SELECT doc_id, text, nullif(regexp_extract(text, 'Total Quantity: ([0-9]+)', 1), '') AS q, nullif(regexp_extract(text, 'Net Worth: (Rs[^\\n]*)', 1), '') AS n FROM {clause_docs})")
+def _(get):
+    text = F.col("text")
+    stage = lambda value, name, k, conf: get("clause_docs").select("doc_id", value.alias("value"), F.lit(name).alias("stage"), F.lit(k).alias("priority"), F.lit(conf).alias("conf_pct"))
+    grid = F.when(F.col("doc_id") % 3 == 0, F.nullif(F.regexp_extract(text, "Total Quantity: ([0-9]+)", 1), F.lit("")))
+    label = F.nullif(F.regexp_extract(text, r"Net Worth: (Rs[^\n]*)", 1), F.lit(""))
+    exempt = F.when(text.rlike("financial criteria not applicable"), F.lit("Exempt"))
+    stages = stage(grid, "grid", 0, 95).unionByName(stage(label, "label", 1, 85)).unionByName(stage(exempt, "exemption", 2, 90))
+    return X.resolve_staged(stages, ["doc_id"])
+
+
+@query("x6_bounded_fallback", f"SELECT doc_id, CASE WHEN d BETWEEN 30 AND 730 THEN CAST(d AS VARCHAR) ELSE cap END AS value, CASE WHEN d BETWEEN 30 AND 730 THEN 'OK' WHEN cap IS NULL THEN 'MISSING' ELSE 'OK_FALLBACK' END AS status FROM (SELECT doc_id, {days('text')} AS d, {found('maximum of ([0-9]+)%')} AS cap FROM {{clause_docs}})")
+def _(get):
+    days = S.duration_days(F.regexp_extract("text", r"Delivery Period: ([^\n]*)", 1))
+    other = F.nullif(F.regexp_extract("text", "maximum of ([0-9]+)%", 1), F.lit(""))
+    sane = F.coalesce(days.between(30, 730), F.lit(False))
+    return get("clause_docs").select("doc_id", F.when(sane, days.cast("string")).otherwise(other).alias("value"), F.when(sane, "OK").when(other.isNull(), "MISSING").otherwise("OK_FALLBACK").alias("status"))
+
+
+@query("x7_clause_terms", f"""SELECT doc_id, TRY_CAST({found('([0-9]+)% of supply value')} AS BIGINT) AS on_receipt, TRY_CAST({found('balance ([0-9]+)%')} AS BIGINT) AS balance,
+    CASE {found('SCHEDULE ([0-9/.]+)%')} WHEN '1/2' THEN 0.5 ELSE TRY_CAST({found('SCHEDULE ([0-9/.]+)%')} AS DECIMAL(9,4)) END AS rate, TRY_CAST({found('maximum of ([0-9]+)%')} AS BIGINT) AS cap, {WORDS} AS years,
+    CASE WHEN {found('Net Worth: Rs[.] ([0-9]+)')} IS NOT NULL THEN CAST({found('Net Worth: Rs[.] ([0-9]+)')} AS BIGINT) * CASE WHEN text LIKE '% Lakh%' THEN 100000 ELSE 10000000 END END AS net_worth,
+    {days('text')} AS delivery_days, {CODES} AS instruments, 'REFER_TO_' || {found('SCHEDULE as per (SECTION-[IVX]+)')} AS deferred_to
+    FROM (SELECT *, {MODE} AS m, regexp_extract(text, 'past ([a-z0-9]+) years', 1) AS w FROM {{clause_docs}})""")
+def _(get):
+    return X.clause_terms(get("clause_docs"))
+
+
+@query("x8_annexure_terms", f"SELECT doc_id, text LIKE '%PRICE REDUCTION SCHEDULE%' AS has_reduction, text LIKE '%Net Worth: Rs%' AS worth_required, TRY_CAST({found('maximum of ([0-9]+)%')} AS BIGINT) AS cap FROM {{clause_docs}}")
+def _(get):
+    text = F.col("text")
+    return get("clause_docs").select("doc_id", F.contains(text, F.lit("PRICE REDUCTION SCHEDULE")).alias("has_reduction"), F.contains(text, F.lit("Net Worth: Rs")).alias("worth_required"), X.bounded_search(text, "PRICE REDUCTION SCHEDULE", r"maximum of (\d+)%", 100).try_cast("long").alias("cap"))
+
+
+@query("x9_contacts", f"SELECT doc_id, {found('Contact Person: ([A-Za-z ]+)')} AS name, {found('Phone: ([0-9]+)')} AS phone, {found('email: ([A-Za-z0-9.@]+)')} AS email, {found('City ([1-9][0-9]{{5}})')} AS pin FROM {{clause_docs}}")
+def _(get):
+    return X.contacts(get("clause_docs"))
+
+
+@query("x10_mentions", "SELECT doc_id, CAST(n AS BIGINT) AS n, CASE n WHEN 0 THEN regexp_extract(text, '(Annexure-[IVX]+)', 1) ELSE 'BOQ' END AS name, regexp_extract(text, '(Refer[^\\n]*)', 1) AS sentence FROM {clause_docs} CROSS JOIN (SELECT unnest([0, 1]) AS n)")
+def _(get):
+    return X.mentions(get("clause_docs"))
+
+
+@query("j16_unresolved_mentions", "SELECT doc_id, name FROM (SELECT doc_id, CASE n WHEN 0 THEN regexp_extract(text, '(Annexure-[IVX]+)', 1) ELSE 'BOQ' END AS name FROM {clause_docs} CROSS JOIN (SELECT unnest([0, 1]) AS n)) m WHERE NOT (doc_id % 2 = 0 AND (strpos('annexure-ii.pdf', lower(name)) > 0 OR strpos(lower(name), 'annexure-ii.pdf') > 0))")
+def _(get):
+    linked = get("clause_docs").where("doc_id % 2 = 0").select("doc_id", F.lit("Annexure-II.pdf").alias("link_name"))
+    return X.unresolved(X.mentions(get("clause_docs")).select("doc_id", "name"), linked).select("doc_id", "name")
+
+
+@query("x11_links", "SELECT page_id, n, CASE WHEN h[1] = '/' THEN regexp_extract(url, '^(https?://[^/]+)', 1) ELSE '' END || regexp_replace(h, '[.,;:)]+$', '') AS link FROM (SELECT page_id, url, unnest(l) AS h, unnest(range(len(l))) AS n FROM (SELECT page_id, url, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM {pages}))")
+def _(get):
+    return X.links(get("pages"))
+
+
+@query("p11_classify_url", "SELECT page_id, CASE WHEN regexp_matches(lower(url), '^https?://[^/]+/?$') THEN 'homepage' WHEN regexp_matches(lower(url), '/(gtc|terms|privacy)') THEN 'terms' WHEN regexp_matches(lower(url), '[.](png|jpg|gif|css|js)$') THEN 'excluded' WHEN regexp_matches(lower(url), '(annex|atc|corrigendum)') THEN 'annexure' WHEN regexp_matches(lower(url), '[.](pdf|docx?|zip)$') THEN 'document' ELSE 'other' END AS kind FROM {pages}")
+def _(get):
+    return get("pages").select("page_id", X.classify_url(F.col("url")).alias("kind"))
+
+
+@query("u4_link_dedupe", "SELECT page_id, n, link FROM (SELECT *, row_number() OVER (PARTITION BY lower(link) ORDER BY page_id, n) AS rn FROM (SELECT page_id, n, CASE WHEN h[1] = '/' THEN regexp_extract(url, '^(https?://[^/]+)', 1) ELSE '' END || regexp_replace(h, '[.,;:)]+$', '') AS link FROM (SELECT page_id, url, unnest(l) AS h, unnest(range(len(l))) AS n FROM (SELECT page_id, url, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM {pages})))) WHERE rn = 1")
+def _(get):
+    first = F.struct("page_id", "n", "link")
+    return X.links(get("pages")).groupBy(F.lower("link").alias("k")).agg(F.min(first).alias("f")).select("f.*")
+
+
+@query("a18_link_summary", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN h[1] = '/' THEN 'relative' ELSE 'absolute' END AS kind FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS h FROM {pages})) GROUP BY 1")
+def _(get):
+    hrefs = get("pages").select(F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("h"))
+    return hrefs.groupBy(F.when(F.substring("h", 1, 1) == "/", "relative").otherwise("absolute").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("x12_products", "SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%green%' THEN 'green' WHEN lower(p_name) LIKE '%red%' THEN 'red' WHEN regexp_matches(lower(p_name), '[0-9]') THEN 'numbered' END AS category FROM {part} WHERE lower(p_name) LIKE '%green%' OR lower(p_name) LIKE '%red%' OR regexp_matches(lower(p_name), '[0-9]')")
+def _(get):
+    part = get("part")
+    rules = part.sparkSession.createDataFrame([("green", "green", 0), ("red", "red", 1), ("[0-9]", "numbered", 2)], "pattern string, category string, priority int")
+    return Ru.products(part, "p_partkey", "p_name", rules)
+
+
+@query("u5_product_dedupe", "SELECT p_brand, p_type, min(p_partkey) AS p_partkey FROM {part} GROUP BY p_brand, p_type")
+def _(get):
+    return get("part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("p_partkey"))
+
+
+@query("x18_delivery_days", f"SELECT doc_id, CASE WHEN {days('text')} BETWEEN 30 AND 730 THEN {days('text')} END AS days FROM {{clause_docs}}")
+def _(get):
+    days = S.duration_days(F.regexp_replace(F.regexp_extract("text", r"Delivery Period: ([^\n]*)", 1), r"[1-9]\d{5}|Phone: \d+", " "))
+    return get("clause_docs").select("doc_id", F.when(days.between(30, 730), days).alias("days"))
+
+
+@query("x19_anchor_check", "SELECT item_id, doc_id FROM (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS v FROM {benchmark}) b JOIN (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM {documents}) d ON contains(d.t, b.v)")
+def _(get):
+    fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    # the items are a benchmark of fixed size, checked before it is broadcast
+    items = get("benchmark").select("item_id", fold(F.col("text")).alias("v"))
+    small = items.limit(100_001).count() <= 100_000
+    docs = get("documents").select("doc_id", fold(F.col("text")).alias("t"))
+    return Ru.contained(items, docs, small)
+
+
+@query("x20_heuristic_fill", f"SELECT doc_id, 'cap' AS field_name, {found('maximum of ([0-9]+)%')} AS value FROM {{clause_docs}} WHERE doc_id % 2 = 0 AND {found('maximum of ([0-9]+)%')} IS NOT NULL UNION ALL SELECT doc_id, 'quantity', {found('Total Quantity: ([0-9]+)')} FROM {{clause_docs}} WHERE doc_id % 3 = 0")
+def _(get):
+    docs = get("clause_docs")
+    wanted = docs.where("doc_id % 2 = 0").select("doc_id", F.lit("cap").alias("field_name")).unionByName(docs.where("doc_id % 3 = 0").select("doc_id", F.lit("quantity").alias("field_name")))
+    return Ru.heuristic_fill(docs, wanted, {"cap": r"maximum of ([0-9]+)%", "quantity": "Total Quantity: ([0-9]+)"})
+
+
+@query("x21_exempt_financial", "SELECT c.doc_id, l.field_name, CASE WHEN c.text LIKE '%financial criteria not applicable%' THEN 'Exempt' END AS value FROM {clause_docs} c CROSS JOIN {labels4} l")
+def _(get):
+    exempt = F.when(F.col("text").rlike(r"(?s)financial criteria.{0,150}?not applicable"), F.lit("Exempt"))
+    return get("clause_docs").select("doc_id", exempt.alias("value")).join(F.broadcast(get("labels4").select("field_name"))).select("doc_id", "field_name", "value")
+
+
+@query("r8_readiness_summary", f"SELECT doc_id, concat_ws('; ', CASE WHEN m IS NOT NULL THEN 'mode ' || m END, CASE WHEN text LIKE '%not applicable%' THEN 'exempt' END, CASE WHEN {days('text')} >= 30 THEN 'long delivery' ELSE 'short delivery' END) AS summary FROM (SELECT *, {MODE} AS m FROM {{clause_docs}})")
+def _(get):
+    mode = F.nullif(F.regexp_extract("text", r"Mode: ([^\n]*)", 1), F.lit(""))
+    days = S.duration_days(F.regexp_extract("text", r"Delivery Period: ([^\n]*)", 1))
+    return get("clause_docs").select("doc_id", F.concat_ws("; ", F.concat(F.lit("mode "), mode), F.when(F.contains(F.col("text"), F.lit("not applicable")), "exempt"), F.when(days >= 30, "long delivery").otherwise("short delivery")).alias("summary"))
+
+
+@query("r9_conflict_flag", "SELECT doc_id, doc_id % 2 = 0 AND text LIKE '%maximum of%' AS conflict FROM {clause_docs}")
+def _(get):
+    flags = get("clause_docs").select("doc_id", (F.col("doc_id") % 2 == 0).alias("said_no"))
+    texts = get("clause_docs").select("doc_id", F.contains(F.col("text"), F.lit("maximum of")).alias("present"))
+    return flags.join(texts, "doc_id").select("doc_id", (F.col("said_no") & F.col("present")).alias("conflict"))
+
+
+@query("w9_number_documents", f"SELECT doc_id, trim(split_part(m, ',', 1)) AS doc_1, nullif(trim(split_part(m, ',', 2)), '') AS doc_2 FROM (SELECT doc_id, {MODE} AS m FROM {{clause_docs}})")
+def _(get):
+    return Ru.number_items(get("clause_docs").select("doc_id", F.regexp_extract("text", r"Mode: ([^\n]*)", 1).alias("items")), 2)
+
+
+@query("w12_allocate_slots", "SELECT o_custkey, max(CASE rn WHEN 1 THEN e END) AS slot_1, max(CASE rn WHEN 2 THEN e END) AS slot_2, max(CASE rn WHEN 3 THEN e END) AS slot_3 FROM (SELECT o_custkey, e, row_number() OVER (PARTITION BY o_custkey ORDER BY f) AS rn FROM (SELECT o.o_custkey, c.email AS e, min(c.doc_id) AS f FROM {orders} o JOIN (SELECT doc_id, nullif(regexp_extract(text, 'Phone: ([0-9]+)', 1), '') || doc_id % 5 AS email FROM {clause_docs}) c ON c.doc_id = o.o_orderkey GROUP BY 1, 2)) WHERE rn <= 3 GROUP BY o_custkey")
+def _(get):
+    owners = get("orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
+    items = X.contacts(get("clause_docs")).join(owners, "doc_id").select("o_custkey", "doc_id", F.concat("phone", (F.col("doc_id") % 5).cast("string")).alias("item"))
+    return Ru.slots(items, "o_custkey", "item", "doc_id", 3)
+
+
+@query("j15_gold_comparison", "SELECT g.doc_id, g.field_name, g.expected, p.value, CASE WHEN p.value IS NULL THEN 'MISSING' WHEN trim(p.value) = trim(g.expected) THEN 'MATCH' ELSE 'MISMATCH' END AS outcome FROM {gold} g LEFT JOIN {predictions} p ON g.doc_id = p.doc_id AND g.field_name = p.field_name")
+def _(get):
+    return St.gold_comparison(get("gold"), get("predictions"))
+
+
+@query("a14_accuracy", "SELECT field_name, outcome, count(*) AS n FROM (SELECT g.field_name, CASE WHEN p.value IS NULL THEN 'MISSING' WHEN trim(p.value) = trim(g.expected) THEN 'MATCH' ELSE 'MISMATCH' END AS outcome FROM {gold} g LEFT JOIN {predictions} p ON g.doc_id = p.doc_id AND g.field_name = p.field_name) GROUP BY CUBE (field_name, outcome)")
+def _(get):
+    return St.gold_comparison(get("gold"), get("predictions")).cube("field_name", "outcome").agg(F.count("*").alias("n"))
