@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docfields.llm.oracles import ORACLES  # noqa: F401  the entry module takes it from here
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -81,4 +83,3 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_top_k, op3_embedding_near_dedup, op4_mixing, op5_language_id, op6_substring_dedup, op7_token_binary, op8_toxicity, op9_html_extraction, op10_bpe_round_trip)}
-ORACLES: dict[str, str] = {}
