@@ -35,11 +35,13 @@ from docfields.llm.tables import only, parallelism, written
 
 #: Sets below this size index pairs of frequent tokens, others single ones.
 COMBINE_BELOW = 128
-#: A token that some stretch of FLUSH tokens holds at least so often is counted as possibly frequent.
-LOCAL_LEAST = 3
+#: A token that some stretch of COUNTED tokens holds at least so often is counted as possibly frequent.
+LOCAL_LEAST = 2
+COUNTED = 1 << 22
+#: Index entries that a task holds before it sends them on.
 FLUSH = 1 << 20
 #: At most so many tokens form the frequent classes; only the order's quality depends on it, never the result.
-FREQUENT_MOST = 1 << 17
+FREQUENT_MOST = 1 << 18
 SIGN = np.uint64(1 << 63)
 
 
@@ -48,8 +50,8 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """A set's xor bitmap: at least two bits a token, a power of two, 64 at least."""
-    width = max(64, 1 << int(2 * max(1, len(own)) - 1).bit_length())
+    """A set's xor bitmap: at least one bit a token, a power of two, 64 at least."""
+    width = max(64, 1 << int(max(1, len(own)) - 1).bit_length())
     odd = np.bincount((own >> np.uint64(7)).astype(np.int64) & (width - 1), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -79,26 +81,42 @@ def _bound(percent: int):
 def _across(percent: int):
     """Two chunks of a cluster -> the pairs of different components that sizes and bitmaps allow."""
 
-    def rows(column: pa.Array, k: int):
+    def rows(column: pa.Array, k: int) -> dict[int, tuple]:
+        """A chunk's nodes, components, sizes and bitmaps by the bitmaps' width in words."""
         part = column.slice(k, 1).flatten()
         node, component, n = (part.field(c).to_numpy() for c in range(3))
-        return node, component, n, np.frombuffer(b"".join(part.field(3).to_pylist()), np.uint64).reshape(len(node), -1)
+        bits = part.field(3).to_pylist()
+        width = np.array([len(x) // 8 for x in bits])
+        out = {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            out[w] = node[at], component[at], n[at], np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(len(at), w)
+        return out
+
+    def compare(narrow: tuple, wide: tuple) -> np.ndarray:
+        (node_a, part_a, n_a, bits_a), (node_b, part_b, n_b, bits_b) = narrow, wide
+        if bits_b.shape[1] > bits_a.shape[1]:
+            half = bits_b.shape[1] // 2
+            bits_b = bits_b[:, :half] ^ bits_b[:, half:]
+        found = []
+        for i in range(len(node_a)):
+            at = np.flatnonzero((part_b != part_a[i]) & (100 * np.minimum(n_b, n_a[i]) >= percent * np.maximum(n_b, n_a[i])))
+            both = n_b[at] + n_a[i]
+            apart = np.bitwise_count(bits_b[at] ^ bits_a[i]).sum(1, dtype=np.int64)
+            at = at[(100 + percent) * (both - apart) >= 2 * percent * both]
+            found.append(np.stack([np.minimum(node_b[at], node_a[i]), np.maximum(node_b[at], node_a[i])]))
+        return np.concatenate(found, 1)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found = [np.zeros((2, 0), np.int64)]
             for k in range(batch.num_rows):
-                (node_a, part_a, n_a, bits_a), (node_b, part_b, n_b, bits_b) = (rows(c, k) for c in batch.columns)
-                while bits_b.shape[1] > bits_a.shape[1]:
-                    half = bits_b.shape[1] // 2
-                    bits_b = bits_b[:, :half] ^ bits_b[:, half:]
-                for i in range(len(node_a)):
-                    at = np.flatnonzero((part_b != part_a[i]) & (100 * np.minimum(n_b, n_a[i]) >= percent * np.maximum(n_b, n_a[i])))
-                    both = n_b[at] + n_a[i]
-                    apart = np.bitwise_count(bits_b[at] ^ bits_a[i]).sum(1, dtype=np.int64)
-                    at = at[(100 + percent) * (both - apart) >= 2 * percent * both]
-                    found.append(np.stack([np.minimum(node_b[at], node_a[i]), np.maximum(node_b[at], node_a[i])]))
-            pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+                a, b = (rows(c, k) for c in batch.columns)
+                # sizes of links differ by less than two, so widths are equal or one is twice the other
+                for w, own in a.items():
+                    found += [compare(own, b[v]) for v in (w, 2 * w) if v in b]
+                    found += [compare(b[w // 2], own)] if w // 2 in b else []
+            pairs = np.unique(np.concatenate(found, 1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     return across
@@ -126,7 +144,7 @@ def _scan(n: int):
                 yield pa.RecordBatch.from_pydict({"row": pa.array(np.ones(len(sets), bool)), "doc_id": ids.slice(piece.row, piece.docs), "n": pa.array(sizes), "key": pa.array(own), "bits": pa.array([bitmap(s) for s in sets], pa.binary())})
                 held += sets
                 size += int(sizes.sum())
-                if size >= FLUSH:
+                if size >= COUNTED:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -300,12 +318,13 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     clusters = pairs.join(parts.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"))
     open_clusters = clusters.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x != y").select("a", "members")
     left = clusters.join(open_clusters, "a").join(classes.select(F.col("key").alias("b"), "n", "bits"), "b")
-    chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / CHUNK)).alias("chunk")
-    held = left.groupBy("a", F.length("bits").alias("width"), chunk).agg(F.collect_list(F.struct(F.col("b").alias("node"), "component", "n", "bits")).alias("rows"))
+    chunks = F.ceil(F.col("members") / CHUNK)
+    held = left.groupBy("a", chunks.alias("chunks"), F.pmod(F.xxhash64("b"), chunks).alias("chunk")).agg(F.collect_list(F.struct(F.col("b").alias("node"), "component", "n", "bits")).alias("rows"))
     held = written(held)
-    x, y = (held.select("a", *[F.col(c).alias(f"{c}_{k}") for c in ("width", "chunk", "rows")]) for k in "ab")
-    near = "(width_a = width_b and chunk_a <= chunk_b) or 2 * width_a = width_b"
-    more = x.join(y, "a").where(near).select("rows_a", "rows_b").mapInArrow(_across(percent), "a long, b long").distinct()
+    alone = held.where("chunks = 1").select(F.col("rows").alias("rows_a"), F.col("rows").alias("rows_b"))
+    x, y = (held.where("chunks > 1").select("a", F.col("chunk").alias(f"chunk_{k}"), F.col("rows").alias(f"rows_{k}")) for k in "ab")
+    several = x.join(y, "a").where("chunk_a <= chunk_b").select("rows_a", "rows_b")
+    more = alone.unionByName(several).mapInArrow(_across(percent), "a long, b long").distinct()
     second = _linked(docs, classes, more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), words, percent)
     parts = connected_components(first.unionByName(second))
 
