@@ -15,9 +15,9 @@ REMEMBERED = 1 << 18
 class WordTable:
     """Encodes texts word by word; right for tokenizers whose tokens never cross ASCII white space.
 
-    encode: words -> a list of ids for each."""
+    encode: words -> all their ids in a row, and how many each has."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
         self._clear()
 
@@ -38,12 +38,13 @@ class WordTable:
             found = self.encode([words.word(i).decode() for i in first[new].tolist()])
             numbers[new] = np.arange(len(self.known), len(self.known) + len(new))
             self.known.update(zip(different[new].tolist(), numbers[new].tolist()))
-            self.flat = np.concatenate([self.flat, np.array([i for ids in found for i in ids], np.int32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(ids) for ids in found])])
-            self.added(found)
+            flat, counts = found
+            self.flat = np.concatenate([self.flat, flat])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+            self.added(flat, counts)
         return numbers[inverse]
 
-    def added(self, found: list[list[int]]) -> None:
+    def added(self, flat: np.ndarray, counts: np.ndarray) -> None:
         """Called with the ids of words that are new in the table."""
 
     def ids(self, words: T.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -58,17 +59,38 @@ class WordTable:
 
 
 _tables: dict[tuple, WordTable] = {}
+#: Words that the library encodes in one call, with an added token between two.
+JOINED = 500
+
+
+def _library(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    # a special token is cut out before anything else happens to a text, so its neighbours are encoded as if alone
+    special = next(((t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.lstrip and not t.rstrip and not t.single_word), None)
+
+    def plain(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if special is None or any(special[0] in w for w in words):
+            return plain(words)
+        texts = [special[0].join(words[k : k + JOINED]) + special[0] for k in range(0, len(words), JOINED)]
+        flat = np.concatenate([np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(flat == special[1])
+        return np.delete(flat, ends), np.diff(np.concatenate([[-1], ends])) - 1
+
+    return encode
 
 
 def library_table(path: str) -> WordTable:
     """The tokenizers library's ids for a vocabulary file; one table a process."""
     if ("library", path) not in _tables:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _tables["library", path] = WordTable(lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)])
+        _tables["library", path] = WordTable(_library(path))
     return _tables["library", path]
 
 
