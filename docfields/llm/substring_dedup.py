@@ -276,7 +276,7 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
         return T.sequence_hashes(words.hashes, window)[at], at
 
     shared = _repeated(docs, seeds, buckets)
-    seeded = _marked(docs, shared).where("maybe").select("key", "text").join(shared, "key").select("key", "text", "runs")
+    seeded = _marked(docs, shared).where("maybe").select("key", "text").join(shared.hint("merge"), "key").select("key", "text", "runs")
     return written(_repeated(seeded, windows, buckets).mapInArrow(_spans(window), "key long, spans binary"))
 
 
@@ -293,7 +293,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, with_text: bool = False, kee
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[c.alias(k) for k, c in kept.items()]).withColumn("key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(keyed.select("key", "text"), window)
     marked = _marked(keyed, spans)
-    cut = marked.where("maybe").drop("maybe").join(spans, "key", "left")
+    cut = marked.where("maybe").drop("maybe").join(spans.hint("merge"), "key", "left")
     joined = cut.select("doc_id", "text", "spans", *kept).unionByName(marked.where("not maybe").select(*columns, F.lit(None).cast("binary").alias("spans")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text + "".join(f", {k} {keyed.schema[k].dataType.simpleString()}" for k in kept)
     return joined.mapInArrow(_cut(with_text), schema).withColumnsRenamed(dict(zip(kept, keep)))
