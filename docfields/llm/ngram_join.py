@@ -289,6 +289,20 @@ CHUNK = 512
 FILTER_ROWS = 1 << 20
 
 
+def _most_frequent(counts: DataFrame) -> DataFrame:
+    """At most FREQUENT_MOST tokens (key, n): those from the least count on that leaves so few, found by a histogram of counts."""
+    counts = written(counts)
+    size = F.floor(F.log2("n") * 8)
+    rows = counts.groupBy(size.alias("size")).agg(F.count("*").alias("tokens")).collect()
+    least, total = 1 << 30, 0
+    for r in sorted(rows, key=lambda r: -r["size"]):
+        total += r["tokens"]
+        if total > FREQUENT_MOST:
+            break
+        least = r["size"]
+    return counts.where(size >= least)
+
+
 def near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``percent`` hundredths.
 
@@ -301,7 +315,7 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     docs = only(docs, doc_id="long", text="string")
     scanned = written(docs.mapInArrow(_scan(words), "row boolean, doc_id long, n long, key long, bits binary"))
     owners = scanned.where("row").select("doc_id", "n", "key")
-    frequent = scanned.where("not row").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT_MOST).toPandas()
+    frequent = _most_frequent(scanned.where("not row").groupBy("key").agg(F.sum("n").alias("n"))).toPandas().sort_values(["n", "key"], ascending=[False, True])
     tokens = frequent["key"].to_numpy(np.int64).view(np.uint64)
     ranks = np.arange(len(tokens), 0, -1, dtype=np.int64)
     by = np.argsort(tokens)
