@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from docfields.llm import text as T
-from docfields.llm.tokens import WordTable, _tables
+from docfields.llm.tokens import REMEMBERED, WordTable, _tables
 
 END = "</w>"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -238,7 +238,7 @@ class _Table(WordTable):
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
-        super().__init__(bpe.encode_words)
+        super().__init__(bpe.encode_words, REMEMBERED // 4)  # their decoded texts are kept too
 
     def _clear(self) -> None:
         super()._clear()

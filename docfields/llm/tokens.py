@@ -8,8 +8,8 @@ import numpy as np
 
 from docfields.llm import text as T
 
-#: Different words that a task remembers before it starts anew.
-REMEMBERED = 1 << 18
+#: Different words that a worker remembers before it starts anew: about 120 bytes each.
+REMEMBERED = 1 << 20
 
 
 class WordTable:
@@ -17,8 +17,8 @@ class WordTable:
 
     encode: words -> all their ids in a row, and how many each has."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], remembered: int = REMEMBERED):
+        self.encode, self.remembered = encode, remembered
         self._clear()
 
     def _clear(self) -> None:
@@ -28,7 +28,7 @@ class WordTable:
 
     def numbers(self, words: T.Words) -> np.ndarray:
         """The table's number of every word of a piece; new words are encoded."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self._clear()
         different, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
         get = self.known.get
