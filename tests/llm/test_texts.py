@@ -149,6 +149,25 @@ def test_mixing(spark):
     assert names == ["all"] and abs(alone.toPandas().rate.mean() - 0.5) < 0.01
 
 
+def test_mixing_rare_domains(spark):
+    from docfields.llm.mixing import mix
+
+    rng = random.Random(3)
+    words = {"good": "alpha beta gamma delta", "poor": "kappa sigma omega theta", "toxic": "vile nasty cruel awful"}
+    kinds = ["good"] * 1396 + ["poor"] * 600 + ["toxic"] * 4  # 0.1 % and 0.2 % of documents, the toxic half as long
+    rows = [(k, " ".join(rng.choices(words[d].split(), k=20 if d == "toxic" else 40)), d) for k, d in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string").repartition(3)
+    for factors in ({"poor": 0.5, "toxic": 0.2}, {"toxic": 0.2}, {"toxic": 3.0}, {"poor": 0.5, "toxic": 0.0}):
+        rates, domains = mix(docs, docs.select("doc_id", "domain"), factors)
+        found = rates.toPandas()
+        p, n, r = np.stack(found.posterior.to_numpy()), found.n_tokens.to_numpy(), found.rate.to_numpy()
+        held, got = (n[:, None] * p).sum(0), ((n * r)[:, None] * p).sum(0)
+        aim = held * np.array([factors.get(d, 1.0) for d in domains])
+        # each domain by its own tokens; a target of 0 is met as near as posteriors above 0 allow
+        near = 0.05 if 0.0 in factors.values() else 1e-3
+        assert (np.abs(got - aim) <= near * held).all() and r.min() >= 0, (factors, domains, got / held)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
