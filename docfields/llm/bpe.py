@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from docfields.llm import text as T
-from docfields.llm.tokens import REMEMBERED, WordTable, _tables
+from docfields.llm.tokens import REMEMBERED, SLOTS, WordTable, _tables
 
 END = "</w>"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -238,7 +238,8 @@ class _Table(WordTable):
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
-        super().__init__(bpe.encode_words, REMEMBERED // 4)  # their decoded texts are kept too
+        # their decoded texts are kept too
+        super().__init__(lambda words, at: bpe.encode_words([words.word(i).decode() for i in at.tolist()]), SLOTS // 4, REMEMBERED // 8)
 
     def _clear(self) -> None:
         super()._clear()
@@ -264,7 +265,7 @@ def _round_trip(path: str):
                 numbers = own.numbers(words)
                 ids, bounds = own.ids_of(numbers, words.first)
                 decoded = np.array(own.decoded, object)[numbers] if len(numbers) else np.zeros(0, object)
-                if len(numbers) and not (np.diff(own.starts)[numbers] > 0).all():
+                if len(numbers) and not (own.counts_of(numbers) > 0).all():
                     texts = [" ".join([x for x in decoded[a:b].tolist() if x]) for a, b in zip(words.first[:-1], words.first[1:])]
                 else:
                     texts = [" ".join(decoded[a:b].tolist()) for a, b in zip(words.first[:-1], words.first[1:])]

@@ -5,8 +5,9 @@ chunk that says whether the id goes on to level k + 1, and a rank directory: the
 block of 512. The next chunk of the i-th chunk of a level is number rank(i) of the next level, so any token is read
 by one look at each of its levels, and no block is decoded.
 
-A file is a Parquet table of segments in ascending doc_id order; a segment holds the documents' bounds and its levels.
-Any store that Spark writes can hold it.
+A file is a Parquet table of segments in ascending doc_id order; a segment holds the documents' bounds and its levels, and
+the table is not compressed, so a look-up reads its segment's bytes and decodes none of them. Any store that Spark writes
+can hold it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from docfields.llm.tokens import library_table
 CHUNK_BITS = 8
 BLOCK = 512
 #: Tokens after which a segment ends (with its document).
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 SCHEMA = "part int, segment int, n_docs long, n_tokens long, doc_ids array<long>, bounds binary, chunks array<binary>, going_on array<binary>, ranks array<binary>"
 _BITS_IN = np.array([bin(b).count("1") for b in range(256)], np.uint8)
@@ -92,52 +93,91 @@ class Codes:
         return out
 
 
-def _segments(path: str, end: int):
+def _encode(path: str, end: int, bounds: np.ndarray):
+    """Every document's ids, the part it belongs to, and the hash by which rows of one doc_id are ordered."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = library_table(path)
-        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
-        part, number, size = 0, 0, 0
-
-        def segment() -> pa.RecordBatch:
-            ids = np.concatenate([x for _, x, _ in held])
-            counts = np.concatenate([c for _, _, c in held])
-            chunks, bitmaps, directories = pack(ids)
-            docs = pa.concat_arrays([d for d, _, _ in held])
-            row = {
-                "part": [part], "segment": [number], "n_docs": [len(counts)], "n_tokens": [len(ids)],
-                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
-                "bounds": [np.concatenate([[0], np.cumsum(counts)]).astype(np.int64).tobytes()], "chunks": [chunks], "going_on": [bitmaps], "ranks": [directories],
-            }
-            kinds = {"part": pa.int32(), "segment": pa.int32(), "chunks": pa.list_(pa.binary()), "going_on": pa.list_(pa.binary()), "ranks": pa.list_(pa.binary())}
-            return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, kinds.get(k)) for k, v in row.items()})
-
         for batch in batches:
-            if batch.num_rows:
-                part = batch.column(2)[0].as_py()
             for words in T.pieces(batch.column(1)):
-                ids, bounds = table.ids(words)
-                with_end = np.insert(ids, bounds[1:], end)
-                held.append((batch.column(0).slice(words.row, words.docs), with_end, np.diff(bounds) + 1))
-                size += len(with_end)
-                if size >= SEGMENT:
-                    yield segment()
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield segment()
+                ids, stops = table.ids(words)
+                with_end = np.insert(ids, stops[1:], end).astype("<u4")
+                own = batch.slice(words.row, words.docs)
+                offsets = 4 * (stops + np.arange(len(stops)))
+                packed = pa.Array.from_buffers(pa.large_binary(), words.docs, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(with_end)])
+                doc_id, tie = own.column(0), own.column(2)
+                yield pa.RecordBatch.from_arrays([pa.array(part_of(doc_id, tie, bounds)), doc_id, tie, packed.cast(pa.binary())], ["part", "doc_id", "tie", "ids"])
 
     return run
 
 
+def part_of(doc_id: pa.Array, tie: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """The part of every row: by doc_id between the bounds; an id that fills several parts is dealt to them by ``tie``.
+
+    So (doc_id, tie) never falls from one part to the next. Rows without a doc_id count as the least id."""
+    own = doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+    low, high = np.searchsorted(bounds, own, "left"), np.searchsorted(bounds, own, "right")
+    share = (tie.to_numpy(zero_copy_only=False).astype(np.float64) / 2.0**64 + 0.5).clip(0, 1 - 2.0**-53)
+    return np.where(high > low, low + np.floor(share * (high - low + 1)).astype(np.int64), low).astype(np.int32)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part's documents in order -> its segments, each of SEGMENT ids or as many as its last document brings it to."""
+    held: list[pa.RecordBatch] = []
+    number = size = 0
+
+    def segment() -> pa.RecordBatch:
+        docs = pa.concat_arrays([b.column(1) for b in held])
+        bounds = [_bounds(b.column(2)) for b in held]
+        ids = np.concatenate([np.frombuffer(b.column(2).buffers()[2], "<u4")[o[0] : o[-1]] for b, o in zip(held, bounds)])
+        counts = np.concatenate([np.diff(o) for o in bounds])
+        chunks, bitmaps, directories = pack(ids)
+        row = {
+            "part": held[0].column(0).slice(0, 1), "segment": pa.array([number], pa.int32()), "n_docs": pa.array([len(counts)]), "n_tokens": pa.array([len(ids)]),
+            "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
+            "bounds": pa.array([np.concatenate([[0], np.cumsum(counts)]).astype(np.int64).tobytes()]),
+            "chunks": pa.array([chunks], pa.list_(pa.binary())), "going_on": pa.array([bitmaps], pa.list_(pa.binary())), "ranks": pa.array([directories], pa.list_(pa.binary())),
+        }
+        return pa.RecordBatch.from_pydict(row)
+
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            tokens = np.cumsum(np.diff(_bounds(batch.column(2).slice(at))))
+            stop = int(np.searchsorted(tokens, SEGMENT - size)) + 1
+            own = batch.slice(at, stop)
+            held.append(own)
+            size += int(tokens[own.num_rows - 1])
+            at += own.num_rows
+            if size >= SEGMENT:
+                yield segment()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield segment()
+
+
+def _bounds(column: pa.Array) -> np.ndarray:
+    """Where each document's ids begin in the column's data, in ids."""
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
+
+
 def write_ids(docs: DataFrame, path: str, end: int = 2) -> DataFrame:
     """Encode every row of docs (doc_id, text), append ``end`` to each, and write segments in ascending doc_id order.
 
-    Returns the written table of segments. Null and empty texts are the end id alone. Rows without a doc_id come first; rows of one
-    doc_id are ordered by text; further columns are ignored. An empty table writes no segment.
+    Returns the written table of segments. Null and empty texts are the end id alone. Rows without a doc_id come first, with those of id -2^63; rows of one
+    doc_id are ordered by xxhash64 of their text, and spread by it where they are more than a part's share. Further columns are ignored. An
+    empty table writes no segment.
+
+    Texts are encoded where they are read and only their ids are shuffled, to parts whose bounds come from the doc_id column alone.
     """
     docs = only(docs, doc_id="long", text="string")
-    dealt = docs.repartitionByRange(parallelism(docs.sparkSession), F.col("doc_id").asc_nulls_first())
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
-    return written(ordered.mapInArrow(_segments(path, end), SCHEMA))
+    parts = parallelism(docs.sparkSession)
+    shares = [k / parts for k in range(1, parts)]
+    least = F.coalesce("doc_id", F.lit(np.iinfo(np.int64).min))
+    bounds = docs.agg(F.percentile_approx(least, shares, F.lit(max(10_000, 20 * parts))).alias("b")).head()["b"] if shares else []
+    encoded = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(_encode(path, end, np.array(bounds or [], np.int64)), "part int, doc_id long, tie long, ids binary")
+    dealt = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    return written(dealt.select("part", "doc_id", "ids").mapInArrow(_segments, SCHEMA), compression="none")
 
 
 def with_starts(segments: DataFrame) -> DataFrame:

@@ -9,19 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests on one machine) a new temporary folder is set."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, on one machine only, a new temporary folder is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def written(df: DataFrame, *by: str) -> DataFrame:
+def written(df: DataFrame, *by: str, compression: str = "zstd") -> DataFrame:
     """Write a table once to the shared folder and return it as read from there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
+    out = df.write.option("compression", compression)
     (out.partitionBy(*by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -59,6 +59,18 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
+    def joined(self, at: np.ndarray, end: bytes) -> tuple[bytes, np.ndarray]:
+        """The words at these places in a row, each followed by ``end``, and where each stops after that."""
+        sizes = self.ends[at] - self.starts[at]
+        stops = np.cumsum(sizes + len(end))
+        out = np.empty(int(stops[-1]) if len(at) else 0, np.uint8)
+        inner = np.arange(int(sizes.sum()))
+        before = np.cumsum(sizes) - sizes
+        out[np.repeat(stops - len(end) - sizes - before, sizes) + inner] = self.data[np.repeat(self.starts[at] - before, sizes) + inner]
+        if end:
+            out[(stops - len(end))[:, None] + np.arange(len(end))] = np.frombuffer(end, np.uint8)
+        return out.tobytes(), stops
+
 
 def pieces(texts: pa.Array, fold: bool = False, most: int = PIECE_BYTES, prefix: int = 0) -> Iterator[Words]:
     """Cut a string array into pieces of about ``most`` bytes; null counts as the empty text.

@@ -47,25 +47,60 @@ def test_bpe(spark, docs, tokenizer):
     assert encode_and_decode(df.limit(0), vocabulary()).count() == 0
 
 
-def test_token_files(spark, docs, tokenizer):
+def check_files(spark, rows, df, tokenizer):
+    """Files against the library: documents in order of their ids, rows of one id next to each other in any order, no gaps."""
     from docfields.llm import dac
     from docfields.llm.tokens import vocabulary
 
-    rows, df = docs
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    start, expected, whole = 0, [], []
-    for i, t, *_ in ordered:
-        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
-        expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
-        whole.append(ids)
-        start += len(ids)
+    ids = [np.array(tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4") for r in rows]
     segments = dac.write_ids(df, vocabulary())
-    assert sorted(map(tuple, dac.read_documents(segments).collect()), key=str) == sorted(expected, key=str)
-    whole = np.concatenate(whole)
+    found = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in dac.read_documents(segments).collect())
+    assert sorted((f[1:] for f in found), key=str) == sorted(((r[0], len(x), zlib.crc32(x.tobytes())) for r, x in zip(rows, ids)), key=str)
+    assert [f[0] for f in found] == np.concatenate([[0], np.cumsum([f[2] for f in found])])[:-1].tolist()
+    assert [f[1] for f in found] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    by_crc = {zlib.crc32(x.tobytes()): x for x in ids}
+    return segments, np.concatenate([by_crc[f[3]] for f in found])
+
+
+@pytest.mark.parametrize("segment", [1 << 18, 50])
+def test_token_files(spark, docs, tokenizer, monkeypatch, segment):
+    from docfields.llm import dac
+    from docfields.llm.tokens import vocabulary
+
+    monkeypatch.setattr(dac, "SEGMENT", segment)
+    segments, whole = check_files(spark, *docs, tokenizer)
     places = spark.createDataFrame([(int(p),) for p in random.Random(2).sample(range(len(whole)), 200)], "place long")
     found = dac.tokens_at(segments, places).collect()
     assert len(found) == 200 and all(whole[r["place"]] == r["id"] for r in found)
-    assert dac.read_documents(dac.write_ids(df.limit(0), vocabulary())).count() == 0
+    assert dac.read_documents(dac.write_ids(docs[1].limit(0), vocabulary())).count() == 0
+
+
+def test_token_files_of_one_id(spark, tokenizer):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, 4, 4, 4, 9, 1 - (1 << 63), k]), " ".join(rng.choices("ab cd ef gh".split(), k=rng.randint(0, 30)))) for k in range(600)]
+    rows += [(4, "alike")] * 20
+    segments, _ = check_files(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokenizer)
+    # a third of all rows have one id: no part holds them all
+    assert max(r["n_docs"] for r in segments.groupBy("part").sum("n_docs").withColumnRenamed("sum(n_docs)", "n_docs").collect()) < 400
+
+
+def test_word_table_when_full():
+    """Words that meet in a slot, and a table that starts anew, change nothing."""
+    import pyarrow as pa
+    from docfields.llm import text as T
+    from docfields.llm.tokens import WordTable
+
+    def encode(words, at):
+        own = [list(words.word(i)) for i in at.tolist()]
+        return np.array([b for w in own for b in w], np.int32), np.array([len(w) for w in own], np.int64)
+
+    rng, small = random.Random(5), WordTable(encode, 16, 60)
+    for _ in range(40):
+        texts = [" ".join(str(rng.randrange(200)) for _ in range(rng.randint(0, 40))) for _ in range(5)]
+        for words in T.pieces(pa.array(texts), most=100):
+            ids, bounds = small.ids(words)
+            for k in range(words.docs):
+                assert bytes(ids[bounds[k] : bounds[k + 1]].astype(np.uint8)).decode() == texts[words.row + k].replace(" ", "")
 
 
 def test_codes():
