@@ -1,5 +1,6 @@
 """Tokens, languages, toxicity, pages and mixing: exact round trips, held-out accuracy, odd rows."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -131,6 +132,82 @@ def test_language(spark):
     assert set(identify(docs.limit(5).selectExpr("doc_id", "text", "cast(null as string) as lang")).toPandas().lang_pred) == {"und"}
 
 
+def plain_grams(text):
+    """n-grams by a loop over the words' characters."""
+    counts = collections.Counter()
+    spaced = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    for n in (1, 2, 3):
+        for k in range(len(spaced) - n + 1):
+            if spaced[k : k + n].strip():
+                counts[spaced[k : k + n]] += 1
+    return counts
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 7, 1])
+def test_grams(monkeypatch, piece):
+    """Counts do not depend on the pieces that a text is cut into."""
+    from docfields.llm import language
+
+    monkeypatch.setattr(language, "PIECE", piece)
+    for text in [t for t in sample()[:60] if t is not None and len(t) < 3000] + ["", " ", "1", "a", "ab", "a  b", "  a", "b  ", "x1y2", "\ud800a", "éa" * 30, "a" * 40]:
+        found, counts = language.grams(text)
+        chars = lambda v: "".join(chr(c) for c in (v >> 42, v >> 21 & 0x1FFFFF, v & 0x1FFFFF) if c)
+        assert {chars(v): n for v, n in zip(found.tolist(), counts.tolist())} == plain_grams(text.replace("\ud800", "?")), text
+
+
+def test_long_text_of_several_pieces():
+    from docfields.llm import language
+
+    text = "abc déf ghi " * 180_000  # 2.1 M characters
+    found, counts = language.grams(text)
+    one, once = language.grams("abc déf ghi " * 2)
+    assert found.tolist() == one.tolist() and counts.sum() == 180_000 * (9 + 12 + 12) - 1
+
+
+def test_language_brute_force(spark):
+    """Profiles and answers by plain loops: ranks, out-of-place sums, ties."""
+    from docfields.llm import language
+
+    rng = random.Random(9)
+    words = {"aa": "the cat sat on a mat with hats".split(), "bb": "der hund und die katze sind da".split(), "cc": "le chat est sur la table là".split()}
+    rows = [(k, " ".join(rng.choices(words[lang], k=rng.randint(1, 40))), lang, "x", 1) for k in range(300) for lang in [rng.choice(sorted(words))]]
+    rows += [(None, "the cat", "bb", "x", 1), (7, None, "aa", "x", 1), (9, "12 !", "aa", "x", 1), (11, "Katze " * 5000, None, "x", 1), (5, "the cat", "aa", "x", 1), (5, "the cat", "aa", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, gram int").repartition(3)
+    totals = collections.defaultdict(lambda: collections.Counter())
+    for i, t, lang, *_ in {r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 and r[1] and r[2]}:
+        own = plain_grams(t)
+        for g, n in own.items():
+            totals[lang][g] += n / sum(own.values()) * sum((r[0], r[1], r[2]) == (i, t, lang) for r in rows)
+    number = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    profiles = {lang: {g: k for k, g in enumerate(sorted(c, key=lambda g: (-round(c[g], 9), number(g)))[: language.PROFILE])} for lang, c in totals.items()}
+
+    def judge(t):
+        own = plain_grams(t or "")
+        if not own:
+            return "und", 0.0
+        best = sorted(own, key=lambda g: (-own[g], number(g)))[: language.DOCUMENT]
+        apart = {lang: sum(abs(p[g] - k) if g in p else language.PROFILE for k, g in enumerate(best)) for lang, p in profiles.items()}
+        lang = min(sorted(apart), key=apart.get)
+        return lang, 1 - apart[lang] / (language.PROFILE * len(best))
+
+    found = [tuple(r) for r in language.identify(df).collect()]
+    expected = [(i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, *judge(t)) for i, t, *_ in rows]
+    key = lambda r: (str(r[0]), r[1], r[2], round(r[3], 9))
+    assert sorted(map(key, found)) == sorted(map(key, expected))
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    from docfields.llm import language
+
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    seen = []
+    monkeypatch.setattr(language, "Profiles", lambda rows: seen.append(rows))
+    rows = [(k, "ab" if k % 10 else f"zz y{k}", "aa") for k in range(3000)] + [(k, "cd", f"l{k}") for k in range(50)]
+    language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len({r[0] for r in seen[0]}) == 51
+    assert sum(r[0] == "aa" for r in seen[0]) <= 40  # few of the 300 different texts
+
+
 def test_toxicity(spark):
     from docfields.llm.toxicity import toxicity
 
