@@ -94,23 +94,31 @@ class Codes:
 
 
 def _encode(path: str, end: int, bounds: np.ndarray):
-    """Every document's ids, the part it belongs to, and the hash by which rows of one doc_id are ordered."""
+    """Every document's ids, the part it belongs to, and the hash by which rows of one doc_id are ordered.
+
+    Ids travel as their low 16 bits; the high ones come along only where some id has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = library_table(path)
         for batch in batches:
             for words in T.pieces(batch.column(1)):
                 ids, stops = table.ids(words)
-                with_end = np.insert(ids, stops[1:], end).astype("<u4")
+                with_end = np.insert(ids, stops[1:], end).astype(np.uint32)
                 own = batch.slice(words.row, words.docs)
-                offsets = 4 * (stops + np.arange(len(stops)))
-                packed = pa.Array.from_buffers(pa.large_binary(), words.docs, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(with_end)])
+                offsets = 2 * (stops + np.arange(len(stops)))
+                low, high = (_packed(x.astype("<u2"), offsets) for x in (with_end & 0xFFFF, with_end >> 16))
+                if with_end.max() < 1 << 16:
+                    high = pa.nulls(words.docs, pa.binary())
                 doc_id, tie = own.column(0), own.column(2)
-                yield pa.RecordBatch.from_arrays([pa.array(part_of(doc_id, tie, bounds)), doc_id, tie, packed.cast(pa.binary())], ["part", "doc_id", "tie", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part_of(doc_id, tie, bounds)), doc_id, tie, low, high], ["part", "doc_id", "tie", "low", "high"])
 
     return run
 
 
+def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
 def part_of(doc_id: pa.Array, tie: pa.Array, bounds: np.ndarray) -> np.ndarray:
     """The part of every row: by doc_id between the bounds; an id that fills several parts is dealt to them by ``tie``.
 
@@ -129,7 +137,10 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def segment() -> pa.RecordBatch:
         docs = pa.concat_arrays([b.column(1) for b in held])
         bounds = [_bounds(b.column(2)) for b in held]
-        ids = np.concatenate([np.frombuffer(b.column(2).buffers()[2], "<u4")[o[0] : o[-1]] for b, o in zip(held, bounds)])
+        ids = np.concatenate([np.frombuffer(b.column(2).buffers()[2], "<u2")[o[0] : o[-1]] for b, o in zip(held, bounds)])
+        if any(b.column(3).null_count < b.num_rows for b in held):
+            high = [x or bytes(2 * int(n)) for b, o in zip(held, bounds) for x, n in zip(b.column(3).to_pylist(), np.diff(o))]
+            ids = ids | np.frombuffer(b"".join(high), "<u2").astype(np.uint32) << 16
         counts = np.concatenate([np.diff(o) for o in bounds])
         chunks, bitmaps, directories = pack(ids)
         row = {
@@ -158,7 +169,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bounds(column: pa.Array) -> np.ndarray:
     """Where each document's ids begin in the column's data, in ids."""
-    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 2
 
 
 def write_ids(docs: DataFrame, path: str, end: int = 2) -> DataFrame:
@@ -175,9 +186,9 @@ def write_ids(docs: DataFrame, path: str, end: int = 2) -> DataFrame:
     shares = [k / parts for k in range(1, parts)]
     least = F.coalesce("doc_id", F.lit(np.iinfo(np.int64).min))
     bounds = docs.agg(F.percentile_approx(least, shares, F.lit(max(10_000, 20 * parts))).alias("b")).head()["b"] if shares else []
-    encoded = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(_encode(path, end, np.array(bounds or [], np.int64)), "part int, doc_id long, tie long, ids binary")
+    encoded = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(_encode(path, end, np.array(bounds or [], np.int64)), "part int, doc_id long, tie long, low binary, high binary")
     dealt = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    return written(dealt.select("part", "doc_id", "ids").mapInArrow(_segments, SCHEMA), compression="none")
+    return written(dealt.select("part", "doc_id", "low", "high").mapInArrow(_segments, SCHEMA), compression="none")
 
 
 def with_starts(segments: DataFrame) -> DataFrame:

@@ -85,6 +85,21 @@ def test_token_files_of_one_id(spark, tokenizer):
     assert max(r["n_docs"] for r in segments.groupBy("part").sum("n_docs").withColumnRenamed("sum(n_docs)", "n_docs").collect()) < 400
 
 
+def test_segments_of_wide_ids():
+    """Batches with and without ids above 16 bits in one segment."""
+    import pyarrow as pa
+    from docfields.llm import dac
+
+    docs = [np.array([1, 70_000, 2]), np.array([2]), np.array([65_535, 2]), np.array([1 << 20, 3, 2])]
+    binary = lambda rows: pa.array([r if r is None else r.astype("<u2").tobytes() for r in rows], pa.binary())
+    batches = []
+    for k, wide in ((0, True), (1, False), (2, False), (3, True)):
+        high = [docs[k] >> 16] if wide else [None]
+        batches.append(pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([k], pa.int64()), binary([docs[k] & 0xFFFF]), binary(high)], ["part", "doc_id", "low", "high"]))
+    (row,) = [r for b in dac._segments(iter(batches)) for r in b.to_pylist()]
+    assert dac.Codes(row["chunks"], row["going_on"], row["ranks"]).all().tolist() == np.concatenate(docs).tolist()
+
+
 def test_word_table_when_full():
     """Words that meet in a slot, and a table that starts anew, change nothing."""
     import pyarrow as pa
