@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docfields.llm import text as T
 from docfields.llm.components import connected_components
-from docfields.llm.tables import only, parallelism, written
+from docfields.llm.tables import only, parallelism, with_hot, written
 
 #: Sets below this size index pairs of frequent tokens, others single ones.
 COMBINE_BELOW = 128
@@ -330,14 +330,16 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     parts = connected_components(first)
 
     clusters = pairs.join(parts.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"))
-    open_clusters = clusters.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x != y").select("a", "members")
-    left = clusters.join(open_clusters, "a").join(classes.select(F.col("key").alias("b"), "n", "bits"), "b")
-    chunks = F.ceil(F.col("members") / CHUNK)
-    held = left.groupBy("a", chunks.alias("chunks"), F.pmod(F.xxhash64("b"), chunks).alias("chunk")).agg(F.collect_list(F.struct(F.col("b").alias("node"), "component", "n", "bits")).alias("rows"))
+    members = clusters.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+    open_clusters = written(members.where("x != y").select("a", F.ceil(F.col("n") / CHUNK).alias("chunks"), "n"))
+    left = with_hot(clusters, open_clusters, "a", pairs.count()).join(classes.select(F.col("key").alias("b"), "n", "bits"), "b")
+    held = left.groupBy("a", "chunks", F.pmod(F.xxhash64("b"), "chunks").alias("chunk")).agg(F.collect_list(F.struct(F.col("b").alias("node"), "component", "n", "bits")).alias("rows"))
     held = written(held)
     alone = held.where("chunks = 1").select(F.col("rows").alias("rows_a"), F.col("rows").alias("rows_b"))
-    x, y = (held.where("chunks > 1").select("a", F.col("chunk").alias(f"chunk_{k}"), F.col("rows").alias(f"rows_{k}")) for k in "ab")
-    several = x.join(y, "a").where("chunk_a <= chunk_b").select("rows_a", "rows_b")
+    # two chunks of a cluster meet in a group of their own, so that a large cluster is no task
+    x = held.where("chunks > 1").select("a", F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"), F.col("rows").alias("rows_a"))
+    y = held.where("chunks > 1").select("a", F.explode(F.sequence(F.lit(0).cast("long"), "chunk")).alias("i"), F.col("chunk").alias("j"), F.col("rows").alias("rows_b"))
+    several = x.join(y, ["a", "i", "j"]).select("rows_a", "rows_b")
     more = alone.unionByName(several).mapInArrow(_across(percent), "a long, b long").distinct()
     second = _linked(docs, classes, more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), words, percent)
     parts = connected_components(first.unionByName(second))
@@ -351,8 +353,9 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
 
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set hashes that are links: those within the bitmaps' bound, judged on the whole sets."""
-    a, b = (classes.select(F.col("key").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
-    bounded = pairs.select("a", "b").join(b, "b").join(a, "a").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    total = pairs.count()
+    of = lambda k: classes.select(F.col("key").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
+    bounded = _by_pivot(pairs.select("a", "b").join(of("b"), "b"), pairs, of("a"), total).where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     pairs = written(bounded.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(_bound(percent), "a long, b long"))
     nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     ids = written(nodes.join(classes, "key").select(F.col("rep").alias("doc_id")))
@@ -360,4 +363,10 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, p
     texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     sets = written(texts.select("text").mapInArrow(_sets(words), "key long, tokens binary"))
     a, b = (sets.select(F.col("key").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
-    return written(pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"))
+    return written(_by_pivot(pairs.join(b, "b"), pairs, a, pairs.count()).select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"))
+
+
+def _by_pivot(rows: DataFrame, pairs: DataFrame, of_a: DataFrame, total: int) -> DataFrame:
+    """rows joined with the pivots' columns; a pivot of many pairs is no task."""
+    counted = written(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    return with_hot(rows, of_a.join(counted, "a"), "a", total)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,9 +26,45 @@ def written(df: DataFrame, *by: str, compression: str = "zstd") -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     out = df.write.option("compression", compression)
     (out.partitionBy(*by) if by else out).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that this process has written and not removed.
+_written: list[str] = []
+
+
+def mark() -> int:
+    """A place in the order of writing, for ``clear``."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Remove what ``written`` made between two marks; tables that still read from there can no longer be read."""
+    for path in _written[since:until]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    del _written[since:until]
+
+
+#: A key that holds more than this part of a table's rows is hot, so there are fewer hot keys than this.
+HOT_PART = 1024
+#: Rows that no key is hot with.
+HOT_LEAST = 256
+
+
+def with_hot(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with lookup (key, n, ...) that has one row a key, n being its rows: no task takes all rows of one key.
+
+    Keys that hold more than a HOT_PART-th of the total are fewer than HOT_PART, so these are broadcast; the others shuffle."""
+    most = max(HOT_LEAST, total // HOT_PART)
+    hot, others = lookup.where(F.col("n") > most).drop("n"), lookup.where(F.col("n") <= most).drop("n")
+    if not hot.head(1):
+        return rows.join(others, key)
+    hot = F.broadcast(hot)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(others, key))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

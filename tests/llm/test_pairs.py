@@ -161,6 +161,7 @@ def test_top_k(spark, monkeypatch, shard):
     from docfields.llm import top_k
 
     monkeypatch.setattr(top_k, "SHARD", shard)
+    monkeypatch.setattr(top_k, "SHARD_LEAST", shard)
     monkeypatch.setattr(top_k, "LEAF", 16)
     rows = [r for r in vectors()] + [(2000, vectors()[0][1], 0)]
     df = spark.createDataFrame([(*r[:2], "v", 1) for r in rows], "vec_id long, embedding array<float>, v string, shard int")
@@ -176,6 +177,56 @@ def test_top_k(spark, monkeypatch, shard):
     assert top_k.top_k(vectors_.limit(0), vectors_).count() == 0 and top_k.top_k(vectors_, vectors_.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [20, 8192])
+@pytest.mark.parametrize("scale", [1, 1 << 20, 1 << 27])
+def test_top_k_of_repeated_rows(spark, monkeypatch, shard, scale):
+    """Repeated rows, ids with several vectors, ties, null ids, wide components: one list an id, by a plain loop."""
+    from docfields.llm import top_k
+
+    monkeypatch.setattr(top_k, "SHARD", shard)
+    monkeypatch.setattr(top_k, "SHARD_LEAST", shard)
+    monkeypatch.setattr(top_k, "LEAF", 4)
+    rng = random.Random(6)
+    rows = [(rng.randrange(60), [rng.randrange(-3, 4) * scale for _ in range(3)], 1, "x") for _ in range(150)]
+    rows += rows[:40] + [(None, [scale] * 3, 1, "x"), (50, None, 1, "x"), (50, [], 1, "x"), (0, rows[0][1], 1, "x"), (0, rows[1][1], 2, "y")]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>, shard int, score string").repartition(3)
+    best = {}
+    for q, x, *_ in rows:
+        for c, y, *_ in rows:
+            if q is not None and q % 50 == 0 and c is not None and c != q and x and y:
+                score = sum(a * b for a, b in zip(x, y))
+                best[q, c] = max(score, best.get((q, c), score))
+    expected = []
+    for q in {q for q, _ in best}:
+        expected += [(q, k + 1, c, -s) for k, (s, c) in enumerate(sorted((-s, c) for (p, c), s in best.items() if p == q)[:5])]
+    assert sorted(map(tuple, top_k.top_k(df, df.where("vec_id % 50 = 0")).collect())) == sorted(expected)
+
+
+def test_near_vectors_odd_rows(spark):
+    """Repeated rows, null and repeated ids, columns of the operator's own names."""
+    from docfields.llm.near_vectors import near_copies
+
+    a, b = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(1, a, 1), (1, a, 1), (2, [2.0, 4.0, 6.0], 1), (None, a, 1), (None, b, 2), (None, b, 2), (5, b, 3), (6, a, None), (7, [0.0, -0.0, 0.0], 1)]
+    df = spark.createDataFrame([(*r, "k", 1.5, True) for r in rows], "vec_id long, embedding array<double>, label int, key string, n double, kept boolean")
+    found = sorted((tuple(r) for r in near_copies(df).collect()), key=str)
+    expected = [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, None), (None, 1, None, None), (None, 1, None, None), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True)]
+    assert found == sorted(expected, key=str)
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    """Stars and their centres at either end, with every key hot."""
+    from docfields.llm import tables
+    from docfields.llm.components import connected_components
+
+    monkeypatch.setattr(tables, "HOT_LEAST", 3)
+    monkeypatch.setattr(tables, "HOT_PART", 1 << 30)
+    links = [(0, k) for k in range(1, 60)] + [(500, k) for k in range(100, 160)] + [(300, k) for k in [*range(290, 300), *range(301, 310)]] + [(159, 290), (9, 9), (None, 3)]
+    part = components({x for l in links for x in l if x is not None}, [l for l in links if None not in l])
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == part
+
+
 def test_components(spark):
     from docfields.llm.components import connected_components
 
