@@ -1,14 +1,16 @@
 """Near-dedup of embeddings by int8 tile products with rigorous error bounds.
 
-Unit vectors of one label are cut into tiles. A tile product of int8 codes approximates all cosines of two tiles at
-once; each vector's exact quantisation error bounds what the product can be off by, and only pairs that may reach the
-threshold are computed in double precision. Vectors whose projections on a fixed direction differ by more than two
-linked ones can are in tiles that do not meet.
+Unit vectors of one label are cut into tiles and quantised once; codes, scales and errors travel to the tiles that meet, the
+vectors do not. A tile product of int8 codes approximates all cosines of two tiles at once; each vector's exact quantisation
+error bounds what the product can be off by. Pairs surely above the threshold are links, and only those of the rest that may
+reach it are computed in double precision: the vectors in such pairs follow to their tiles. Vectors whose projections on a
+fixed direction differ by more than two linked ones can are in tiles that do not meet.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,9 @@ from docfields.llm.tables import written
 from docfields.llm.top_k import _matrix, finite
 
 #: Vectors of a tile, about.
-TILE = 1024
+TILE = 4096
+#: Entries of a product that are held at once.
+HELD = 1 << 22
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,20 +35,31 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, error
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of x, rows of y) of all pairs with a cosine of at least ``least``."""
+def judged(cx: np.ndarray, sx: np.ndarray, ex: np.ndarray, cy: np.ndarray, sy: np.ndarray, ey: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of x, rows of y, whether sure) of all pairs of quantised vectors whose cosine may be ``least`` or more."""
+    kind = np.float32 if 127 * 127 * cx.shape[1] < 1 << 24 else np.float64  # sums of code products stay exact
+    y, found = cy.astype(kind).T, []
+    for k in range(0, len(cx), max(1, HELD // max(1, len(cy)))):
+        part = slice(k, k + max(1, HELD // max(1, len(cy))))
+        product = cx[part].astype(kind) @ y
+        # x.y - (x - dx).(y - dy) is at most |dx| |y| + |dy| |x| + |dx| |dy|; a first cut by the largest errors
+        reach = ex[part].max() + ey.max() + ex[part].max() * ey.max() + 1e-6
+        i, j = np.nonzero(product >= ((least - reach) / sx[part])[:, None].astype(kind) / sy[None].astype(kind) * (1 - np.sign(least - reach) * 1e-6))
+        about = product[i, j].astype(np.float64) * (sx[part][i] * sy[j])  # the same for (x, y) and (y, x)
+        off = ex[part][i] + ey[j] + ex[part][i] * ey[j] + 1e-12
+        keep = about + off >= least
+        found.append((i[keep] + k, j[keep], (about - off >= least)[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))
+
+
+def cosines_reach(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows a of x and b of y have a cosine of at least ``least``, in double precision."""
     nx, ny = (np.sqrt((v * v).sum(1)) for v in (x, y))
-    (cx, sx, ex), (cy, sy, ey) = (quantise(v / n[:, None]) for v, n in ((x, nx), (y, ny)))
-    kind = np.float32 if 127 * 127 * x.shape[1] < 1 << 24 else np.float64  # sums of code products stay exact
-    about = (cx.astype(kind) @ cy.astype(kind).T).astype(np.float64) * sx[:, None] * sy[None]
-    # x.y - (x - dx).(y - dy) is at most |dx| |y| + |dy| |x| + |dx| |dy|
-    reach = about + (ex[:, None] + ey[None] + ex[:, None] * ey[None]) + 1e-12
-    i, j = np.nonzero(reach >= least)
-    keep = np.zeros(len(i), bool)
-    for k in range(0, len(i), 1 << 15):
-        a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-        keep[k : k + (1 << 15)] = np.einsum("ij,ij->i", x[a], y[b]) / (nx[a] * ny[b]) >= least
-    return i[keep], j[keep]
+    keep = np.zeros(len(a), bool)
+    for k in range(0, len(a), 1 << 15):
+        i, j = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
+        keep[k : k + (1 << 15)] = np.einsum("ij,ij->i", x[i], y[j]) / (nx[i] * ny[j]) >= least
+    return keep
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,22 +76,71 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         least = new
 
 
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, x) -> (key, codes, scale, error)."""
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = np.diff(lists.offsets.to_numpy())
+        codes: list[bytes] = [b""] * len(sizes)
+        scale, error = np.zeros(len(sizes)), np.zeros(len(sizes))
+        flat, starts = lists.flatten().to_numpy(), np.cumsum(sizes) - sizes
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            x = flat[starts[at][:, None] + np.arange(n)]
+            c, scale[at], error[at] = quantise(x / np.sqrt((x * x).sum(1))[:, None])
+            for i, row in zip(at.tolist(), c):
+                codes[i] = row.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(scale), pa.array(error)], ["key", "codes", "scale", "error"])
+
+
+def _links(keys: np.ndarray, times: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row in the pairs a-b: its key, the key of its component's root, and the number of vectors that it links with."""
+    links = np.bincount(a, times[b], len(keys)) + np.bincount(b, times[a], len(keys))
+    root, at = _forest(len(keys), a, b), np.flatnonzero(links)
+    return keys[at], keys[root[at]], links[at].astype(np.int64)
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of the left and of the right tile, and whether both are the same tile."""
+    side, own = table.column("side").to_numpy(), table.column("same")[0].as_py()
+    left = np.flatnonzero(side == 0)
+    return left, left if own else np.flatnonzero(side == 1), own
+
+
 def _tile_pair(least: float):
-    """Two tiles (or one with itself): of each vector with links here, their number and the root of its component."""
+    """Codes of two tiles (or of one with itself) -> by key: links that are sure (n > 0), or that its vector is needed (n = 0)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, times, scale, error = (table.column(c).to_numpy() for c in ("key", "times", "scale", "error"))
+        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(len(keys), -1)
+        left, right, own = _sides(table)
+        a, b, sure = judged(codes[left], scale[left], error[left], codes[right], scale[right], error[right], least) if len(left) and len(right) else (left[:0], right[:0], np.zeros(0, bool))
+        a, b = left[a], right[b]
+        keep = a < b if own else np.ones(len(a), bool)
+        a, b, sure = a[keep], b[keep], sure[keep]
+        found, root, n = _links(keys, times, a[sure], b[sure])
+        needed = np.unique(np.concatenate([a[~sure], b[~sure]]))
+        out = {"a": np.append(found, keys[needed]), "b": np.append(root, keys[needed]), "n": np.append(n, np.zeros(len(needed), np.int64)), "side": np.append(np.zeros(len(found), np.int32), table.column("side").to_numpy()[needed])}
+        head = {c: pa.array([table.column(c)[0].as_py()] * len(out["a"]), kind) for c, kind in (("pair", pa.int64()), ("same", pa.bool_()))}
+        return pa.table({c: pa.array(x) for c, x in out.items()} | head)
+
+    return run
+
+
+def _needed_pair(least: float):
+    """The vectors of two tiles that are in pairs not sure: the links among these."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, times, side = (table.column(c).to_numpy() for c in ("key", "times", "side"))
+        keys, times, scale, error = (table.column(c).to_numpy() for c in ("key", "times", "scale", "error"))
         x = _matrix(table.column("x"))
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        own = not len(right) and table.column("same")[0].as_py()
-        a, b = close_pairs(x[left], x[left] if own else x[right], least)
-        a, b = left[a], (left if own else right)[b]
-        if own:
-            a, b = a[a < b], b[a < b]
-        links = np.bincount(a, times[b], len(keys)) + np.bincount(b, times[a], len(keys))
-        root = _forest(len(keys), a, b)
-        at = np.flatnonzero(links)
-        return pa.table({"a": pa.array(keys[at]), "b": pa.array(keys[root[at]]), "n": pa.array(links[at].astype(np.int64))})
+        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(len(keys), -1)
+        left, right, own = _sides(table)
+        a, b, sure = judged(codes[left], scale[left], error[left], codes[right], scale[right], error[right], least)
+        a, b = left[a[~sure]], right[b[~sure]]
+        keep = a < b if own else np.ones(len(a), bool)
+        a, b = a[keep], b[keep]
+        linked = cosines_reach(x, x, a, b, least)
+        return pa.table({c: pa.array(v) for c, v in zip("abn", _links(keys, times, a[linked], b[linked]))})
 
     return run
 
@@ -113,8 +177,14 @@ def near_copies(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         " if(tiles_after is null, array(), transform(sequence(0L, tiles_after - 1), t -> struct(bin as low, tile as i, bin + 1 as high, t as j, 0 as side))),"
         " if(tiles_before is null, array(), transform(sequence(0L, tiles_before - 1), t -> struct(bin - 1 as low, t as i, bin as high, tile as j, 1 as side))))"
     )
-    pairs = sized.select("label", "size", "key", "times", "x", F.explode(meets).alias("m")).select("label", "size", "key", "times", "x", "m.*").withColumn("same", F.expr("low = high and i = j"))
-    found = written(pairs.groupBy("label", "size", "low", "i", "high", "j").applyInArrow(_tile_pair(least), "a long, b long, n long"))
+    codes = written(binned.select("key", "x").mapInArrow(_codes, "key long, codes binary, scale double, error double"))
+    place = ["label", "size", "low", "i", "high", "j"]
+    pairs = sized.select("label", "size", "key", "times", F.explode(meets).alias("m")).select("label", "size", "key", "times", "m.*")
+    pairs = pairs.join(codes, "key").withColumn("same", F.expr("low = high and i = j")).withColumn("pair", F.xxhash64(*place))
+    judged_ = written(pairs.groupBy(*place).applyInArrow(_tile_pair(least), "a long, b long, n long, side int, pair long, same boolean"))
+    needed = judged_.where("n = 0").select(F.col("a").alias("key"), "side", "pair", "same").join(binned.select("key", "times", "x").join(codes, "key"), "key")
+    more = needed.groupBy("pair").applyInArrow(_needed_pair(least), "a long, b long, n long")
+    found = written(judged_.where("n > 0").select("a", "b", "n").unionByName(more))
 
     parts = connected_components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))

@@ -140,6 +140,7 @@ def test_near_vectors(spark, monkeypatch):
     from docfields.llm import near_vectors
 
     monkeypatch.setattr(near_vectors, "TILE", 40)
+    monkeypatch.setattr(near_vectors, "HELD", 300)
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumnRenamed("vec_id", "vec_id")
     links = collections.defaultdict(set)
