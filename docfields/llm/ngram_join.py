@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docfields.llm import text as T
 from docfields.llm.components import connected_components
-from docfields.llm.tables import only, parallelism, with_hot, written
+from docfields.llm.tables import parallelism, with_hot, written
 
 #: Sets below this size index pairs of frequent tokens, others single ones.
 COMBINE_BELOW = 128
@@ -127,21 +127,23 @@ def _scan(n: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
+        size, kept = 0, []
 
         def flush() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             many = counts >= LOCAL_LEAST
             k = int(many.sum())
-            return pa.RecordBatch.from_pydict({"row": pa.array(np.zeros(k, bool)), "doc_id": pa.nulls(k, pa.int64()), "n": pa.array(counts[many].astype(np.int64)), "key": pa.array(_long(tokens[many])), "bits": pa.nulls(k, pa.binary())})
+            own = {"row": pa.array(np.zeros(k, bool)), "doc_id": pa.nulls(k, pa.int64()), "n": pa.array(counts[many].astype(np.int64)), "key": pa.array(_long(tokens[many])), "bits": pa.nulls(k, pa.binary())}
+            return pa.RecordBatch.from_pydict(own | {f.name: pa.nulls(k, f.type) for f in kept})
 
         for batch in batches:
-            ids = batch.column(0)
+            ids, kept = batch.column(0), list(batch.schema)[2:]
             for piece in T.pieces(batch.column(1), fold=True):
                 sets = T.shingle_sets(piece, n)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 own = _long(np.array([T.whole_hash(s) for s in sets], np.uint64))
-                yield pa.RecordBatch.from_pydict({"row": pa.array(np.ones(len(sets), bool)), "doc_id": ids.slice(piece.row, piece.docs), "n": pa.array(sizes), "key": pa.array(own), "bits": pa.array([bitmap(s) for s in sets], pa.binary())})
+                columns = {"row": pa.array(np.ones(len(sets), bool)), "doc_id": ids.slice(piece.row, piece.docs), "n": pa.array(sizes), "key": pa.array(own), "bits": pa.array([bitmap(s) for s in sets], pa.binary())}
+                yield pa.RecordBatch.from_pydict(columns | {f.name: batch.column(k).slice(piece.row, piece.docs) for k, f in enumerate(kept, 2)})
                 held += sets
                 size += int(sizes.sum())
                 if size >= COUNTED:
@@ -303,18 +305,24 @@ def _most_frequent(counts: DataFrame) -> DataFrame:
     return counts.where(size >= least)
 
 
-def near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, percent: int = 75, keep: tuple[str, ...] = ()) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``percent`` hundredths.
 
     docs: doc_id and text; further columns are ignored. Returns doc_id, n_shingles, component_id (the smallest
     doc_id reachable by links). Null, empty and blank texts have an empty set and link with nothing. Equal sets are one node of
     the join, equal if their 64-bit hashes are. A doc_id that comes repeatedly gives a row each time; a row without
     one is linked like any other but has component_id null if none it reaches has one. An empty table gives an empty one.
+
+    keep: columns of docs that come along, after ``component``, a number that rows of one component alone share (null for empty sets).
     """
     spark = docs.sparkSession
-    docs = only(docs, doc_id="long", text="string")
-    scanned = written(docs.mapInArrow(_scan(words), "row boolean, doc_id long, n long, key long, bits binary"))
-    owners = scanned.where("row").select("doc_id", "n", "key")
+    kept = {f"keep_{k}": c for k, c in enumerate(keep)}
+    more = [docs[c].alias(k) for k, c in kept.items()]
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *more)
+    schema = "row boolean, doc_id long, n long, key long, bits binary" + "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in kept)
+    scanned = written(docs.mapInArrow(_scan(words), schema))
+    docs = docs.select("doc_id", "text")
+    owners = scanned.where("row").select("doc_id", "n", "key", *kept)
     frequent = _most_frequent(scanned.where("not row").groupBy("key").agg(F.sum("n").alias("n"))).toPandas().sort_values(["n", "key"], ascending=[False, True])
     tokens = frequent["key"].to_numpy(np.int64).view(np.uint64)
     ranks = np.arange(len(tokens), 0, -1, dtype=np.int64)
@@ -346,9 +354,9 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
 
     reps = classes.select("key", "rep").join(parts, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     lowest = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = reps.join(lowest, "component").select("key", "component_id")
-    out = owners.where("n > 0").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(owners.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = reps.join(lowest, "component").select("key", "component_id", "component")
+    out = owners.where("n > 0").join(named, "key").unionByName(owners.where("n = 0").withColumn("component_id", F.col("doc_id")), allowMissingColumns=True)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *(["component"] if keep else []), *[F.col(k).alias(c) for k, c in kept.items()])
 
 
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
