@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docfields.llm.tables import only, written
+from docfields.llm.tables import only, with_hot, written
 
 UNKNOWN = "und"
 #: Ranks of a language's profile, and of a document.
@@ -22,6 +22,8 @@ PROFILE = 800
 DOCUMENT = 400
 #: Rows of a language that its profile is learned from at most: those with the least hash of doc_id and text.
 SAMPLE = 2000
+#: Languages whose sizes may be broadcast; beyond it only those of hot ones are.
+BROADCAST_LANGUAGES = 1 << 16
 #: Characters that are worked on at once within one document; counts do not depend on it.
 PIECE = 1 << 20
 _CHARACTER = np.uint64(21)  # bits
@@ -128,8 +130,13 @@ def learn(labelled: DataFrame) -> Profiles:
     key = [c for c in ("doc_id", "text") if c in labelled.columns]
     rows = labelled.select(labelled["lang"].cast("string").alias("lang"), labelled["text"].cast("string").alias("text"), F.xxhash64(*[labelled[c] for c in key]).alias("h")).where("lang is not null and text is not null")
     # a cut that about 2 * SAMPLE rows pass, so that the exact cut sorts few rows
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
-    first = written(rows.join(sizes, "lang").where(F.pmod("h", F.lit(1 << 30)) <= (1 << 30) * F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("size"))).select("lang", "text", "h"))
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("n")).alias("share")
+    if sizes.count() <= BROADCAST_LANGUAGES:
+        sized = rows.join(F.broadcast(sizes.select("lang", share)), "lang")
+    else:
+        sized = with_hot(rows, sizes.select("lang", share, "n"), "lang", sizes.agg(F.sum("n")).head()[0])
+    first = written(sized.where(F.pmod("h", F.lit(1 << 30)) <= (1 << 30) * F.col("share")).select("lang", "text", "h"))
     last = first.groupBy("lang").agg(F.get(F.sort_array(F.collect_set("h")), F.lit(SAMPLE)).alias("last"))
     sample = first.join(last, "lang").where("last is null or h < last").select("lang", "text")
     totals = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -214,9 +214,11 @@ def test_language_brute_force(spark):
     assert sorted(map(key, found)) == sorted(map(key, expected))
 
 
-def test_language_sample_is_bounded(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [1 << 16, 2])
+def test_language_sample_is_bounded(spark, monkeypatch, broadcast):
     from docfields.llm import language
 
+    monkeypatch.setattr(language, "BROADCAST_LANGUAGES", broadcast)
     monkeypatch.setattr(language, "SAMPLE", 20)
     seen = []
     monkeypatch.setattr(language, "Profiles", lambda rows: seen.append(rows))
