@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from docfields.operators import spatial as P
 
+BLOCK = [*P.PAGE, "ord"]
+
 
 def anchored_candidates(blocks: DataFrame) -> DataFrame:
     """A value block for each anchor (is_header): right of it on its line, else the next in order, else the nearest; with the path's score."""
     line = Window.partitionBy(*P.PAGE, "line_no").orderBy("x1", "ord")
     anchors = blocks.where("is_header")
-    row = blocks.withColumn("match_ord", F.lead("ord").over(line)).where("is_header and match_ord is not null").select("doc_id", "ord", "match_ord", F.lit("row").alias("path"), F.lit(95).alias("score"), F.lit(0).alias("p"))
-    after = P.adjacent_rows(blocks, 20).join(anchors.select("doc_id", "ord"), ["doc_id", "ord"], "left_semi").select("doc_id", "ord", F.col("next_ord").alias("match_ord"), F.lit("next").alias("path"), F.lit(85).alias("score"), F.lit(1).alias("p"))
-    near = P.nearest_block(anchors, blocks).select("doc_id", "ord", "match_ord", F.lit("near").alias("path"), F.lit(80).alias("score"), F.lit(2).alias("p"))
+    row = blocks.withColumn("match_ord", F.lead("ord").over(line)).where("is_header and match_ord is not null").select(*P.PAGE, "ord", "match_ord", F.lit("row").alias("path"), F.lit(95).alias("score"), F.lit(0).alias("p"))
+    after = P.adjacent_rows(blocks, 20).join(anchors.select(*P.PAGE, "ord"), BLOCK, "left_semi").select(*BLOCK, F.col("next_ord").alias("match_ord"), F.lit("next").alias("path"), F.lit(85).alias("score"), F.lit(1).alias("p"))
+    near = P.nearest_block(anchors, blocks).select(*P.PAGE, "ord", "match_ord", F.lit("near").alias("path"), F.lit(80).alias("score"), F.lit(2).alias("p"))
     every = row.unionByName(after).unionByName(near)
-    return every.groupBy("doc_id", "ord").agg(F.min_by(F.struct("match_ord", "path", "score"), "p").alias("b")).select("doc_id", "ord", "b.*")
+    return every.groupBy(*BLOCK).agg(F.min_by(F.struct("match_ord", "path", "score"), "p").alias("b")).select(*BLOCK, "b.*")
 
 
 def kv_candidates(docs: DataFrame, most: int = 200) -> DataFrame:
@@ -28,18 +30,18 @@ def kv_candidates(docs: DataFrame, most: int = 200) -> DataFrame:
 
 def schedules(blocks: DataFrame) -> DataFrame:
     """A record for each header segment: its blocks as a map from ordinal to text, and their number."""
-    rows = P.segments(blocks).join(blocks.select("doc_id", "ord", "text"), ["doc_id", "ord"])
+    rows = P.segments(blocks).join(blocks.select(*BLOCK, "text"), BLOCK)
     entries = F.sort_array(F.collect_list(F.struct("ord", "text")))
-    return rows.groupBy("doc_id", "segment").agg(F.map_from_entries(entries).alias("specs"), F.count("*").alias("n"))
+    return rows.groupBy(*P.PAGE, "segment").agg(F.map_from_entries(entries).alias("specs"), F.count("*").alias("n"))
 
 
 def clause_tables(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     """Texts of the blocks in table regions by the header above them, in bins of ten in y, then in x order."""
-    inside = P.contained_blocks(blocks, regions.where("region_type = 'table'")).select("doc_id", "ord")
+    inside = P.contained_blocks(blocks, regions.where("region_type = 'table'")).select(*BLOCK).distinct()
     headed = P.header_above(blocks).where("header_ord is not null")
-    rows = blocks.join(inside, ["doc_id", "ord"], "left_semi").join(headed, ["doc_id", "ord"])
+    rows = blocks.join(inside, BLOCK, "left_semi").join(headed, BLOCK)
     texts = F.sort_array(F.collect_list(F.struct(F.floor(F.col("y1") / 10).alias("bin"), F.col("x1"), F.col("ord"), F.col("text"))))
-    return rows.groupBy("doc_id", "header_ord").agg(F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("text"))
+    return rows.groupBy(*P.PAGE, "header_ord").agg(F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("text"))
 
 
 class KeywordWindows:

@@ -24,7 +24,7 @@ def contained_blocks(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     centre = cx.between(2 * F.col("r_x1"), 2 * F.col("r_x2")) & cy.between(2 * F.col("r_y1"), 2 * F.col("r_y2"))
     shared = S.intersection(*[F.col(f"{p}_{c}") for p in "br" for c in ("x1", "y1", "x2", "y2")])
     area = (F.col("b_x2") - F.col("b_x1")) * (F.col("b_y2") - F.col("b_y1"))
-    return b.join(r, PAGE).where(centre | ((area > 0) & (2 * shared >= area))).select("doc_id", F.col("b_ord").alias("ord"), shared.alias("shared"))
+    return b.join(r, PAGE).where(centre | ((area > 0) & (2 * shared >= area))).select(*PAGE, F.col("b_ord").alias("ord"), shared.alias("shared"))
 
 
 def nearest_block(anchors: DataFrame, blocks: DataFrame, reach: int = 150) -> DataFrame:
@@ -37,15 +37,15 @@ def nearest_block(anchors: DataFrame, blocks: DataFrame, reach: int = 150) -> Da
     right = (F.col("b_x1") >= F.col("a_x2")) & (F.abs(dy) < 60)
     below = (F.col("b_y1") >= F.col("a_y2")) & (F.abs(dx) < 300)
     near = a.join(b, PAGE).where(F.col("a_ord") != F.col("b_ord")).withColumn("d", dx * dx + dy * dy).where((right | below) & (F.col("d") < 4 * reach * reach))
-    best = near.groupBy("doc_id", "a_ord").agg(F.min(F.struct("d", "b_ord", "b_text")).alias("m"))
-    return best.select("doc_id", F.col("a_ord").alias("ord"), F.col("m.b_ord").alias("match_ord"), F.col("m.d").alias("distance"))
+    best = near.groupBy(*PAGE, "a_ord").agg(F.min(F.struct("d", "b_ord", "b_text")).alias("m"))
+    return best.select(*PAGE, F.col("a_ord").alias("ord"), F.col("m.b_ord").alias("match_ord"), F.col("m.d").alias("distance"))
 
 
 def adjacent_rows(blocks: DataFrame, gap: int = 50) -> DataFrame:
     """Each block with the next in order, if that begins within ``gap`` of the block's end."""
     page = Window.partitionBy(*PAGE).orderBy("ord")
     nexts = blocks.select(*PAGE, "ord", "y2", F.lead("ord").over(page).alias("next_ord"), F.lead("y1").over(page).alias("next_y1"))
-    return nexts.where(F.abs(F.col("next_y1") - F.col("y2")) < gap).select("doc_id", "ord", "next_ord")
+    return nexts.where(F.abs(F.col("next_y1") - F.col("y2")) < gap).select(*PAGE, "ord", "next_ord")
 
 
 def mutual_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def mutual_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     pairs = a.join(b, PAGE).withColumn("overlap", overlap).where("overlap > 0")
     ra = F.row_number().over(Window.partitionBy(*PAGE, "a_ord").orderBy(F.desc("overlap"), "b_ord"))
     rb = F.row_number().over(Window.partitionBy(*PAGE, "b_ord").orderBy(F.desc("overlap"), "a_ord"))
-    return pairs.withColumn("ra", ra).withColumn("rb", rb).where("ra = 1 and rb = 1").select("doc_id", "a_ord", "b_ord", "overlap")
+    return pairs.withColumn("ra", ra).withColumn("rb", rb).where("ra = 1 and rb = 1").select(*PAGE, "a_ord", "b_ord", "overlap")
 
 
 def greedy_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -71,14 +71,14 @@ def greedy_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         return F.when(F.size(free) == 0, done).otherwise(F.concat(done, F.array(F.struct(cell["ord"].alias("a_ord"), best["o"].alias("b_ord"), (-best["k"]).alias("overlap")))))
 
     both = cells(left, "a").join(cells(right, "b"), PAGE)
-    return both.select("doc_id", F.inline(F.aggregate("a", start, step)))
+    return both.select(*PAGE, F.inline(F.aggregate("a", start, step)))
 
 
 def header_above(blocks: DataFrame, strict: bool = True) -> DataFrame:
     """Each block that is no header with the last header whose y1 is less (or not greater): an as-of join by one window."""
     frame = Window.partitionBy(*PAGE).orderBy("y1").rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
     header = F.max(F.when(F.col("is_header"), F.struct("y1", "ord"))).over(frame)
-    return blocks.withColumn("h", header).where(~F.col("is_header")).select("doc_id", "ord", F.col("h.ord").alias("header_ord"))
+    return blocks.withColumn("h", header).where(~F.col("is_header")).select(*PAGE, "ord", F.col("h.ord").alias("header_ord"))
 
 
 def segments(blocks: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def segments(blocks: DataFrame) -> DataFrame:
     page = Window.partitionBy(*PAGE)
     frame = page.orderBy("y1").rangeBetween(Window.unboundedPreceding, 0)
     marked = blocks.withColumn("any", F.max(F.col("is_header").cast("int")).over(page)).withColumn("h", F.max(F.when(F.col("is_header"), F.struct("y1", "ord"))).over(frame))
-    return marked.where((F.col("any") == 0) | F.col("h").isNotNull()).select("doc_id", "ord", F.coalesce("h.ord", F.lit(0)).alias("segment"))
+    return marked.where((F.col("any") == 0) | F.col("h").isNotNull()).select(*PAGE, "ord", F.coalesce("h.ord", F.lit(0)).alias("segment"))
 
 
 def glyph_labels(glyphs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -95,30 +95,32 @@ def glyph_labels(glyphs: DataFrame, labels: DataFrame) -> DataFrame:
     dx = F.col("b_x1") + F.col("b_x2") - F.col("a_x1") - F.col("a_x2")
     dy = F.col("b_y1") + F.col("b_y2") - F.col("a_y1") - F.col("a_y2")
     near = a.join(b, PAGE).where(F.abs(dy) <= 50)
-    return near.groupBy("doc_id", "a_ord").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), F.col("b_ord"))).alias("m")).select("doc_id", F.col("a_ord").alias("ord"), F.col("m.b_ord").alias("label_ord"))
+    return near.groupBy(*PAGE, "a_ord").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), F.col("b_ord"))).alias("m")).select(*PAGE, F.col("a_ord").alias("ord"), F.col("m.b_ord").alias("label_ord"))
 
 
 def text_in_boxes(boxes: DataFrame, blocks: DataFrame, left: int = 5, up: int = 5, right: int = 5, down: int = 5) -> DataFrame:
-    """The texts that meet each box widened by a margin, in order."""
+    """The texts that meet each box (doc_id, page_no, x1, y1, x2, y2) widened by a margin, in order: a row a box that any meets."""
     a, b = _as(boxes, "a", "x1", "y1", "x2", "y2"), _as(blocks, "b", "ord", "x1", "y1", "x2", "y2", "text")
     meets = (F.col("b_x1") < F.col("a_x2") + right) & (F.col("b_x2") > F.col("a_x1") - left) & (F.col("b_y1") < F.col("a_y2") + down) & (F.col("b_y2") > F.col("a_y1") - up)
     listed = F.sort_array(F.collect_list(F.struct("b_ord", "b_text")))
-    return a.join(b, PAGE).where(meets).groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["b_text"]), " ").alias("text"))
+    box = [f"a_{c}" for c in ("x1", "y1", "x2", "y2")]
+    texts = a.distinct().join(b, PAGE).where(meets).groupBy(*PAGE, *box).agg(F.array_join(F.transform(listed, lambda x: x["b_text"]), " ").alias("text"))
+    return texts.select(*PAGE, *[F.col(c).alias(c[2:]) for c in box], "text")
 
 
 def words_to_lines(blocks: DataFrame) -> DataFrame:
     """Hull, text in x order and mean confidence of each (block, line)."""
     words = F.sort_array(F.collect_list(F.struct("x1", "ord", "text")))
-    return blocks.groupBy("doc_id", "block_no", "line_no").agg(
+    return blocks.groupBy(*PAGE, "block_no", "line_no").agg(
         *[F.min(c).alias(c) for c in ("x1", "y1")], *[F.max(c).alias(c) for c in ("x2", "y2")], F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("line_text"), F.avg("conf_pct").alias("conf")
     )
 
 
 def detect_tables(blocks: DataFrame, gap: int = 40) -> DataFrame:
     """Lines split at gaps of more than ``gap`` in x; a page is a table at 35 % lines of several columns, or two such of two lines."""
-    line = Window.partitionBy("doc_id", "line_no").orderBy("x1", "ord")
-    columns = blocks.withColumn("new", (F.col("x1") - F.lag("x2").over(line) > gap).cast("int")).groupBy("doc_id", "line_no").agg((1 + F.coalesce(F.sum("new"), F.lit(0))).alias("columns"))
-    pages = columns.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("columns") > 1).alias("multi"))
+    line = Window.partitionBy(*PAGE, "line_no").orderBy("x1", "ord")
+    columns = blocks.withColumn("new", (F.col("x1") - F.lag("x2").over(line) > gap).cast("int")).groupBy(*PAGE, "line_no").agg((1 + F.coalesce(F.sum("new"), F.lit(0))).alias("columns"))
+    pages = columns.groupBy(*PAGE).agg(F.count("*").alias("lines"), F.count_if(F.col("columns") > 1).alias("multi"))
     return pages.withColumn("is_table", (F.col("multi") * 100 >= F.col("lines") * 35) | ((F.col("lines") >= 2) & (F.col("multi") >= 2)))
 
 
@@ -136,46 +138,50 @@ def cluster_lines(blocks: DataFrame, tolerance: int = 12) -> DataFrame:
         return F.struct(F.when(new, b["y1"]).otherwise(a["s"] + b["y1"]).alias("s"), F.when(new, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), line.alias("line"), F.concat(a["out"], F.array(line)).alias("out"))
 
     pages = blocks.groupBy(*PAGE).agg(listed.alias("b"))
-    lines = pages.select("doc_id", F.explode(F.arrays_zip(F.col("b"), F.aggregate("b", start, step)["out"].alias("line"))).alias("x"))
-    return lines.select("doc_id", F.col("x.b.ord").alias("ord"), F.col("x.line").alias("line"))
+    lines = pages.select(*PAGE, F.explode(F.arrays_zip(F.col("b"), F.aggregate("b", start, step)["out"].alias("line"))).alias("x"))
+    return lines.select(*PAGE, F.col("x.b.ord").alias("ord"), F.col("x.line").alias("line"))
 
 
-def merge_cells(blocks: DataFrame, gap: int = 20, column_width: int = 200) -> DataFrame:
-    """Blocks of a column become one cell while the next begins within ``gap`` of the lowest end so far: gaps and islands."""
-    column = F.floor(F.col("x1") / column_width).alias("col")
-    order = Window.partitionBy("doc_id", "col").orderBy("y1", "ord")
+def merge_cells(blocks: DataFrame, gap: int = 20, column_width: int = 200, sure: int | None = None, sure_gap: int = 0) -> DataFrame:
+    """Blocks of a column become one cell while the next begins within the gap of the lowest end so far: gaps and islands.
+
+    A block of at least the confidence ``sure`` may lie ``sure_gap`` off. The column is ``col`` if blocks have one (of ``grid``), else x1 by width."""
+    column = F.col("col") if "col" in blocks.columns else F.floor(F.col("x1") / column_width)
+    reach = F.lit(gap) if sure is None else F.when(F.col("conf_pct") >= sure, sure_gap).otherwise(gap)
+    order = Window.partitionBy(*PAGE, "col").orderBy("y1", "ord")
     low = F.max("y2").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = blocks.select("*", column).withColumn("new", F.coalesce((F.col("y1") - low > gap).cast("int"), F.lit(1)))
+    flagged = blocks.withColumn("col", column).withColumn("new", F.coalesce((F.col("y1") - low > reach).cast("int"), F.lit(1)))
     cells = flagged.withColumn("cell", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return cells.groupBy("doc_id", "col", "cell").agg(F.min("y1").alias("y1"), F.max("y2").alias("y2"), F.count("*").alias("n"))
+    return cells.groupBy(*PAGE, "col", "cell").agg(F.min("y1").alias("y1"), F.max("y2").alias("y2"), F.count("*").alias("n"))
 
 
 def words_to_cells(blocks: DataFrame, gap: int = 15) -> DataFrame:
     """Words in (y, x) order; a new cell unless the next is within 5 in y and less than ``gap`` behind in x."""
-    order = Window.partitionBy("doc_id").orderBy("y1", "x1", "ord")
+    order = Window.partitionBy(*PAGE).orderBy("y1", "x1", "ord")
     new = ~((F.abs(F.col("y1") - F.lag("y1").over(order)) < 5) & (F.col("x1") - F.lag("x2").over(order) < gap))
     cells = blocks.withColumn("new", F.coalesce(new.cast("int"), F.lit(1))).withColumn("cell", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return cells.groupBy("doc_id", "cell").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.count("*").alias("n"))
+    return cells.groupBy(*PAGE, "cell").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.count("*").alias("n"))
 
 
 def x_histogram(blocks: DataFrame, width: int = 20) -> DataFrame:
-    """The two fullest bins of x1 by document; the bin seen first wins ties."""
-    bins = blocks.groupBy("doc_id", F.floor(F.col("x1") / width).alias("bin")).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
-    return bins.withColumn("rank", rank).where("rank <= 2").select("doc_id", "rank", "bin", "n")
+    """The two fullest bins of x1 by page; the bin seen first wins ties."""
+    bins = blocks.groupBy(*PAGE, F.floor(F.col("x1") / width).alias("bin")).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    rank = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("n"), "first"))
+    return bins.withColumn("rank", rank).where("rank <= 2").select(*PAGE, "rank", "bin", "n")
 
 
-def column_split(blocks: DataFrame, default: int = 300, width: int = 20) -> DataFrame:
+def column_split(blocks: DataFrame, default: int = 300, width: int = 20, narrowest: int = 0) -> DataFrame:
     """x between two columns: midway between the two fullest bins if they are four bins apart and both sides hold 15 %; else the largest balanced gap of x1, else the default."""
-    top = x_histogram(blocks, width).groupBy("doc_id").agg(F.min("bin").alias("low"), F.max("bin").alias("high"), F.count("*").alias("k"))
+    blocks = blocks.where(F.col("x2") - F.col("x1") >= narrowest)
+    top = x_histogram(blocks, width).groupBy(*PAGE).agg(F.min("bin").alias("low"), F.max("bin").alias("high"), F.count("*").alias("k"))
     mid = F.when((F.col("k") == 2) & (F.col("high") - F.col("low") >= 4), F.floor((F.col("low") + F.col("high") + 1) * width / 2))
-    sided = blocks.join(top.select("doc_id", mid.alias("mid")), "doc_id").groupBy("doc_id", "mid").agg(F.count_if(F.col("x1") < F.col("mid")).alias("left"), F.count("*").alias("all"))
+    sided = blocks.join(top.select(*PAGE, mid.alias("mid")), PAGE).groupBy(*PAGE, "mid").agg(F.count_if(F.col("x1") < F.col("mid")).alias("left"), F.count("*").alias("all"))
     fair = F.when((F.col("left") * 100 >= 15 * F.col("all")) & ((F.col("all") - F.col("left")) * 100 >= 15 * F.col("all")), F.col("mid"))
-    order = Window.partitionBy("doc_id").orderBy("x1", "ord")
-    gaps = blocks.withColumn("rn", F.row_number().over(order)).withColumn("all", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("next", F.lead("x1").over(order))
+    order = Window.partitionBy(*PAGE).orderBy("x1", "ord")
+    gaps = blocks.withColumn("rn", F.row_number().over(order)).withColumn("all", F.count("*").over(Window.partitionBy(*PAGE))).withColumn("next", F.lead("x1").over(order))
     inner = gaps.where("rn * 100 >= 15 * `all` and rn * 100 <= 85 * `all` and next > x1")
-    best = inner.groupBy("doc_id").agg(F.max(F.struct((F.col("next") - F.col("x1")).alias("gap"), (-F.col("x1")).alias("k"))).alias("m"))
-    return sided.join(best, "doc_id", "left").select("doc_id", F.coalesce(fair, F.floor(-F.col("m.k") + F.col("m.gap") / 2), F.lit(default)).cast("long").alias("split"))
+    best = inner.groupBy(*PAGE).agg(F.max(F.struct((F.col("next") - F.col("x1")).alias("gap"), (-F.col("x1")).alias("k"))).alias("m"))
+    return sided.join(best, PAGE, "left").select(*PAGE, F.coalesce(fair, F.floor(-F.col("m.k") + F.col("m.gap") / 2), F.lit(default)).cast("long").alias("split"))
 
 
 def reading_order(regions: DataFrame) -> DataFrame:
@@ -184,15 +190,22 @@ def reading_order(regions: DataFrame) -> DataFrame:
 
 
 def page_markup(regions: DataFrame) -> DataFrame:
-    """Region tags with boxes, in (y1, x1) order, one a line."""
-    tag = F.format_string("<%s bbox=\"%d,%d,%d,%d\"/>", "region_type", "x1", "y1", "x2", "y2")
+    """Region tags with boxes in (y1, x1) order, one a line. Regions with a text or a confidence (conf_pct) show them; blank lines go."""
+    box = F.format_string(" bbox=\"%d,%d,%d,%d\"", "x1", "y1", "x2", "y2")
+    sure = F.coalesce(F.concat(F.lit(' conf="'), F.col("conf_pct").cast("string"), F.lit('"')), F.lit("")) if "conf_pct" in regions.columns else F.lit("")
+    head = F.concat(F.lit("<"), "region_type", box, sure)
+    inner = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n") if "text" in regions.columns else F.lit("")
+    tag = F.when(F.coalesce(inner, F.lit("")) == "", F.concat(head, F.lit("/>"))).otherwise(F.concat(head, F.lit(">\n"), inner, F.lit("\n</"), F.col("region_type"), F.lit(">")))
     return regions.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y1", "x1", tag.alias("t")))), lambda x: x["t"]), "\n").alias("markup"))
 
 
 def grid(blocks: DataFrame, x_tolerance: int = 20, y_tolerance: int = 12) -> DataFrame:
-    """Rows by ``cluster_lines``, columns by the same fold over x1; the texts of each (row, column) in order."""
+    """Rows by ``cluster_lines``, columns by the same fold over x1; the texts of each (row, column) in order, and its mean x1 and y1."""
     rows = cluster_lines(blocks, y_tolerance).withColumnRenamed("line", "row")
-    turned = blocks.select("doc_id", "page_no", "ord", F.col("x1").alias("y1"))
+    turned = blocks.select(*PAGE, "ord", F.col("x1").alias("y1"))
     columns = cluster_lines(turned, x_tolerance).withColumnRenamed("line", "column")
     texts = F.sort_array(F.collect_list(F.struct("x1", "ord", "text")))
-    return blocks.join(rows, ["doc_id", "ord"]).join(columns, ["doc_id", "ord"]).groupBy("doc_id", "row", "column").agg(F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("cell_text"))
+    own = [*PAGE, "ord"]
+    return blocks.join(rows, own).join(columns, own).groupBy(*PAGE, "row", "column").agg(
+        F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("cell_text"), F.avg("x1").alias("x"), F.avg("y1").alias("y")
+    )

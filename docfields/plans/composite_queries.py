@@ -13,10 +13,10 @@ query, QUERIES, ORACLES = _r.add, _r.queries, _r.oracles
 
 
 @query("x14_anchored_candidates", f"""
-    SELECT doc_id, ord, match_ord, path, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY p) AS rn FROM (
-        SELECT doc_id, ord, m AS match_ord, 'row' AS path, 95 AS score, 0 AS p FROM (SELECT *, lead(ord) OVER (PARTITION BY doc_id, page_no, line_no ORDER BY x1, ord) AS m FROM {{blocks}}) WHERE is_header AND m IS NOT NULL
-        UNION ALL SELECT doc_id, ord, m, 'next', 85, 1 FROM (SELECT *, lead(ord) OVER w AS m, lead(y1) OVER w AS ny FROM {{blocks}} WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY ord)) WHERE is_header AND abs(ny - y2) < 20
-        UNION ALL SELECT doc_id, ord, m, 'near', 80, 2 FROM (SELECT a.doc_id, a.ord, b.ord AS m, row_number() OVER (PARTITION BY a.doc_id, a.ord ORDER BY {DX} * {DX} + {DY} * {DY}, b.ord) AS k FROM {{blocks}} a JOIN {{blocks}} b ON a.doc_id = b.doc_id AND a.ord <> b.ord
+    SELECT doc_id, page_no, ord, match_ord, path, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, ord ORDER BY p) AS rn FROM (
+        SELECT doc_id, page_no, ord, m AS match_ord, 'row' AS path, 95 AS score, 0 AS p FROM (SELECT *, lead(ord) OVER (PARTITION BY doc_id, page_no, line_no ORDER BY x1, ord) AS m FROM {{blocks}}) WHERE is_header AND m IS NOT NULL
+        UNION ALL SELECT doc_id, page_no, ord, m, 'next', 85, 1 FROM (SELECT *, lead(ord) OVER w AS m, lead(y1) OVER w AS ny FROM {{blocks}} WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY ord)) WHERE is_header AND abs(ny - y2) < 20
+        UNION ALL SELECT doc_id, page_no, ord, m, 'near', 80, 2 FROM (SELECT a.doc_id, a.page_no, a.ord, b.ord AS m, row_number() OVER (PARTITION BY a.doc_id, a.page_no, a.ord ORDER BY {DX} * {DX} + {DY} * {DY}, b.ord) AS k FROM {{blocks}} a JOIN {{blocks}} b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.ord <> b.ord
             WHERE a.is_header AND ((b.x1 >= a.x2 AND abs({DY}) < 60) OR (b.y1 >= a.y2 AND abs({DX}) < 300)) AND {DX} * {DX} + {DY} * {DY} < 90000) WHERE k = 1)) WHERE rn = 1""")
 def _(get):
     return C.anchored_candidates(get("blocks"))
@@ -27,13 +27,13 @@ def _(get):
     return C.kv_candidates(get("clause_docs"))
 
 
-@query("x16_schedules", "SELECT doc_id, segment, string_agg(ord || '=' || text, ';' ORDER BY ord) AS specs, count(*) AS n FROM (SELECT doc_id, ord, text, coalesce(h, 0) AS segment FROM (SELECT b.doc_id, b.ord, b.text, b.has, h.ord AS h, row_number() OVER (PARTITION BY b.doc_id, b.ord ORDER BY h.y1 DESC NULLS LAST, h.ord DESC) AS rn FROM (SELECT *, max(CASE WHEN is_header THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS has FROM {blocks}) b LEFT JOIN (SELECT * FROM {blocks} WHERE is_header) h ON b.doc_id = h.doc_id AND h.y1 <= b.y1) WHERE rn = 1 AND (has = 0 OR h IS NOT NULL)) GROUP BY 1, 2")
+@query("x16_schedules", "SELECT doc_id, page_no, segment, string_agg(ord || '=' || text, ';' ORDER BY ord) AS specs, count(*) AS n FROM (SELECT doc_id, page_no, ord, text, coalesce(h, 0) AS segment FROM (SELECT b.doc_id, b.page_no, b.ord, b.text, b.has, h.ord AS h, row_number() OVER (PARTITION BY b.doc_id, b.page_no, b.ord ORDER BY h.y1 DESC NULLS LAST, h.ord DESC) AS rn FROM (SELECT *, max(CASE WHEN is_header THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no) AS has FROM {blocks}) b LEFT JOIN (SELECT * FROM {blocks} WHERE is_header) h ON b.doc_id = h.doc_id AND b.page_no = h.page_no AND h.y1 <= b.y1) WHERE rn = 1 AND (has = 0 OR h IS NOT NULL)) GROUP BY ALL")
 def _(get):
     specs = F.array_join(F.transform(F.map_entries("specs"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ";")
-    return C.schedules(get("blocks")).select("doc_id", "segment", specs.alias("specs"), "n")
+    return C.schedules(get("blocks")).select("doc_id", "page_no", "segment", specs.alias("specs"), "n")
 
 
-@query("x17_clause_tables", f"WITH t AS (SELECT DISTINCT doc_id, ord FROM (SELECT b.doc_id, b.ord, b.x1 + b.x2 BETWEEN 2 * r.x1 AND 2 * r.x2 AND b.y1 + b.y2 BETWEEN 2 * r.y1 AND 2 * r.y2 AS centre, {SHARED} AS shared, (b.x2 - b.x1) * (b.y2 - b.y1) AS area FROM {{blocks}} b JOIN {{regions}} r ON b.doc_id = r.doc_id WHERE r.region_type = 'table') WHERE centre OR (area > 0 AND 2 * shared >= area)), h AS (SELECT * FROM (SELECT b.doc_id, b.ord, b.x1, b.y1, b.text, h.ord AS header_ord, row_number() OVER (PARTITION BY b.doc_id, b.ord ORDER BY h.y1 DESC, h.ord DESC) AS rn FROM {{blocks}} b JOIN (SELECT * FROM {{blocks}} WHERE is_header) h ON b.doc_id = h.doc_id AND h.y1 < b.y1 WHERE NOT b.is_header) WHERE rn = 1) SELECT h.doc_id, h.header_ord, string_agg(h.text, ' ' ORDER BY CAST(floor(h.y1 / 10) AS BIGINT), h.x1, h.ord) AS text FROM h JOIN t ON t.doc_id = h.doc_id AND t.ord = h.ord GROUP BY 1, 2")
+@query("x17_clause_tables", f"WITH t AS (SELECT DISTINCT doc_id, page_no, ord FROM (SELECT b.doc_id, b.page_no, b.ord, b.x1 + b.x2 BETWEEN 2 * r.x1 AND 2 * r.x2 AND b.y1 + b.y2 BETWEEN 2 * r.y1 AND 2 * r.y2 AS centre, {SHARED} AS shared, (b.x2 - b.x1) * (b.y2 - b.y1) AS area FROM {{blocks}} b JOIN {{regions}} r ON b.doc_id = r.doc_id AND b.page_no = r.page_no WHERE r.region_type = 'table') WHERE centre OR (area > 0 AND 2 * shared >= area)), h AS (SELECT * FROM (SELECT b.doc_id, b.page_no, b.ord, b.x1, b.y1, b.text, h.ord AS header_ord, row_number() OVER (PARTITION BY b.doc_id, b.page_no, b.ord ORDER BY h.y1 DESC, h.ord DESC) AS rn FROM {{blocks}} b JOIN (SELECT * FROM {{blocks}} WHERE is_header) h ON b.doc_id = h.doc_id AND b.page_no = h.page_no AND h.y1 < b.y1 WHERE NOT b.is_header) WHERE rn = 1) SELECT h.doc_id, h.page_no, h.header_ord, string_agg(h.text, ' ' ORDER BY CAST(floor(h.y1 / 10) AS BIGINT), h.x1, h.ord) AS text FROM h JOIN t ON t.doc_id = h.doc_id AND t.page_no = h.page_no AND t.ord = h.ord GROUP BY 1, 2, 3")
 def _(get):
     return C.clause_tables(get("blocks"), get("regions"))
 

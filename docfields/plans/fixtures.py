@@ -26,13 +26,13 @@ VIEWS = {
                      CAST(50 + 10 * (l_partkey % 5) AS BIGINT) AS conf_pct, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) AS n, l_partkey AS p, l_suppkey AS s
               FROM {{lineitem}}) o""",
     "blocks": f"""
-        SELECT doc_id, CAST(1 AS BIGINT) AS page_no, ord, x1, y1, x1 + 20 + q AS x2, y1 + 10 AS y2, r || ' ' || CAST(ord AS STRING) AS text,
+        SELECT CAST(floor(doc_id / 4) AS BIGINT) AS doc_id, CAST(1 + doc_id % 4 AS BIGINT) AS page_no, ord, x1, y1, x1 + 20 + q AS x2, y1 + 10 AS y2, r || ' ' || CAST(ord AS STRING) AS text,
                CAST(100 AS BIGINT) AS conf_pct, ord % 3 = 1 AS is_header, ord % 2 AS block_no, CAST(floor(y1 / 12) AS BIGINT) AS line_no
         FROM (SELECT l_orderkey AS doc_id, CAST({ORD} AS BIGINT) AS ord, CAST((l_partkey * 37) % 800 AS BIGINT) AS x1,
                      CAST((l_suppkey * 7 + l_partkey) % 60 AS BIGINT) AS y1, CAST(floor(l_quantity) AS BIGINT) AS q, l_returnflag AS r
               FROM {{lineitem}}) o""",
     "regions": """
-        SELECT o_orderkey AS doc_id, CAST(1 AS BIGINT) AS page_no, CAST((o_custkey * 13) % 400 AS BIGINT) AS x1, CAST((o_custkey * 7) % 30 AS BIGINT) AS y1,
+        SELECT CAST(floor(o_orderkey / 4) AS BIGINT) AS doc_id, CAST(1 + o_orderkey % 4 AS BIGINT) AS page_no, CAST((o_custkey * 13) % 400 AS BIGINT) AS x1, CAST((o_custkey * 7) % 30 AS BIGINT) AS y1,
                CAST((o_custkey * 13) % 400 + 400 AS BIGINT) AS x2, CAST((o_custkey * 7) % 30 + 35 AS BIGINT) AS y2, CASE o_custkey % 2 WHEN 0 THEN 'table' ELSE 'paragraph' END AS region_type
         FROM {orders}""",
     "labels4": """
