@@ -10,9 +10,14 @@ from docfields.functions import scalars as S
 STATUSES = ("OK", "OK_FALLBACK", "NOT_APPLICABLE", "MISSING")
 
 
-def classify_status(values: DataFrame, docs: DataFrame, expected: DataFrame, not_applicable: Column) -> DataFrame:
+def every(docs: DataFrame, names: list[str]) -> DataFrame:
+    """A row for each document and name: the names are a list of the program's, so no join makes the grid."""
+    return docs.select("*", F.explode(F.array(*map(F.lit, names))).alias("field_name"))
+
+
+def classify_status(values: DataFrame, docs: DataFrame, expected: list[str], not_applicable: Column) -> DataFrame:
     """A status for every expected key (field_name) of every document: not applicable, missing, found by fallback or found."""
-    grid = docs.join(F.broadcast(expected))
+    grid = every(docs, expected)
     joined = grid.join(values, ["doc_id", "field_name"], "left")
     status = F.when(F.coalesce(not_applicable, F.lit(False)), "NOT_APPLICABLE").when(S.missing(F.col("value")), "MISSING").when(F.col("source") == "fallback", "OK_FALLBACK").otherwise("OK")
     return joined.select("doc_id", "field_name", "value", status.alias("status"))

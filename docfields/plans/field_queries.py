@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docfields.functions import scalars as S
 from docfields.operators import resolve as R
 from docfields.operators import status as St
+from docfields.plans.fixtures import LABELS
 from docfields.plans.registry import Registry
 
 _r = Registry()
@@ -117,7 +118,7 @@ def _(get):
     rules = occurrences.sparkSession.createDataFrame(bounds, "field_name string, low long, high long")
     value = S.parse_money(F.col("value_raw"))
     ok = F.when(F.col("low").isNull(), True).otherwise(F.coalesce(value.between(F.col("low"), F.col("high")), F.lit(False)))
-    return occurrences.join(F.broadcast(rules), "field_name", "left").select("tender_id", "ord", ok.alias("plausible"))
+    return occurrences.join(rules, "field_name", "left").select("tender_id", "ord", ok.alias("plausible"))
 
 
 @query("p7_validate", r"SELECT tender_id, ord, CASE WHEN ok THEN value_raw END AS value, NOT ok AS needs_review FROM (SELECT *, CASE field_name WHEN 'tender_value' THEN regexp_matches(value_raw, '^[0-9]+$') WHEN 'pbg_percentage' THEN regexp_matches(value_raw, '^[0-9]+(\.[0-9]+)?%$') ELSE true END AS ok FROM {occurrences})")
@@ -125,7 +126,7 @@ def _(get):
     occurrences = get("occurrences")
     rules = occurrences.sparkSession.createDataFrame([("tender_value", r"^\d+$"), ("pbg_percentage", r"^\d+(\.\d+)?%$")], "field_name string, pattern string")
     ok = F.coalesce(F.regexp_like("value_raw", F.col("pattern")), F.lit(True))
-    return occurrences.join(F.broadcast(rules), "field_name", "left").select("tender_id", "ord", F.when(ok, F.col("value_raw")).alias("value"), (~ok).alias("needs_review"))
+    return occurrences.join(rules, "field_name", "left").select("tender_id", "ord", F.when(ok, F.col("value_raw")).alias("value"), (~ok).alias("needs_review"))
 
 
 @query("p14_lift_top_level", "SELECT doc_id, max(CASE field_name WHEN 'Bid Validity (Days)' THEN value END) AS bid_validity, max(CASE field_name WHEN 'Payment Terms' THEN value END) AS payment_terms FROM {main_fields} WHERE value <> 'Not Found' AND field_name IN ('Bid Validity (Days)', 'Payment Terms') GROUP BY doc_id")
@@ -216,7 +217,7 @@ _STATUS = f"""st AS (SELECT d.doc_id, e.field_name, f.value, CASE WHEN e.field_n
 def _statuses(get):
     values = get("main_fields").withColumn("source", F.when(F.col("conf_pct") < 80, "fallback").otherwise("rule")).select("doc_id", "field_name", "value", "source")
     rule = (F.col("field_name") == "Custom Rules") & (F.col("doc_id") % 2 == 0)
-    return St.classify_status(values, get("orders").select(F.col("o_orderkey").alias("doc_id")), get("labels4").select("field_name"), rule)
+    return St.classify_status(values, get("orders").select(F.col("o_orderkey").alias("doc_id")), LABELS, rule)
 
 
 @query("r1_classify_status", f"WITH {_STATUS} SELECT doc_id, field_name, value, status FROM st")
@@ -245,7 +246,7 @@ def _(get):
     return get("occurrences").where("field_name <> 'courier_address'").select("tender_id", "ord", F.when(S.parse_money(raw) > 0, "Yes").otherwise(S.presence_flag(raw)).alias("required"))
 
 
-_NAMES = ["Bid Validity (Days)", "Payment Terms", "Custom Rules", "Contract Period"]
+_NAMES = LABELS
 
 
 @query("r3_to_wide", "SELECT doc_id, " + ", ".join(f"min(CASE WHEN field_name = '{n}' THEN value END) AS \"{n}\"" for n in _NAMES) + " FROM {main_fields} GROUP BY doc_id")
@@ -291,15 +292,14 @@ def _(get):
 @query("u2_schema_difference", "SELECT d.doc_id, e.field_name, coalesce(f.value, '') AS value, f.doc_id IS NULL AS added FROM (SELECT DISTINCT doc_id FROM {main_fields}) d CROSS JOIN (SELECT field_name FROM {labels4} WHERE k < 3 UNION ALL SELECT 'Warranty') e LEFT JOIN {main_fields} f ON f.doc_id = d.doc_id AND f.field_name = e.field_name")
 def _(get):
     fields = get("main_fields")
-    expected = get("labels4").where("k < 3").select("field_name").unionByName(fields.sparkSession.createDataFrame([("Warranty",)], "field_name string"))
-    grid = fields.select("doc_id").distinct().join(F.broadcast(expected))
+    grid = St.every(fields.select("doc_id").distinct(), [*LABELS[:3], "Warranty"])
     joined = grid.join(fields.select("doc_id", "field_name", "value", F.lit(False).alias("absent")), ["doc_id", "field_name"], "left")
     return joined.select("doc_id", "field_name", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("absent", F.lit(True)).alias("added"))
 
 
 @query("u3_out_of_scope", "SELECT d.o_orderkey AS doc_id, e.field_name, 'Out of Scope (Stage 1)' AS value, 'annexure' AS likely_source FROM {orders} d CROSS JOIN {labels4} e WHERE NOT EXISTS (SELECT 1 FROM {main_fields} f WHERE f.doc_id = d.o_orderkey AND f.field_name = e.field_name)")
 def _(get):
-    grid = get("orders").select(F.col("o_orderkey").alias("doc_id")).join(F.broadcast(get("labels4").select("field_name")))
+    grid = St.every(get("orders").select(F.col("o_orderkey").alias("doc_id")), LABELS)
     return grid.join(get("main_fields").select("doc_id", "field_name"), ["doc_id", "field_name"], "left_anti").select("doc_id", "field_name", F.lit("Out of Scope (Stage 1)").alias("value"), F.lit("annexure").alias("likely_source"))
 
 

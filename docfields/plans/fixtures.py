@@ -14,6 +14,8 @@ from docfields.packaging import ship
 
 ORD = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)"
 
+LABELS = ["Bid Validity (Days)", "Payment Terms", "Custom Rules", "Contract Period"]
+
 VIEWS = {
     "occurrences": f"""
         SELECT tender_id, ord, CASE ord % 3 WHEN 0 THEN 'tender_value' WHEN 1 THEN 'pbg_percentage' ELSE 'courier_address' END AS field_name,
@@ -35,17 +37,22 @@ VIEWS = {
         SELECT CAST(floor(o_orderkey / 4) AS BIGINT) AS doc_id, CAST(1 + o_orderkey % 4 AS BIGINT) AS page_no, CAST((o_custkey * 13) % 400 AS BIGINT) AS x1, CAST((o_custkey * 7) % 30 AS BIGINT) AS y1,
                CAST((o_custkey * 13) % 400 + 400 AS BIGINT) AS x2, CAST((o_custkey * 7) % 30 + 35 AS BIGINT) AS y2, CASE o_custkey % 2 WHEN 0 THEN 'table' ELSE 'paragraph' END AS region_type
         FROM {orders}""",
-    "labels4": """
-        SELECT CAST(0 AS BIGINT) AS k, 'Bid Validity (Days)' AS field_name UNION ALL SELECT 1, 'Payment Terms' UNION ALL SELECT 2, 'Custom Rules' UNION ALL SELECT 3, 'Contract Period'""",
-    "main_fields": """
-        SELECT o_orderkey AS doc_id, k AS ord, field_name, CASE (o_orderkey + k) % 3 WHEN 0 THEN 'Not Found' ELSE 'M' || CAST(o_custkey AS STRING) END AS value,
+    "labels4": " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, '{name}' AS field_name" for k, name in enumerate(LABELS)),
+    # a select a label: nothing is multiplied by a join
+    "main_fields": " UNION ALL ".join(
+        f"""
+        SELECT o_orderkey AS doc_id, CAST({k} AS BIGINT) AS ord, '{name}' AS field_name, CASE (o_orderkey + {k}) % 3 WHEN 0 THEN 'Not Found' ELSE 'M' || CAST(o_custkey AS STRING) END AS value,
                CAST(60 + 10 * (o_custkey % 4) AS BIGINT) AS conf_pct, CAST(1 + o_custkey % 9 AS BIGINT) AS source_page
-        FROM {orders} CROSS JOIN {labels4} WHERE o_orderkey % 5 <> 0""",
-    "annexure_fields": """
-        SELECT o_orderkey AS doc_id, k AS ord, field_name,
-               CASE (o_custkey + k) % 4 WHEN 0 THEN NULL WHEN 1 THEN '0' ELSE 'A' || CAST(o_custkey AS STRING) END AS value,
+        FROM {{orders}} WHERE o_orderkey % 5 <> 0"""
+        for k, name in enumerate(LABELS)
+    ),
+    "annexure_fields": " UNION ALL ".join(
+        f"""
+        SELECT o_orderkey AS doc_id, CAST({k} AS BIGINT) AS ord, '{name}' AS field_name, CASE (o_custkey + {k}) % 4 WHEN 0 THEN NULL WHEN 1 THEN '0' ELSE 'A' || CAST(o_custkey AS STRING) END AS value,
                CAST(50 + 10 * (o_orderkey % 5) AS BIGINT) AS conf_pct, CAST(1 + o_orderkey % 9 AS BIGINT) AS source_page
-        FROM {orders} CROSS JOIN {labels4}""",
+        FROM {{orders}}"""
+        for k, name in enumerate(LABELS)
+    ),
     "job_events": """
         SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed'
                WHEN 'error' THEN 'failed' ELSE 'edited' END AS state, props

@@ -88,5 +88,5 @@ def _(get):
 @query("e1_register_rule", "SELECT doc_id, 'cap' AS field_name, nullif(regexp_extract(text, 'maximum of ([0-9]+)%', 1), '') AS value FROM {clause_docs} UNION ALL SELECT doc_id, 'quantity', nullif(regexp_extract(text, 'Total Quantity: ([0-9]+)', 1), '') FROM {clause_docs}")
 def _(get):
     docs = get("clause_docs")
-    rules = Ru.rule_table(docs.sparkSession, [("cap", "cap", "", "percentage", "maximum of ([0-9]+)%", 0), ("quantity", "qty", "", "int", "Total Quantity: ([0-9]+)", 1)])
-    return docs.join(F.broadcast(rules)).select("doc_id", "field_name", F.nullif(F.call_function("regexp_extract", "text", "pattern", F.lit(1)), F.lit("")).alias("value"))
+    rules = [("cap", "maximum of ([0-9]+)%"), ("quantity", "Total Quantity: ([0-9]+)")]
+    return Ru.apply_rules(docs, rules)

@@ -8,6 +8,7 @@ from docfields.functions import scalars as S
 from docfields.operators import extract as X
 from docfields.operators import rules as Ru
 from docfields.operators import status as St
+from docfields.plans.fixtures import LABELS
 from docfields.plans.registry import Registry
 
 _r = Registry()
@@ -230,9 +231,7 @@ def _(get):
 
 @query("x12_products", "SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%green%' THEN 'green' WHEN lower(p_name) LIKE '%red%' THEN 'red' WHEN regexp_matches(lower(p_name), '[0-9]') THEN 'numbered' END AS category FROM {part} WHERE lower(p_name) LIKE '%green%' OR lower(p_name) LIKE '%red%' OR regexp_matches(lower(p_name), '[0-9]')")
 def _(get):
-    part = get("part")
-    rules = part.sparkSession.createDataFrame([("green", "green", 0), ("red", "red", 1), ("[0-9]", "numbered", 2)], "pattern string, category string, priority int")
-    return Ru.products(part, "p_partkey", "p_name", rules)
+    return Ru.products(get("part"), "p_partkey", "p_name", [("green", "green"), ("red", "red"), ("[0-9]", "numbered")])
 
 
 @query("u5_product_dedupe", "SELECT p_brand, p_type, min(p_partkey) AS p_partkey FROM {part} GROUP BY p_brand, p_type")
@@ -249,11 +248,8 @@ def _(get):
 @query("x19_anchor_check", "SELECT item_id, doc_id FROM (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS v FROM {benchmark}) b JOIN (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM {documents}) d ON contains(d.t, b.v)")
 def _(get):
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    # the items are a benchmark of fixed size, checked before it is broadcast
     items = get("benchmark").select("item_id", fold(F.col("text")).alias("v"))
-    small = items.limit(100_001).count() <= 100_000
-    docs = get("documents").select("doc_id", fold(F.col("text")).alias("t"))
-    return Ru.contained(items, docs, small)
+    return Ru.contained(items, get("documents").select("doc_id", fold(F.col("text")).alias("t")))
 
 
 @query("x20_heuristic_fill", f"SELECT doc_id, 'cap' AS field_name, {found('maximum of ([0-9]+)%')} AS value FROM {{clause_docs}} WHERE doc_id % 2 = 0 AND {found('maximum of ([0-9]+)%')} IS NOT NULL UNION ALL SELECT doc_id, 'quantity', {found('Total Quantity: ([0-9]+)')} FROM {{clause_docs}} WHERE doc_id % 3 = 0")
@@ -266,7 +262,7 @@ def _(get):
 @query("x21_exempt_financial", "SELECT c.doc_id, l.field_name, CASE WHEN c.text LIKE '%financial criteria not applicable%' THEN 'Exempt' END AS value FROM {clause_docs} c CROSS JOIN {labels4} l")
 def _(get):
     exempt = F.when(F.col("text").rlike(r"(?s)financial criteria.{0,150}?not applicable"), F.lit("Exempt"))
-    return get("clause_docs").select("doc_id", exempt.alias("value")).join(F.broadcast(get("labels4").select("field_name"))).select("doc_id", "field_name", "value")
+    return St.every(get("clause_docs").select("doc_id", exempt.alias("value")), LABELS).select("doc_id", "field_name", "value")
 
 
 @query("r8_readiness_summary", f"SELECT doc_id, concat_ws('; ', CASE WHEN m IS NOT NULL THEN 'mode ' || m END, CASE WHEN text LIKE '%not applicable%' THEN 'exempt' END, CASE WHEN {days('text')} >= 30 THEN 'long delivery' ELSE 'short delivery' END) AS summary FROM (SELECT *, {MODE} AS m FROM {{clause_docs}})")

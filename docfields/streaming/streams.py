@@ -47,7 +47,7 @@ def stuck_jobs(events: DataFrame, timeout: str) -> DataFrame:
     """Batch: jobs whose last event is pending or processing and older than the timeout, measured from the newest event of all."""
     latest = events.groupBy("job_id").agg(F.max_by(F.struct("state", "ts"), F.struct("ts", "event_id")).alias("b")).select("job_id", "b.*")
     newest = events.agg(F.max("ts").alias("now"))
-    return latest.join(F.broadcast(newest)).where(F.col("state").isin("pending", "processing") & (F.col("ts") < F.col("now") - F.expr(f"interval {timeout}"))).select("job_id", "state", "ts")
+    return latest.crossJoin(newest).where(F.col("state").isin("pending", "processing") & (F.col("ts") < F.col("now") - F.expr(f"interval {timeout}"))).select("job_id", "state", "ts")
 
 
 def kpi_windows(events: DataFrame, width: str, slide: str | None = None, late: str | None = None) -> DataFrame:

@@ -1,12 +1,17 @@
 """Input and output pairs of the column functions."""
 
 import datetime
+import random
+import re
+import time
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from docfields.functions import scalars as S
+from docfields.operators import composite as C
+from docfields.operators import extract as X
 from docfields.operators import resolve as R
 from docfields.operators import rules as Ru
 from docfields.operators import spatial as P
@@ -66,10 +71,64 @@ def test_upsert_overwrites_with_nulls_and_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [(1, "a", "x"), (2, None, "y"), (3, "c", None)]
 
 
-def test_contained_is_the_same_by_broadcast_and_by_pieces(spark):
-    items = spark.createDataFrame([(1, "needle in the hay"), (2, "absent words here")], "item_id long, v string")
-    docs = spark.createDataFrame([(1, "a needle in the hay stack"), (2, "short")], "doc_id long, t string")
-    assert [sorted(map(tuple, Ru.contained(items, docs, s).collect())) for s in (True, False)] == [[(1, 1)], [(1, 1)]]
+def test_contained(spark):
+    """Items of any length against ``in``: inside words, of one to several words, repeated, empty and null."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abc", k=rng.randint(1, 4)))
+    docs = [(k, " ".join(word() for _ in range(rng.randint(0, 30)))) for k in range(60)] + [(60, "the cat sat"), (60, "the cat sat"), (61, ""), (62, None)]
+    items = [(0, "cat"), (1, ""), (2, None), (3, "c"), (4, "at"), (5, "he cat sa"), (6, "missing"), (7, " "), (8, "cat sat on"), (9, "the cat sat")]
+    for k in range(10, 110):
+        text = docs[rng.randrange(60)][1]
+        a = rng.randrange(len(text) + 1)
+        items.append((k, text[a : a + rng.randint(1, 25)]))
+    for part in (items, items[9:10], [i for i in items if i[1] and len(i[1].split(" ")) > 4], [(2, None)]):
+        found = Ru.contained(spark.createDataFrame(part, "item_id long, v string"), spark.createDataFrame(docs, "doc_id long, t string"))
+        assert sorted(map(tuple, found.collect())) == sorted({(i, d) for i, v in part for d, t in docs if v is not None and t is not None and v in t})
+
+
+@pytest.mark.parametrize("keyword, regex", [(" the", False), ("a", False), ("aa", False), (".+", False), ("[ab]a", True)])
+def test_keyword_windows(spark, keyword, regex):
+    rng = random.Random(5)
+    docs = [(k, "".join(rng.choices(["a", "b", " the", " ", ".+"], k=rng.randint(0, 60)))) for k in range(40)] + [(7, "aa the"), (None, "a.+"), (3, None), (4, "")]
+    expected = []
+    for d, text in docs:
+        for n, m in enumerate(re.finditer(keyword if regex else re.escape(keyword), text or "")):
+            expected.append((d, n, m.start() + 1, text[max(0, m.start() - 7) : m.start()], text[m.end() : m.end() + 5]))
+    found = X.keyword_windows(spark.createDataFrame(docs, "doc_id long, text string"), keyword, 7, 5, regex)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_keyword_windows_take_linear_time(spark):
+    df = spark.createDataFrame([(1, "ab the cd" * 200_000)], "doc_id long, text string")
+    began = time.time()
+    X.keyword_windows(df, " the", 20, 20).write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 30
+
+
+def test_plans_have_no_nested_loop(spark):
+    from conftest import DATA
+    from docfields.catalog import QUERIES
+
+    for name in ("r1_classify_status", "a7_status_rollup", "x12_products", "x19_anchor_check", "x21_exempt_financial", "u2_schema_difference", "u3_out_of_scope", "e1_register_rule"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan, name
+    plan = QUERIES["w1_resolve_best"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_pages_of_a_document_stay_apart(spark):
+    """Two pages that look alike give each operator's one-page result twice."""
+    one = [(1, 1, k, x, y, x + 30, y + 10, f"t{k}", 100, k % 3 == 0, k % 2, y // 12) for k, (x, y) in enumerate([(0, 0), (200, 0), (10, 14), (210, 15), (0, 40), (205, 60)])]
+    schema = "doc_id long, page_no long, ord long, x1 long, y1 long, x2 long, y2 long, text string, conf_pct long, is_header boolean, block_no int, line_no int"
+    single = spark.createDataFrame(one, schema)
+    double = spark.createDataFrame(one + [(1, 2, *r[2:]) for r in one], schema)
+    boxes = lambda df: df.where("ord = 0").select("doc_id", "page_no", *[(F.col(c) + 5).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    operators = [P.words_to_lines, P.detect_tables, P.cluster_lines, P.merge_cells, P.words_to_cells, P.x_histogram, P.column_split, P.grid, P.header_above, P.segments, P.adjacent_rows,
+                 lambda df: P.nearest_block(df.where("is_header"), df), lambda df: P.text_in_boxes(boxes(df), df), lambda df: P.greedy_pairs(df.where("x1 < 100"), df.where("x1 >= 100")),
+                 lambda df: X.tag_spans(df.withColumn("tag", F.col("block_no"))), C.schedules, C.anchored_candidates]
+    for k, f in enumerate(operators):
+        found, twice = (sorted((tuple(r.asDict().values()) for r in f(df).collect()), key=str) for df in (single, double))
+        assert twice == sorted(found + [(1, 2, *r[2:]) for r in found], key=str) and found, k
 
 
 def test_operators_take_empty_tables(spark):
