@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.llm.components import connected_components
-from docfields.llm.tables import written
+from docfields.llm.tables import with_hot, written
 from docfields.llm.top_k import _matrix, finite
 
 #: Vectors of a tile, about.
@@ -168,10 +168,11 @@ def near_copies(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     width = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
     binned = written(classes.where(norm > 0).withColumn("bin", F.floor(along / length / norm / width)).withColumn("size", F.size("x")))
     place = ["label", "size", "bin"]
-    counts = binned.groupBy(*place).agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    counts = binned.groupBy(*place).agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE))
     after = counts.select("label", "size", (F.col("bin") - 1).alias("bin"), F.col("tiles").alias("tiles_after"))
     before = counts.select("label", "size", (F.col("bin") + 1).alias("bin"), F.col("tiles").alias("tiles_before"))
-    sized = binned.join(counts.join(after, place, "left").join(before, place, "left"), place).withColumn("tile", F.pmod("key", F.col("tiles")))
+    sizes = written(counts.join(after, place, "left").join(before, place, "left"))
+    sized = with_hot(binned, sizes, place, sizes.agg(F.sum("n")).head()[0] or 0).withColumn("tile", F.pmod("key", F.col("tiles")))
     meets = F.expr(
         "concat(transform(sequence(0L, tiles - 1), t -> struct(bin as low, least(t, tile) as i, bin as high, greatest(t, tile) as j, if(tile <= t, 0, 1) as side)),"
         " if(tiles_after is null, array(), transform(sequence(0L, tiles_after - 1), t -> struct(bin as low, tile as i, bin + 1 as high, t as j, 0 as side))),"

@@ -53,7 +53,7 @@ HOT_PART = 1024
 HOT_LEAST = 256
 
 
-def with_hot(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
+def with_hot(rows: DataFrame, lookup: DataFrame, key: str | list[str], total: int) -> DataFrame:
     """rows joined with lookup (key, n, ...) that has one row a key, n being its rows: no task takes all rows of one key.
 
     Keys that hold more than a HOT_PART-th of the total are fewer than HOT_PART, so these are broadcast; the others shuffle."""
@@ -61,8 +61,8 @@ def with_hot(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFr
     hot, others = lookup.where(F.col("n") > most).drop("n"), lookup.where(F.col("n") <= most).drop("n")
     if not hot.head(1):
         return rows.join(others, key)
-    hot = F.broadcast(hot)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(others, key))
+    hot, keys = F.broadcast(hot), [key] if isinstance(key, str) else key
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(others, keys))
 
 
 def parallelism(spark: SparkSession) -> int:
