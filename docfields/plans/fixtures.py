@@ -53,6 +53,18 @@ VIEWS = {
         FROM {{orders}}"""
         for k, name in enumerate(LABELS)
     ),
+    # lines of many kinds, so that rules meet values of other rules
+    "tender_lines": """
+        SELECT CAST(floor(k / 8) AS BIGINT) AS doc_id, CAST(1 + floor(k / 4) % 2 AS BIGINT) AS page_no, CAST(1 + k % 4 AS BIGINT) AS ord, CASE CAST(floor(k / 4) AS BIGINT) * 3 % 29 + k % 2
+            WHEN 0 THEN 'Bid End Date/Time 12-04-20' || CAST(10 + c % 20 AS STRING) || ' 14:00:00 hrs' WHEN 1 THEN ' EMD Amount Rs. 1,50,000/- only' WHEN 2 THEN 'INR ' || CAST(c AS STRING) WHEN 3 THEN 'EMD ' || CAST(c % 30 AS STRING) || '.5 Lakh by DD'
+            WHEN 4 THEN CAST(c AS STRING) WHEN 5 THEN 'Tender fee: Nil' WHEN 6 THEN 'Fee exempted for MSE, else Rs 500' WHEN 7 THEN 'Bid No. GEM/2025/B/' || CAST(6000000 + c AS STRING) || ' dated 01-02-2025'
+            WHEN 8 THEN 'NIT No: AB-' || CAST(c AS STRING) || '/X' WHEN 9 THEN 'PQR/EL/2024/' || CAST(c AS STRING) WHEN 10 THEN CAST(c % 200 AS STRING) || ' days validity' WHEN 11 THEN 'within two weeks of order'
+            WHEN 12 THEN 'Experience of ' || CAST(c % 12 AS STRING) || ' years required' WHEN 13 THEN 'Yes' WHEN 14 THEN 'MII: Not required' WHEN 15 THEN 'PBG ' || CAST(c % 150 AS STRING) || '.5 %' WHEN 16 THEN 'ePBG Percentage(%): ' || CAST(c % 12 AS STRING) || '.00'
+            WHEN 17 THEN 'Ministry of Power' WHEN 18 THEN 'Name/Department Of Defence Production' WHEN 19 THEN 'Office of CE / Pune' WHEN 20 THEN 'Bid Document' WHEN 21 THEN 'ab' WHEN 22 THEN ''
+            WHEN 23 THEN 'Supply of ' || CAST(c AS STRING) || ' Nos battery set, Make: Exide Industries' WHEN 24 THEN 'Online UPS 3 units with switch and mcb' WHEN 25 THEN 'AMC of split AC, 2 years, annual maintenance'
+            WHEN 26 THEN 'LT cable 300 m brand: Polycab & Co' WHEN 27 THEN 'Erection and commissioning of upset rooms' WHEN 28 THEN 'turnover of 25 Lakh in 31-03-2024'
+            ELSE 'contact a.b' || CAST(c AS STRING) || '@mail.example.org or 10/2024-25/77' END AS text
+        FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {orders}) o""",
     "job_events": """
         SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed'
                WHEN 'error' THEN 'failed' ELSE 'edited' END AS state, props
@@ -102,7 +114,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name in TABLES:
         return table(spark, folder, name)
     text = VIEWS[name]
-    return spark.sql(text, **{x: view(spark, folder, x) for x in re.findall(r"\{(\w+)\}", text)})
+    return spark.sql(text, **{x: view(spark, folder, x) for x in re.findall(r"\{([a-z]\w*)\}", text)})
 
 
 def with_views(sql: str) -> str:
@@ -110,11 +122,11 @@ def with_views(sql: str) -> str:
     needed: dict[str, str] = {}
 
     def take(text: str) -> str:
-        for x in re.findall(r"\{(\w+)\}", text):
+        for x in re.findall(r"\{([a-z]\w*)\}", text):
             if x in VIEWS and x not in needed:
                 own = take(VIEWS[x])
                 needed[x] = own
-        return re.sub(r"\{(\w+)\}", r"\1", text)
+        return re.sub(r"\{([a-z]\w*)\}", r"\1", text)
 
     body = take(sql).strip()
     if not needed:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docfields.functions import scalars as S
+from docfields.operators import rules as Ru
 from docfields.operators import spatial as P
 from docfields.plans.registry import Registry
 
@@ -171,8 +172,18 @@ def _(get):
     return joined.select(*P.PAGE, "ord", F.expr("x1 * 1000 div 900").alias("nx1"), F.expr("y1 * 1000 div 100").alias("ny1"), shared.alias("shared"))
 
 
-@query("x13_entity_spans", "SELECT doc_id, page_no, tag, span, string_agg(text, ' ' ORDER BY ord) AS span_text FROM (SELECT *, sum(isnew) OVER (PARTITION BY doc_id, page_no ORDER BY ord) AS span FROM (SELECT doc_id, page_no, ord, text, substr(text, 1, 1) AS tag, CASE WHEN substr(text, 1, 1) = lag(substr(text, 1, 1)) OVER (PARTITION BY doc_id, page_no ORDER BY ord) THEN 0 ELSE 1 END AS isnew FROM {blocks})) GROUP BY ALL")
+_ORG = "regexp_matches({c}, '" + Ru.ORGANISATIONS + "')"
+_ENTITY = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN regexp_extract(text, '{p}')" for _, p in Ru.ENTITIES) + f" WHEN {_ORG.format(c='text')} THEN CASE WHEN strpos(text, '/') = 0 THEN text ELSE trim(CASE WHEN {_ORG.format(c="split_part(text, '/', 2)")} THEN split_part(text, '/', 2) ELSE split_part(text, '/', 1) END) END END"
+_TAG = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{name}'" for name, p in Ru.ENTITIES) + f" WHEN {_ORG.format(c='text')} THEN 'ORG' ELSE 'O' END"
+
+
+@query("x13_entities", f"SELECT doc_id, page_no, ord, {_TAG} AS tag, {_ENTITY} AS entity FROM {{tender_lines}}")
+def _(get):
+    return Ru.entities(get("tender_lines")).select("doc_id", "page_no", "ord", "tag", "entity")
+
+
+@query("x13_entity_spans", f"SELECT doc_id, page_no, tag, span, string_agg(text, ' ' ORDER BY ord) AS span_text FROM (SELECT *, sum(isnew) OVER (PARTITION BY doc_id, page_no ORDER BY ord) AS span FROM (SELECT *, CASE WHEN tag = lag(tag) OVER (PARTITION BY doc_id, page_no ORDER BY ord) THEN 0 ELSE 1 END AS isnew FROM (SELECT *, {_TAG} AS tag FROM {{tender_lines}}))) GROUP BY ALL")
 def _(get):
     from docfields.operators.extract import tag_spans
 
-    return tag_spans(get("blocks").withColumn("tag", F.substring("text", 1, 1)))
+    return tag_spans(Ru.entities(get("tender_lines")))

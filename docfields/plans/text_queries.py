@@ -48,9 +48,23 @@ def _(get):
     return get("clause_docs").select("doc_id", Ru.first_class(F.col("text"), rules, "Unknown").alias("kind"))
 
 
-@query("p6_match_typed", rf"SELECT doc_id, {found('([0-9]+)%')} AS percentage, {found('(Rs[.] [0-9]+ (Lakh|Crore))')} AS currency, {found('([0-9]+ (days|weeks|months))')} AS period, {found('([A-Za-z0-9.]+@[a-z.]+)')} AS email, {found('Total Quantity: ([0-9]+)')} AS whole FROM {{clause_docs}}")
+def _amount(value: str) -> str:
+    return f"CASE WHEN regexp_matches(t, '{Ru.MONEY_SIGNS}') OR TRY_CAST(regexp_replace({value}, '[^0-9.]', '', 'g') AS DOUBLE) >= 100 THEN {value} END"
+
+
+_TYPED = {k: found(p, 0, "t") for k, p in Ru.TYPES.items()} | {
+    "percentage": f"CASE WHEN TRY_CAST(regexp_replace({found(Ru.TYPES['percentage'], 0, 't')}, '[^0-9.]', '', 'g') AS DOUBLE) <= 100 THEN {found(Ru.TYPES['percentage'], 0, 't')} END",
+    "currency": _amount(f"coalesce({found(Ru.MONEY, 0, 't')}, {found(Ru.NUMBER, 0, 't')})"),
+    "fee": f"CASE WHEN regexp_matches(t, '{Ru.NO_FEE}') THEN 'Nil / Exempted' ELSE {_amount(found(Ru.MONEY, 0, 't'))} END",
+    "nit": f"coalesce({found(Ru.NIT, 1, 't')}, {found(Ru.NIT, 0, 't')})",
+    "org": f"CASE WHEN length(t) > 3 AND length(t) < 150 AND NOT regexp_matches(t, '{Ru.NOT_TEXT}') THEN t END",
+    "text": f"CASE WHEN length(t) > 2 AND length(t) < 150 AND NOT regexp_matches(t, '{Ru.NOT_TEXT}') THEN t END",
+}
+
+
+@query("p6_match_typed", "SELECT doc_id, page_no, ord, " + ", ".join(f'{_TYPED[k]} AS "{k}_"' for k in Ru.KINDS) + " FROM (SELECT *, trim(text) AS t FROM {tender_lines})")
 def _(get):
-    return get("clause_docs").select("doc_id", *[Ru.typed(F.col("text"), t).alias(t) for t in ("percentage", "currency", "period", "email", "whole")])
+    return get("tender_lines").select("doc_id", "page_no", "ord", *[Ru.typed(F.col("text"), k).alias(f"{k}_") for k in Ru.KINDS])
 
 
 @query("p8_paragraph_filter", "SELECT doc_id, page, length(text) > 100 OR regexp_matches(text, '[.] (the|and|of|to) ') AS paragraph FROM {threads}")
@@ -229,9 +243,19 @@ def _(get):
     return hrefs.groupBy(F.when(F.substring("h", 1, 1) == "/", "relative").otherwise("absolute").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("x12_products", "SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%green%' THEN 'green' WHEN lower(p_name) LIKE '%red%' THEN 'red' WHEN regexp_matches(lower(p_name), '[0-9]') THEN 'numbered' END AS category FROM {part} WHERE lower(p_name) LIKE '%green%' OR lower(p_name) LIKE '%red%' OR regexp_matches(lower(p_name), '[0-9]')")
+def _has(word: str) -> str:
+    return "CAST(regexp_matches(lower(text), '(^|\\W)" + word.replace(".", "[.]") + "(\\W|$)') AS INTEGER)"
+
+
+_HITS = {name: " + ".join(_has(w) for w in words.split(", ")) for name, words in Ru.PRODUCTS.items()}
+
+
+@query("x12_products", "SELECT doc_id, page_no, ord, text, category, " + f"""{found(f'(?i)\\b([0-9]+([.][0-9]+)?)\\s*({Ru.UNITS})\\b')} AS quantity, lower({found(f'(?i)\\b([0-9]+([.][0-9]+)?)\\s*({Ru.UNITS})\\b', 3)}) AS unit,
+    trim({found('(?i)\\b(oem|make|brand|mfg|manufacturer)[:\\s]+([A-Za-z][A-Za-z0-9\\s&-]{2,30})', 2)}) AS brand, CAST(least(95, 60 + 5 * hits) AS INTEGER) AS conf_pct FROM (SELECT *, CASE """
+       + " ".join(f"WHEN {h} > 0 THEN '{name}'" for name, h in _HITS.items()) + " END AS category, CASE " + " ".join(f"WHEN {h} > 0 THEN {h}" for h in _HITS.values())
+       + " END AS hits FROM {tender_lines} WHERE length(trim(text)) >= 4) WHERE category IS NOT NULL")
 def _(get):
-    return Ru.products(get("part"), "p_partkey", "p_name", [("green", "green"), ("red", "red"), ("[0-9]", "numbered")])
+    return Ru.products(get("tender_lines"), "text")
 
 
 @query("u5_product_dedupe", "SELECT p_brand, p_type, min(p_partkey) AS p_partkey FROM {part} GROUP BY p_brand, p_type")
