@@ -23,6 +23,100 @@ def classify_status(values: DataFrame, docs: DataFrame, expected: list[str], not
     return joined.select("doc_id", "field_name", "value", status.alias("status"))
 
 
+# fixed values: spellings of nothing in a record, keys that depend on others
+NOTHING = ("", "NA", "N/A")
+FINANCIAL = ("avg_annual_turnover", "working_capital", "solvency_certificate", "net_worth")
+PHYSICAL = ("physical_docs_deadline", "docket_slip_upload", "physical_docs_uploaded", "courier_provider", "courier_docket_no", "courier_delivery_time")
+DOCUMENTS = tuple(f"doc_{k}" for k in range(1, 10))
+RECORD = (
+    "pbg_percentage", "pbg_required", "pbg_duration", "sd_percentage", "sd_mode", "sd_duration", "sd_required", *(f"{f}_{part}" for f in FINANCIAL for part in ("type", "value")),
+    "delivery_time_supply", "delivery_time_installation", "te_recommendation", "te_rejection_reason", "pre_bid_meeting", "physical_docs_required", *PHYSICAL,
+    *(f"client_{part}_{k}" for k in (1, 2, 3) for part in ("name", "email", "phone")), "schedule_1_details", "schedule_2_details", "schedule_3_details", *DOCUMENTS, "emd_amount", "payment_terms_supply",
+)
+
+
+def dependencies(has: dict[str, Column]) -> list[tuple[Column, tuple[str, ...]]]:
+    """Rules (when, keys that do not apply then) over a record's columns."""
+    none = lambda k, *more: F.coalesce(F.trim(has[k]).isin(*NOTHING, *more), F.lit(True))
+    low = lambda k: F.lower(F.coalesce(has[k], F.lit("")))
+    guaranteed = F.when(~none("pbg_percentage"), ~none("pbg_percentage", "Not Found", "No")).otherwise(~none("pbg_required", "Not Found", "No"))
+    no_deposit = guaranteed & none("sd_percentage", "Not Found", "₹0.00", "0.0", "0", "0%", "0.00%")
+    exempt = F.lit(False)
+    for f in FINANCIAL:
+        exempt = exempt | low(f"{f}_type").rlike("not applicable|exempt")
+    rules = [
+        (no_deposit, ("sd_percentage", "sd_duration")),
+        (no_deposit & none("sd_mode"), ("sd_mode",)),
+        (exempt, tuple(f"{f}_{part}" for f in FINANCIAL for part in ("type", "value"))),
+        (none("delivery_time_installation", "Not Applicable"), ("delivery_time_installation",)),
+        (~F.contains(low("te_recommendation"), F.lit("reject")), ("te_rejection_reason",)),
+        (low("pre_bid_meeting").isin("", "na", "n/a") | F.contains(low("pre_bid_meeting"), F.lit("no pre-bid")), ("pre_bid_meeting",)),
+        (low("physical_docs_required").isin("no", "na", "n/a", "not required"), PHYSICAL),
+    ]
+    rules += [(none(f"client_name_{k}"), tuple(f"client_{part}_{k}" for part in ("name", "email", "phone"))) for k in (2, 3)]
+    return rules + [(none(k), (k,)) for k in ("schedule_2_details", "schedule_3_details", *DOCUMENTS)]
+
+
+def record_status(records: DataFrame, keys: tuple[str, ...] = RECORD) -> DataFrame:
+    """doc_id, field_name, value and status of each key of wide records: not applicable by the rules above, missing, found by fallback or found.
+
+    Columns that records lack count as null; ``fallback`` (array of keys) names values that a fallback found. No join: the grid is an array."""
+    has = {k: F.col(k) if k in records.columns else F.lit(None).cast("string") for k in RECORD}
+    rules = dependencies(has)
+    fallback = F.coalesce("fallback", F.array().cast("array<string>")) if "fallback" in records.columns else F.array().cast("array<string>")
+
+    def status(k: str) -> Column:
+        out = F.lit(False)
+        for when, of in rules:
+            out = out | F.coalesce(when, F.lit(False)) if k in of else out
+        return F.when(out, "NOT_APPLICABLE").when(S.missing(has[k]) | (has[k] == "⚠️ MISSING"), "MISSING").when(F.array_contains(fallback, F.lit(k)), "OK_FALLBACK").otherwise("OK")
+
+    rows = F.array(*[F.struct(F.lit(k).alias("field_name"), has[k].alias("value"), status(k).alias("status")) for k in keys])
+    return records.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
+
+
+# fixed values: phrases that decide, and what the summary says
+SITE_VISITS = (
+    (r"(?i)mandatory\s+site\s+visit|site\s+visit\s+is\s+mandatory|must\s+visit\s+site\s+and\s+obtain\s+certificate|site\s+visit\s+certificate\s+mandatory", "Yes (Mandatory site inspection and certificate required prior to bidding)"),
+    (r"(?i)(?:vendor|bidder|contractor)\s+(?:has\s+visited|shall\s+be\s+deemed\s+to\s+have\s+visited|is\s+advised\s+to\s+visit)\s+(?:the\s+)?(?:work\s+sites?|site)", "No / Self-Certification (Deemed site visit acknowledgment in SCC; no mandatory scheduled visit)"),
+    (r"(?i)site visit", "Not mandatory / Self-acquaintance (Bidder advised to inspect site before bidding)"),
+)
+CERTIFYING = "oem|iso|approval|experience|turnover|pan|gst"
+
+
+def readiness(records: DataFrame) -> DataFrame:
+    """The eleven decisions of a bidder's summary from wide records with their text; records hold nulls or NA where nothing was found."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    or_na = lambda k, other="NA": F.coalesce(F.col(k), F.lit(other))
+    meeting = F.when(~or_na("pre_bid_meeting").isin("", "NA", "⚠️ MISSING"), F.col("pre_bid_meeting"))
+    order = F.when(~or_na("order_value_1").isin("NA", "⚠️ MISSING", "₹0.00"), F.col("order_value_1"))
+    years = F.when(or_na("experience_years") != "NA", F.concat(F.lit("Exp: "), "experience_years", F.lit(" Yrs"))).otherwise("Technical BEC defined in ATC")
+    turnover = or_na("avg_annual_turnover_value")
+    no_finance = F.contains(F.lower(turnover), F.lit("not applicable")) | turnover.isin("₹0.00", "0")
+    asked = F.array(
+        F.when(F.col("maf_required").isin("Yes", "Yes — Project Specific"), "OEM Authorization Certificate"),
+        F.when(F.contains(text, F.lit("local content")) | (or_na("mii_preference") == "Yes"), "Class 1/2 Local Content Certificate"),
+        *[F.when(~or_na(k, "").isin("", "NA", "None", "⚠️ MISSING") & F.lower(k).rlike(CERTIFYING), F.col(k)) for k in DOCUMENTS],
+    )
+    certificates = F.array_join(F.slice(F.array_distinct(F.array_compact(asked)), 1, 4), ", ")
+    auction = F.lower(or_na("reverse_auction_applicable", "No")).rlike("yes|true")
+    join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return records.select(
+        "doc_id",
+        F.coalesce(*[F.when(text.rlike(p), said) for p, said in SITE_VISITS], F.lit("Not specified")).alias("site_visit"),
+        F.coalesce(F.concat(meeting, F.lit(" | Written queries accepted as per tender timeline")), F.lit("None specified / No pre-bid meeting scheduled")).alias("pre_bid"),
+        join("Pre-Bid: ", F.coalesce(meeting, F.lit("None")), "  →  Bid Due: ", or_na("bid_due"), "  →  Physical Docs: ", or_na("physical_docs_deadline"), "  →  Clarifications: ", F.when(text.rlike("2 days|two packet"), "2 Days").otherwise("Standard")).alias("timeline"),
+        join("EMD: ", or_na("emd_amount", "₹0.00"), " (via ", or_na("emd_mode"), ")  |  PBG: ", or_na("pbg_percentage"), " for ", or_na("pbg_duration")).alias("capital"),
+        join(years, F.coalesce(F.concat(F.lit(" (Min PO Value: "), order, F.lit(")")), F.lit("")), "  |  ", F.when(no_finance, "Financial BEC: Not Applicable (Exempted)").otherwise(join("Turnover: ", turnover, " (", or_na("avg_annual_turnover_type", "Bidder"), ")"))).alias("bec"),
+        F.when(certificates != "", certificates).otherwise("Standard GeM Seller profile & declarations").alias("certifications"),
+        join("Supply Delivery: ", or_na("delivery_time_supply"), "  |  Installation/Completion: ", or_na("delivery_time_installation")).alias("delivery"),
+        F.when(text.rlike("buyback|buy back"), "Yes — Existing equipment buyback & site removal required").otherwise("No buyback scope").alias("buyback"),
+        F.when(auction, "Yes (Bid to Reverse Auction enabled — dynamic pricing exposure)").otherwise("No (Direct item-wise / schedule-wise evaluation without Reverse Auction)").alias("reverse_auction"),
+        F.lit("Standard GeM/GAIL Terms (Zero deviation allowed on EMD, PBG, BEC, Delivery)").alias("disqualifiers"),
+        join("LD / PRS: ", or_na("ld_percentage", "0.5% per week"), "  |  Max Penalty Cap: ", or_na("max_ld_percentage", "5%")).alias("penalty_risk"),
+    )
+
+
 def status_rollup(statuses: DataFrame) -> DataFrame:
     """Counts of each status by document, and the missing fields in order."""
     counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES]

@@ -53,6 +53,20 @@ VIEWS = {
         FROM {{orders}}"""
         for k, name in enumerate(LABELS)
     ),
+    "info_records": """
+        SELECT k AS doc_id, CASE k % 4 WHEN 0 THEN '5.00%' WHEN 1 THEN 'NA' WHEN 2 THEN 'No' END AS pbg_percentage, CASE c % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' END AS pbg_required, CASE c % 5 WHEN 0 THEN 'NA' ELSE CAST(c % 40 AS STRING) || ' months' END AS pbg_duration,
+          CASE c % 4 WHEN 0 THEN '0%' WHEN 1 THEN '3.00%' WHEN 2 THEN '' END AS sd_percentage, CASE k % 3 WHEN 0 THEN 'DD' WHEN 1 THEN 'N/A' END AS sd_mode, CASE k % 5 WHEN 0 THEN '12 months' END AS sd_duration, 'Yes' AS sd_required,
+          CASE k % 9 WHEN 0 THEN 'Not Applicable' WHEN 1 THEN 'OEM' ELSE 'Bidder' END AS avg_annual_turnover_type, CASE c % 6 WHEN 0 THEN '₹0.00' WHEN 1 THEN 'Not applicable' WHEN 2 THEN NULL ELSE CAST(c AS STRING) || ' Lakh' END AS avg_annual_turnover_value,
+          CASE c % 7 WHEN 0 THEN 'exempted' ELSE 'Bidder' END AS net_worth_type, CASE k % 2 WHEN 0 THEN 'Not Found' ELSE '1 Crore' END AS net_worth_value, CASE k % 3 WHEN 0 THEN 'Not Applicable' WHEN 1 THEN '60 Days' END AS delivery_time_installation,
+          CASE c % 3 WHEN 0 THEN '30 Days' WHEN 1 THEN '⚠️ MISSING' END AS delivery_time_supply, CASE c % 4 WHEN 0 THEN 'Rejected' WHEN 1 THEN 'Pass' END AS te_recommendation, CASE k % 2 WHEN 0 THEN 'late' END AS te_rejection_reason,
+          CASE c % 5 WHEN 0 THEN 'No pre-bid meeting' WHEN 1 THEN '12-04-2025 11:00' WHEN 2 THEN 'NA' WHEN 3 THEN '⚠️ MISSING' END AS pre_bid_meeting, CASE k % 3 WHEN 0 THEN 'Not Required' WHEN 1 THEN 'Yes' END AS physical_docs_required, CASE c % 2 WHEN 0 THEN '14-04-2025' END AS physical_docs_deadline,
+          'A. Rao' AS client_name_1, CASE c % 3 WHEN 0 THEN 'N/A' WHEN 1 THEN 'B. Sen' END AS client_name_2, CASE c % 2 WHEN 0 THEN 'b@x.org' END AS client_email_2, CASE k % 4 WHEN 0 THEN '2 pieces' WHEN 1 THEN 'NA' END AS schedule_2_details,
+          CASE c % 4 WHEN 0 THEN 'ISO certificate' WHEN 1 THEN 'Cancelled cheque' WHEN 2 THEN 'NA' END AS doc_1, CASE c % 3 WHEN 0 THEN 'GST and PAN' WHEN 1 THEN 'ISO certificate' END AS doc_2, CASE k % 5 WHEN 0 THEN 'OEM approval' END AS doc_3, CASE k % 2 WHEN 0 THEN 'Turnover statement' END AS doc_4,
+          CASE c % 3 WHEN 0 THEN '₹' || CAST(c AS STRING) || '.00' END AS emd_amount, CASE c % 2 WHEN 0 THEN 'DD' END AS emd_mode, CASE c % 4 WHEN 0 THEN 'NA' WHEN 1 THEN '7' WHEN 2 THEN '3' END AS experience_years, CASE k % 4 WHEN 0 THEN '₹0.00' WHEN 1 THEN '25 Lakh' END AS order_value_1,
+          CASE k % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'Yes — Project Specific' ELSE 'No' END AS maf_required, CASE c % 5 WHEN 0 THEN 'Yes' END AS mii_preference, CASE k % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'No' END AS reverse_auction_applicable, CASE c % 2 WHEN 0 THEN '12-05-2025' END AS bid_due,
+          CASE c % 2 WHEN 0 THEN '1% per week' END AS ld_percentage, CASE k % 2 WHEN 0 THEN '10%' END AS max_ld_percentage,
+          CASE k % 7 WHEN 0 THEN 'A mandatory  site visit.' WHEN 1 THEN 'Bidder shall be deemed to have visited the work sites' WHEN 2 THEN 'Site Visit as wished; buy back' WHEN 3 THEN 'Two packet bid, Local Content' WHEN 4 THEN 'Buyback within 2 days' WHEN 5 THEN '' END AS text
+        FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {orders}) o""",
     # lines of many kinds, so that rules meet values of other rules
     "tender_lines": """
         SELECT CAST(floor(k / 8) AS BIGINT) AS doc_id, CAST(1 + floor(k / 4) % 2 AS BIGINT) AS page_no, CAST(1 + k % 4 AS BIGINT) AS ord, CASE CAST(floor(k / 4) AS BIGINT) * 3 % 29 + k % 2

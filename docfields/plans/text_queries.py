@@ -289,11 +289,51 @@ def _(get):
     return St.every(get("clause_docs").select("doc_id", exempt.alias("value")), LABELS).select("doc_id", "field_name", "value")
 
 
-@query("r8_readiness_summary", f"SELECT doc_id, concat_ws('; ', CASE WHEN m IS NOT NULL THEN 'mode ' || m END, CASE WHEN text LIKE '%not applicable%' THEN 'exempt' END, CASE WHEN {days('text')} >= 30 THEN 'long delivery' ELSE 'short delivery' END) AS summary FROM (SELECT *, {MODE} AS m FROM {{clause_docs}})")
+_ON_RECORD = "pbg_percentage pbg_required pbg_duration sd_percentage sd_mode sd_duration sd_required avg_annual_turnover_type avg_annual_turnover_value net_worth_type net_worth_value delivery_time_installation delivery_time_supply te_recommendation te_rejection_reason pre_bid_meeting physical_docs_required physical_docs_deadline client_name_1 client_name_2 client_email_2 schedule_2_details doc_1 doc_2 doc_3 doc_4 emd_amount".split()
+
+
+def _na(key: str) -> str:
+    none = lambda k, *more: f"coalesce(trim({k}) IN ('', 'NA', 'N/A'{''.join(f", '{m}'" for m in more)}), true)" if k in _ON_RECORD else "true"
+    pbg = f"(CASE WHEN NOT {none('pbg_percentage')} THEN NOT {none('pbg_percentage', 'Not Found', 'No')} ELSE NOT {none('pbg_required', 'Not Found', 'No')} END)"
+    deposit = f"{pbg} AND {none('sd_percentage', 'Not Found', '₹0.00', '0.0', '0', '0%', '0.00%')}"
+    low = lambda k: f"lower(coalesce({k}, ''))"
+    exempt = " OR ".join(f"{low(k)} LIKE '%{word}%'" for k in ("avg_annual_turnover_type", "net_worth_type") for word in ("not applicable", "exempt"))
+    rules = {"sd_percentage": deposit, "sd_duration": deposit, "sd_mode": f"{deposit} AND {none('sd_mode')}", "delivery_time_installation": none("delivery_time_installation", "Not Applicable"), "te_rejection_reason": f"{low('te_recommendation')} NOT LIKE '%reject%'",
+             "pre_bid_meeting": f"{low('pre_bid_meeting')} IN ('', 'na', 'n/a') OR {low('pre_bid_meeting')} LIKE '%no pre-bid%'", **{k: exempt for f in St.FINANCIAL for k in (f"{f}_type", f"{f}_value")}, **{k: f"{low('physical_docs_required')} IN ('no', 'na', 'n/a', 'not required')" for k in St.PHYSICAL}}
+    rules |= {f"client_{part}_{k}": none(f"client_name_{k}") for k in (2, 3) for part in ("name", "email", "phone")} | {k: none(k) for k in ("schedule_2_details", "schedule_3_details", *St.DOCUMENTS)}
+    return rules.get(key, "false")
+
+
+def _status_of(key: str) -> str:
+    value = key if key in _ON_RECORD else "CAST(NULL AS VARCHAR)"
+    return f"SELECT doc_id, '{key}' AS field_name, {value} AS value, CASE WHEN {_na(key)} THEN 'NOT_APPLICABLE' WHEN {value} IS NULL OR trim({value}) IN ('', 'NA', 'Not Found', 'None', 'Out of Scope (Stage 1)', '⚠️ MISSING') THEN 'MISSING' WHEN doc_id % 5 = 0 AND '{key}' IN ('delivery_time_supply', 'client_name_2') THEN 'OK_FALLBACK' ELSE 'OK' END AS status FROM {{info_records}}"
+
+
+@query("r1_record_status", " UNION ALL ".join(map(_status_of, St.RECORD)))
 def _(get):
-    mode = F.nullif(F.regexp_extract("text", r"Mode: ([^\n]*)", 1), F.lit(""))
-    days = S.duration_days(F.regexp_extract("text", r"Delivery Period: ([^\n]*)", 1))
-    return get("clause_docs").select("doc_id", F.concat_ws("; ", F.concat(F.lit("mode "), mode), F.when(F.contains(F.col("text"), F.lit("not applicable")), "exempt"), F.when(days >= 30, "long delivery").otherwise("short delivery")).alias("summary"))
+    found = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("delivery_time_supply"), F.lit("client_name_2")))
+    return St.record_status(get("info_records").withColumn("fallback", found))
+
+
+_PRE = "CASE WHEN coalesce(pre_bid_meeting, 'NA') NOT IN ('', 'NA', '⚠️ MISSING') THEN pre_bid_meeting END"
+_DOCS = ", ".join(f"CASE WHEN coalesce({k}, '') NOT IN ('', 'NA', 'None', '⚠️ MISSING') AND regexp_matches(lower({k}), 'oem|iso|approval|experience|turnover|pan|gst') THEN {k} END" for k in ("doc_1", "doc_2", "doc_3", "doc_4"))
+
+
+@query("r8_readiness_summary", f"""SELECT doc_id, CASE {" ".join(f"WHEN regexp_matches(t, '{p}') THEN '{said}'" for p, said in St.SITE_VISITS)} ELSE 'Not specified' END AS site_visit,
+    coalesce(pre || ' | Written queries accepted as per tender timeline', 'None specified / No pre-bid meeting scheduled') AS pre_bid,
+    'Pre-Bid: ' || coalesce(pre, 'None') || '  →  Bid Due: ' || coalesce(bid_due, 'NA') || '  →  Physical Docs: ' || coalesce(physical_docs_deadline, 'NA') || '  →  Clarifications: ' || CASE WHEN t LIKE '%2 days%' OR t LIKE '%two packet%' THEN '2 Days' ELSE 'Standard' END AS timeline,
+    'EMD: ' || coalesce(emd_amount, '₹0.00') || ' (via ' || coalesce(emd_mode, 'NA') || ')  |  PBG: ' || coalesce(pbg_percentage, 'NA') || ' for ' || coalesce(pbg_duration, 'NA') AS capital,
+    CASE WHEN coalesce(experience_years, 'NA') <> 'NA' THEN 'Exp: ' || experience_years || ' Yrs' ELSE 'Technical BEC defined in ATC' END || CASE WHEN coalesce(order_value_1, 'NA') NOT IN ('NA', '⚠️ MISSING', '₹0.00') THEN ' (Min PO Value: ' || order_value_1 || ')' ELSE '' END || '  |  '
+      || CASE WHEN lower(coalesce(avg_annual_turnover_value, 'NA')) LIKE '%not applicable%' OR avg_annual_turnover_value IN ('₹0.00', '0') THEN 'Financial BEC: Not Applicable (Exempted)' ELSE 'Turnover: ' || coalesce(avg_annual_turnover_value, 'NA') || ' (' || coalesce(avg_annual_turnover_type, 'Bidder') || ')' END AS bec,
+    CASE WHEN len(docs) = 0 THEN 'Standard GeM Seller profile & declarations' ELSE array_to_string(docs[:4], ', ') END AS certifications,
+    'Supply Delivery: ' || coalesce(delivery_time_supply, 'NA') || '  |  Installation/Completion: ' || coalesce(delivery_time_installation, 'NA') AS delivery,
+    CASE WHEN t LIKE '%buyback%' OR t LIKE '%buy back%' THEN 'Yes — Existing equipment buyback & site removal required' ELSE 'No buyback scope' END AS buyback,
+    CASE WHEN lower(coalesce(reverse_auction_applicable, 'No')) IN ('yes', 'true') THEN 'Yes (Bid to Reverse Auction enabled — dynamic pricing exposure)' ELSE 'No (Direct item-wise / schedule-wise evaluation without Reverse Auction)' END AS reverse_auction,
+    'Standard GeM/GAIL Terms (Zero deviation allowed on EMD, PBG, BEC, Delivery)' AS disqualifiers, 'LD / PRS: ' || coalesce(ld_percentage, '0.5% per week') || '  |  Max Penalty Cap: ' || coalesce(max_ld_percentage, '5%') AS penalty_risk
+    FROM (SELECT *, list_filter(raw, lambda x, i: x IS NOT NULL AND list_position(raw, x) = i) AS docs FROM (SELECT *, lower(coalesce(text, '')) AS t, {_PRE} AS pre, [CASE WHEN maf_required LIKE 'Yes%' THEN 'OEM Authorization Certificate' END, CASE WHEN lower(coalesce(text, '')) LIKE '%local content%' OR mii_preference = 'Yes' THEN 'Class 1/2 Local Content Certificate' END, {_DOCS}] AS raw FROM {{info_records}}))""")
+def _(get):
+    records = get("info_records")
+    return St.readiness(records.select("*", *[F.lit(None).cast("string").alias(k) for k in St.DOCUMENTS if k not in records.columns]))
 
 
 @query("r9_conflict_flag", "SELECT doc_id, doc_id % 2 = 0 AND text LIKE '%maximum of%' AS conflict FROM {clause_docs}")
