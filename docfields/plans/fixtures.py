@@ -67,6 +67,19 @@ VIEWS = {
           CASE c % 2 WHEN 0 THEN '1% per week' END AS ld_percentage, CASE k % 2 WHEN 0 THEN '10%' END AS max_ld_percentage,
           CASE k % 7 WHEN 0 THEN 'A mandatory  site visit.' WHEN 1 THEN 'Bidder shall be deemed to have visited the work sites' WHEN 2 THEN 'Site Visit as wished; buy back' WHEN 3 THEN 'Two packet bid, Local Content' WHEN 4 THEN 'Buyback within 2 days' WHEN 5 THEN '' END AS text
         FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {orders}) o""",
+    # clauses, contacts and names of documents among words that have nothing to do with them
+    "narratives": """
+        SELECT k AS doc_id, 'General remarks on the work. ' || CASE k % 5 WHEN 0 THEN 'Payment terms: 80% shall be released on delivery of goods and 20 % after installation. ' WHEN 1 THEN '100% payment within thirty days. ' WHEN 2 THEN 'Payments as per Annexure-II.pdf! '
+            WHEN 3 THEN 'No advance. ' ELSE 'Payment shall be ' || CAST(c % 100 AS STRING) || ' % of it against supply at site. ' END
+          || CASE c % 4 WHEN 0 THEN 'Liquidated damages at 0.5% of the contract value per week or part thereof, maximum of 10 %, see clause 12.' || CAST(c % 9 AS STRING) || '. ' WHEN 1 THEN 'LD: 1 % weekly capped at 5%. ' WHEN 2 THEN 'Delay is subject to a maximum of 7%. ' ELSE '' END || repeat('filler text of no use, ', CAST(k % 30 AS INT))
+          || CASE c % 5 WHEN 0 THEN 'Experience: seven years, PSU experience wanted. One similar work of 80% of the estimated bid value or two similar works costing 50 % of estimated value or three works, Rs. 25.5 lakh each. ' WHEN 1 THEN 'similar nature of work for ' || CAST(c % 12 AS STRING) || ' years, foreign experience counts. ' ELSE '' END
+          || CASE k % 6 WHEN 0 THEN 'Annual turnover of bidder and OEM: 30% of estimated bid value. ' WHEN 1 THEN 'AATO of the OEM Rs. 45 Lakh. ' WHEN 2 THEN 'average annual turnover: INR 12,00,000. ' ELSE '' END || CASE c % 3 WHEN 0 THEN 'Working capital 10 % of the contract value. Solvency certificate for Rs 5 crore. ' WHEN 1 THEN 'Positive net worth, Rs.7 Lakh. ' ELSE '' END
+          || repeat('more words, ', CAST(c % 50 AS INT)) || CASE k % 4 WHEN 0 THEN 'Security deposit of 5% for 12 months shall be deposited. ' WHEN 1 THEN 'ePBG in lieu of security deposit. ' WHEN 2 THEN 'SD not required. ' ELSE '' END
+          || CASE c % 4 WHEN 0 THEN 'Hard copy with original bank instrument within 7 days by courier. ' WHEN 1 THEN 'Postal address on 12/04/2025. ' ELSE '' END || chr(10)
+          || CASE k % 4 WHEN 0 THEN 'Contact Person: Mr. Arun Rao, Phone: 0112345' || CAST(100 + c % 900 AS STRING) || ', email: arun' || CAST(c % 7 AS STRING) || '@x.org' || chr(10) || 'Nodal Officer: Dr. Meera Sen Extn: 12-345, Delhi 110001' || chr(10) WHEN 1 THEN 'Consignee / Reporting Officer : Ravi Kumar, PIN 110' || CAST(100 + c % 900 AS STRING) || chr(10) || 'contact ARUN RAO' || chr(10) WHEN 2 THEN 'Contact: Mr Ravi Kumar' || chr(10) || 'Consignee: RAVI' || chr(10) || 'Nodal Officer: ravi kumar, ravi.k@y.co.in' || chr(10) ELSE '' END
+          || CASE c % 3 WHEN 0 THEN 'Name of Competent Authority: Narasingha Rao' || chr(10) || 'Designation of Competent Authority: CM' || chr(10) ELSE '' END
+          || CASE k % 3 WHEN 0 THEN 'See BOQ_1 and corrigendum 2. Then annexure-ii.PDF again? Volume III.' WHEN 1 THEN 'The BOQ is here. Schedule 4 holds.' ELSE '' END AS text
+        FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {orders}) o""",
     # lines of many kinds, so that rules meet values of other rules
     "tender_lines": """
         SELECT CAST(floor(k / 8) AS BIGINT) AS doc_id, CAST(1 + floor(k / 4) % 2 AS BIGINT) AS page_no, CAST(1 + k % 4 AS BIGINT) AS ord, CASE CAST(floor(k / 4) AS BIGINT) * 3 % 29 + k % 2

@@ -153,7 +153,7 @@ def _(get):
 
 @query("x1_keyword_windows", "SELECT doc_id, CAST(n AS BIGINT) AS n, place, substr(text, greatest(1, place - 20), least(20, place - 1)) AS \"left\", substr(text, place + 4, 20) AS \"right\" FROM (SELECT doc_id, text, n, 1 + 4 * (n + 1) + len(array_to_string(list_slice(p, 1, n + 1), '')) - 4 AS place FROM (SELECT doc_id, text, p, unnest(range(len(p) - 1)) AS n FROM (SELECT doc_id, text, string_split(text, ' the') AS p FROM {documents} WHERE contains(text, ' the'))))")
 def _(get):
-    return X.keyword_windows(get("documents"), " the", 20, 20)
+    return X.keyword_windows(get("documents"), " the", 20, 20).select("doc_id", "n", "place", "left", "right")
 
 
 @query("x2_slice_section", "SELECT doc_id, substr(text, strpos(text, 'TERMS OF PAYMENT'), strpos(text, chr(10) || 'PRICE REDUCTION') - strpos(text, 'TERMS OF PAYMENT')) AS section FROM {clause_docs}")
@@ -199,26 +199,61 @@ def _(get):
     return X.clause_terms(get("clause_docs"))
 
 
+def _read(family: str, *patterns: str, group: int = 0) -> str:
+    return "coalesce(" + ", ".join(found(p, group, family) for p in patterns) + ")"
+
+
+def _party(f: str) -> str:
+    return f"CASE WHEN {f} = '' THEN NULL WHEN regexp_matches({f}, '\\bOEM\\b') AND regexp_matches({f}, '(?i)bidder') THEN 'Both' WHEN regexp_matches({f}, '\\bOEM\\b') THEN 'OEM' ELSE 'Bidder' END"
+
+
+_INSTEAD = r"regexp_matches(guarantee, '(?i)(in\s+lieu\s+of|in\s+place\s+of|instead\s+of|substituted\s+for)\s+(performance\s+)?(security\s+deposit|performance\s+security|SD)')"
+
+
+@query("x7_clause_windows", rf"""SELECT doc_id, coalesce(regexp_extract({_read('payment', X.ON_SUPPLY)}, '^\d{{1,3}}\s*%'), CASE WHEN {_read('payment', X.ON_INSTALLATION)} IS NULL AND regexp_matches(payment, '(?i)100\s*%\s*payment') THEN '100% (single milestone)' END) AS supply_pct,
+    regexp_extract({_read('payment', X.ON_INSTALLATION)}, '^\d{{1,3}}\s*%') AS installation_pct, CASE WHEN damages <> '' THEN 'Yes' END AS ld_applicable, {_read('damages', *X.PER_WEEK)} AS ld_per_week, {_read('damages', X.AT_MOST, group=1)} AS ld_max,
+    {_read('damages', '(?i)' + chr(92) + 'bclause' + chr(92) + 's*(?:no[.]?' + chr(92) + 's*)?([0-9]+([.][0-9]+)*)', group=1)} AS ld_clause, {_read('eligibility', '(?i)([0-9]{1,2}|one|two|three|four|five|six|seven|eight|nine|ten)' + chr(92) + 's*years?')} AS years,
+    {_read('eligibility', X.WORKS.format('one|1|single'), group=1)} AS work_1, {_read('eligibility', X.WORKS.format('two|2|double'), group=1)} AS work_2, {_read('eligibility', X.WORKS.format('three|3|triple'), group=1)} AS work_3,
+    nullif(concat_ws('; ', CASE WHEN regexp_matches(eligibility, '(?i)psu experience|only from (government|psu)') THEN 'Requires PSU/Govt-specific experience' END, CASE WHEN regexp_matches(eligibility, '(?i)(export|foreign) experience') THEN 'References foreign/export experience' END), '') AS notes,
+    {_party('turnover')} AS turnover_type, {_read('turnover', X.PERCENT_OF, X.RUPEES)} AS turnover, {_party('capital')} AS capital_type, {_read('capital', X.PERCENT_OF, X.RUPEES)} AS capital, CASE WHEN solvency <> '' THEN 'Bank Solvency Certificate' END AS solvency_type, {_read('solvency', X.RUPEES)} AS solvency,
+    CASE WHEN regexp_matches(worth, '(?i)positive net ?worth') THEN 'Positive Net Worth Required' END AS worth_type, {_read('worth', X.RUPEES)} AS worth,
+    CASE WHEN {_INSTEAD} THEN 'Not Applicable - ePBG in lieu' WHEN deposit = '' THEN NULL WHEN regexp_matches(deposit, '(?i)exempt|not required|no security deposit|not applicable') THEN 'No' ELSE 'Yes' END AS deposit_required,
+    CASE WHEN NOT {_INSTEAD} THEN {_read('deposit', '[0-9]{1,2}([.][0-9]+)? *%')} END AS deposit_pct, CASE WHEN NOT {_INSTEAD} THEN {_read('deposit', '(?i)[0-9]{1,3} *months?')} END AS deposit_months,
+    CASE WHEN papers = '' THEN 'No' ELSE 'Yes' END AS papers_required, {_read('papers', '(?i)within +[0-9]{1,2} *days|[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}')} AS papers_deadline, {_read('papers', '(?i)original +[A-Za-z ]+?(instrument|certificate|affidavit|document)')} AS papers_type
+    FROM (SELECT doc_id, {", ".join(f"array_to_string(regexp_extract_all(text, '{X.window_pattern(f)}', 1), ' ') AS {f}" for f in X.FAMILIES)} FROM {{narratives}})""")
+def _(get):
+    return X.clause_windows(get("narratives"))
+
+
 @query("x8_annexure_terms", f"SELECT doc_id, text LIKE '%PRICE REDUCTION SCHEDULE%' AS has_reduction, text LIKE '%Net Worth: Rs%' AS worth_required, TRY_CAST({found('maximum of ([0-9]+)%')} AS BIGINT) AS cap FROM {{clause_docs}}")
 def _(get):
     text = F.col("text")
     return get("clause_docs").select("doc_id", F.contains(text, F.lit("PRICE REDUCTION SCHEDULE")).alias("has_reduction"), F.contains(text, F.lit("Net Worth: Rs")).alias("worth_required"), X.bounded_search(text, "PRICE REDUCTION SCHEDULE", r"maximum of (\d+)%", 100).try_cast("long").alias("cap"))
 
 
-@query("x9_contacts", f"SELECT doc_id, {found('Contact Person: ([A-Za-z ]+)')} AS name, {found('Phone: ([0-9]+)')} AS phone, {found('email: ([A-Za-z0-9.@]+)')} AS email, {found('City ([1-9][0-9]{{5}})')} AS pin FROM {{clause_docs}}")
+@query("x9_contacts")
 def _(get):
-    return X.contacts(get("clause_docs"))
+    return X.contacts(get("narratives"))
+
+
+def _mentioned(view: str) -> str:
+    word = r"trim(regexp_replace(word, '\s+', ' ', 'g'))"
+    return rf"""(SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, k) - 1 AS n, name, sentence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY s, k) AS rn FROM (
+        SELECT doc_id, s, k, CASE WHEN contains(w, '.') THEN w WHEN lower(w) LIKE '%boq%' THEN w || '.xlsx' ELSE w || '.pdf' END AS name, regexp_replace(trim(sentence, ' '), '
+', ' ', 'g') AS sentence FROM (SELECT doc_id, s, k, sentence, {word} AS w FROM (
+            SELECT doc_id, s, sentence, unnest(l) AS word, unnest(range(len(l))) AS k FROM (SELECT doc_id, s, sentence, regexp_extract_all(sentence, '{X.MENTIONS}', 1) AS l FROM (
+                SELECT doc_id, unnest(l) AS sentence, unnest(range(len(l))) AS s FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM {{{view}}}))))) WHERE length(w) > 3)) WHERE rn = 1)"""
 
 
-@query("x10_mentions", "SELECT doc_id, CAST(n AS BIGINT) AS n, CASE n WHEN 0 THEN regexp_extract(text, '(Annexure-[IVX]+)', 1) ELSE 'BOQ' END AS name, regexp_extract(text, '(Refer[^\\n]*)', 1) AS sentence FROM {clause_docs} CROSS JOIN (SELECT unnest([0, 1]) AS n)")
+@query("x10_mentions", f"SELECT * FROM {_mentioned('narratives')}")
 def _(get):
-    return X.mentions(get("clause_docs"))
+    return X.mentions(get("narratives"))
 
 
-@query("j16_unresolved_mentions", "SELECT doc_id, name FROM (SELECT doc_id, CASE n WHEN 0 THEN regexp_extract(text, '(Annexure-[IVX]+)', 1) ELSE 'BOQ' END AS name FROM {clause_docs} CROSS JOIN (SELECT unnest([0, 1]) AS n)) m WHERE NOT (doc_id % 2 = 0 AND (strpos('annexure-ii.pdf', lower(name)) > 0 OR strpos(lower(name), 'annexure-ii.pdf') > 0))")
+@query("j16_unresolved_mentions", f"SELECT doc_id, name FROM {_mentioned('narratives')} m WHERE NOT (doc_id % 2 = 0 AND (strpos('annexure-ii.pdf', lower(name)) > 0 OR strpos(lower(name), 'annexure-ii.pdf') > 0))")
 def _(get):
-    linked = get("clause_docs").where("doc_id % 2 = 0").select("doc_id", F.lit("Annexure-II.pdf").alias("link_name"))
-    return X.unresolved(X.mentions(get("clause_docs")).select("doc_id", "name"), linked).select("doc_id", "name")
+    linked = get("narratives").where("doc_id % 2 = 0").select("doc_id", F.lit("Annexure-II.pdf").alias("link_name"))
+    return X.unresolved(X.mentions(get("narratives")).select("doc_id", "name"), linked).select("doc_id", "name")
 
 
 @query("x11_links", "SELECT page_id, n, CASE WHEN h[1] = '/' THEN regexp_extract(url, '^(https?://[^/]+)', 1) ELSE '' END || regexp_replace(h, '[.,;:)]+$', '') AS link FROM (SELECT page_id, url, unnest(l) AS h, unnest(range(len(l))) AS n FROM (SELECT page_id, url, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM {pages}))")
@@ -348,11 +383,10 @@ def _(get):
     return Ru.number_items(get("clause_docs").select("doc_id", F.regexp_extract("text", r"Mode: ([^\n]*)", 1).alias("items")), 2)
 
 
-@query("w12_allocate_slots", "SELECT o_custkey, max(CASE rn WHEN 1 THEN e END) AS slot_1, max(CASE rn WHEN 2 THEN e END) AS slot_2, max(CASE rn WHEN 3 THEN e END) AS slot_3 FROM (SELECT o_custkey, e, row_number() OVER (PARTITION BY o_custkey ORDER BY f) AS rn FROM (SELECT o.o_custkey, c.email AS e, min(c.doc_id) AS f FROM {orders} o JOIN (SELECT doc_id, nullif(regexp_extract(text, 'Phone: ([0-9]+)', 1), '') || doc_id % 5 AS email FROM {clause_docs}) c ON c.doc_id = o.o_orderkey GROUP BY 1, 2)) WHERE rn <= 3 GROUP BY o_custkey")
+@query("w12_allocate_slots")
 def _(get):
-    owners = get("orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
-    items = X.contacts(get("clause_docs")).join(owners, "doc_id").select("o_custkey", "doc_id", F.concat("phone", (F.col("doc_id") % 5).cast("string")).alias("item"))
-    return Ru.slots(items, "o_custkey", "item", "doc_id", 3)
+    emails = get("narratives").select("doc_id", F.posexplode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\w.-]+@[\w.-]+\.\w+)"), 1))).alias("n", "email"))
+    return X.contact_slots(X.contacts(get("narratives")), emails)
 
 
 @query("j15_gold_comparison", "SELECT g.doc_id, g.field_name, g.expected, p.value, CASE WHEN p.value IS NULL THEN 'MISSING' WHEN trim(p.value) = trim(g.expected) THEN 'MATCH' ELSE 'MISMATCH' END AS outcome FROM {gold} g LEFT JOIN {predictions} p ON g.doc_id = p.doc_id AND g.field_name = p.field_name")

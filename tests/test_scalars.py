@@ -94,7 +94,7 @@ def test_keyword_windows(spark, keyword, regex):
     for d, text in docs:
         for n, m in enumerate(re.finditer(keyword if regex else re.escape(keyword), text or "")):
             expected.append((d, n, m.start() + 1, text[max(0, m.start() - 7) : m.start()], text[m.end() : m.end() + 5]))
-    found = X.keyword_windows(spark.createDataFrame(docs, "doc_id long, text string"), keyword, 7, 5, regex)
+    found = X.keyword_windows(spark.createDataFrame(docs, "doc_id long, text string"), keyword, 7, 5, regex).select("doc_id", "n", "place", "left", "right")
     assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
 
 
