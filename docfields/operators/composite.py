@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docfields.functions import scalars as S
+from docfields.operators import rules as Ru
 from docfields.operators import spatial as P
 
 BLOCK = [*P.PAGE, "ord"]
@@ -21,6 +23,51 @@ def anchored_candidates(blocks: DataFrame) -> DataFrame:
     return every.groupBy(*BLOCK).agg(F.min_by(F.struct("match_ord", "path", "score"), "p").alias("b")).select(*BLOCK, "b.*")
 
 
+#: What a rule's anchor in a block is worth in percent, and what the way to its value adds.
+ANCHOR, BY_SCRIPT = 35, 40
+WAYS = {"row": 60, "same": 60, "next": 50, "near": 50}
+
+
+def field_candidates(blocks: DataFrame, rules: list[tuple[str, tuple[str, ...], tuple[str, ...], str]], gap: int = 50) -> DataFrame:
+    """Values of rules (field_name, anchors, anchors in the other script, type) on pages: a row for each rule and block that holds its anchor.
+
+    The value is of the first way that gives one of the rule's type: the rest of the block's line, left to right; the block's own text, if the
+    value is not all of it; the next block in order, if it begins within ``gap``; the nearest block right or below whose text has one. Columns
+    doc_id, page_no, ord, field_name, value, path and conf_pct, 100 at most. The rules are the program's, so no join brings them."""
+    line = Window.partitionBy(*P.PAGE, "line_no")
+    page = Window.partitionBy(*P.PAGE).orderBy("ord")
+    beside = F.filter(F.array_sort(F.collect_list(F.struct("x1", "ord", "text")).over(line)), lambda b: b["ord"] != F.col("ord"))
+    rest = F.array_join(F.transform(beside, lambda b: F.trim(b["text"])), " ")
+    following = F.when(F.abs(F.lead("y1").over(page) - F.col("y2")) < gap, F.lead("text").over(page))
+    held = blocks.select(*BLOCK, "x1", "y1", "x2", "y2", "text", rest.alias("rest"), following.alias("following"), S.match_normalize(F.col("text")).alias("plain"))
+    any_of = lambda anchors: F.col("plain").rlike("|".join(Ru.anchor_pattern(a) for a in anchors)) if anchors else F.lit(False)
+    hits = [F.when(any_of(script), BY_SCRIPT).when(any_of(anchors), ANCHOR) for _, anchors, script, _ in rules]
+    matched = F.filter(F.array(*[F.struct(F.lit(name).alias("field_name"), F.lit(kind).alias("kind"), hit.alias("anchor")) for (name, _, _, kind), hit in zip(rules, hits)]), lambda r: r["anchor"].isNotNull())
+    anchored = held.select("*", F.explode(matched).alias("r")).select(*held.columns, "r.*")
+    kinds = sorted({kind for *_, kind in rules})
+    typed = lambda text: F.coalesce(*[F.when(F.col("kind") == kind, Ru.typed(text, kind)) for kind in kinds])
+    own = typed(F.col("text"))
+    ways = [("row", typed(F.col("rest"))), ("same", F.when(own != F.trim("text"), own)), ("next", typed(F.col("following")))]
+    first = F.coalesce(*[F.when(value.isNotNull(), F.struct(F.lit(way).alias("path"), value.alias("value"))) for way, value in ways])
+    read = anchored.withColumn("found", first)
+    near = _nearest_typed(read.where("found is null"), blocks, typed)
+    result = [*BLOCK, "field_name", "value", "path", "anchor"]
+    every = read.where("found is not null").select(*BLOCK, "field_name", "found.value", "found.path", "anchor").select(*result).unionByName(near.select(*result))
+    worth = F.create_map(*[F.lit(x) for kv in WAYS.items() for x in kv])[F.col("path")]
+    return every.withColumn("conf_pct", F.least(F.lit(100), F.col("anchor") + worth)).drop("anchor")
+
+
+def _nearest_typed(anchors: DataFrame, blocks: DataFrame, typed, reach: int = 150) -> DataFrame:
+    """Anchors with the value of the nearest block right of or below them that has one of their type."""
+    b = blocks.select(*P.PAGE, *[F.col(c).alias(f"b_{c}") for c in ("ord", "x1", "y1", "x2", "y2")], F.col("text").alias("b_text"))
+    dx = F.col("b_x1") + F.col("b_x2") - F.col("x1") - F.col("x2")
+    dy = F.col("b_y1") + F.col("b_y2") - F.col("y1") - F.col("y2")
+    beside = ((F.col("b_x1") >= F.col("x2")) & (F.abs(dy) < 60)) | ((F.col("b_y1") >= F.col("y2")) & (F.abs(dx) < 300))
+    pairs = anchors.join(b, P.PAGE).where(F.col("ord") != F.col("b_ord")).withColumn("d", dx * dx + dy * dy).where(beside & (F.col("d") < 4 * reach * reach))
+    valued = pairs.withColumn("v", typed(F.col("b_text"))).where("v is not null")
+    return valued.groupBy(*BLOCK, "field_name", "anchor").agg(F.min(F.struct("d", "b_ord", "v")).alias("m")).select(*BLOCK, "field_name", F.col("m.v").alias("value"), F.lit("near").alias("path"), "anchor")
+
+
 def kv_candidates(docs: DataFrame, most: int = 200) -> DataFrame:
     """Label and value of each line with a colon; long values go."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.contains("line", F.lit(":")))

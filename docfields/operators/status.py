@@ -189,11 +189,37 @@ def gold_comparison(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     return joined.select("doc_id", "field_name", "expected", "value", outcome.alias("outcome"))
 
 
-def anchor_check(predictions: DataFrame, sources: DataFrame) -> DataFrame:
-    """Keep a predicted text (value) where its document's text holds it, white space folded and case aside; else nothing supports it."""
-    fold = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
-    joined = predictions.join(sources, "doc_id")
-    return joined.withColumn("supported", F.contains(fold(F.col("text")), fold(F.col("value"))))
+CRITERIA = "custom_eligibility_criteria"
+
+
+def anchor_check(predictions: DataFrame, sources: DataFrame, before: int = 100, after: int = 150) -> DataFrame:
+    """Predictions (doc_id, field_name, value, is_flag) with supported and snippet: whether their document's text (doc_id, text) bears them out.
+
+    Flags need no support. A number must occur, by its first eight characters. Text must occur whatever the case and white space, or else all
+    of its first four words over two letters. Criteria with numbers need 60 % of the different ones. Snippet: the text around the
+    place; null if unsupported or a flag. Missing values, and those of documents without a text, are not supported."""
+    fold = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    value, text = fold(F.col("value")), fold(F.coalesce("text", F.lit("")))
+    low = F.lower(text)
+    number = F.regexp_replace(value, "[%₹,]", "")
+    place = lambda part: F.call_function("instr", low, F.lower(part))
+    numbers = F.array_distinct(F.regexp_extract_all(value, F.lit(r"(\d+(?:[.,]\d+)?)"), 1))
+    occurring = F.filter(numbers, lambda n: F.contains(text, n))
+    words = F.slice(F.filter(F.regexp_extract_all(F.lower(value), F.lit(r"([\w]+)"), 1), lambda w: F.length(w) > 2), 1, 4)
+    by_words = F.when((F.size(words) > 0) & F.forall(words, lambda w: F.contains(low, w)), place(F.get(words, F.lit(0))))
+    whole = F.when((F.length(value) > 2) & (place(value) > 0), place(value))
+    share = F.when(F.size(occurring) * 10 >= F.size(numbers) * 6, place(F.get(occurring, F.lit(0))))
+    at = (
+        F.when(S.missing(F.col("value")) | (value == "null"), None)
+        .when(F.col("field_name").eqNullSafe(CRITERIA) & (F.size(numbers) > 0), share)
+        .when(number.rlike(r"^\d[\d.]*$") & (place(F.substring(number, 1, 8)) > 0), place(F.substring(number, 1, 8)))
+        .otherwise(F.coalesce(whole, by_words))
+    )
+    flag = F.coalesce("is_flag", F.lit(False))
+    joined = predictions.join(sources.select("doc_id", "text"), "doc_id", "left").withColumn("at", F.when(~flag, at))
+    start = F.greatest(F.lit(1), F.col("at") - before)
+    snippet = F.when(F.col("at") > 0, F.substring(text, start, F.col("at") + after - start + F.length(value)))
+    return joined.select(*predictions.columns, (flag | F.coalesce(F.col("at") > 0, F.lit(False))).alias("supported"), snippet.alias("snippet"))
 
 
 def batch_audit(statuses: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docfields.operators import composite as C
+from docfields.operators import rules as Ru
 from docfields.plans.registry import Registry
 from docfields.plans.spatial_queries import DX, DY, SHARED
+from docfields.plans.text_queries import TYPED
 
 _r = Registry()
 query, QUERIES, ORACLES = _r.add, _r.queries, _r.oracles
@@ -22,6 +24,34 @@ def _(get):
     return C.anchored_candidates(get("blocks"))
 
 
+_RULES = [
+    ("emd_amount", ("emd", "emd amount"), (), "currency"), ("bid_end", ("bid end date time",), (), "datetime"), ("validity", ("validity",), (), "validity"), ("experience", ("experience of",), (), "experience"),
+    ("tender_fee", ("tender fee", "fee"), (), "fee"), ("ministry", ("ministry of",), (), "org"), ("pbg_percentage", ("pbg", "epbg percentage(%)"), (), "percentage"), ("make", ("make",), ("battery set",), "nit"), ("mii", ("mii",), (), "yes_no"),
+]
+_PLACED = "SELECT *, (ord - 1) % 2 * 300 + doc_id % 50 AS x1, CAST(floor((ord - 1) / 2) AS BIGINT) * 20 AS y1, (ord - 1) % 2 * 300 + doc_id % 50 + 100 AS x2, CAST(floor((ord - 1) / 2) AS BIGINT) * 20 + 10 AS y2, CAST(floor((ord - 1) / 2) AS BIGINT) AS line_no FROM {tender_lines}"
+
+
+def _anchored(rule: tuple) -> str:
+    name, anchors, script, kind = rule
+    meets = lambda words: " OR ".join(f"regexp_matches(plain, '{Ru.anchor_pattern(w)}')" for w in words) or "false"
+    typed = lambda c: f"(SELECT {TYPED[kind]} FROM (SELECT trim({c}) AS t))"
+    return f"SELECT *, '{name}' AS field_name, CASE WHEN {meets(script)} THEN 40 ELSE 35 END AS anchor, {typed('rest')} AS v_row, {typed('text')} AS v_same, {typed('nxt')} AS v_next FROM b WHERE {meets(script)} OR {meets(anchors)}"
+
+
+_NEAR = " UNION ALL ".join(f"SELECT a.doc_id, a.page_no, a.ord, a.field_name, v, row_number() OVER (PARTITION BY a.doc_id, a.page_no, a.ord ORDER BY d, o) AS rn FROM (SELECT a.*, b.ord AS o, {DX} * {DX} + {DY} * {DY} AS d, (SELECT {TYPED[kind]} FROM (SELECT trim(b.text) AS t)) AS v FROM a JOIN b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.ord <> b.ord WHERE a.field_name = '{name}' AND ((b.x1 >= a.x2 AND abs({DY}) < 60) OR (b.y1 >= a.y2 AND abs({DX}) < 300)) AND {DX} * {DX} + {DY} * {DY} < 90000) a WHERE v IS NOT NULL" for name, _, _, kind in _RULES)
+
+
+@query("x14_field_candidates", f"""WITH p AS ({_PLACED}), b AS (SELECT *, coalesce((SELECT string_agg(trim(o.text), ' ' ORDER BY o.x1, o.ord) FROM p o WHERE o.doc_id = p.doc_id AND o.page_no = p.page_no AND o.line_no = p.line_no AND o.ord <> p.ord), '') AS rest,
+        CASE WHEN abs(lead(y1) OVER w - y2) < 50 THEN lead(text) OVER w END AS nxt, trim(regexp_replace(regexp_replace(lower(text), '[/\\_.:\-]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM p WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY ord)),
+    a AS ({" UNION ALL ".join(map(_anchored, _RULES))}), n AS ({_NEAR}),
+    f AS (SELECT a.*, n.v AS v_near, CASE WHEN v_row IS NOT NULL THEN 'row' WHEN v_same <> trim(text) THEN 'same' WHEN v_next IS NOT NULL THEN 'next' WHEN n.v IS NOT NULL THEN 'near' END AS path FROM a LEFT JOIN n ON n.doc_id = a.doc_id AND n.page_no = a.page_no AND n.ord = a.ord AND n.field_name = a.field_name AND n.rn = 1)
+    SELECT doc_id, page_no, ord, field_name, CASE path WHEN 'row' THEN v_row WHEN 'same' THEN v_same WHEN 'next' THEN v_next ELSE v_near END AS value, path, least(100, anchor + CASE WHEN path IN ('row', 'same') THEN 60 ELSE 50 END) AS conf_pct FROM f WHERE path IS NOT NULL""")
+def _(get):
+    lines = get("tender_lines")
+    placed = lines.sparkSession.sql(_PLACED, tender_lines=lines)
+    return C.field_candidates(placed, _RULES)
+
+
 @query("x15_kv_candidates", "SELECT doc_id, line_no, trim(substr(line, 1, strpos(line, ':') - 1)) AS label, trim(substr(line, strpos(line, ':') + 1)) AS value FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {clause_docs})) WHERE strpos(line, ':') > 1 AND length(trim(substr(line, strpos(line, ':') + 1))) BETWEEN 1 AND 199")
 def _(get):
     return C.kv_candidates(get("clause_docs"))

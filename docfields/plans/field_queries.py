@@ -136,12 +136,23 @@ def _(get):
     return known.groupBy("doc_id").pivot("key", ["bid_validity", "payment_terms"]).agg(F.max_by("value", "ord"))
 
 
-@query("p15_canonical_label", "SELECT doc_id, ord, CASE field_name WHEN 'Bid Validity (Days)' THEN 'Bid Validity' WHEN 'Contract Period' THEN 'Period of Contract' ELSE field_name END AS label, CASE source_page % 3 WHEN 0 THEN 'main_tender' WHEN 1 THEN 'atc' ELSE 'derived' END AS source FROM {main_fields}")
+_LABELS = [name for names in R.RENAMES.values() for name in names.split(", ")] + ["Warranty", "tender value"]
+_TAGS = ["parent", "Annexure ", "computed", "BOTH", "gem", "unheard of", "atc_pdf"]
+
+
+def _in(groups: dict[str, str], c: str) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{name}' THEN '{group}'" for group, names in groups.items() for name in names.split(", "))
+
+
+def _pick(values: list[str], c: str) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+
+
+@query("p15_canonical_label", f"SELECT doc_id, ord, {_in(R.RENAMES, 'trim(raw)')} ELSE raw END AS label, {_in(R.SOURCES, 'lower(trim(tag))')} ELSE 'derived' END AS source FROM (SELECT doc_id, ord, {_pick(_LABELS, f'(doc_id * 4 + ord) % {len(_LABELS)}')} AS raw, {_pick(_TAGS, 'source_page % 7')} AS tag FROM {{main_fields}})")
 def _(get):
-    renames = F.create_map(*[F.lit(x) for x in ("Bid Validity (Days)", "Bid Validity", "Contract Period", "Period of Contract")])
-    tags = F.create_map(*[F.lit(x) for x in ("parent", "main_tender", "annexure", "atc", "computed", "derived")])
-    tag = F.element_at(F.array(F.lit("parent"), F.lit("annexure"), F.lit("computed")), (F.col("source_page") % 3 + 1).cast("int"))
-    return get("main_fields").select("doc_id", "ord", F.coalesce(F.try_element_at(renames, F.col("field_name")), "field_name").alias("label"), F.try_element_at(tags, tag).alias("source"))
+    raw = F.element_at(F.array(*map(F.lit, _LABELS)), ((F.col("doc_id") * 4 + F.col("ord")) % len(_LABELS) + 1).cast("int"))
+    tag = F.element_at(F.array(*map(F.lit, _TAGS)), (F.col("source_page") % 7 + 1).cast("int"))
+    return get("main_fields").select("doc_id", "ord", R.canonical_label(raw).alias("label"), R.canonical_source(tag).alias("source"))
 
 
 @query("j2_lookup_fields", "SELECT doc_id, CASE field_name WHEN 'Payment Terms' THEN 'terms' ELSE 'validity' END AS request, value FROM {main_fields} WHERE field_name IN ('Payment Terms', 'Bid Validity (Days)')")

@@ -52,7 +52,7 @@ def _amount(value: str) -> str:
     return f"CASE WHEN regexp_matches(t, '{Ru.MONEY_SIGNS}') OR TRY_CAST(regexp_replace({value}, '[^0-9.]', '', 'g') AS DOUBLE) >= 100 THEN {value} END"
 
 
-_TYPED = {k: found(p, 0, "t") for k, p in Ru.TYPES.items()} | {
+TYPED = {k: found(p, 0, "t") for k, p in Ru.TYPES.items()} | {
     "percentage": f"CASE WHEN TRY_CAST(regexp_replace({found(Ru.TYPES['percentage'], 0, 't')}, '[^0-9.]', '', 'g') AS DOUBLE) <= 100 THEN {found(Ru.TYPES['percentage'], 0, 't')} END",
     "currency": _amount(f"coalesce({found(Ru.MONEY, 0, 't')}, {found(Ru.NUMBER, 0, 't')})"),
     "fee": f"CASE WHEN regexp_matches(t, '{Ru.NO_FEE}') THEN 'Nil / Exempted' ELSE {_amount(found(Ru.MONEY, 0, 't'))} END",
@@ -62,7 +62,7 @@ _TYPED = {k: found(p, 0, "t") for k, p in Ru.TYPES.items()} | {
 }
 
 
-@query("p6_match_typed", "SELECT doc_id, page_no, ord, " + ", ".join(f'{_TYPED[k]} AS "{k}_"' for k in Ru.KINDS) + " FROM (SELECT *, trim(text) AS t FROM {tender_lines})")
+@query("p6_match_typed", "SELECT doc_id, page_no, ord, " + ", ".join(f'{TYPED[k]} AS "{k}_"' for k in Ru.KINDS) + " FROM (SELECT *, trim(text) AS t FROM {tender_lines})")
 def _(get):
     return get("tender_lines").select("doc_id", "page_no", "ord", *[Ru.typed(F.col("text"), k).alias(f"{k}_") for k in Ru.KINDS])
 
@@ -261,9 +261,18 @@ def _(get):
     return X.links(get("pages"))
 
 
-@query("p11_classify_url", "SELECT page_id, CASE WHEN regexp_matches(lower(url), '^https?://[^/]+/?$') THEN 'homepage' WHEN regexp_matches(lower(url), '/(gtc|terms|privacy)') THEN 'terms' WHEN regexp_matches(lower(url), '[.](png|jpg|gif|css|js)$') THEN 'excluded' WHEN regexp_matches(lower(url), '(annex|atc|corrigendum)') THEN 'annexure' WHEN regexp_matches(lower(url), '[.](pdf|docx?|zip)$') THEN 'document' ELSE 'other' END AS kind FROM {pages}")
+_URLS = """CASE page_id % 8 WHEN 0 THEN lower(url) WHEN 1 THEN 'https://mkp.gem.gov.in/' WHEN 2 THEN 'https://bidplus.gem.gov.in/resources/upload/x?id=1' WHEN 3 THEN 'https://a.org/files/b.xlsx?v=2'
+    WHEN 4 THEN 'https://gem.gov.in/gtc/v1.pdf' WHEN 5 THEN 'https://b.org/corrigendum.html' WHEN 6 THEN 'https://c.org/logo.png' ELSE 'https://d.org/tenders/x' END"""
+
+
+@query("p11_classify_url", f"""SELECT page_id, kind, CASE WHEN kind IN ('annexure', 'document') THEN sure ELSE least(70, sure) END AS conf_pct FROM (SELECT *, CASE WHEN regexp_matches(u, '^https?://[^/]+/?$') THEN 'homepage' WHEN regexp_matches(u, '/(gtc|terms|privacy)') THEN 'terms' WHEN regexp_matches(u, '[.](png|jpg|gif|css|js)$') THEN 'excluded'
+    WHEN regexp_matches(u, '(annex|atc|corrigendum)') THEN 'annexure' WHEN regexp_matches(u, '{X.DOCUMENT_PARTS}') OR (regexp_matches(split_part(u, '/', 3), '{X.TENDER_HOSTS}') AND regexp_matches(u, '{X.TENDER_PATHS}')) THEN 'document' ELSE 'other' END AS kind,
+    CASE page_id % 4 WHEN 0 THEN 98 WHEN 1 THEN CASE page_id % 3 WHEN 0 THEN 96 ELSE 92 END WHEN 2 THEN 90 ELSE 85 END AS sure FROM (SELECT page_id, {_URLS} AS u FROM {{pages}}))""")
 def _(get):
-    return get("pages").select("page_id", X.classify_url(F.col("url")).alias("kind"))
+    how = F.element_at(F.array(*map(F.lit, ("embedded", "annotation", "local", "text"))), (F.col("page_id") % 4 + 1).cast("int"))
+    anchor = F.when(F.col("page_id") % 3 == 0, "see Annexure II").otherwise("click here")
+    found = get("pages").select("page_id", how.alias("how"), anchor.alias("anchor"), X.classify_url(F.expr(_URLS)).alias("kind"))
+    return found.select("page_id", "kind", X.link_confidence(F.col("kind"), F.col("how"), F.col("anchor")).alias("conf_pct"))
 
 
 @query("u4_link_dedupe", "SELECT page_id, n, link FROM (SELECT *, row_number() OVER (PARTITION BY lower(link) ORDER BY page_id, n) AS rn FROM (SELECT page_id, n, CASE WHEN h[1] = '/' THEN regexp_extract(url, '^(https?://[^/]+)', 1) ELSE '' END || regexp_replace(h, '[.,;:)]+$', '') AS link FROM (SELECT page_id, url, unnest(l) AS h, unnest(range(len(l))) AS n FROM (SELECT page_id, url, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM {pages})))) WHERE rn = 1")
@@ -311,6 +320,25 @@ def _(get):
     return Ru.contained(items, get("documents").select("doc_id", fold(F.col("text")).alias("t")))
 
 
+_VALUES = {"pct": "CASE k % 4 WHEN 0 THEN '80%' WHEN 1 THEN '99.5' WHEN 2 THEN '1,00,0' ELSE NULL END", "name": "CASE k % 5 WHEN 0 THEN 'arun  RAO' WHEN 1 THEN 'remarks General work' WHEN 2 THEN 'Nobody Known' WHEN 3 THEN 'no' ELSE 'Not Found' END",
+           "custom_eligibility_criteria": "CASE k % 3 WHEN 0 THEN '80 and 50 of 77' WHEN 1 THEN '12345 or 67890' ELSE 'similar work only' END", "flag": "'true'"}
+
+
+@query("x19_supported_values", r"""SELECT doc_id, field_name, value, is_flag, is_flag OR coalesce(p > 0, false) AS supported, CASE WHEN p > 0 THEN substr(t, greatest(1, p - 100), p + 150 - greatest(1, p - 100) + length(v)) END AS snippet FROM (
+    SELECT *, CASE WHEN is_flag OR value IS NULL OR trim(value) IN ('', 'NA', 'Not Found', 'None', 'Out of Scope (Stage 1)', 'null') THEN NULL
+        WHEN field_name = 'custom_eligibility_criteria' AND len(nums) > 0 THEN CASE WHEN len(hit) * 10 >= len(nums) * 6 THEN instr(low, hit[1]) END
+        WHEN regexp_matches(num, '^[0-9][0-9.]*$') AND instr(low, substr(num, 1, 8)) > 0 THEN instr(low, substr(num, 1, 8))
+        WHEN length(v) > 2 AND instr(low, lower(v)) > 0 THEN instr(low, lower(v)) WHEN len(words) > 0 AND len(list_filter(words, lambda w: NOT contains(low, w))) = 0 THEN instr(low, words[1]) END AS p
+    FROM (SELECT *, list_filter(nums, lambda n: contains(t, n)) AS hit, list_filter(regexp_extract_all(lower(v), '\w+'), lambda w: length(w) > 2)[:4] AS words FROM (
+        SELECT *, lower(t) AS low, regexp_replace(v, '[%₹,]', '', 'g') AS num, list_filter(regexp_extract_all(v, '[0-9]+([.,][0-9]+)?'), lambda x, i: list_position(regexp_extract_all(v, '[0-9]+([.,][0-9]+)?'), x) = i) AS nums FROM (
+            SELECT q.*, trim(regexp_replace(trim(n.text, ' '), '\s+', ' ', 'g')) AS t, trim(regexp_replace(value, '\s+', ' ', 'g')) AS v FROM (""" + " UNION ALL ".join(f"SELECT k AS doc_id, '{name}' AS field_name, {value} AS value, {'true' if name == 'flag' else 'false'} AS is_flag FROM (SELECT o_orderkey AS k FROM {{orders}})" for name, value in _VALUES.items()) + r""") q JOIN {narratives} n ON n.doc_id = q.doc_id))))""")
+def _(get):
+    asked = get("orders").select(F.col("o_orderkey").alias("k"))
+    rows = F.array(*[F.struct(F.lit(name).alias("field_name"), F.expr(value).alias("value"), F.lit(name == "flag").alias("is_flag")) for name, value in _VALUES.items()])
+    predictions = asked.select(F.col("k").alias("doc_id"), F.explode(rows).alias("r")).select("doc_id", "r.*")
+    return St.anchor_check(predictions, get("narratives"))
+
+
 @query("x20_heuristic_fill", f"SELECT doc_id, 'cap' AS field_name, {found('maximum of ([0-9]+)%')} AS value FROM {{clause_docs}} WHERE doc_id % 2 = 0 AND {found('maximum of ([0-9]+)%')} IS NOT NULL UNION ALL SELECT doc_id, 'quantity', {found('Total Quantity: ([0-9]+)')} FROM {{clause_docs}} WHERE doc_id % 3 = 0")
 def _(get):
     docs = get("clause_docs")
