@@ -82,6 +82,52 @@ def schedules(blocks: DataFrame) -> DataFrame:
     return rows.groupBy(*P.PAGE, "segment").agg(F.map_from_entries(entries).alias("specs"), F.count("*").alias("n"))
 
 
+# fixed values: words that make a column's role, rows that are specifications, items and ends of tables
+ROLES = {"consignee_name": r"consignee|reporting|officer", "consignee_address": r"address|पता", "quantity": r"quantity|मात्रा", "delivery_days": r"delivery|days"}
+SPECIFICATION = r"battery capacity|nominal battery voltage|battery voltage|capacity at 10-h|voltage|capacity|specification|oem"
+NOT_SPECIFICATION = r"dated|schedule|consignee|delivery"
+ITEM = r"(?i)^(.{5,120}?)\(\s*(\d+)\s*(?:pieces|piece|pcs|nos|no|qty)?\s*\)"
+SCHEDULE = r"(?i)Schedule\s*(\d+)"
+TABLE_END = r"total|योग|schedule"
+
+
+def schedule_records(blocks: DataFrame, tolerance: int = 12) -> DataFrame:
+    """Schedules of pages with consignee, quantity, days, item and specifications, out of the lines of their tables.
+
+    A line with a consignee and a quantity or days heads a table: its cells' words are the columns' roles until a line of totals or a schedule. A line
+    that names a schedule, or a further item with its number of pieces, begins the next. Of several values the last counts; a number in the item's
+    line stands in for a missing quantity. Lines are clustered page by page, and states are windows over them. Columns doc_id, page_no,
+    schedule, one for each role, item and specs (name=value in the order of lines)."""
+    cells = P.cluster_lines(blocks, tolerance).join(blocks.select(*BLOCK, "x1", "text"), BLOCK)
+    lines = cells.groupBy(*P.PAGE, "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("x1", "ord", "text"))), lambda c: F.trim(c["text"])).alias("cells")).withColumn("t", F.array_join("cells", " "))
+    low = F.lower("t")
+    heads = low.rlike(ROLES["consignee_name"]) & (low.rlike(ROLES["quantity"]) | low.rlike(ROLES["delivery_days"]))
+    role_of = lambda c: F.coalesce(*[F.when(F.lower(c).rlike(words), role) for role, words in ROLES.items()])
+    several = F.size("cells") >= 2
+    spec = several & F.lower(F.col("cells")[0]).rlike(SPECIFICATION) & ~F.lower(F.col("cells")[0]).rlike(NOT_SPECIFICATION)
+    number, item = F.regexp_extract("t", SCHEDULE, 1).try_cast("int"), F.nullif(F.regexp_extract("t", ITEM, 0), F.lit(""))
+    kind = F.when(number.isNotNull(), "schedule").when(item.isNotNull(), "item").when(spec, "spec").when(heads, "head").when(low.rlike(TABLE_END), "end").otherwise("body")
+    order = Window.partitionBy(*P.PAGE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    # the end of a table is a head without columns
+    roles = F.when(F.col("kind") == "head", F.transform("cells", role_of)).when(F.col("kind").isin("end", "schedule"), F.array().cast("array<string>"))
+    named = F.when(F.col("kind") == "schedule", F.struct("line", number.alias("number")))
+    told = lines.withColumn("kind", kind).withColumn("roles", F.last(roles, ignorenulls=True).over(order)).withColumn("named", F.last(named, ignorenulls=True).over(order)).withColumn("item", F.when(F.col("kind") == "item", item))
+    since = Window.partitionBy(*P.PAGE, "named.line").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    further = F.greatest(F.lit(0), F.count("item").over(since) - 1)
+    placed = told.withColumn("schedule", (F.coalesce("named.number", F.lit(1)) + further).cast("int"))
+    value = lambda role: F.when((F.col("kind") == "body") & several, F.get(F.col("cells"), (F.array_position("roles", F.lit(role)) - 1).cast("int")))
+    digits = lambda role: F.nullif(F.regexp_replace(value(role), r"\D", ""), F.lit("")).try_cast("int")
+    pieces = F.when(F.col("kind") == "item", F.regexp_extract("t", ITEM, 2).try_cast("int"))
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.col("cells")[0], r"^[^a-zA-Z0-9\s]+", ""), r"^[/\\_.:\-]+\s*", ""))
+    entry = F.when(F.col("kind") == "spec", F.struct("line", F.concat(name, F.lit("="), F.array_join(F.slice("cells", 2, 1000), " ")).alias("text")))
+    last = lambda c, by="line": F.max_by(c, F.when(c.isNotNull(), F.col(by)))
+    found = placed.withColumn("own", F.coalesce(*[value(r) for r in ROLES])).where("own is not null or kind in ('item', 'spec')")
+    return found.groupBy(*P.PAGE, "schedule").agg(
+        last(value("consignee_name")).alias("consignee_name"), last(value("consignee_address")).alias("consignee_address"), F.coalesce(last(digits("quantity")), last(pieces)).alias("quantity"), last(digits("delivery_days")).alias("delivery_days"),
+        last(F.col("item")).alias("item"), F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), ";").alias("specs"),
+    )
+
+
 def clause_tables(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     """Texts of the blocks in table regions by the header above them, in bins of ten in y, then in x order."""
     inside = P.contained_blocks(blocks, regions.where("region_type = 'table'")).select(*BLOCK).distinct()

@@ -63,6 +63,30 @@ def _(get):
     return C.schedules(get("blocks")).select("doc_id", "page_no", "segment", specs.alias("specs"), "n")
 
 
+def _roles(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({c}), '{words}') THEN '{role}'" for role, words in C.ROLES.items()) + " END"
+
+
+_VALUE = {role: f"CASE WHEN kind = 'body' AND len(cells) >= 2 THEN cells[list_position(roles, '{role}')] END" for role in C.ROLES}
+_LAST = "arg_max({0}, line) FILTER ({0} IS NOT NULL)"
+
+
+@query("x16_schedule_records", f"""WITH l AS (SELECT doc_id, page_no, CAST(floor(y1 / 30) AS BIGINT) AS line, list(trim(text, ' ') ORDER BY x1, ord) AS cells FROM {{schedule_blocks}} GROUP BY ALL),
+    k AS (SELECT *, array_to_string(cells, ' ') AS t, TRY_CAST(regexp_extract(array_to_string(cells, ' '), '{C.SCHEDULE}', 1) AS INTEGER) AS number, nullif(regexp_extract(array_to_string(cells, ' '), '{C.ITEM}', 0), '') AS item0 FROM l),
+    q AS (SELECT *, CASE WHEN number IS NOT NULL THEN 'schedule' WHEN item0 IS NOT NULL THEN 'item' WHEN len(cells) >= 2 AND regexp_matches(lower(cells[1]), '{C.SPECIFICATION}') AND NOT regexp_matches(lower(cells[1]), '{C.NOT_SPECIFICATION}') THEN 'spec'
+        WHEN regexp_matches(lower(t), '{C.ROLES["consignee_name"]}') AND regexp_matches(lower(t), '{C.ROLES["quantity"]}|{C.ROLES["delivery_days"]}') THEN 'head' WHEN regexp_matches(lower(t), '{C.TABLE_END}') THEN 'end' ELSE 'body' END AS kind FROM k),
+    r AS (SELECT *, last_value(CASE WHEN kind = 'head' THEN list_transform(cells, lambda c: {_roles("c")}) WHEN kind IN ('end', 'schedule') THEN CAST([] AS VARCHAR[]) END IGNORE NULLS) OVER w AS roles,
+        last_value(CASE WHEN kind = 'schedule' THEN line END IGNORE NULLS) OVER w AS since, last_value(CASE WHEN kind = 'schedule' THEN number END IGNORE NULLS) OVER w AS named, CASE WHEN kind = 'item' THEN item0 END AS item
+        FROM q WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line ROWS UNBOUNDED PRECEDING)),
+    s AS (SELECT *, CAST(coalesce(named, 1) + greatest(0, count(item) OVER (PARTITION BY doc_id, page_no, since ORDER BY line ROWS UNBOUNDED PRECEDING) - 1) AS INTEGER) AS schedule FROM r),
+    v AS (SELECT *, {", ".join(f"{x} AS {role}" for role, x in _VALUE.items())}, CASE WHEN kind = 'item' THEN TRY_CAST(regexp_extract(t, '{C.ITEM}', 2) AS INTEGER) END AS pieces FROM s),
+    d AS (SELECT *, TRY_CAST(nullif(regexp_replace(quantity, '[^0-9]', '', 'g'), '') AS INTEGER) AS quantity_, TRY_CAST(nullif(regexp_replace(delivery_days, '[^0-9]', '', 'g'), '') AS INTEGER) AS days_ FROM v WHERE coalesce(consignee_name, consignee_address, quantity, delivery_days) IS NOT NULL OR kind IN ('item', 'spec'))
+    SELECT doc_id, page_no, schedule, {_LAST.format("consignee_name")} AS consignee_name, {_LAST.format("consignee_address")} AS consignee_address, coalesce({_LAST.format("quantity_")}, {_LAST.format("pieces")}) AS quantity, {_LAST.format("days_")} AS delivery_days, {_LAST.format("item")} AS item,
+        coalesce(string_agg(trim(regexp_replace(cells[1], '^[^a-zA-Z0-9\\s]+', '')) || '=' || array_to_string(cells[2:], ' '), ';' ORDER BY line) FILTER (kind = 'spec'), '') AS specs FROM d GROUP BY ALL""")
+def _(get):
+    return C.schedule_records(get("schedule_blocks"))
+
+
 @query("x17_clause_tables", f"WITH t AS (SELECT DISTINCT doc_id, page_no, ord FROM (SELECT b.doc_id, b.page_no, b.ord, b.x1 + b.x2 BETWEEN 2 * r.x1 AND 2 * r.x2 AND b.y1 + b.y2 BETWEEN 2 * r.y1 AND 2 * r.y2 AS centre, {SHARED} AS shared, (b.x2 - b.x1) * (b.y2 - b.y1) AS area FROM {{blocks}} b JOIN {{regions}} r ON b.doc_id = r.doc_id AND b.page_no = r.page_no WHERE r.region_type = 'table') WHERE centre OR (area > 0 AND 2 * shared >= area)), h AS (SELECT * FROM (SELECT b.doc_id, b.page_no, b.ord, b.x1, b.y1, b.text, h.ord AS header_ord, row_number() OVER (PARTITION BY b.doc_id, b.page_no, b.ord ORDER BY h.y1 DESC, h.ord DESC) AS rn FROM {{blocks}} b JOIN (SELECT * FROM {{blocks}} WHERE is_header) h ON b.doc_id = h.doc_id AND b.page_no = h.page_no AND h.y1 < b.y1 WHERE NOT b.is_header) WHERE rn = 1) SELECT h.doc_id, h.page_no, h.header_ord, string_agg(h.text, ' ' ORDER BY CAST(floor(h.y1 / 10) AS BIGINT), h.x1, h.ord) AS text FROM h JOIN t ON t.doc_id = h.doc_id AND t.page_no = h.page_no AND t.ord = h.ord GROUP BY 1, 2, 3")
 def _(get):
     return C.clause_tables(get("blocks"), get("regions"))

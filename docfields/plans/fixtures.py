@@ -16,6 +16,15 @@ ORD = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partk
 
 LABELS = ["Bid Validity (Days)", "Payment Terms", "Custom Rules", "Contract Period"]
 
+#: Cells of pages with schedules: (line, column, text as SQL over k and c, pages that have it).
+SCHEDULE_CELLS = (
+    (0, 0, "'BUYER ' || CAST(c AS STRING)", "true"), (1, 0, "'Schedule ' || CAST(1 + k % 2 AS STRING)", "k % 3 <> 0"), (2, 0, "'12V battery set VRLA ( ' || CAST(c % 90 AS STRING) || ' pieces )'", "k % 2 = 0"), (3, 0, "': Battery Capacity'", "k % 4 <> 1"), (3, 1, "'100 Ah'", "k % 4 <> 1"), (3, 2, "'at C10'", "k % 8 = 0"),
+    (4, 0, "'S.No'", "k % 5 <> 4"), (4, 1, "'Consignee Reporting/Officer'", "k % 5 <> 4"), (4, 2, "'Address'", "k % 5 <> 4"), (4, 3, "'Quantity'", "k % 5 <> 4"), (4, 4, "'Delivery Days'", "k % 5 < 3"),
+    (5, 0, "'1'", "true"), (5, 1, "'A. Rao'", "true"), (5, 2, "'Unit ' || CAST(c % 7 AS STRING) || ', Pune'", "true"), (5, 3, "CAST(c % 60 AS STRING) || ' nos'", "true"), (5, 4, "'30 Days'", "k % 2 = 1"),
+    (6, 0, "'2'", "k % 7 < 3"), (6, 1, "'B. Sen'", "k % 7 < 3"), (6, 2, "'Delhi'", "k % 7 < 2"), (7, 0, "'Total'", "k % 3 <> 1"), (7, 1, "CAST(c AS STRING)", "k % 3 <> 1"), (8, 0, "'3'", "true"), (8, 1, "'C. Das'", "true"), (8, 2, "'Goa'", "true"), (8, 3, "'n/a'", "true"),
+    (9, 0, "'Inverter 5 kVA unit (7 nos)'", "k % 4 = 0"), (10, 0, "'OEM voltage'", "k % 3 = 0"), (10, 1, "'48 V'", "k % 3 = 0"),
+)
+
 VIEWS = {
     "occurrences": f"""
         SELECT tender_id, ord, CASE ord % 3 WHEN 0 THEN 'tender_value' WHEN 1 THEN 'pbg_percentage' ELSE 'courier_address' END AS field_name,
@@ -80,6 +89,10 @@ VIEWS = {
           || CASE c % 3 WHEN 0 THEN 'Name of Competent Authority: Narasingha Rao' || chr(10) || 'Designation of Competent Authority: CM' || chr(10) ELSE '' END
           || CASE k % 3 WHEN 0 THEN 'See BOQ_1 and corrigendum 2. Then annexure-ii.PDF again? Volume III.' WHEN 1 THEN 'The BOQ is here. Schedule 4 holds.' ELSE '' END AS text
         FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {orders}) o""",
+    "schedule_blocks": " UNION ALL ".join(
+        f"SELECT CAST(floor(k / 2) AS BIGINT) AS doc_id, CAST(1 + k % 2 AS BIGINT) AS page_no, CAST({line * 10 + column} AS BIGINT) AS ord, CAST({column * 150} AS BIGINT) AS x1, CAST({line * 30} + (k + {column}) % 5 AS BIGINT) AS y1, {text} AS text FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {{orders}}) o WHERE {where}"
+        for line, column, text, where in SCHEDULE_CELLS
+    ),
     # lines of many kinds, so that rules meet values of other rules
     "tender_lines": """
         SELECT CAST(floor(k / 8) AS BIGINT) AS doc_id, CAST(1 + floor(k / 4) % 2 AS BIGINT) AS page_no, CAST(1 + k % 4 AS BIGINT) AS ord, CASE CAST(floor(k / 4) AS BIGINT) * 3 % 29 + k % 2
