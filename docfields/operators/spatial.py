@@ -89,6 +89,19 @@ def segments(blocks: DataFrame) -> DataFrame:
     return marked.where((F.col("any") == 0) | F.col("h").isNotNull()).select(*PAGE, "ord", F.coalesce("h.ord", F.lit(0)).alias("segment"))
 
 
+# fixed values: characters of ticked and empty boxes
+CHECKED, UNCHECKED = "\uf050þ✔☑", "\uf04f¨☐"
+
+
+def glyph_states(blocks: DataFrame) -> DataFrame:
+    """A row for each box character of blocks (text, font if there is one) with its state: CHECKED, UNCHECKED, or AMBIGUOUS_CHECKBOX for any other
+    character of a wingdings font."""
+    font = F.contains(F.lower("font"), F.lit("wingdings")) if "font" in blocks.columns else F.lit(False)
+    chars = blocks.select("*", F.posexplode(F.split("text", "")).alias("place", "glyph")).where("glyph != ''")
+    state = F.when(F.contains(F.lit(CHECKED), F.col("glyph")), "CHECKED").when(F.contains(F.lit(UNCHECKED), F.col("glyph")), "UNCHECKED").when(F.coalesce(font, F.lit(False)), "AMBIGUOUS_CHECKBOX")
+    return chars.withColumn("state", state).where("state is not null")
+
+
 def glyph_labels(glyphs: DataFrame, labels: DataFrame) -> DataFrame:
     """The nearest label of each glyph, centres within 25 in y; ties go to the first."""
     a, b = _as(glyphs, "a", "ord", "x1", "y1", "x2", "y2"), _as(labels, "b", "ord", "x1", "y1", "x2", "y2")

@@ -41,7 +41,7 @@ def _anchored(rule: tuple) -> str:
 _NEAR = " UNION ALL ".join(f"SELECT a.doc_id, a.page_no, a.ord, a.field_name, v, row_number() OVER (PARTITION BY a.doc_id, a.page_no, a.ord ORDER BY d, o) AS rn FROM (SELECT a.*, b.ord AS o, {DX} * {DX} + {DY} * {DY} AS d, (SELECT {TYPED[kind]} FROM (SELECT trim(b.text) AS t)) AS v FROM a JOIN b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.ord <> b.ord WHERE a.field_name = '{name}' AND ((b.x1 >= a.x2 AND abs({DY}) < 60) OR (b.y1 >= a.y2 AND abs({DX}) < 300)) AND {DX} * {DX} + {DY} * {DY} < 90000) a WHERE v IS NOT NULL" for name, _, _, kind in _RULES)
 
 
-@query("x14_field_candidates", f"""WITH p AS ({_PLACED}), b AS (SELECT *, coalesce((SELECT string_agg(trim(o.text), ' ' ORDER BY o.x1, o.ord) FROM p o WHERE o.doc_id = p.doc_id AND o.page_no = p.page_no AND o.line_no = p.line_no AND o.ord <> p.ord), '') AS rest,
+@query("x14_field_candidates", rf"""WITH p AS ({_PLACED}), b AS (SELECT *, coalesce((SELECT string_agg(trim(o.text), ' ' ORDER BY o.x1, o.ord) FROM p o WHERE o.doc_id = p.doc_id AND o.page_no = p.page_no AND o.line_no = p.line_no AND o.ord <> p.ord), '') AS rest,
         CASE WHEN abs(lead(y1) OVER w - y2) < 50 THEN lead(text) OVER w END AS nxt, trim(regexp_replace(regexp_replace(lower(text), '[/\\_.:\-]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM p WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY ord)),
     a AS ({" UNION ALL ".join(map(_anchored, _RULES))}), n AS ({_NEAR}),
     f AS (SELECT a.*, n.v AS v_near, CASE WHEN v_row IS NOT NULL THEN 'row' WHEN v_same <> trim(text) THEN 'same' WHEN v_next IS NOT NULL THEN 'next' WHEN n.v IS NOT NULL THEN 'near' END AS path FROM a LEFT JOIN n ON n.doc_id = a.doc_id AND n.page_no = a.page_no AND n.ord = a.ord AND n.field_name = a.field_name AND n.rn = 1)

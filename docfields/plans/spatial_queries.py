@@ -72,6 +72,15 @@ def _(get):
     return P.glyph_labels(get("blocks").where("ord % 5 = 0"), get("blocks").where("ord % 5 <> 0"))
 
 
+_GLYPHS = "substr('☑☐þ¨x', CAST(1 + ord % 5 AS INT), 1) || CASE WHEN x1 % 3 = 0 THEN '✔' ELSE ' y' END"
+
+
+@query("j10_glyph_states", f"SELECT doc_id, page_no, ord, place, glyph, CASE WHEN contains('þ✔☑', glyph) THEN 'CHECKED' WHEN contains('¨☐', glyph) THEN 'UNCHECKED' ELSE 'AMBIGUOUS_CHECKBOX' END AS state FROM (SELECT doc_id, page_no, ord, font, unnest(range(length(g))) AS place, unnest(string_split(g, '')) AS glyph FROM (SELECT *, {_GLYPHS} AS g, CASE WHEN ord % 4 = 0 THEN 'Wingdings 2' END AS font FROM {{blocks}})) WHERE contains('þ✔☑¨☐', glyph) OR font IS NOT NULL")
+def _(get):
+    spans = get("blocks").select("doc_id", "page_no", "ord", F.expr(_GLYPHS).alias("text"), F.when(F.col("ord") % 4 == 0, "Wingdings 2").alias("font"))
+    return P.glyph_states(spans).select("doc_id", "page_no", "ord", "place", "glyph", "state")
+
+
 @query("j11_text_in_boxes", "SELECT r.doc_id, r.page_no, r.x1, r.y1, r.x2, r.y2, string_agg(b.text, ' ' ORDER BY b.ord) AS text FROM (SELECT DISTINCT doc_id, page_no, x1, y1, x2, y2 FROM {regions}) r JOIN {blocks} b ON b.doc_id = r.doc_id AND b.page_no = r.page_no WHERE b.x1 < r.x2 + 5 AND b.x2 > r.x1 - 5 AND b.y1 < r.y2 + 5 AND b.y2 > r.y1 - 5 GROUP BY ALL")
 def _(get):
     return P.text_in_boxes(get("regions"), get("blocks"))

@@ -125,7 +125,7 @@ def _(get):
     return streams.sessions(get("job_events"), "30 minutes").select("job_id", "start", "n")
 
 
-@query("st1_ingest_stream")
+@query("st1_ingest_stream", r"""SELECT doc_id, 'title' AS field_name, regexp_extract(text, '^\s*([^.\n]{1,80})', 1) AS value, CAST(floor(length(regexp_replace(text, '[^\p{L}\p{N} \n\r\t]', '', 'g')) * 1000 / greatest(length(text), 1)) AS BIGINT) AS quality FROM {documents} WHERE n_chars > 0 AND regexp_extract(text, '^\s*([^.\n]{1,80})', 1) <> ''""")
 def _(get):
     return streams.ingest(get("documents").where("n_chars > 0"))
 

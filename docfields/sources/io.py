@@ -65,11 +65,30 @@ def validate_files(files: DataFrame, least: int = 1, most: int = 20 << 20) -> Da
     return files.withColumn("kind", kind).withColumn("reason", reason)
 
 
+def _flat(c: str, kind: str) -> Column:
+    """An array, or a text that spells a list, as its entries joined by |; empty entries go."""
+    if kind.startswith("array"):
+        return F.array_join(F.filter(c, lambda x: x != ""), "|")
+    if kind != "string":
+        return F.col(c)
+    entries = F.regexp_extract_all(c, F.lit(r"(?:'([^']*)'|\"([^\"]*)\")"), 0)
+    spelled = F.col(c).rlike(r"^\[\s*(?:(?:'[^']*'|\"[^\"]*\")\s*,?\s*)*\]$")
+    return F.when(spelled, F.array_join(F.filter(F.transform(entries, lambda x: F.substring(x, F.lit(2), F.length(x) - 2)), lambda x: x != ""), "|")).otherwise(F.col(c))
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Columns in the order given; nulls as empty fields, arrays joined by |."""
+    """Columns in the order given; nulls as empty fields, lists joined by |, also those that a text spells."""
     kinds = dict(df.dtypes)
-    flat = [F.array_join(F.filter(c, lambda x: x != ""), "|").alias(c) if kinds[c].startswith("array") else F.col(c) for c in columns]
-    df.select(*flat).write.option("header", True).option("nullValue", "").csv(path)
+    df.select(*[_flat(c, kinds[c]).alias(c) for c in columns]).write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+EVIDENCE = {"tender_id": "tender_id", "field_name": "field_name", "value_raw": "value", "page": "page", "zone": "zone", "conf_pct": "confidence", "score": "score", "ord": "ord"}
+
+
+def write_evidence(occurrences: DataFrame, path: str, buckets: int = 64) -> None:
+    """The eight columns of an audit row, in files by bucket of the tender."""
+    rows = occurrences.select(*[F.col(c).alias(name) for c, name in EVIDENCE.items()]).withColumn("bucket", F.pmod(F.xxhash64("tender_id"), F.lit(buckets)))
+    rows.write.partitionBy("bucket").option("header", True).option("nullValue", "").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -1,13 +1,14 @@
 """Streams of documents, job events and corrections, and the batch forms they must agree with.
 
 Every function takes a DataFrame that may be a stream unless its docstring says batch. Streams run with a checkpoint in the cluster's
-shared folder.
+shared folder, and what they keep between batches is there as well, by batch id, so that a stream goes on after a restart.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,14 +18,66 @@ from docfields.operators import status as St
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (one machine) a new temporary folder is set."""
+    """A new folder in ``spark.checkpoint.dir``; where that is unset, on one machine only, a temporary folder is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Batches after which a stream's parts are merged into one.
+MERGED_EVERY = 16
+
+
+class BatchState:
+    """A table that a stream keeps in a folder: what each batch adds, and now and then all of it merged.
+
+    combine: rows -> rows, the same for rows that it has combined before. A batch writes its own rows alone, as part=<id>; every MERGED_EVERY-th
+    writes base=<id> with all so far and removes what that holds. A batch that is run again after a crash writes the same folders again."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, combine: Callable[[DataFrame], DataFrame]):
+        self.spark, self.folder, self.schema, self.combine = spark, folder, schema, combine
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _ids(self, kind: str) -> list[int]:
+        """Batches with a whole folder of a kind."""
+        root, fs = self._path("")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}=") and fs.exists(self._path(f"{n}/_SUCCESS")[0]))
+
+    def _folders(self, before: int | None = None) -> list[str]:
+        """The last base and the parts after it, of batches before one."""
+        bases, parts = ([i for i in self._ids(kind) if before is None or i < before] for kind in ("base", "part"))
+        last = bases[-1] if bases else -1
+        return [f"base={last}"] * (last >= 0) + [f"part={i}" for i in parts if i > last]
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/{f}" for f in folders])
+
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        """For foreachBatch."""
+        names = [x.split(" ")[0] for x in self.schema.split(", ")]
+        rows = self.combine(batch.select(*[F.col(x.split(" ")[0]).cast(x.split(" ")[1]) for x in self.schema.split(", ")])).select(*names)
+        held = self._folders(batch_id)
+        if len(held) < MERGED_EVERY:
+            rows.write.mode("overwrite").parquet(f"{self.folder}/part={batch_id}")
+            return
+        self.combine(self._read(held).unionByName(rows)).select(*names).write.mode("overwrite").parquet(f"{self.folder}/base={batch_id}")
+        for f in held:
+            path, fs = self._path(f)
+            fs.delete(path, True)
+
+    def table(self) -> DataFrame:
+        folders = self._folders()
+        return self.combine(self._read(folders)) if folders else self.spark.createDataFrame([], self.schema)
+
+
 def job_state(events: DataFrame) -> DataFrame:
     """The last state of each job, its first start, last completion and failures; edits are no state. In a stream: update mode."""
     states = events.where("state != 'edited'")
@@ -80,35 +133,41 @@ def ingest(documents: DataFrame) -> DataFrame:
     return spark.read.schema(candidates.schema).parquet(out)
 
 
-def run_upsert(events: DataFrame) -> DataFrame:
-    """The latest state of each job, kept by a stream whose batches are merged into a table in turn."""
-    spark = events.sparkSession
-    schema = "job_id long, state string, ts timestamp, event_id long"
-    state = {"path": None}
+JOBS = "job_id bigint, state string, ts timestamp, event_id bigint"
+CORRECTIONS = "field_key string, anchor_text string, value string, ts bigint, conv_id bigint, conf_pct bigint"
+
+
+def _latest_jobs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("job_id").agg(F.max_by(F.struct("state", "ts", "event_id"), F.struct("ts", "event_id")).alias("b")).select("job_id", "b.*")
+
+
+def _latest_corrections(rows: DataFrame) -> DataFrame:
+    latest = Window.partitionBy("field_key", F.substring("anchor_text", 1, 100)).orderBy(F.desc("ts"), F.desc("conv_id"))
+    return rows.withColumn("rn", F.row_number().over(latest)).where("rn = 1").drop("rn")
+
 
-    def merge(batch: DataFrame, _: int) -> None:
-        rows = batch.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split(" ") for x in schema.split(", "))])
-        both = rows if state["path"] is None else rows.unionByName(spark.read.schema(schema).parquet(state["path"]))
-        path = shared_folder(spark)
-        both.groupBy("job_id").agg(F.max_by(F.struct("state", "ts", "event_id"), F.struct("ts", "event_id")).alias("b")).select("job_id", "b.*").write.parquet(path)
-        state["path"] = path
+def _kept(source: DataFrame, folder: str, schema: str, combine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a stream over what has arrived, from where the folder's checkpoint stands, and return what it keeps."""
+    state = BatchState(source.sparkSession, f"{folder}/state", schema, combine)
+    source.writeStream.foreachBatch(state.add).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return state.table()
 
-    _streamed(events.select("job_id", "state", "ts", "event_id")).writeStream.foreachBatch(merge).option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    return (spark.read.schema(schema).parquet(state["path"]) if state["path"] else spark.createDataFrame([], schema)).select("job_id", "state", "ts")
+
+def upsert_stream(source: DataFrame, folder: str) -> DataFrame:
+    """The latest state of each job of a stream of events, kept in a folder: called again, also by another session, it goes on."""
+    return _kept(source.select("job_id", "state", "ts", "event_id"), folder, JOBS, _latest_jobs).select("job_id", "state", "ts")
+
+
+def correction_stream(source: DataFrame, folder: str, k: int = 5) -> DataFrame:
+    """``correction_memory`` of a stream of corrections, kept in a folder: called again, it goes on."""
+    return St.correction_memory(_kept(source, folder, CORRECTIONS, _latest_corrections), k)
+
+
+def run_upsert(events: DataFrame) -> DataFrame:
+    """``upsert_stream`` over a batch's rows as files that arrive."""
+    return upsert_stream(_streamed(events.select("job_id", "state", "ts", "event_id")), shared_folder(events.sparkSession))
 
 
 def run_correction_stream(corrections: DataFrame, k: int = 5) -> DataFrame:
-    """``correction_memory`` kept by a stream: each batch is merged with the corrections that still count."""
-    spark = corrections.sparkSession
-    state = {"path": None}
-
-    def merge(batch: DataFrame, _: int) -> None:
-        both = batch if state["path"] is None else batch.unionByName(spark.read.schema(corrections.schema).parquet(state["path"]))
-        latest = Window.partitionBy("field_key", F.substring("anchor_text", 1, 100)).orderBy(F.desc("ts"), F.desc("conv_id"))
-        path = shared_folder(spark)
-        both.withColumn("rn", F.row_number().over(latest)).where("rn = 1").drop("rn").write.parquet(path)
-        state["path"] = path
-
-    _streamed(corrections).writeStream.foreachBatch(merge).option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    kept = spark.read.schema(corrections.schema).parquet(state["path"]) if state["path"] else corrections.limit(0)
-    return St.correction_memory(kept, k)
+    """``correction_stream`` over a batch's rows as files that arrive."""
+    return correction_stream(_streamed(corrections), shared_folder(corrections.sparkSession), k)
