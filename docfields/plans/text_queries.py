@@ -84,7 +84,10 @@ def _(get):
     return Ru.reject_terms(docs, "mode", ("cash", "surety"), 100)
 
 
-@query("j12_fuzzy_label_join")
+@query("j12_fuzzy_label_join", r"""WITH l AS (SELECT doc_id, CAST(k AS INTEGER) AS line_no, trim(regexp_replace(lower(line), '[\x{0900}-\x{097F}]+', ' ', 'g'), ' ') AS t FROM (SELECT doc_id, unnest(p) AS line, unnest(range(len(p))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM {clause_docs}))),
+    a AS (SELECT field_name, lower(field_name) AS anchor, length(field_name) AS n FROM (SELECT field_name FROM {labels4} UNION ALL SELECT unnest(['Total Quantities', 'Delivery Peroid', 'Refer Anexure']))),
+    s AS (SELECT doc_id, line_no, field_name, CAST(floor(100 - 100 * list_min(list_transform(range(1, greatest(1, length(t) - n + 1) + 1), lambda k: levenshtein(substr(t, k, n), anchor))) / n) AS BIGINT) AS score FROM l CROSS JOIN a)
+    SELECT doc_id, line_no, field_name, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY score DESC, field_name) AS rn FROM s WHERE score >= 80) WHERE rn = 1""")
 def _(get):
     labels = get("labels4").select("field_name")
     labels = labels.unionByName(labels.sparkSession.createDataFrame([("Total Quantities",), ("Delivery Peroid",), ("Refer Anexure",)], "field_name string"))
