@@ -278,6 +278,22 @@ class Article(HTMLParser):
             self.texts.append(data)
 
 
+def test_toxicity_on_held_out_rows(spark):
+    """What README says of the threshold: held-out rows of the larger tables, and rows that do not matter to others."""
+    from docfields.llm.toxicity import toxicity
+
+    folder = DATA.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    odd = spark.createDataFrame([(10**9, "ab " * 200_000), (10**9 + 1, "a b"), (10**9 + 1, "a b"), (None, None)], "doc_id long, text string")
+    given = docs.select("doc_id", "text", "lang").unionByName(odd, allowMissingColumns=True).withColumn("score", F.lit("x")).withColumn("held_out", F.lit(7))
+    found = toxicity(given, labels.withColumn("text", F.lit("toxic"))).toPandas()
+    again = found[found.doc_id == 10**9 + 1]
+    assert len(found) == docs.count() + 4 and again.score.nunique() == 1 and found.held_out.notna().all() and not found[found.doc_id.isna()].held_out.any()
+    out = labels.toPandas().dropna(subset=["toxic"]).drop_duplicates("doc_id").merge(found[found.held_out.astype(bool)], on="doc_id")
+    hits = ((out.toxic == 1) & (out.predicted == 1)).sum()
+    assert hits / out.predicted.sum() >= 0.8 and hits / (out.toxic == 1).sum() >= 0.8
+
+
 @pytest.fixture(scope="module")
 def labeller(spark):
     from docfields.llm.html_main import learn
@@ -355,6 +371,36 @@ def test_mixing(spark):
     assert names == ["all"] and abs(alone.toPandas().rate.mean() - 0.5) < 0.01
 
 
+def test_mixing_against_plain_projected_gradient(spark):
+    """Rates are the least squares: a plain accelerated projected gradient over the documents' rates gets no lower."""
+    from docfields.llm import mixing
+
+    rng = random.Random(5)
+    words = {"a": "alpha beta gamma", "b": "kappa sigma beta", "c": "vile nasty alpha"}
+    rows = [(k, " ".join(rng.choices(words[d].split(), k=rng.randint(1, 40))), d, "x", 1.0) for k, d in enumerate(rng.choices("abc", (6, 3, 1), k=300))]
+    rows += [(None, "alpha", "a", "x", 1.0), (3, None, "a", "x", 1.0), (4, "", "b", "x", 1.0), (5, "beta " * 20_000, "b", "x", 1.0)] + rows[:5] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string, posterior string, rate double").repartition(3)
+    rates, domains = mixing.mix(docs, docs.select("doc_id", "domain"), {"b": 0.5, "c": 0.0})
+    found = rates.toPandas()
+    assert len(found) == len(rows)
+    p, n, r = np.stack(found.posterior.to_numpy()), found.n_tokens.to_numpy().astype(float), found.rate.to_numpy()
+    held = (n[:, None] * p).sum(0)
+    aim = held * np.array([{"b": 0.5, "c": 0.0}.get(d, 1.0) for d in domains])
+    weights = np.maximum(held, 1.0) * mixing.RIDGE
+
+    def cost(x):
+        return (((n * x) @ p - aim) ** 2 / weights).sum() + (n * (x - 1) ** 2).sum()
+
+    x = last = np.ones(len(n))
+    root = np.sqrt(n)
+    step = 1 / (np.linalg.eigvalsh((p * n[:, None]).T @ p / np.sqrt(np.outer(weights, weights))).max() + 1)
+    for k in range(1, 40_000):
+        ahead = x + (k - 1) / (k + 2) * (x - last)
+        last, x = x, np.maximum(0, ahead - step * (p @ (((n * ahead) @ p - aim) / weights) + ahead - 1))
+    assert (root > 0).sum() > 300 and cost(r) <= cost(x) * (1 + 1e-4) + 1e-6
+    assert np.abs(r - x)[n > 0].max() < 0.02
+
+
 def test_mixing_rare_domains(spark):
     from docfields.llm.mixing import mix
 
