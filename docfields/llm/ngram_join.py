@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docfields.llm import text as T
 from docfields.llm.components import connected_components
-from docfields.llm.tables import parallelism, with_hot, written
+from docfields.llm.tables import buckets_for, parallelism, with_hot, written
 
 #: Sets below this size index pairs of frequent tokens, others single ones.
 COMBINE_BELOW = 128
@@ -329,7 +329,8 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75, keep: tuple[
     by = np.argsort(tokens)
     order = spark.sparkContext.broadcast((tokens[by], ranks[by]))
 
-    buckets = 4 * parallelism(spark)
+    # a quarter of the words, 17 bytes each
+    buckets = buckets_for(docs, 0.75, 4 * parallelism(spark))
     posted = docs.select("text").mapInArrow(_post(order, buckets, words, percent), "bucket int, keys binary, sets binary, shares binary")
     pairs = written(posted.groupBy("bucket").applyInArrow(_pairs, "a long, b long").distinct())
 

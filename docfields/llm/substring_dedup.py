@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.llm import text as T
-from docfields.llm.tables import parallelism, written
+from docfields.llm.tables import buckets_for, parallelism, written
 
 ANCHOR_WORDS = 12
 #: Entries that a task holds before it sends them on.
@@ -262,7 +262,8 @@ def _cut(with_text: bool):
 
 def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     """(key, spans) of rows (key, text): the merged word spans of windows that start anywhere else too."""
-    buckets = 2 * parallelism(docs.sparkSession)
+    # an anchor in every twelve words or so, 16 bytes each, before equal ones of a task are one
+    buckets = buckets_for(docs, 0.25, 2 * parallelism(docs.sparkSession))
 
     def seeds(words: T.Words, _) -> tuple[np.ndarray, np.ndarray]:
         found = _Seeds(words, window)

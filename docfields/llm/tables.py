@@ -69,6 +69,16 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes that one bucket of index entries holds, about; a task takes a bucket whole.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets_for(docs: DataFrame, share: float, least: int) -> int:
+    """Buckets for entries that are ``share`` of the texts' bytes, counted, so that one stays about BUCKET_BYTES whatever the input."""
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    return max(least, -(-int(size * share) // BUCKET_BYTES))
+
+
 def only(docs: DataFrame, **columns: str) -> DataFrame:
     """The named columns, cast; further columns, whatever their names, do not go along."""
     return docs.select(*[docs[c].cast(kind).alias(c) for c, kind in columns.items()])
