@@ -43,9 +43,9 @@ def search(df: DataFrame, f: Filters) -> DataFrame:
 
 
 def ordered(df: DataFrame, by: str) -> DataFrame:
-    """Deadline first to last, value or confidence from the top; nulls last, ties by id."""
-    order = {"deadline": F.asc_nulls_last("deadline"), "value": F.desc_nulls_last("tender_value"), "confidence": F.desc_nulls_last("parse_confidence")}[by]
-    return df.orderBy(order, "id")
+    """All rows: deadline first to last, value, confidence or update (updated_at) from the top; nulls last, ties by id."""
+    order = {"deadline": ("asc", "deadline"), "value": ("desc", "tender_value"), "confidence": ("desc", "parse_confidence"), "updated": ("desc", "updated_at")}[by]
+    return df.orderBy(F.asc_nulls_last(order[1]) if order[0] == "asc" else F.desc_nulls_last(order[1]), "id")
 
 
 def kpis(df: DataFrame, as_of: Column) -> DataFrame:

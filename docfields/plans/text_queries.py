@@ -185,12 +185,15 @@ def _(get):
     return X.resolve_staged(stages, ["doc_id"])
 
 
-@query("x6_bounded_fallback", f"SELECT doc_id, CASE WHEN d BETWEEN 30 AND 730 THEN CAST(d AS VARCHAR) ELSE cap END AS value, CASE WHEN d BETWEEN 30 AND 730 THEN 'OK' WHEN cap IS NULL THEN 'MISSING' ELSE 'OK_FALLBACK' END AS status FROM (SELECT doc_id, {days('text')} AS d, {found('maximum of ([0-9]+)%')} AS cap FROM {{clause_docs}})")
+_STRICT = found("Delivery Period: ([0-9]+) days")
+
+
+@query("x6_bounded_fallback", f"""SELECT doc_id, CASE WHEN ok THEN v ELSE regexp_extract(q, '([0-9]+ (day|week|month)s?)', 1) END AS value, q AS quote, CASE WHEN ok THEN 'OK' WHEN q IS NOT NULL THEN 'OK_FALLBACK' ELSE 'MISSING' END AS status, NOT ok AND q IS NOT NULL AS needs_review, CASE WHEN ok THEN 85 WHEN q IS NOT NULL THEN 60 ELSE 0 END AS conf_pct
+    FROM (SELECT *, CASE WHEN NOT ok THEN nullif(regexp_extract(substr(text, strpos(text, 'Delivery Period') + 15, 14), '([0-9]+ (day|week|month)s?)', 1), '') END AS q FROM (SELECT doc_id, text, {_STRICT} AS v, coalesce(TRY_CAST({_STRICT} AS INTEGER) BETWEEN 5 AND 730, false) AS ok FROM {{clause_docs}}))""")
 def _(get):
-    days = S.duration_days(F.regexp_extract("text", r"Delivery Period: ([^\n]*)", 1))
-    other = F.nullif(F.regexp_extract("text", "maximum of ([0-9]+)%", 1), F.lit(""))
-    sane = F.coalesce(days.between(30, 730), F.lit(False))
-    return get("clause_docs").select("doc_id", F.when(sane, days.cast("string")).otherwise(other).alias("value"), F.when(sane, "OK").when(other.isNull(), "MISSING").otherwise("OK_FALLBACK").alias("status"))
+    days = F.nullif(F.regexp_extract("text", r"Delivery Period: (\d+) days", 1), F.lit(""))
+    out = X.bounded_fallback(days, days.try_cast("int").between(5, 730), F.col("text"), "Delivery Period", r"(\d+ (?:day|week|month)s?)", 14)
+    return get("clause_docs").select("doc_id", out.alias("r")).select("doc_id", "r.*")
 
 
 @query("x7_clause_terms", f"""SELECT doc_id, TRY_CAST({found('([0-9]+)% of supply value')} AS BIGINT) AS on_receipt, TRY_CAST({found('balance ([0-9]+)%')} AS BIGINT) AS balance,

@@ -25,10 +25,9 @@ def _(get):
     return Wk.search(get("workspace"), Wk.Filters(text="BUILDING", must_not=("low",), live_on=AS_OF, value=(1000, None), emd=(None, 100000))).select("id", "title", "city", "tender_value")
 
 
-@query("t1_sort_workspace", "SELECT id, tender_value, CAST(row_number() OVER (ORDER BY tender_value DESC NULLS LAST, id) AS BIGINT) AS place FROM {workspace} ORDER BY tender_value DESC, id LIMIT 100")
+@query("t1_sort_workspace", "SELECT id, tender_value, deadline FROM {workspace} ORDER BY tender_value DESC NULLS LAST, id")
 def _(get):
-    top = Wk.ordered(get("workspace"), "value").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("tender_value"), "id")).cast("long")).select("id", "tender_value", "place")
+    return Wk.ordered(get("workspace"), "value").select("id", "tender_value", "deadline")
 
 
 @query("a13_workspace_kpis", "SELECT count(*) FILTER (deadline >= DATE '1998-01-01') AS live, count(*) FILTER (parse_status = 'processing') AS ingesting, count(*) FILTER (deadline BETWEEN DATE '1998-01-01' AND DATE '1998-01-08') AS closing_soon, count(*) FILTER (parse_confidence >= 85) AS high_match FROM {workspace}")

@@ -16,6 +16,7 @@ from docfields.operators import resolve as R
 from docfields.operators import rules as Ru
 from docfields.operators import spatial as P
 from docfields.operators import status as St
+from docfields.operators import workspace as Wk
 
 PAIRS = [
     (S.parse_money, "Rs. 1,50,000/-", Decimal(150000)), (S.parse_money, "Rs 2.5 Lakh", Decimal(250000)), (S.parse_money, "3.5 Crores", Decimal(35000000)),
@@ -105,6 +106,46 @@ def test_keyword_windows_take_linear_time(spark):
     assert time.time() - began < 30
 
 
+def test_orders_of_a_workspace(spark):
+    rows = [(1, 5, 10, 80, 3), (2, None, None, None, None), (3, 5, 2, 90, 9), (4, 7, 2, 90, 1)]
+    df = spark.createDataFrame(rows, "id long, deadline int, tender_value int, parse_confidence int, updated_at int").repartition(3)
+    orders = {by: [r["id"] for r in Wk.ordered(df, by).collect()] for by in ("deadline", "value", "confidence", "updated")}
+    assert orders == {"deadline": [1, 3, 4, 2], "value": [1, 3, 4, 2], "confidence": [3, 4, 1, 2], "updated": [3, 1, 4, 2]}
+
+
+def test_slots_of_contacts(spark):
+    """Every document's contacts by a plain loop."""
+    rng = random.Random(2)
+    names = ["Arun Rao", "Meera Sen", "R. K. Das", "Om", "Sen Gupta"]
+    docs, emails = [], []
+    for d in range(60):
+        docs += [(d, k, n) for k, n in enumerate(rng.sample(names, rng.randint(1, 5)))]
+        emails += [(d, k, e) for k, e in enumerate(rng.sample(["arun@x", "sen@y", "info@z", "das.r@q", "gupta.sen@w"], rng.randint(0, 4)))]
+    expected = []
+    for d in range(60):
+        own, taken = [n for i, _, n in docs if i == d][:3], []
+        mails = [e for i, _, e in emails if i == d]
+        for n in own:
+            free = [e for e in mails if e not in taken and any(w in e for w in re.split("[ .]+", n.lower()) if len(w) > 2)]
+            taken.append(free[0] if free else None)
+        for k, t in enumerate(taken):
+            free = [e for e in mails if e not in taken]
+            taken[k] = t if t is not None else free[0] if free else None
+        row = [x for n, e in zip(own, taken) for x in (n, e)]
+        expected.append((d, *row, *[None] * (6 - len(row))))
+    found = X.contact_slots(spark.createDataFrame(docs, "doc_id long, n int, name string"), spark.createDataFrame(emails, "doc_id long, n int, email string"))
+    assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_contacts(spark):
+    text = "Contact Person: Mr. Arun Rao, Phone: 01123456789, email: a.rao@x.org\nNodal Officer: Dr. Meera Sen Extn: 12-345, Delhi 110001\nConsignee: ARUN\nContact: arun rao, b@y.org\nTender Inviting Authority: Om P\nName of Competent Authority: Narasingha Rao\nDesignation of Competent Authority: CM"
+    found = X.contacts(spark.createDataFrame([(1, text), (2, "no one"), (3, None)], "doc_id long, text string")).orderBy("n").collect()
+    assert [tuple(r)[2:] for r in found] == [
+        ("Arun Rao", "Contact Person", "01123456789", "a.rao@x.org", None), ("Meera Sen", "Nodal Officer", "Extn: 12-345", None, "110001"), ("ARUN", "Consignee", None, None, None),
+        ("Om P", "Tender Inviting Authority", None, None, None), ("Narasingha Rao", "Competent Authority", None, None, None),
+    ]
+
+
 def test_plans_have_no_nested_loop(spark):
     from conftest import DATA
     from docfields.catalog import QUERIES
