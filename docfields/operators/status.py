@@ -165,6 +165,26 @@ def review_log(events: DataFrame) -> DataFrame:
     return out.select("job_id", "state", "edits", F.coalesce(done, F.lit(False)).alias("verified"))
 
 
+def apply_review_log(fields: DataFrame, events: DataFrame) -> DataFrame:
+    """Fields (doc_id, field_name, value, status, conf_pct) after a log (doc_id, field_name, action, value, reviewer, ts, event_id) in the order of (ts, event_id).
+
+    An edit sets the value and the status edited, a verify the status verified; a later complete (field_name null) of the document verifies what is
+    extracted or edited by then. reviewer is who acted last on the field or completed it. Fields without events stay; events of unknown fields
+    and documents do nothing. A null value of an edit empties the field."""
+    at = F.struct("ts", "event_id")
+    own = events.where("field_name is not null and action in ('edit', 'verify')").groupBy("doc_id", "field_name").agg(
+        F.max_by(F.struct("value"), F.when(F.col("action") == "edit", at)).alias("edit"), F.max_by(F.struct("action", "reviewer", at.alias("at")), at).alias("last")
+    )
+    done = events.where("action = 'complete'").groupBy("doc_id").agg(F.max_by(F.struct("reviewer", at.alias("at")), at).alias("done"))
+    joined = fields.join(own, ["doc_id", "field_name"], "left").join(done, "doc_id", "left")
+    state = F.when(F.col("last.action") == "edit", "edited").when(F.col("last.action") == "verify", "verified").otherwise(F.col("status"))
+    closed = F.col("done").isNotNull() & (F.col("last").isNull() | (F.col("done.at") > F.col("last.at"))) & state.isin("extracted", "edited")
+    return joined.select(
+        "doc_id", "field_name", F.when(F.col("edit").isNotNull(), F.col("edit.value")).otherwise(F.col("value")).alias("value"), F.when(closed, "verified").otherwise(state).alias("status"),
+        F.when(F.col("edit").isNotNull(), 100).otherwise(F.col("conf_pct")).cast("long").alias("conf_pct"), F.when(closed, F.col("done.reviewer")).otherwise(F.col("last.reviewer")).alias("reviewer"),
+    )
+
+
 def correction_memory(corrections: DataFrame, k: int = 5) -> DataFrame:
     """The latest correction of each field and anchor, then each field's k surest, later ones first."""
     anchor = F.substring("anchor_text", 1, 100)

@@ -76,6 +76,11 @@ VIEWS = {
           CASE c % 2 WHEN 0 THEN '1% per week' END AS ld_percentage, CASE k % 2 WHEN 0 THEN '10%' END AS max_ld_percentage,
           CASE k % 7 WHEN 0 THEN 'A mandatory  site visit.' WHEN 1 THEN 'Bidder shall be deemed to have visited the work sites' WHEN 2 THEN 'Site Visit as wished; buy back' WHEN 3 THEN 'Two packet bid, Local Content' WHEN 4 THEN 'Buyback within 2 days' WHEN 5 THEN '' END AS text
         FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {orders}) o""",
+    "review_events": """
+        SELECT k AS doc_id, 'Payment Terms' AS field_name, 'edit' AS action, 'first' AS value, 'ann' AS reviewer, CAST(c % 10 AS BIGINT) AS ts, CAST(1 AS BIGINT) AS event_id FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {orders}) o WHERE k % 2 = 0
+        UNION ALL SELECT k, 'Payment Terms', 'edit', CASE k % 8 WHEN 0 THEN NULL ELSE 'second' END, 'bob', CAST(k % 10 AS BIGINT), CAST(2 AS BIGINT) FROM (SELECT o_orderkey AS k FROM {orders}) o WHERE k % 4 = 0
+        UNION ALL SELECT k, CASE k % 3 WHEN 0 THEN 'Payment Terms' WHEN 1 THEN 'Custom Rules' ELSE 'unknown' END, 'verify', NULL, 'cy', CAST(k % 7 AS BIGINT), CAST(3 AS BIGINT) FROM (SELECT o_orderkey AS k FROM {orders}) o
+        UNION ALL SELECT k, NULL, 'complete', NULL, 'dan', CAST(k % 6 AS BIGINT), CAST(4 AS BIGINT) FROM (SELECT o_orderkey AS k FROM {orders}) o WHERE k % 3 <> 2""",
     # clauses, contacts and names of documents among words that have nothing to do with them
     "narratives": """
         SELECT k AS doc_id, 'General remarks on the work. ' || CASE k % 5 WHEN 0 THEN 'Payment terms: 80% shall be released on delivery of goods and 20 % after installation. ' WHEN 1 THEN '100% payment within thirty days. ' WHEN 2 THEN 'Payments as per Annexure-II.pdf! '

@@ -139,6 +139,16 @@ def _(get):
     return St.review_log(get("job_events"))
 
 
+@query("r6_apply_review_log", """WITH e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field_name ORDER BY ts DESC, event_id DESC) AS rn, row_number() OVER (PARTITION BY doc_id, field_name, action ORDER BY ts DESC, event_id DESC) AS ra FROM {review_events}),
+    j AS (SELECT m.doc_id, m.field_name, m.value AS v0, m.conf_pct AS c0, CASE m.source_page % 3 WHEN 0 THEN 'missing' ELSE 'extracted' END AS s0, d.doc_id IS NOT NULL AS edited, d.value AS v1, l.action, l.reviewer AS r1, l.ts AS t1, l.event_id AS i1, c.reviewer AS r2, c.ts AS t2, c.event_id AS i2, c.doc_id IS NOT NULL AS completed
+        FROM {main_fields} m LEFT JOIN (SELECT * FROM e WHERE action = 'edit' AND ra = 1) d ON d.doc_id = m.doc_id AND d.field_name = m.field_name LEFT JOIN (SELECT * FROM e WHERE action <> 'complete' AND rn = 1) l ON l.doc_id = m.doc_id AND l.field_name = m.field_name LEFT JOIN (SELECT * FROM e WHERE action = 'complete' AND ra = 1) c ON c.doc_id = m.doc_id),
+    k AS (SELECT *, CASE action WHEN 'edit' THEN 'edited' WHEN 'verify' THEN 'verified' ELSE s0 END AS st FROM j), f AS (SELECT *, completed AND (action IS NULL OR t2 > t1 OR (t2 = t1 AND i2 > i1)) AND st IN ('extracted', 'edited') AS closed FROM k)
+    SELECT doc_id, field_name, CASE WHEN edited THEN v1 ELSE v0 END AS value, CASE WHEN closed THEN 'verified' ELSE st END AS status, CASE WHEN edited THEN 100 ELSE c0 END AS conf_pct, CASE WHEN closed THEN r2 ELSE r1 END AS reviewer FROM f""")
+def _(get):
+    fields = get("main_fields").select("doc_id", "field_name", "value", F.when(F.col("source_page") % 3 == 0, "missing").otherwise("extracted").alias("status"), "conf_pct")
+    return St.apply_review_log(fields, get("review_events"))
+
+
 @query("c23_json_value", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM {job_events}")
 def _(get):
     return get("job_events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
