@@ -190,7 +190,8 @@ def near_copies(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     parts = connected_components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     named = classes.select("key", "rep", "times").join(parts, F.col("key") == F.col("node"), "left").select("key", "rep", "times", F.coalesce("component", "key").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    whole = named.join(lowest, "component").join(links, "key", "left").select("key", "component_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.lit(True).alias("good"))
+    named = written(named)
+    lowest = written(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")))
+    whole = with_hot(named, lowest, "component", named.count()).join(links, "key", "left").select("key", "component_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.lit(True).alias("good"))
     out = rows.select("vec_id", "key", "good").join(whole, ["key", "good"], "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -353,9 +353,9 @@ def near_copies(docs: DataFrame, words: int = 5, percent: int = 75, keep: tuple[
     second = _linked(docs, classes, more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), words, percent)
     parts = connected_components(first.unionByName(second))
 
-    reps = classes.select("key", "rep").join(parts, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
-    lowest = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = reps.join(lowest, "component").select("key", "component_id", "component")
+    reps = written(classes.select("key", "rep").join(parts, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component")))
+    lowest = written(reps.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")))
+    named = with_hot(reps, lowest, "component", reps.count()).select("key", "component_id", "component")
     out = owners.where("n > 0").join(named, "key").unionByName(owners.where("n = 0").withColumn("component_id", F.col("doc_id")), allowMissingColumns=True)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *(["component"] if keep else []), *[F.col(k).alias(c) for k, c in kept.items()])
 
