@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docfields.llm import bpe, language, mixing, ngram_join, substring_dedup
 from docfields.llm.registry import MIX, table
-from docfields.llm.tables import written
+from docfields.llm.tables import with_hot, written
 from docfields.llm.tokens import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,8 +38,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     everything one stays. Null and empty texts are linked with nothing and stay. An empty table gives an empty one. Further columns go."""
     keyed = docs.select(*COLUMNS).withColumn("own", F.xxhash64(*COLUMNS))
     found = written(ngram_join.near_copies(keyed, keep=("own",)).where("component is not null").groupBy("component", "own").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times")))
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("first"))
-    told = written(found.join(first, "component").select("own", (F.col("own") == F.col("first.own")).alias("stays"), "times").where("not stays or times > 1"))
+    first = written(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("first"), F.count("*").alias("n")))
+    told = written(with_hot(found, first, "component", found.count()).select("own", (F.col("own") == F.col("first.own")).alias("stays"), "times").where("not stays or times > 1"))
     gone, repeated = (_small(told.where(c).select("own")) for c in ("not stays", "stays"))
     kept = keyed.join(gone, "own", "left_anti")
     once = kept.join(repeated, "own", "left_semi").dropDuplicates(["own"])
