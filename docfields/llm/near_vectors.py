@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfields.llm.components import connected_components
-from docfields.llm.tables import with_hot, written
+from docfields.llm.tables import parallelism, with_hot, written
 from docfields.llm.top_k import _matrix, finite
 
-#: Vectors of a tile, about.
-TILE = 4096
+#: Vectors of a tile at most, about, and of one that is smaller for the sake of more tasks at least.
+TILE, TILE_LEAST = 4096, 512
 #: Entries of a product that are held at once.
 HELD = 1 << 22
 
@@ -168,7 +168,8 @@ def near_copies(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     width = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
     binned = written(classes.where(norm > 0).withColumn("bin", F.floor(along / length / norm / width)).withColumn("size", F.size("x")))
     place = ["label", "size", "bin"]
-    counts = binned.groupBy(*place).agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE))
+    tile = max(min(TILE, TILE_LEAST), min(TILE, binned.count() // parallelism(vectors.sparkSession)))
+    counts = binned.groupBy(*place).agg(F.count("*").alias("n")).withColumn("tiles", F.ceil(F.col("n") / tile))
     after = counts.select("label", "size", (F.col("bin") - 1).alias("bin"), F.col("tiles").alias("tiles_after"))
     before = counts.select("label", "size", (F.col("bin") + 1).alias("bin"), F.col("tiles").alias("tiles_before"))
     sizes = written(counts.join(after, place, "left").join(before, place, "left"))
