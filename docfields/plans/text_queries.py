@@ -216,6 +216,11 @@ def _party(f: str) -> str:
 _INSTEAD = r"regexp_matches(guarantee, '(?i)(in\s+lieu\s+of|in\s+place\s+of|instead\s+of|substituted\s+for)\s+(performance\s+)?(security\s+deposit|performance\s+security|SD)')"
 
 
+def _stretches(f: str) -> str:
+    marked = rf"regexp_replace(text, '(?i)({X.FAMILIES[f][0]})', chr(1) || '\1' || chr(2), 'g')"
+    return f"translate(array_to_string(regexp_extract_all({marked}, '{X.window_pattern(f)}', 1), ' '), chr(1) || chr(2), '') AS {f}"
+
+
 @query("x7_clause_windows", rf"""SELECT doc_id, coalesce(regexp_extract({_read('payment', X.ON_SUPPLY)}, '^\d{{1,3}}\s*%'), CASE WHEN {_read('payment', X.ON_INSTALLATION)} IS NULL AND regexp_matches(payment, '(?i)100\s*%\s*payment') THEN '100% (single milestone)' END) AS supply_pct,
     regexp_extract({_read('payment', X.ON_INSTALLATION)}, '^\d{{1,3}}\s*%') AS installation_pct, CASE WHEN damages <> '' THEN 'Yes' END AS ld_applicable, {_read('damages', *X.PER_WEEK)} AS ld_per_week, {_read('damages', X.AT_MOST, group=1)} AS ld_max,
     {_read('damages', '(?i)' + chr(92) + 'bclause' + chr(92) + 's*(?:no[.]?' + chr(92) + 's*)?([0-9]+([.][0-9]+)*)', group=1)} AS ld_clause, {_read('eligibility', '(?i)([0-9]{1,2}|one|two|three|four|five|six|seven|eight|nine|ten)' + chr(92) + 's*years?')} AS years,
@@ -226,7 +231,7 @@ _INSTEAD = r"regexp_matches(guarantee, '(?i)(in\s+lieu\s+of|in\s+place\s+of|inst
     CASE WHEN {_INSTEAD} THEN 'Not Applicable - ePBG in lieu' WHEN deposit = '' THEN NULL WHEN regexp_matches(deposit, '(?i)exempt|not required|no security deposit|not applicable') THEN 'No' ELSE 'Yes' END AS deposit_required,
     CASE WHEN NOT {_INSTEAD} THEN {_read('deposit', '[0-9]{1,2}([.][0-9]+)? *%')} END AS deposit_pct, CASE WHEN NOT {_INSTEAD} THEN {_read('deposit', '(?i)[0-9]{1,3} *months?')} END AS deposit_months,
     CASE WHEN papers = '' THEN 'No' ELSE 'Yes' END AS papers_required, {_read('papers', '(?i)within +[0-9]{1,2} *days|[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}')} AS papers_deadline, {_read('papers', '(?i)original +[A-Za-z ]+?(instrument|certificate|affidavit|document)')} AS papers_type
-    FROM (SELECT doc_id, {", ".join(f"array_to_string(regexp_extract_all(text, '{X.window_pattern(f)}', 1), ' ') AS {f}" for f in X.FAMILIES)} FROM {{narratives}})""")
+    FROM (SELECT doc_id, {", ".join(map(_stretches, X.FAMILIES))} FROM {{narratives}})""")
 def _(get):
     return X.clause_windows(get("narratives"))
 
