@@ -28,16 +28,18 @@ def _partial(a: str, b: str) -> int:
     short, long = sorted((a, b), key=len)
     if not short:
         return 0
-    best = 0
-    for k in range(max(1, len(long) - len(short) + 1)):
-        window, last = long[k : k + len(short)], [0] * (len(short) + 1)
-        for x in window:
-            row = [0]
-            for j, y in enumerate(short):
-                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-            last = row
-        best = max(best, 200 * last[-1] // (len(window) + len(short)))
-    return best
+    # the longest common subsequence of each window by bits: one whole-number step a character
+    places: dict[str, int] = {}
+    for j, y in enumerate(short):
+        places[y] = places.get(y, 0) | 1 << j
+    full, best = (1 << len(short)) - 1, 0
+    for k in range(len(long) - len(short) + 1):
+        free = full
+        for x in long[k : k + len(short)]:
+            met = free & places.get(x, 0)
+            free = ((free + met) | (free - met)) & full
+        best = max(best, len(short) - free.bit_count())
+    return 200 * best // (2 * len(short))
 
 
 def _fuzzy(a: pd.Series, b: pd.Series) -> pd.Series:

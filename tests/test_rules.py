@@ -78,3 +78,27 @@ def test_fuzzy_labels_in_sections(spark):
     sections = spark.createDataFrame([(x, k) for k, x in enumerate(headers)], "section string, precedence int")
     found = {tuple(r) for r in rules.fuzzy_labels(spark.createDataFrame(docs, "doc_id long, text string"), labels, 80, sections).collect()}
     assert found == brute(docs, names, 80, headers) and (1, 2, "Delivery Period", 100) in found and not any(r[:2] == (1, 5) for r in found)
+
+
+def test_exact_partial_ratio():
+    """The bitwise form against the table of common subsequences."""
+    from docfields.operators.models import _partial
+
+    def plain(a, b):
+        short, long = sorted((a, b), key=len)
+        best = 0
+        for k in range(len(long) - len(short) + 1):
+            window, last = long[k : k + len(short)], [0] * (len(short) + 1)
+            for x in window:
+                row = [0]
+                for j, y in enumerate(short):
+                    row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+                last = row
+            best = max(best, 100 * last[-1] // len(short)) if short else 0
+        return best
+
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices("abc d", k=rng.randint(0, n)))
+    for _ in range(400):
+        a, b = text(12), text(30)
+        assert _partial(a, b) == _partial(b, a) == plain(a, b)
