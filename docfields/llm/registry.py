@@ -85,4 +85,28 @@ def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_top_k, op3_embedding_near_dedup, op4_mixing, op5_language_id, op6_substring_dedup, op7_token_binary, op8_toxicity, op9_html_extraction, op10_bpe_round_trip)}
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.quality import quality
+
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    from docfields.llm.resample import draw
+
+    return draw(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_top_k, op3_embedding_near_dedup, op4_mixing, op5_language_id, op6_substring_dedup, op7_token_binary, op8_toxicity, op9_html_extraction,
+        op10_bpe_round_trip, op11_quality, op12_prefix_trie, op13_importance_resampling,
+    )
+}

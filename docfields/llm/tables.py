@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -82,3 +82,24 @@ def buckets_for(docs: DataFrame, share: float, least: int) -> int:
 def only(docs: DataFrame, **columns: str) -> DataFrame:
     """The named columns, cast; further columns, whatever their names, do not go along."""
     return docs.select(*[docs[c].cast(kind).alias(c) for c, kind in columns.items()])
+
+
+def in_ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """df sorted within partitions that follow each other in this order; equal rows are spread by their place in df."""
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    return placed.repartitionByRange(parallelism(df.sparkSession), *order, "_place").sortWithinPartitions(*order, "_place").drop("_place")
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with ``number``, each row's place (from 1) in this order of all rows; rows alike in it come in either order.
+
+    Only the ranges' sizes, one number each, go through the driver."""
+    # within a partition the ids rise by one; the partition's own number stands above these bits
+    ids = in_ranges(df, *order).withColumn("_id", F.monotonically_increasing_id())
+    held = written(ids.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id"))
+    before, total = [], 0
+    for r in held.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        before.append((r["_part"], total))
+        total += r["n"]
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    return held.join(F.broadcast(offsets), "_part").withColumn("number", F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")
