@@ -370,7 +370,8 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, p
     ids = written(nodes.join(classes, "key").select(F.col("rep").alias("doc_id")))
     few = ids.limit(FILTER_ROWS + 1).count() <= FILTER_ROWS
     texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    sets = written(texts.select("text").mapInArrow(_sets(words), "key long, tokens binary"))
+    # rows that share a doc_id give the same sets again, or others: one row a set, or each pair would meet as often as its rows do
+    sets = written(texts.select("text").mapInArrow(_sets(words), "key long, tokens binary").dropDuplicates(["key"]))
     a, b = (sets.select(F.col("key").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
     return written(_by_pivot(pairs.join(b, "b"), pairs, a, pairs.count()).select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"))
 

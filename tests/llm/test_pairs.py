@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -236,3 +237,16 @@ def test_components(spark):
     part = components({x for l in links for x in l}, links)
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {n: c for n, c in part.items() if n in found} and all(part[n] == n for n in part if n not in found)
+
+
+def test_near_copies_of_many_repeated_rows(spark):
+    """Thousands of rows of one doc_id with a text and with a near copy of it: each set is verified once, not each pair of rows."""
+    from docfields.llm.ngram_join import near_copies
+
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"])]
+    rows = [(i, t) for i in (7, None) for t in texts for _ in range(5000)] + [(8, "alone in the world of words")]
+    began = time.time()
+    found = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).groupBy("doc_id", "component_id").count().collect()
+    assert {(r["doc_id"], r["component_id"], r["count"]) for r in found} == {(7, 7, 10_000), (None, 7, 10_000), (8, 8, 1)}
+    assert time.time() - began < 90
