@@ -6,9 +6,10 @@ one as that allows. A domain's miss counts relative to the tokens w_k that it ho
 
     minimise  1/2 sum_k (S_k - b_k)^2 / w_k  +  ridge / 2 sum_d tokens_d (rate_d - 1)^2,   rate_d >= 0
 
-At the optimum rate_d = max(0, 1 - posterior_d . m) with one multiplier a domain, m_k = (S_k - b_k) / (ridge w_k). So only the
-multipliers are searched, by Newton steps on these equations, which are the gradient of a convex function. No state by document
-is kept: every step is one aggregation over the small table of posteriors.
+The rates go down the gradient, preconditioned by tokens, and back to zero where they fall below it; two spectral step lengths
+alternate (Barzilai and Borwein's, over the rates above zero). All a document needs for a step are the domains' misses, so its rate
+follows from its posterior and the list of steps, and a step is one aggregation over the small table of posteriors. The first steps
+are found on a bounded sample; all documents take them, and the steps go on over all of them until the gradient vanishes.
 """
 
 from __future__ import annotations
@@ -30,13 +31,15 @@ BUCKETS = 1 << 12
 #: Labelled rows that the classifier is fitted on at most, those with the least hash of the id, and their greatest length.
 SAMPLE = 3000
 SAMPLE_CHARS = 50_000
-STEPS = 60
+#: Steps over all documents at most, and over the sample of documents that the first ones are found on.
+STEPS = 400
+START = 20_000
 #: Weight of rates near one. A document purely of a domain with target 0 keeps RIDGE / (1 + RIDGE), whatever the domain's size.
 RIDGE = 1e-4
-#: Steps end when every domain's equation holds within this share of the domain's own tokens.
-CLOSE = 1e-7
-#: Lengths of a step that one aggregation tries.
-LENGTHS = np.array([1, 8, 3, 1.6, 0.8, 0.6, 0.4, 0.2, 0.1, 0.03, 0.01, 1e-3])
+#: Steps end when a projected step of length one would move no rate by more than this.
+CLOSE = 1e-6
+#: After so many steps the rates that they lead to are written; before, they are taken again.
+HELD_STEPS = 16
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,73 +114,142 @@ def posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return only(docs, doc_id="long", text="string").mapInArrow(_posteriors(sent), "doc_id long, n_tokens long, posterior array<double>")
 
 
-def rates_of(posterior: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    return np.maximum(0, 1 - posterior @ multipliers)
+#: A step: its length, and each domain's miss as a share of its own tokens.
+Step = tuple[float, np.ndarray]
+
+
+def _slope(posterior: np.ndarray, rate: np.ndarray, misses: np.ndarray) -> np.ndarray:
+    return posterior @ misses + RIDGE * (rate - 1)
+
+
+def taken(posterior: np.ndarray, rate: np.ndarray, steps: list[Step]) -> np.ndarray:
+    """The rates after these steps."""
+    for length, misses in steps:
+        rate = np.maximum(0, rate - length * _slope(posterior, rate, misses))
+    return rate
+
+
+def rates_of(posterior: np.ndarray, steps: list[Step]) -> np.ndarray:
+    return taken(posterior, np.ones(len(posterior)), steps)
+
+
+def _sums(tokens: np.ndarray, posterior: np.ndarray, rate: np.ndarray, step: Step) -> np.ndarray:
+    """What one step from ``rate`` brings: the domains' totals after it; over the rates that it leaves above zero, the tokens' moves by domain,
+    tokens * posterior * posterior' and squared moves; and the greatest move of a projected step of length one."""
+    new = taken(posterior, rate, [step])
+    moves, free = new - rate, tokens * (new > 0)
+    unit = np.abs(rate - taken(posterior, rate, [(1.0, step[1])]))[tokens > 0]
+    return np.concatenate([(tokens * new) @ posterior, (free * moves) @ posterior, ((posterior * free[:, None]).T @ posterior).ravel(), [free @ moves**2, unit.max(initial=0)]])
+
+
+def _descend(sums, targets: np.ndarray, weights: np.ndarray) -> tuple[list[Step], float]:
+    """Steps until the gradient is CLOSE to nothing, and how close it is. ``sums(step)`` takes the step and returns its ``_sums``."""
+    k, steps, length, off = len(targets), [], 1.0, np.inf
+    now = sums((0.0, np.zeros(k)))[:k]
+    for n in range(STEPS):
+        misses = (now - targets) / weights
+        found = sums((length, misses))
+        after, moved, pairs, square = found[:k], found[k : 2 * k], found[2 * k : -2].reshape(k, k), found[-2]
+        off = found[-1]
+        if off <= CLOSE:
+            break
+        steps.append((length, misses))
+        turn = (after - now) / weights
+        along = turn @ moved + RIDGE * square
+        across = turn @ pairs @ turn + 2 * RIDGE * (turn @ moved) + RIDGE**2 * square
+        length = 1.0 if along <= 0 or across <= 0 else float(square / along if n % 2 else along / across)
+        now = after
+    return steps, float(off)
 
 
 def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def _totals(tried: np.ndarray):
-    """For each row of multipliers tried: the domains' totals in a task's rows, then tokens * posterior * posterior' of the rows with a rate."""
-    m, k = tried.shape
+def _task_sums(steps: list[Step]):
+    k = len(steps[-1][1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * k + k * k + 2)
+        for batch in batches:
+            p, n = _matrix(batch.column(1), k), batch.column(0).to_numpy().astype(float)
+            own = _sums(n, p, taken(p, batch.column(2).to_numpy(), steps[:-1]), steps[-1])
+            total = np.append(total[:-1] + own[:-1], max(total[-1], own[-1]))
+        yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(total.size, dtype=np.int32)), "part": pa.array(total)})
+
+    return run
+
 
+def _advanced(steps: list[Step], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((m, 1 + k, k))
         for batch in batches:
-            p, n = _matrix(batch.column(1), k), batch.column(0).to_numpy()
-            for out, multipliers in zip(total, tried):
-                rate = rates_of(p, multipliers)
-                out[0] += (n * rate) @ p
-                out[1:] += (p * (n * (rate > 0))[:, None]).T @ p
-        yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(total.size, dtype=np.int32)), "part": pa.array(total.ravel())})
+            rate = taken(_matrix(batch.column(1), k), batch.column(2).to_numpy(), steps)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rate)], ["n_tokens", "posterior", "rate"])
 
     return run
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray) -> np.ndarray:
-    """The multipliers of the fitted rates, for ``rates_of``; targets: tokens by domain.
-
-    members: n_tokens and posterior. A step brings len(LENGTHS) * (k + k * k) sums for k domains to the driver. Warns if the
-    equations do not hold within CLOSE after STEPS steps."""
-    k = len(targets)
-    members = members.select("n_tokens", "posterior")
-
-    def totals(tried: np.ndarray) -> np.ndarray:
-        rows = members.mapInArrow(_totals(tried), "place int, part double").groupBy("place").agg(F.sum("part").alias("part")).collect()
-        out = np.zeros(len(tried) * (1 + k) * k)
-        for r in rows:
-            out[r["place"]] = r["part"]
-        return out.reshape(-1, 1 + k, k)
-
-    def misses(multipliers: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return RIDGE * weights * multipliers - (total[..., 0, :] - targets)
-
-    at, now = np.zeros(k), totals(np.zeros((1, k)))[0]
-    weights = np.maximum(now[0], 1.0)
-    miss = misses(at, now)
-    root = np.sqrt(weights)
-    for _ in range(STEPS):
-        if (np.abs(miss) <= CLOSE * weights).all():
-            return at
-        # in units of each domain's own tokens, so that a rare one does not drown
-        way = -np.linalg.solve(now[1:] / np.outer(root, root) + RIDGE * np.eye(k), miss / root) / root
-        tried = at + LENGTHS[:, None] * way
-        found = totals(tried)
-        # the slope along the way rises from below zero to the least point, so the length of the least slope is nearest to it
-        best = int(np.argmin(np.abs(misses(tried, found) @ way)))
-        at, now = tried[best], found[best]
-        miss = misses(at, now)
-    if not (np.abs(miss) <= CLOSE * weights).all():
-        warnings.warn(f"mixing: after {STEPS} steps the worst domain's equation is off by {(np.abs(miss) / weights).max():.2g} of its tokens", stacklevel=2)
-    return at
-
-
-def _rates(multipliers: np.ndarray):
+class _AllRows:
+    """Steps over a table of members. The rates lie in a table of HELD_STEPS steps ago at most; from there the steps are taken again."""
+
+    def __init__(self, members: DataFrame, k: int, before: list[Step]):
+        self.k, self.steps = k, []
+        self.held = members.select("n_tokens", "posterior", F.lit(1.0).alias("rate"))
+        self._hold(before)
+
+    def _hold(self, steps: list[Step]) -> None:
+        if steps:
+            self.held = written(self.held.mapInArrow(_advanced(steps, self.k), "n_tokens long, posterior array<double>, rate double"))
+
+    def __call__(self, step: Step) -> np.ndarray:
+        if len(self.steps) == HELD_STEPS:
+            self._hold(self.steps)
+            self.steps = []
+        self.steps.append(step)
+        out = np.zeros(2 * self.k + self.k**2 + 2)
+        for r in self.held.mapInArrow(_task_sums(self.steps), "place int, part double").groupBy("place").agg(F.sum("part").alias("sum"), F.max("part").alias("most")).collect():
+            # the order in which tasks come in shows in later digits only
+            out[r["place"]] = float(f"{r['sum' if r['place'] < len(out) - 1 else 'most']:.11e}")
+        return out
+
+
+def _first_steps(members: DataFrame, factors: np.ndarray) -> list[Step]:
+    """Steps found on at most START members, those with the least hash of their row, to the same factors of what these hold."""
+    key = F.xxhash64("doc_id", "n_tokens", "posterior")
+    rows = members.where("n_tokens > 0").select("n_tokens", "posterior", key.alias("h")).orderBy("h", "n_tokens").limit(START).toPandas().sort_values(["h", "n_tokens"])
+    if rows.empty:
+        return []
+    n, p = rows["n_tokens"].to_numpy().astype(float), np.stack(rows["posterior"].to_numpy())
+    held, rate = np.maximum(n @ p, 1.0), np.ones(len(n))
+
+    def sums(step: Step) -> np.ndarray:
+        nonlocal rate
+        out = _sums(n, p, rate, step)
+        rate = taken(p, rate, [step])
+        return out
+
+    return _descend(sums, factors * held, held)[0]
+
+
+def fit_rates(members: DataFrame, factors: np.ndarray) -> list[Step]:
+    """The steps to the fitted rates, for ``rates_of``; factors: the target of each domain as a multiple of the tokens it holds.
+
+    members: doc_id, n_tokens and posterior. A step brings k * k + 2 * k + 2 sums for k domains to the driver. Warns if the projected gradient
+    is not CLOSE to nothing after STEPS steps."""
+    k = len(factors)
+    first = _first_steps(members, factors)
+    held = members.agg(*[F.sum(F.col("n_tokens") * F.col("posterior")[i]) for i in range(k)]).head()
+    totals = np.array([x or 0.0 for x in held])
+    steps, off = _descend(_AllRows(members, k, first), factors * totals, np.maximum(totals, 1.0))
+    if off > CLOSE:
+        warnings.warn(f"mixing: after {STEPS} steps another one of length one would still move the rates by {off:.2g}", stacklevel=2)
+    return first + steps
+
+
+def _rates(steps: list[Step], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rate = rates_of(_matrix(batch.column(2), len(multipliers)), multipliers)
+            rate = rates_of(_matrix(batch.column(2), k), steps)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], ["doc_id", "n_tokens", "posterior", "rate"])
 
     return run
@@ -185,10 +257,10 @@ def _rates(multipliers: np.ndarray):
 
 @dataclass
 class Mix:
-    """What ``fit`` found: rates follow from a document's posterior."""
+    """What was fitted: a rate follows from a document's posterior."""
 
     classifier: Classifier
-    multipliers: np.ndarray
+    steps: list[Step]
 
     @property
     def domains(self) -> list[str]:
@@ -199,10 +271,7 @@ def _fitted(docs: DataFrame, labelled: DataFrame, factors: dict[str, float]) ->
     docs = only(docs, doc_id="long", text="string")
     classifier = learn(docs, labelled)
     members = written(posteriors(docs, classifier))
-    k = len(classifier.domains)
-    held = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("posterior")[i]), F.lit(0.0)).alias(str(i)) for i in range(k)]).head()
-    targets = np.array([held[i] * factors.get(d, 1.0) for i, d in enumerate(classifier.domains)])
-    return Mix(classifier, fit_rates(members, targets)), members
+    return Mix(classifier, fit_rates(members, np.array([factors.get(d, 1.0) for d in classifier.domains]))), members
 
 
 def mix(docs: DataFrame, labelled: DataFrame, factors: dict[str, float]) -> tuple[DataFrame, list[str]]:
@@ -214,14 +283,14 @@ def mix(docs: DataFrame, labelled: DataFrame, factors: dict[str, float]) -> tupl
     without labelled rows there is one domain, all.
     """
     found, members = _fitted(docs, labelled, factors)
-    return members.mapInArrow(_rates(found.multipliers), "doc_id long, n_tokens long, posterior array<double>, rate double"), found.domains
+    return members.mapInArrow(_rates(found.steps, len(found.domains)), "doc_id long, n_tokens long, posterior array<double>, rate double"), found.domains
 
 
 def _with_rates(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sent.value
         for batch in batches:
-            rates = [rates_of(found.classifier.posteriors(words), found.multipliers) for words in T.pieces(batch.column(batch.schema.names.index("text")), fold=True)]
+            rates = [rates_of(found.classifier.posteriors(words), found.steps) for words in T.pieces(batch.column(batch.schema.names.index("text")), fold=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(rates) if rates else np.zeros(0))], [*batch.schema.names, "rate"])
 
     return run
