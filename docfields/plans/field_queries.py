@@ -136,19 +136,19 @@ def _(get):
     return known.groupBy("doc_id").pivot("key", ["bid_validity", "payment_terms"]).agg(F.max_by("value", "ord"))
 
 
-_LABELS = [name for names in R.RENAMES.values() for name in names.split(", ")] + ["Warranty", "tender value"]
-_TAGS = ["parent", "Annexure ", "computed", "BOTH", "gem", "unheard of", "atc_pdf"]
+_LABELS = [*R.RENAMES, "Warranty", "tender value"]
+_TAGS = ["gem_parent_pdf", "atc", "derived", "ambiguous_preserved", "main_tender", "unheard of", "not_available_stage1"]
 
 
-def _in(groups: dict[str, str], c: str) -> str:
-    return f"CASE {c} " + " ".join(f"WHEN '{name}' THEN '{group}'" for group, names in groups.items() for name in names.split(", "))
+def _in(table: dict[str, str], c: str) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{name}' THEN '{label}'" for name, label in table.items())
 
 
 def _pick(values: list[str], c: str) -> str:
     return f"CASE {c} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
 
 
-@query("p15_canonical_label", f"SELECT doc_id, ord, {_in(R.RENAMES, 'trim(raw)')} ELSE raw END AS label, {_in(R.SOURCES, 'lower(trim(tag))')} ELSE 'derived' END AS source FROM (SELECT doc_id, ord, {_pick(_LABELS, f'(doc_id * 4 + ord) % {len(_LABELS)}')} AS raw, {_pick(_TAGS, 'source_page % 7')} AS tag FROM {{main_fields}})")
+@query("p15_canonical_label", f"SELECT doc_id, ord, {_in(R.RENAMES, 'trim(raw)')} ELSE raw END AS label, CASE WHEN tag = 'atc' OR tag = 'derived' OR tag = 'ambiguous_preserved' THEN tag ELSE 'main_tender' END AS source FROM (SELECT doc_id, ord, {_pick(_LABELS, f'(doc_id * 4 + ord) % {len(_LABELS)}')} AS raw, {_pick(_TAGS, 'source_page % 7')} AS tag FROM {{main_fields}})")
 def _(get):
     raw = F.element_at(F.array(*map(F.lit, _LABELS)), ((F.col("doc_id") * 4 + F.col("ord")) % len(_LABELS) + 1).cast("int"))
     tag = F.element_at(F.array(*map(F.lit, _TAGS)), (F.col("source_page") % 7 + 1).cast("int"))

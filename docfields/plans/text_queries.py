@@ -216,9 +216,29 @@ def _party(f: str) -> str:
 _INSTEAD = r"regexp_matches(guarantee, '(?i)(in\s+lieu\s+of|in\s+place\s+of|instead\s+of|substituted\s+for)\s+(performance\s+)?(security\s+deposit|performance\s+security|SD)')"
 
 
+# families' words and reaches, as the survey lists them
+_SAID = {
+    "payment": (r"payment\s+terms?|payment\s+shall\s+be|released\s+on|against\s+(?:delivery|supply)|\bpayments?\b", 30, 400),
+    "damages": (r"liquidated\s+damages|\bLD\b", 30, 350),
+    "eligibility": (r"experience|similar\s+(?:nature\s+of\s+)?work", 30, 350),
+    "turnover": (r"annual\s+turnover|\bAATO\b", 30, 300),
+    "capital": (r"working\s+capital", 30, 250),
+    "solvency": (r"solvency\s+certificate", 30, 250),
+    "worth": (r"net\s*worth", 30, 250),
+    "deposit": (r"security\s+deposit|\bSD\b", 30, 300),
+    "guarantee": (r"e?PBG", 30, 300),
+    "papers": (r"hard\s*cop(?:y|ies)|physical\s+(?:submission|copy|document)|original\s+documents?\s+[\w\s]{0,30}?(?:sent|submitted|received|postal)|postal\s+address|\bcourier\b|address\s+for\s+submission", 30, 400),
+}
+
+
 def _stretches(f: str) -> str:
-    marked = rf"regexp_replace(text, '(?i)({X.FAMILIES[f][0]})', chr(1) || '\1' || chr(2), 'g')"
-    return f"translate(array_to_string(regexp_extract_all({marked}, '{X.window_pattern(f)}', 1), ' '), chr(1) || chr(2), '') AS {f}"
+    """Islands of meeting intervals around a family's words, cut from the text by their bounds; words are placed by the lengths of what lies between them."""
+    words, before, after = _SAID[f]
+    word = f"(?i)(?:{words})"
+    return f"""(SELECT doc_id, string_agg(substr(text, CAST(low AS INTEGER) + 1, CAST(high - low AS INTEGER)), ' ' ORDER BY low) AS {f} FROM (SELECT doc_id, any_value(text) AS text, min(low) AS low, max(high) AS high FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM (SELECT *, CASE WHEN low <= max(high) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (
+        SELECT doc_id, text, k, greatest(b - length(word) - {before}, 0) AS low, least(b + {after}, length(text)) AS high FROM (SELECT *, sum(length(part) + length(word)) OVER (PARTITION BY doc_id ORDER BY k) AS b FROM (
+        SELECT doc_id, text, unnest(w) AS word, unnest(p[1:len(w)]) AS part, unnest(range(len(w))) AS k FROM (SELECT doc_id, text, regexp_extract_all(text, '{word}') AS w, string_split_regex(text, '{word}') AS p FROM {{narratives}})))))) GROUP BY doc_id, island) GROUP BY doc_id)"""
 
 
 @query("x7_clause_windows", rf"""SELECT doc_id, coalesce(regexp_extract({_read('payment', X.ON_SUPPLY)}, '^\d{{1,3}}\s*%'), CASE WHEN {_read('payment', X.ON_INSTALLATION)} IS NULL AND regexp_matches(payment, '(?i)100\s*%\s*payment') THEN '100% (single milestone)' END) AS supply_pct,
@@ -231,7 +251,7 @@ def _stretches(f: str) -> str:
     CASE WHEN {_INSTEAD} THEN 'Not Applicable - ePBG in lieu' WHEN deposit = '' THEN NULL WHEN regexp_matches(deposit, '(?i)exempt|not required|no security deposit|not applicable') THEN 'No' ELSE 'Yes' END AS deposit_required,
     CASE WHEN NOT {_INSTEAD} THEN {_read('deposit', '[0-9]{1,2}([.][0-9]+)? *%')} END AS deposit_pct, CASE WHEN NOT {_INSTEAD} THEN {_read('deposit', '(?i)[0-9]{1,3} *months?')} END AS deposit_months,
     CASE WHEN papers = '' THEN 'No' ELSE 'Yes' END AS papers_required, {_read('papers', '(?i)within +[0-9]{1,2} *days|[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}')} AS papers_deadline, {_read('papers', '(?i)original +[A-Za-z ]+?(instrument|certificate|affidavit|document)')} AS papers_type
-    FROM (SELECT doc_id, {", ".join(map(_stretches, X.FAMILIES))} FROM {{narratives}})""")
+    FROM (SELECT doc_id, {", ".join(f"coalesce({f}, '') AS {f}" for f in _SAID)} FROM {{narratives}} {" ".join(f"LEFT JOIN {_stretches(f)} USING (doc_id)" for f in _SAID)})""")
 def _(get):
     return X.clause_windows(get("narratives"))
 
@@ -242,6 +262,23 @@ def _(get):
     return get("clause_docs").select("doc_id", F.contains(text, F.lit("PRICE REDUCTION SCHEDULE")).alias("has_reduction"), F.contains(text, F.lit("Net Worth: Rs")).alias("worth_required"), X.bounded_search(text, "PRICE REDUCTION SCHEDULE", r"maximum of (\d+)%", 100).try_cast("long").alias("cap"))
 
 
+_REFERENCE = r"(?i)(?:cl(?:ause)?[.]?\s*no[.]?\s*\d+(?:[.]\d+)*\s*(?:of\s*)?(?:sec(?:tion)?[\s-]*[ivx0-9]+(?:\s*[(][A-Za-z]+[)])?)?)|(?:cl(?:ause)?[.]?\s*\d+(?:[.]\d+)*)|(?:sec(?:tion)?[\s-]*[ivx0-9]+(?:\s*[(][A-Za-z]+[)])?)|(?:para(?:graph)?[.]?\s*\d+(?:[.]\d+)*)|(?:GCC\s*\d+(?:[.]\d+)*)|(?:SCC\s*\d+(?:[.]\d+)*)"
+
+
+def _references(f: str) -> str:
+    words, before, after = _SAID[f]
+    word = f"(?i)(?:{words})"
+    near = f"nullif(trim(regexp_extract(substr(text, CAST(b AS INTEGER) + 1, {after}), '{_REFERENCE}', 0)), '')"
+    left = f"regexp_extract_all(substr(text, CAST(greatest(b - length(word) - {before}, 0) AS INTEGER) + 1, CAST(least({before}, b - length(word)) AS INTEGER)), '{_REFERENCE}')"
+    return f"""SELECT doc_id, '{f}' AS family, arg_min(ref, k) AS reference FROM (SELECT doc_id, k, coalesce({near}, nullif(trim({left}[-1]), '')) AS ref FROM (SELECT *, sum(length(part) + length(word)) OVER (PARTITION BY doc_id ORDER BY k) AS b FROM (
+        SELECT doc_id, text, unnest(w) AS word, unnest(p[1:len(w)]) AS part, unnest(range(len(w))) AS k FROM (SELECT doc_id, text, regexp_extract_all(text, '{word}') AS w, string_split_regex(text, '{word}') AS p FROM {{narratives}})))) WHERE ref IS NOT NULL GROUP BY doc_id"""
+
+
+@query("x7_clause_references", " UNION ALL ".join(map(_references, ("payment", "damages", "eligibility", "turnover", "capital", "solvency", "worth", "deposit", "papers"))))
+def _(get):
+    return X.clause_references(get("narratives"), ("payment", "damages", "eligibility", "turnover", "capital", "solvency", "worth", "deposit", "papers"))
+
+
 @query("x9_contacts")
 def _(get):
     return X.contacts(get("narratives"))
@@ -302,7 +339,7 @@ def _has(word: str) -> str:
     return "CAST(regexp_matches(lower(text), '(^|\\W)" + word.replace(".", "[.]") + "(\\W|$)') AS INTEGER)"
 
 
-_HITS = {name: " + ".join(_has(w) for w in words.split(", ")) for name, words in Ru.PRODUCTS.items()}
+_HITS = {name: " + ".join(map(_has, words)) for name, words in Ru.PRODUCTS.items()}
 
 
 @query("x12_products", "SELECT doc_id, page_no, ord, text, category, " + f"""{found(f'(?i)\\b([0-9]+([.][0-9]+)?)\\s*({Ru.UNITS})\\b')} AS quantity, lower({found(f'(?i)\\b([0-9]+([.][0-9]+)?)\\s*({Ru.UNITS})\\b', 3)}) AS unit,
@@ -424,7 +461,7 @@ def _(get):
 
 @query("w12_allocate_slots")
 def _(get):
-    emails = get("narratives").select("doc_id", F.posexplode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\w.-]+@[\w.-]+\.\w+)"), 1))).alias("n", "email"))
+    emails = get("narratives").select("doc_id", F.posexplode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?:\G|(?<![\w.-]))([\w.-]++@[\w.-]+\.\w+)"), 1))).alias("n", "email"))
     return X.contact_slots(X.contacts(get("narratives")), emails)
 
 

@@ -98,6 +98,17 @@ def _(get):
     return streams.job_state(get("job_events"))
 
 
+_FOLLOWS = "(before IS NULL AND state = 'pending') OR (before = 'pending' AND state IN ('processing', 'failed')) OR (before = 'processing' AND state IN ('completed', 'failed')) OR (before = 'failed' AND state IN ('pending', 'processing'))"
+
+
+@query("st2_transitions", f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS k FROM {{job_events}} WHERE state <> 'edited'),
+    f AS (SELECT job_id, event_id, ts, k, CAST(NULL AS VARCHAR) AS before, state, CASE WHEN state = 'pending' THEN state END AS at FROM e WHERE k = 1
+          UNION ALL SELECT e.job_id, e.event_id, e.ts, e.k, f.at AS before, e.state, CASE WHEN {_FOLLOWS.replace('before', 'f.at').replace('state', 'e.state')} THEN e.state ELSE f.at END AS at FROM f JOIN e ON e.job_id = f.job_id AND e.k = f.k + 1)
+    SELECT job_id, event_id, ts, before, state, coalesce({_FOLLOWS}, false) AS legal, CASE WHEN coalesce({_FOLLOWS}, false) THEN NULL WHEN state = before THEN 'repeated' WHEN before IS NULL THEN 'a job does not begin ' || state ELSE before || ' does not become ' || state END AS reason FROM f""")
+def _(get):
+    return streams.transitions(get("job_events"))
+
+
 @query("st3_idempotent_ingest", "SELECT job_id, state, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id, state ORDER BY ts, event_id) AS rn FROM {job_events}) WHERE rn = 1 AND job_id % 2 = 1")
 def _(get):
     done = get("job_events").where("job_id % 2 = 0").select("job_id").distinct()

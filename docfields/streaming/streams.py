@@ -10,8 +10,10 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docfields.functions import scalars as S
 from docfields.operators import status as St
@@ -85,6 +87,43 @@ def job_state(events: DataFrame) -> DataFrame:
     return states.groupBy("job_id").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"), F.min(when("processing")).alias("started"), F.max(when("completed")).alias("completed"), F.count_if(F.col("state") == "failed").alias("failures"))
 
 
+#: The states that may follow each state; a job begins in one that follows none. Editing is no state.
+TRANSITIONS = {None: ("pending",), "pending": ("processing", "failed"), "processing": ("completed", "failed"), "failed": ("pending", "processing"), "completed": ()}
+RULED = "job_id bigint, event_id bigint, ts timestamp, before string, state string, legal boolean, reason string"
+
+
+def _reason(before: Column, state: Column, may: Column) -> Column:
+    """Why a state may not follow the one before; null if it may."""
+    said = F.when(before.isNull(), F.concat(F.lit("a job does not begin "), state)).otherwise(F.concat(before, F.lit(" does not become "), state))
+    return F.when(state.isNull(), "no state").when(state == before, "repeated").when(~F.array_contains(may, state), said)
+
+
+def transitions(events: DataFrame, table: dict[str | None, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
+    """Every event with the job's state before it, whether it may follow that, and the reason if not: an illegal event changes nothing.
+
+    Batch: a fold over each job's events in the order of (ts, event_id), edits left out. The fold carries one state; a job's events are
+    one list, so a job is bounded by what one task holds."""
+    known = F.create_map(*[x for s, after in table.items() if s is not None for x in (F.lit(s), F.array(*map(F.lit, after)).cast("array<string>"))])
+    first = F.array(*map(F.lit, table[None]))
+
+    def step(done: Column, e: Column) -> Column:
+        may = F.when(done["at"].isNull(), first).otherwise(F.coalesce(F.try_element_at(known, done["at"]), F.array().cast("array<string>")))
+        reason = _reason(done["at"], e["state"], may)
+        return F.struct(F.when(reason.isNull(), e["state"]).otherwise(done["at"]).alias("at"), done["at"].alias("before"), reason.alias("reason"))
+
+    listed = events.where("state is null or state != 'edited'").groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "state"))).alias("e"))
+    start = F.struct(F.lit(None).cast("string").alias("at"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("reason"))
+    out = F.expr("cast(array() as array<struct<before: string, reason: string>>)")
+
+    def collect(done: Column, e: Column) -> Column:
+        now = step(done["s"], e)
+        return F.struct(now.alias("s"), F.array_append(done["out"], F.struct(now["before"].alias("before"), now["reason"].alias("reason"))).alias("out"))
+
+    folded = F.aggregate("e", F.struct(start.alias("s"), out.alias("out")), collect)["out"]
+    rows = listed.select("job_id", F.explode(F.arrays_zip(F.col("e"), folded.alias("r"))).alias("x"))
+    return rows.select("job_id", "x.e.event_id", "x.e.ts", "x.r.before", "x.e.state", F.col("x.r.reason").isNull().alias("legal"), "x.r.reason")
+
+
 def fresh_events(events: DataFrame, done: DataFrame) -> DataFrame:
     """Batch: the first event of each job and state, without jobs that are done already."""
     first = events.groupBy("job_id", "state").agg(F.min(F.struct("ts", "event_id")).alias("f")).select("job_id", "state", "f.*")
@@ -96,11 +135,102 @@ def fresh_stream(events: DataFrame, done: DataFrame, within: str = "1 day") -> D
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(["job_id", "state"]).join(done, "job_id", "left_anti")
 
 
+WAITING = ("pending", "processing")
+
+
 def stuck_jobs(events: DataFrame, timeout: str) -> DataFrame:
     """Batch: jobs whose last event is pending or processing and older than the timeout, measured from the newest event of all."""
     latest = events.groupBy("job_id").agg(F.max_by(F.struct("state", "ts"), F.struct("ts", "event_id")).alias("b")).select("job_id", "b.*")
     newest = events.agg(F.max("ts").alias("now"))
-    return latest.crossJoin(newest).where(F.col("state").isin("pending", "processing") & (F.col("ts") < F.col("now") - F.expr(f"interval {timeout}"))).select("job_id", "state", "ts")
+    return latest.crossJoin(newest).where(F.col("state").isin(*WAITING) & (F.col("ts") < F.col("now") - F.expr(f"interval {timeout}"))).select("job_id", "state", "ts")
+
+
+STUCK = "job_id bigint, state string, ms bigint"
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in schema.split(", ")], dtype=object)
+
+
+class _Ruled(StatefulProcessor):
+    """The state machine of one job: its state in the table, and each event judged by it."""
+
+    def __init__(self, table: dict[str | None, tuple[str, ...]]):
+        self.table = table
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "state string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        at = self.at.get()[0] if self.at.exists() else None
+        begun, out = at, []
+        for batch in rows:
+            out += batch[["ts", "event_id", "state"]].itertuples(index=False, name=None)
+        found = []
+        for ts, event, state in sorted(out, key=lambda e: e[:2]):
+            state = None if pd.isna(state) else state
+            if state == "edited":
+                continue
+            may = self.table.get(at, ())
+            reason = "no state" if state is None else "repeated" if state == at else None if state in may else f"a job does not begin {state}" if at is None else f"{at} does not become {state}"
+            found.append((key[0], event, ts, at, state, reason is None, reason))
+            at = at if reason else state
+        if at != begun:
+            self.at.update((at,))
+        yield _frame(found, RULED)
+
+    def close(self) -> None:
+        pass
+
+
+def transition_stream(events: DataFrame, table: dict[str | None, tuple[str, ...]] = TRANSITIONS) -> DataFrame:
+    """Stream: ``transitions`` of the events as they come; a micro-batch's events are put in order, later ones follow those before."""
+    return events.groupBy("job_id").transformWithStateInPandas(_Ruled(table), RULED, "append", "none")
+
+
+class _Stuck(StatefulProcessor):
+    """A job's newest event, and a timer that fires when its timeout has passed without another."""
+
+    def __init__(self, timeout_ms: int):
+        self.timeout = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long, event_id long, state string, said boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.last.get() if self.last.exists() else None
+        newest = (held[0], held[1], held[2]) if held else None
+        for batch in rows:
+            for ms, event, state in batch[["ms", "event_id", "state"]].itertuples(index=False, name=None):
+                now = (int(ms), int(event), None if pd.isna(state) else state)
+                newest = now if newest is None or now[:2] > newest[:2] else newest
+        if held is None or newest[:2] != (held[0], held[1]):
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.last.update((*newest, False))
+            if newest[2] in WAITING:
+                # a timer fires once the watermark has passed it, also if that was before
+                self.handle.registerTimer(newest[0] + self.timeout)
+        yield _frame([], STUCK)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        ms, event, state, said = self.last.get()
+        self.last.update((ms, event, state, True))
+        yield _frame([] if said else [(key[0], state, ms)], STUCK)
+
+    def close(self) -> None:
+        pass
+
+
+def stuck_stream(events: DataFrame, timeout_seconds: int, late: str = "0 seconds") -> DataFrame:
+    """Stream: a job whose newest event is pending or processing, once its timeout has passed by the watermark, without input of its own.
+
+    job_id, state and ts (milliseconds) of that event. A newer event puts the timeout off, and after it the job may be reported again; rows later
+    than ``late`` may be dropped by the watermark."""
+    timed = events.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+    found = timed.groupBy("job_id").transformWithStateInPandas(_Stuck(timeout_seconds * 1000), STUCK, "append", "EventTime")
+    return found.select("job_id", "state", F.timestamp_millis("ms").alias("ts"))
 
 
 def kpi_windows(events: DataFrame, width: str, slide: str | None = None, late: str | None = None) -> DataFrame:

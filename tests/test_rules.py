@@ -102,3 +102,17 @@ def test_exact_partial_ratio():
     for _ in range(400):
         a, b = text(12), text(30)
         assert _partial(a, b) == _partial(b, a) == plain(a, b)
+
+
+def test_fuzzy_labels_of_very_long_lines(spark):
+    """The same labels as before wherever they stand, in time that grows with the line."""
+    import time
+
+    filler = "".join(random.Random(3).choices("abcdefghij klmnop", k=60_000))
+    docs = spark.createDataFrame([(1, filler + " Total Quantty " + filler[:200]), (2, filler), (3, "Delivery Perod: 5\n" + filler + "delivery period")], "doc_id long, text string")
+    labels = spark.createDataFrame([("Total Quantity",), ("Delivery Period",), ("Warranty",)], "field_name string")
+    began = time.time()
+    found = sorted(map(tuple, rules.fuzzy_labels(docs, labels).collect()))
+    near = ratio(" total quantty " + filler[:20], "total quantity"), ratio("delivery perod: 5", "delivery period")
+    assert found == [(1, 0, "Total Quantity", near[0]), (3, 0, "Delivery Period", near[1]), (3, 1, "Delivery Period", 100)]
+    assert time.time() - began < 30

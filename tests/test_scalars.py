@@ -175,3 +175,52 @@ def test_pages_of_a_document_stay_apart(spark):
 def test_operators_take_empty_tables(spark):
     empty = occurrences(spark, [])
     assert R.resolve_best(empty).count() == 0 and R.evidence_summary(empty, "tender_id").count() == 0 and St.coverage_confidence(empty).count() == 0
+
+
+def windows_by_plain_loops(text, family):
+    words, before, after = X.FAMILIES[family]
+    spans = []
+    for m in re.finditer(f"(?i)(?:{words})", text):
+        low, high = max(0, m.start() - before), min(len(text), m.end() + after)
+        if spans and low <= spans[-1][1]:
+            spans[-1][1] = max(high, spans[-1][1])
+        else:
+            spans.append([low, high])
+    return " ".join(text[a:b] for a, b in spans)
+
+
+def test_family_windows(spark):
+    rng = random.Random(6)
+    bits = ["payment ", "Payment terms", "released on ", "x" * 50, "y " * 100, "z" * 430, "payments. ", "\x01 80% on delivery \x02", "\n", "LD ", "net worth"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(60)] + ["", "payment", "payment \x01 80% on delivery of goods", "q" * 31 + "payment" + "r" * 401]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for family in ("payment", "damages", "worth"):
+        found = df.select("doc_id", X.family_windows(F.col("text"), family).alias("w")).collect()
+        assert {r["doc_id"]: r["w"] for r in found} == {k: windows_by_plain_loops(t, family) for k, t in enumerate(texts)}
+    terms = {r["doc_id"]: r for r in X.clause_windows(df).collect()}
+    assert terms[62]["supply_pct"] == "80%"
+
+
+def test_windows_of_a_hundred_thousand_words(spark):
+    df = spark.createDataFrame([(1, "payment " * 100_000), (2, ("payment " + "x " * 300) * 2_000)], "doc_id long, text string")
+    began = time.time()
+    assert len(X.clause_windows(df).collect()) == 2
+    assert time.time() - began < 60
+
+
+def test_clause_references(spark):
+    text = "See clause 4.2 and sec-IV. Payment terms apply here. As in para 7, net worth of GCC 12 counts. Security deposit: none."
+    found = X.clause_references(spark.createDataFrame([(1, text), (2, "payment only"), (3, None)], "doc_id long, text string"), ("payment", "worth", "deposit"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "deposit", "GCC 12"), (1, "payment", "para 7"), (1, "worth", "GCC 12")]
+
+
+def test_addresses_in_long_runs(spark):
+    texts = ["a" * 1_000_000, "x" * 500_000 + "@b.org", "a@b.com-x@y.org, A@B.com;q@r.s t@u.vw", "@@a@b.c@d.ef", "a@" + "b." * 100 + "org", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    found = {r["doc_id"]: r["emails"] for r in X.distinct_emails(df).collect()}
+    assert time.time() - began < 20
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+    for k in (2, 3, 4):
+        assert (found.get(k) or "") == ";".join(dict.fromkeys(m.lower() for m in plain.findall(texts[k])))
+    assert found[1] == texts[1]

@@ -93,3 +93,60 @@ def test_readers_and_writers(spark, tmp_path):
     (name,) = glob.glob(f"{tmp_path}/evidence/bucket=*/part-*.csv")
     with open(name, encoding="utf-8", newline="") as f:
         assert list(csv.reader(f)) == [["tender_id", "field_name", "value", "page", "zone", "confidence", "score", "ord"], ["1", "tender_value", "5", "1", "COVER", "80", "240", "0"]]
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def plain_transitions(events, table=streams.TRANSITIONS):
+    at, out = {}, []
+    for job, state, ts, event in sorted(events, key=lambda e: (e[0], e[2], e[3])):
+        if state == "edited":
+            continue
+        before, legal = at.get(job), state in table[at.get(job)]
+        out.append((job, event, ts, before, state, legal, None if legal else "no state" if state is None else "repeated" if state == before else f"a job does not begin {state}" if before is None else f"{before} does not become {state}"))
+        if legal:
+            at[job] = state
+    return sorted(out, key=str)
+
+
+def job_events(seed, n, jobs=8):
+    rng = random.Random(seed)
+    return [(rng.randrange(jobs), rng.choice(["pending", "processing", "processing", "completed", "failed", "edited", "lost", None]), at(k), k) for k in range(n)]
+
+
+def test_transitions(spark):
+    rows = job_events(4, 300) + [(99, "pending", at(1), 7), (99, "pending", at(1), 7)]
+    assert sorted(map(tuple, streams.transitions(spark.createDataFrame(rows, EVENTS).repartition(3)).collect()), key=str) == plain_transitions(rows)
+    assert streams.transitions(spark.createDataFrame([], EVENTS)).count() == 0
+
+
+def test_a_stream_of_transitions_goes_on_after_a_restart(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows, found = job_events(5, 120), []
+    for k in range(0, 120, 60):
+        for j in range(k, k + 60, 30):
+            arrive(spark, tmp_path / "events", rows[j : j + 30])
+        found += run(streams.transition_stream(stream(spark, tmp_path / "events")), spark, tmp_path / "checkpoint")
+    assert sorted(found, key=str) == plain_transitions(rows)
+
+
+def test_stuck_jobs_as_a_stream(spark, tmp_path):
+    """A job is told of once its timeout passes without an event of its own, also after a restart; repeats, later and late events change nothing but what they should."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    parts = [
+        [(1, "pending", at(0), 1), (2, "processing", at(5), 2), (3, "pending", at(10), 3)],
+        [(1, "pending", at(0), 1), (3, "completed", at(50), 4), (4, "pending", at(55), 5)],  # a repeat; job 3 is done
+        [(5, "completed", at(70), 6)],  # time passes 60 minutes after job 1 and 2
+        [(2, "processing", at(90), 7), (5, "edited", at(91), 8)],
+        [(6, "failed", at(400), 9)],  # and after 4 and 2 again
+        [(6, "failed", at(401), 10)],
+    ]
+    found = []
+    for part in parts:
+        arrive(spark, tmp_path / "events", part)
+        found += run(streams.stuck_stream(stream(spark, tmp_path / "events"), 3600), spark, tmp_path / "checkpoint")
+    assert sorted((r[0], r[1], r[2]) for r in found) == [(1, "pending", at(0)), (2, "processing", at(5)), (2, "processing", at(90)), (4, "pending", at(55))]
+    # what the batch form says of the same events, but for jobs that went on later
+    batch = streams.stuck_jobs(spark.createDataFrame([e for p in parts for e in p], EVENTS), "1 hour")
+    assert {tuple(r) for r in batch.collect()} == {(1, "pending", at(0)), (2, "processing", at(90)), (4, "pending", at(55))}
