@@ -213,12 +213,17 @@ def page_markup(regions: DataFrame) -> DataFrame:
 
 
 def grid(blocks: DataFrame, x_tolerance: int = 20, y_tolerance: int = 12) -> DataFrame:
-    """Rows by ``cluster_lines``, columns by the same fold over x1; the texts of each (row, column) in order, and its mean x1 and y1."""
+    """Rows by ``cluster_lines``; columns are the clusters that the same fold makes of x1, each known by its mean as a whole number. A block goes to the
+    column of the nearest such number, the first of several, which need not be the cluster it was counted in. The texts of each (row,
+    column) from top to bottom and left to right, and the mean x1 and y1."""
     rows = cluster_lines(blocks, y_tolerance).withColumnRenamed("line", "row")
     turned = blocks.select(*PAGE, "ord", F.col("x1").alias("y1"))
-    columns = cluster_lines(turned, x_tolerance).withColumnRenamed("line", "column")
-    texts = F.sort_array(F.collect_list(F.struct("x1", "ord", "text")))
     own = [*PAGE, "ord"]
-    return blocks.join(rows, own).join(columns, own).groupBy(*PAGE, "row", "column").agg(
+    clusters = cluster_lines(turned, x_tolerance).join(turned, own).groupBy(*PAGE, "line").agg((F.sum("y1") / F.count("*")).cast("long").alias("centre"))
+    columns = clusters.groupBy(*PAGE).agg(F.collect_list(F.struct("line", "centre")).alias("columns"))
+    nearest = F.array_min(F.transform("columns", lambda c: F.struct(F.abs(F.col("x1") - c["centre"]).alias("far"), c["line"].alias("line"))))["line"]
+    placed = blocks.join(rows, own).join(columns, PAGE).withColumn("column", nearest)
+    texts = F.sort_array(F.collect_list(F.struct("y1", "x1", "ord", "text")))
+    return placed.groupBy(*PAGE, "row", "column").agg(
         F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("cell_text"), F.avg("x1").alias("x"), F.avg("y1").alias("y")
     )

@@ -136,9 +136,11 @@ def _(get):
     return P.cluster_lines(get("blocks"))
 
 
-@query("w5_reconstruct_grid", f"""WITH RECURSIVE {_fold('y', 'y1', 12)}, {_fold('x', 'x1', 20)}
-    SELECT b.doc_id, b.page_no, y.line AS row, x.line AS "column", string_agg(b.text, ' ' ORDER BY b.x1, b.ord) AS cell_text, avg(b.x1) AS x, avg(b.y1) AS y
-    FROM {{blocks}} b JOIN y ON y.doc_id = b.doc_id AND y.page_no = b.page_no AND y.ord = b.ord JOIN x ON x.doc_id = b.doc_id AND x.page_no = b.page_no AND x.ord = b.ord GROUP BY 1, 2, 3, 4""")
+@query("w5_reconstruct_grid", f"""WITH RECURSIVE {_fold('y', 'y1', 12)}, {_fold('x', 'x1', 20)},
+    c AS (SELECT b.doc_id, b.page_no, x.line, trunc(sum(b.x1) / count(*)) AS centre FROM {{blocks}} b JOIN x ON x.doc_id = b.doc_id AND x.page_no = b.page_no AND x.ord = b.ord GROUP BY 1, 2, 3),
+    n AS (SELECT b.*, c.line AS near, row_number() OVER (PARTITION BY b.doc_id, b.page_no, b.ord ORDER BY abs(b.x1 - c.centre), c.line) AS rn FROM {{blocks}} b JOIN c ON c.doc_id = b.doc_id AND c.page_no = b.page_no)
+    SELECT n.doc_id, n.page_no, y.line AS row, n.near AS "column", string_agg(n.text, ' ' ORDER BY n.y1, n.x1, n.ord) AS cell_text, avg(n.x1) AS x, avg(n.y1) AS y
+    FROM n JOIN y ON y.doc_id = n.doc_id AND y.page_no = n.page_no AND y.ord = n.ord WHERE n.rn = 1 GROUP BY 1, 2, 3, 4""")
 def _(get):
     return P.grid(get("blocks"))
 

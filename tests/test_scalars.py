@@ -224,3 +224,40 @@ def test_addresses_in_long_runs(spark):
     for k in (2, 3, 4):
         assert (found.get(k) or "") == ";".join(dict.fromkeys(m.lower() for m in plain.findall(texts[k])))
     assert found[1] == texts[1]
+
+
+def test_grid_takes_the_nearest_column(spark):
+    """Against plain loops, by hand-made places of which some lie between two clusters."""
+    xs = [20, 20, 40, 40, 45, 45, 45, 300]
+    clusters = []
+    for x in sorted(xs):
+        if not clusters or abs(x - sum(clusters[-1]) / len(clusters[-1])) > 12:
+            clusters.append([])
+        clusters[-1].append(x)
+    centres = [int(sum(c) / len(c)) for c in clusters]
+    nearest = [min(range(len(centres)), key=lambda k: abs(x - centres[k])) for x in xs]
+    rows = [(1, 1, k, x, k * 100, x + 10, k * 100 + 10, f"t{k}") for k, x in enumerate(xs)]
+    found = P.grid(spark.createDataFrame(rows, "doc_id long, page_no long, ord long, x1 long, y1 long, x2 long, y2 long, text string"), x_tolerance=12).collect()
+    first = min(r["column"] for r in found)
+    assert {r["cell_text"]: r["column"] - first for r in found} == {f"t{k}": c for k, c in enumerate(nearest)}
+
+
+def test_grid_columns_differ_from_the_fold(spark):
+    rng = random.Random(4)
+    moved = 0
+    for seed in range(3):
+        xs = sorted(rng.randrange(0, 200) for _ in range(40))
+        clusters, own = [], []
+        for x in xs:
+            if not clusters or abs(x - sum(clusters[-1]) / len(clusters[-1])) > 20:
+                clusters.append([])
+            clusters[-1].append(x)
+            own.append(len(clusters) - 1)
+        centres = [int(sum(c) / len(c)) for c in clusters]
+        nearest = [min(range(len(centres)), key=lambda k: abs(x - centres[k])) for x in xs]
+        moved += nearest != own
+        rows = [(seed, 1, k, x, k * 100, x + 10, k * 100 + 10, f"t{k}") for k, x in enumerate(xs)]
+        found = P.grid(spark.createDataFrame(rows, "doc_id long, page_no long, ord long, x1 long, y1 long, x2 long, y2 long, text string")).collect()
+        first = min(r["column"] for r in found)
+        assert {r["cell_text"]: r["column"] - first for r in found} == {f"t{k}": c for k, c in enumerate(nearest)}
+    assert moved
