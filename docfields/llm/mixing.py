@@ -215,8 +215,10 @@ class _AllRows:
 
 def _first_steps(members: DataFrame, factors: np.ndarray) -> list[Step]:
     """Steps found on at most START members, those with the least hash of their row, to the same factors of what these hold."""
-    key = F.xxhash64("doc_id", "n_tokens", "posterior")
-    rows = members.where("n_tokens > 0").select("n_tokens", "posterior", key.alias("h")).orderBy("h", "n_tokens").limit(START).toPandas().sort_values(["h", "n_tokens"])
+    keyed = members.where("n_tokens > 0").select("n_tokens", "posterior", F.xxhash64("doc_id", "n_tokens", "posterior").alias("h"))
+    # a first cut that many more than START pass, so that few rows of each task go on
+    share = min(1.0, 4 * START / max(1, keyed.count()))
+    rows = keyed.where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy("h", "n_tokens").limit(START).toPandas().sort_values(["h", "n_tokens"])
     if rows.empty:
         return []
     n, p = rows["n_tokens"].to_numpy().astype(float), np.stack(rows["posterior"].to_numpy())
