@@ -94,6 +94,15 @@ VIEWS = {
           || CASE c % 3 WHEN 0 THEN 'Name of Competent Authority: Narasingha Rao' || chr(10) || 'Designation of Competent Authority: CM' || chr(10) ELSE '' END
           || CASE k % 3 WHEN 0 THEN 'See BOQ_1 and corrigendum 2. Then annexure-ii.PDF again? Volume III.' WHEN 1 THEN 'The BOQ is here. Schedule 4 holds.' ELSE '' END AS text
         FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {orders}) o""",
+    # sections in sections, with references between them; some texts have no heading, a heading at once or the same one again
+    "sectioned": """
+        SELECT k AS doc_id, CASE k % 6 WHEN 0 THEN '' ELSE 'Notice of tender ' || CAST(c AS STRING) || ', security deposit of 9%.' || chr(10) END
+          || CASE WHEN k % 17 = 0 THEN '' ELSE 'SECTION-I Instructions' || chr(10) || '1. Scope of ' || CAST(c % 9 AS STRING) || ' works' || chr(10) || '1.1 Delivery in ' || CAST(c % 50 AS STRING) || ' days' || chr(10) || CASE c % 3 WHEN 0 THEN '1.1.1 Security Deposit: see below' || chr(10) ELSE '' END
+          || '2. Payment' || chr(10) || CASE c % 4 WHEN 0 THEN 'as per Section II' WHEN 1 THEN CAST(10 + c % 80 AS STRING) || '% on supply' WHEN 2 THEN 'as per Annexure-B' ELSE 'by agreement' END || chr(10)
+          || CASE k % 4 WHEN 0 THEN 'section II Special terms' || chr(10) || '3.2.1 Advance of ' || CAST(c % 30 AS STRING) || '%' || chr(10) || 'then 7 % later' || chr(10) WHEN 1 THEN 'SECTION 2' || chr(10) || 'nothing' || chr(10) ELSE '' END
+          || 'CLAUSE No. 38 Security Deposit' || chr(10) || CASE c % 5 WHEN 0 THEN 'as agreed.' ELSE CAST(1 + c % 9 AS STRING) || '% of value.' END || chr(10)
+          || CASE k % 3 WHEN 0 THEN 'Annexure B forms' || chr(10) || '  4 Payment of ' || CAST(c % 20 AS STRING) || '% at once' || chr(10) WHEN 1 THEN 'ANNEXURE-B' || chr(10) ELSE '' END || CASE k % 5 WHEN 0 THEN 'SECTION-I again' || chr(10) || '5' ELSE 'end' END END AS text
+        FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {orders}) o""",
     "schedule_blocks": " UNION ALL ".join(
         f"SELECT CAST(floor(k / 2) AS BIGINT) AS doc_id, CAST(1 + k % 2 AS BIGINT) AS page_no, CAST({line * 10 + column} AS BIGINT) AS ord, CAST({column * 150} AS BIGINT) AS x1, CAST({line * 30} + (k + {column}) % 5 AS BIGINT) AS y1, {text} AS text FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {{orders}}) o WHERE {where}"
         for line, column, text, where in SCHEDULE_CELLS
