@@ -119,7 +119,7 @@ def schedule_records(blocks: DataFrame, tolerance: int = 12) -> DataFrame:
     digits = lambda role: F.nullif(F.regexp_replace(value(role), r"\D", ""), F.lit("")).try_cast("int")
     pieces = F.when(F.col("kind") == "item", F.regexp_extract("t", ITEM, 2).try_cast("int"))
     name = F.trim(F.regexp_replace(F.regexp_replace(F.col("cells")[0], r"^[^a-zA-Z0-9\s]+", ""), r"^[/\\_.:\-]+\s*", ""))
-    entry = F.when(F.col("kind") == "spec", F.struct("line", F.concat(name, F.lit("="), F.array_join(F.slice("cells", 2, 1000), " ")).alias("text")))
+    entry = F.when(F.col("kind") == "spec", F.struct("line", F.concat(name, F.lit("="), F.array_join(F.slice("cells", 2, F.size("cells")), " ")).alias("text")))
     last = lambda c, by="line": F.max_by(c, F.when(c.isNotNull(), F.col(by)))
     found = placed.withColumn("own", F.coalesce(*[value(r) for r in ROLES])).where("own is not null or kind in ('item', 'spec')")
     return found.groupBy(*P.PAGE, "schedule").agg(
@@ -137,6 +137,35 @@ def clause_tables(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     return rows.groupBy(*P.PAGE, "header_ord").agg(F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("text"))
 
 
+# fixed values: clauses of the tables that are read, how a part's amount stands in one, and words of the notes below
+CLAUSES = r"\b(1\.2|2\.1|2\.3|2\.2)\b"
+PART_AMOUNT = r"(?i)(Part\s*(?:-?\s*\d+|1\s*&\s*2)[\s\S]*?[\d\.]+\s*(?:Lakh|Crore|Cr))"
+NOTE = r"(?is)^.*?(?:line of credit|bank).*$"
+
+
+def part_amounts(blocks: DataFrame, tables: DataFrame, clause: str, words: tuple[str, ...], noted: bool = False) -> DataFrame:
+    """Amounts of the parts in tables of a clause: "Part n ... number Lakh, Crore or Cr" in a table's text, joined by "; ", and the note below it if wanted.
+
+    A table belongs to the clause whose number stands closest above it; without a number above, to the clause whose words it has, all of them. Its text is that of the blocks within it, in bins of ten in y (half a bin rounds
+    to the even one), then from left to right. Tables are rows (doc_id, page_no, ord, x1, y1, x2, y2). Columns doc_id, page_no, ord, value, note; tables without amounts have no row. A note is what
+    one of the ten blocks below says of a line of credit or a bank, with single spaces, 200 characters at most as in the records that it goes to."""
+    box = ["x1", "y1", "x2", "y2"]
+    inside = P.contained_pairs(blocks, tables)
+    held = inside.join(blocks.select(*BLOCK, *box[:2], "text"), BLOCK)
+    texts = F.sort_array(F.collect_list(F.struct(F.bround(F.col("y1") / 10).alias("bin"), "x1", "ord", F.trim("text").alias("text"))))
+    text = held.groupBy(*P.PAGE, "region_ord").agg(F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("text")).withColumnRenamed("region_ord", "ord")
+    above = P.context_above(tables, blocks, CLAUSES).select(*BLOCK, "context")
+    meant = F.col("context").isNull()
+    for word in words:
+        meant = meant & F.contains(F.lower("text"), F.lit(word))
+    amounts = F.transform(F.regexp_extract_all("text", F.lit(PART_AMOUNT), 1), lambda m: F.trim(m))
+    rows = text.join(above, BLOCK).where((F.col("context") == clause) | meant).select(*BLOCK, F.array_join(amounts, "; ").alias("value")).where("value != ''")
+    if not noted:
+        return rows.withColumn("note", F.lit(None).cast("string"))
+    note = F.left(F.trim(F.regexp_replace("context", r"\s+", " ")), F.lit(200))
+    return rows.join(P.context_below(tables, blocks, NOTE).select(*BLOCK, note.alias("note")), BLOCK, "left")
+
+
 class KeywordWindows:
     """Table function: places of a keyword in a text, overlaps included, and what follows each."""
 
@@ -151,3 +180,26 @@ def keyword_udtf(docs: DataFrame, keyword: str, after: int) -> DataFrame:
     """``KeywordWindows`` by lateral join; ``extract.keyword_windows`` is the form inside the JVM."""
     windows = F.udtf(KeywordWindows, returnType="place int, right string")
     return docs.lateralJoin(windows(F.col("text").outer(), F.lit(keyword), F.lit(after))).select("doc_id", "place", "right")
+
+
+class LineCluster:
+    """Table function over one page's blocks in (y1, ord) order: each goes to the line whose mean y1 is within the tolerance, else begins the next line.
+
+    Only a line's sum and count are held, so a page may have any number of blocks."""
+
+    def __init__(self):
+        self.total, self.count, self.line = 0, 0, 0
+
+    def eval(self, block, tolerance: int):
+        if self.count == 0 or abs(block["y1"] * self.count - self.total) > tolerance * self.count:
+            self.total, self.count, self.line = 0, 0, self.line + 1
+        self.total += block["y1"]
+        self.count += 1
+        yield block["doc_id"], block["page_no"], block["ord"], self.line
+
+
+def line_udtf(blocks: DataFrame, tolerance: int = 12) -> DataFrame:
+    """``LineCluster`` over pages as partitions of a table argument; ``spatial.cluster_lines`` is the form inside the JVM, which holds a page as one array."""
+    lines = F.udtf(LineCluster, returnType="doc_id long, page_no long, ord long, line int")
+    pages = blocks.select(*P.PAGE, "ord", "y1").asTable().partitionBy(*P.PAGE).orderBy("y1", "ord")
+    return lines(pages, F.lit(tolerance))

@@ -17,27 +17,47 @@ def _as(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
     return df.select(*PAGE, *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
 
 
-def contained_blocks(blocks: DataFrame, regions: DataFrame) -> DataFrame:
-    """Blocks in a region: the centre inside it, or at least half of the block's area."""
-    b, r = _as(blocks, "b", "ord", "x1", "y1", "x2", "y2"), _as(regions, "r", "x1", "y1", "x2", "y2")
+def contained_pairs(blocks: DataFrame, regions: DataFrame) -> DataFrame:
+    """Blocks in regions (with ord): the centre inside, or at least half of the block's area. A row each pair: ord, region_ord, shared.
+
+    The centre must lie in the region, or the boxes meet; both are tested page by page, in bands of 100 in y: a block goes to each band that it touches, a region too, and
+    a pair counts in the first band that both touch."""
+    b, r = _as(blocks, "b", "ord", "x1", "y1", "x2", "y2"), _as(regions, "r", "ord", "x1", "y1", "x2", "y2")
+    bands = lambda df, p: df.withColumn(f"{p}_band", F.floor(F.col(f"{p}_y1") / 100)).withColumn("band", F.explode(F.sequence(f"{p}_band", F.greatest(f"{p}_band", F.floor(F.col(f"{p}_y2") / 100)))))
+    pairs = bands(b, "b").join(bands(r, "r"), [*PAGE, "band"]).where(F.col("band") == F.greatest("b_band", "r_band"))
+    return _contained(pairs).select(*PAGE, F.col("b_ord").alias("ord"), F.col("r_ord").alias("region_ord"), "shared")
+
+
+def _contained(pairs: DataFrame) -> DataFrame:
     cx, cy = F.col("b_x1") + F.col("b_x2"), F.col("b_y1") + F.col("b_y2")
     centre = cx.between(2 * F.col("r_x1"), 2 * F.col("r_x2")) & cy.between(2 * F.col("r_y1"), 2 * F.col("r_y2"))
     shared = S.intersection(*[F.col(f"{p}_{c}") for p in "br" for c in ("x1", "y1", "x2", "y2")])
     area = (F.col("b_x2") - F.col("b_x1")) * (F.col("b_y2") - F.col("b_y1"))
-    return b.join(r, PAGE).where(centre | ((area > 0) & (2 * shared >= area))).select(*PAGE, F.col("b_ord").alias("ord"), shared.alias("shared"))
+    return pairs.withColumn("shared", shared).where(centre | ((area > 0) & (2 * shared >= area)))
+
+
+def contained_blocks(blocks: DataFrame, regions: DataFrame) -> DataFrame:
+    """Blocks in a region: the centre inside it, or at least half of the block's area."""
+    b, r = _as(blocks, "b", "ord", "x1", "y1", "x2", "y2"), _as(regions, "r", "x1", "y1", "x2", "y2")
+    return _contained(b.join(r, PAGE)).select(*PAGE, F.col("b_ord").alias("ord"), "shared")
 
 
 def nearest_block(anchors: DataFrame, blocks: DataFrame, reach: int = 150) -> DataFrame:
     """The nearest block right of an anchor (centres within 30 in y) or below it (within 150 in x), closer than ``reach``.
 
-    Distances are of doubled centres, squared, so they are integers; ties go to the first block."""
-    a, b = _as(anchors, "a", "ord", "x1", "y1", "x2", "y2"), _as(blocks, "b", "ord", "x1", "y1", "x2", "y2", "text")
+    Distances are of doubled centres, squared, so they are integers; ties go to the first block. Centres are dealt to squares of ``reach``: an anchor meets
+    the blocks of its own square and the eight around it, not the whole page."""
+    a, b = _as(anchors, "a", "ord", "x1", "y1", "x2", "y2"), _as(blocks, "b", "ord", "x1", "y1", "x2", "y2")
+    square = lambda p, axis: F.floor((F.col(f"{p}_{axis}1") + F.col(f"{p}_{axis}2")) / (2 * reach))
+    around = lambda axis: F.explode(F.array(*[square("a", axis) + d for d in (-1, 0, 1)]))
+    a = a.withColumn("sx", around("x")).withColumn("sy", around("y"))
+    b = b.withColumn("sx", square("b", "x")).withColumn("sy", square("b", "y"))
     dx = F.col("b_x1") + F.col("b_x2") - F.col("a_x1") - F.col("a_x2")
     dy = F.col("b_y1") + F.col("b_y2") - F.col("a_y1") - F.col("a_y2")
     right = (F.col("b_x1") >= F.col("a_x2")) & (F.abs(dy) < 60)
     below = (F.col("b_y1") >= F.col("a_y2")) & (F.abs(dx) < 300)
-    near = a.join(b, PAGE).where(F.col("a_ord") != F.col("b_ord")).withColumn("d", dx * dx + dy * dy).where((right | below) & (F.col("d") < 4 * reach * reach))
-    best = near.groupBy(*PAGE, "a_ord").agg(F.min(F.struct("d", "b_ord", "b_text")).alias("m"))
+    near = a.join(b, [*PAGE, "sx", "sy"]).where(F.col("a_ord") != F.col("b_ord")).withColumn("d", dx * dx + dy * dy).where((right | below) & (F.col("d") < 4 * reach * reach))
+    best = near.groupBy(*PAGE, "a_ord").agg(F.min(F.struct("d", "b_ord")).alias("m"))
     return best.select(*PAGE, F.col("a_ord").alias("ord"), F.col("m.b_ord").alias("match_ord"), F.col("m.d").alias("distance"))
 
 
@@ -74,6 +94,34 @@ def greedy_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select(*PAGE, F.inline(F.aggregate("a", start, step)))
 
 
+def context_above(boxes: DataFrame, blocks: DataFrame, pattern: str, group: int = 1) -> DataFrame:
+    """Each box (doc_id, page_no, ord, y1) with what the pattern finds in the closest block that ends above it and has it, or nulls: context_ord and context.
+
+    Of blocks that end level the first in order counts. Boxes and blocks go once through a window in y, so a page is no product."""
+    found = F.nullif(F.regexp_extract("text", pattern, group), F.lit(""))
+    ends = blocks.select(*PAGE, F.col("y2").alias("y"), F.lit(1).alias("is_block"), F.col("ord").alias("k"), F.when(found.isNotNull(), F.struct(F.col("ord").alias("context_ord"), found.alias("context"))).alias("c"))
+    tops = boxes.select(*PAGE, F.col("y1").alias("y"), F.lit(0).alias("is_block"), F.col("ord").alias("k"), F.lit(None).alias("c"))
+    # a box comes before the blocks that end where it begins
+    order = Window.partitionBy(*PAGE).orderBy("y", "is_block", F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    return ends.unionByName(tops).withColumn("c", F.last("c", ignorenulls=True).over(order)).where("is_block = 0").select(*PAGE, F.col("k").alias("ord"), "c.*")
+
+
+def context_below(boxes: DataFrame, blocks: DataFrame, pattern: str, most: int = 10, group: int = 0) -> DataFrame:
+    """Each box (doc_id, page_no, ord, y2) with what the pattern finds in the first of the ``most`` blocks below it that has it, or nulls: context_ord and context.
+
+    Blocks begin below the box's end and count from top to bottom, level ones in order. Two windows over boxes and blocks in y: how many blocks do not lie below, and from the bottom up the closest block with the pattern."""
+    found = F.nullif(F.regexp_extract("text", pattern, group), F.lit(""))
+    nth = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y1", "ord"))
+    tops = blocks.withColumn("nth", nth).select(*PAGE, F.col("y1").alias("y"), F.lit(0).alias("is_box"), F.col("ord").alias("k"), "nth", F.when(found.isNotNull(), F.struct("nth", F.col("ord").alias("context_ord"), found.alias("context"))).alias("c"))
+    ends = boxes.select(*PAGE, F.col("y2").alias("y"), F.lit(1).alias("is_box"), F.col("ord").alias("k"), F.lit(None).cast("int").alias("nth"), F.lit(None).alias("c"))
+    order = [F.col("y"), F.col("is_box"), F.col("k")]
+    upto = Window.partitionBy(*PAGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*PAGE).orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    both = tops.unionByName(ends).withColumn("passed", F.coalesce(F.max("nth").over(upto), F.lit(0))).withColumn("c", F.last("c", ignorenulls=True).over(later))
+    near = F.when(F.col("c.nth") <= F.col("passed") + most, F.col("c"))
+    return both.where("is_box = 1").select(*PAGE, F.col("k").alias("ord"), near["context_ord"].alias("context_ord"), near["context"].alias("context"))
+
+
 def header_above(blocks: DataFrame, strict: bool = True) -> DataFrame:
     """Each block that is no header with the last header whose y1 is less (or not greater): an as-of join by one window."""
     frame = Window.partitionBy(*PAGE).orderBy("y1").rangeBetween(Window.unboundedPreceding, -1 if strict else 0)

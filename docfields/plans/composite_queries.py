@@ -92,6 +92,34 @@ def _(get):
     return C.clause_tables(get("blocks"), get("regions"))
 
 
+def _parts(clause: str, words: tuple[str, ...], noted: bool) -> str:
+    note = r"(SELECT left(trim(regexp_replace(text, '\s+', ' ', 'g')), 200) FROM (SELECT o.text, row_number() OVER (ORDER BY o.y1, o.ord) AS rn FROM {part_blocks} o WHERE o.doc_id = z.doc_id AND o.page_no = z.page_no AND o.y1 > z.y2) WHERE rn <= 10 AND regexp_matches(lower(text), 'line\s+of\s+credit|bank') ORDER BY rn LIMIT 1)" if noted else "CAST(NULL AS VARCHAR)"
+    return rf"""SELECT doc_id, page_no, ord, '{clause}' AS clause, value, {note} AS note FROM (SELECT *, list_aggregate(list_transform(regexp_extract_all(text, '(?i)Part\s*(?:-?\s*[0-9]+|1\s*&\s*2)[\s\S]*?[0-9.]+\s*(?:Lakh|Crore|Cr)'), lambda x: trim(x)), 'string_agg', '; ') AS value,
+        (SELECT regexp_extract(b.text, '\b(1\.2|2\.1|2\.3|2\.2)\b', 1) FROM {{part_blocks}} b WHERE b.doc_id = t.doc_id AND b.page_no = t.page_no AND b.y2 < t.y1 AND regexp_matches(b.text, '\b(1\.2|2\.1|2\.3|2\.2)\b') ORDER BY b.y2 DESC, b.ord LIMIT 1) AS above
+        FROM (SELECT r.doc_id, r.page_no, r.ord, r.y1, r.y2, string_agg(trim(b.text, ' '), ' ' ORDER BY round_even(b.y1 / 10, 0), b.x1, b.ord) AS text FROM {{part_tables}} r JOIN {{part_blocks}} b ON b.doc_id = r.doc_id AND b.page_no = r.page_no
+            WHERE (b.x1 + b.x2 BETWEEN 2 * r.x1 AND 2 * r.x2 AND b.y1 + b.y2 BETWEEN 2 * r.y1 AND 2 * r.y2) OR 2 * {SHARED} >= (b.x2 - b.x1) * (b.y2 - b.y1) GROUP BY 1, 2, 3, 4, 5) t) z
+        WHERE value <> '' AND (above = '{clause}' OR (above IS NULL AND {" AND ".join(f"contains(lower(text), '{w}')" for w in words)}))"""
+
+
+_EXECUTED, _WORKING = ("1.2", ("executed", "value"), False), ("2.3", ("working", "capital"), True)
+
+
+@query("x17_part_amounts", _parts(*_EXECUTED) + " UNION ALL " + _parts(*_WORKING))
+def _(get):
+    of = lambda clause, words, noted: C.part_amounts(get("part_blocks"), get("part_tables"), clause, words, noted).select("doc_id", "page_no", "ord", F.lit(clause).alias("clause"), "value", "note")
+    return of(*_EXECUTED).unionByName(of(*_WORKING))
+
+
 @query("e4_keyword_udtf", "SELECT doc_id, strpos(text, 'BOQ') AS place, substr(text, strpos(text, 'BOQ') + 3, 5) AS \"right\" FROM {clause_docs}")
 def _(get):
     return C.keyword_udtf(get("clause_docs"), "BOQ", 5)
+
+
+_FOLD = "l AS (SELECT doc_id, page_no, ord, y1, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y1, ord) AS k FROM {blocks})"
+
+
+@query("e4_line_cluster", f"""WITH RECURSIVE {_FOLD}, f AS (SELECT doc_id, page_no, ord, k, y1 AS total, CAST(1 AS BIGINT) AS n, 1 AS line FROM l WHERE k = 1
+    UNION ALL SELECT l.doc_id, l.page_no, l.ord, l.k, CASE WHEN abs(l.y1 * f.n - f.total) > 12 * f.n THEN l.y1 ELSE f.total + l.y1 END, CASE WHEN abs(l.y1 * f.n - f.total) > 12 * f.n THEN 1 ELSE f.n + 1 END, CASE WHEN abs(l.y1 * f.n - f.total) > 12 * f.n THEN f.line + 1 ELSE f.line END FROM f JOIN l ON l.doc_id = f.doc_id AND l.page_no = f.page_no AND l.k = f.k + 1)
+    SELECT doc_id, page_no, ord, line FROM f""")
+def _(get):
+    return C.line_udtf(get("blocks"))

@@ -25,6 +25,14 @@ SCHEDULE_CELLS = (
     (9, 0, "'Inverter 5 kVA unit (7 nos)'", "k % 4 = 0"), (10, 0, "'OEM voltage'", "k % 3 = 0"), (10, 1, "'48 V'", "k % 3 = 0"),
 )
 
+#: Blocks of pages with tables of amounts: (x1, y1, text as SQL over k and c, pages that have it).
+PART_CELLS = (
+    (0, "10 + k % 7", "CASE k % 3 WHEN 0 THEN 'See 1.2 above' WHEN 1 THEN 'as in 2.3 of this' ELSE 'nothing of 12.3 here' END", "k % 4 <> 3"), (200, "10 + k % 7", "'or 2.1'", "k % 5 = 0"),
+    (10, "54", "'Part ' || CAST(1 + k % 2 AS STRING)", "true"), (150, "51 + k % 9", "' value of works executed'", "k % 2 = 0"), (150, "51 + k % 9", "'working capital'", "k % 2 = 1"), (300, "57", "CAST(c % 90 AS STRING) || '.5 Lakh'", "true"), (10, "75", "'part-2 of'", "c % 3 <> 0"), (200, "75", "CAST(c % 9 AS STRING) || ' cr only'", "c % 4 <> 0"), (390, "104", "'half outside Part 1 & 2 at 9 Crore'", "true"),
+    *((10, str(y), f"CASE c % 14 WHEN {n} THEN 'Line  of CREDIT from a bank counts' ELSE 'remark {n}' END", "true") for n, y in enumerate(range(118, 258, 10))),
+    (10, "305", "'Part 1 & 2'", "k % 3 = 1"), (120, "303", "'Working and'", "true"), (200, "305", "'capital ' || CAST(c AS STRING) || ' Crore'", "true"), (10, "360", "'Bank  note'", "c % 2 = 0"),
+)
+
 VIEWS = {
     "occurrences": f"""
         SELECT tender_id, ord, CASE ord % 3 WHEN 0 THEN 'tender_value' WHEN 1 THEN 'pbg_percentage' ELSE 'courier_address' END AS field_name,
@@ -107,6 +115,13 @@ VIEWS = {
         f"SELECT CAST(floor(k / 2) AS BIGINT) AS doc_id, CAST(1 + k % 2 AS BIGINT) AS page_no, CAST({line * 10 + column} AS BIGINT) AS ord, CAST({column * 150} AS BIGINT) AS x1, CAST({line * 30} + (k + {column}) % 5 AS BIGINT) AS y1, {text} AS text FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {{orders}}) o WHERE {where}"
         for line, column, text, where in SCHEDULE_CELLS
     ),
+    "part_blocks": " UNION ALL ".join(
+        f"SELECT CAST(floor(k / 2) AS BIGINT) AS doc_id, CAST(1 + k % 2 AS BIGINT) AS page_no, CAST({n} AS BIGINT) AS ord, CAST({x} AS BIGINT) AS x1, CAST({y} AS BIGINT) AS y1, CAST({x} + 60 AS BIGINT) AS x2, CAST({y} + 8 AS BIGINT) AS y2, {text} AS text FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {{orders}}) o WHERE {where}"
+        for n, (x, y, text, where) in enumerate(PART_CELLS)
+    ),
+    "part_tables": " UNION ALL ".join(
+        f"SELECT CAST(floor(o_orderkey / 2) AS BIGINT) AS doc_id, CAST(1 + o_orderkey % 2 AS BIGINT) AS page_no, CAST({n} AS BIGINT) AS ord, CAST(0 AS BIGINT) AS x1, CAST({top} AS BIGINT) AS y1, CAST(400 AS BIGINT) AS x2, CAST({end} AS BIGINT) AS y2 FROM {{orders}}" for n, top, end in ((0, 50, 112), (1, 300, 340))
+    ),
     # lines of many kinds, so that rules meet values of other rules
     "tender_lines": """
         SELECT CAST(floor(k / 8) AS BIGINT) AS doc_id, CAST(1 + floor(k / 4) % 2 AS BIGINT) AS page_no, CAST(1 + k % 4 AS BIGINT) AS ord, CASE CAST(floor(k / 4) AS BIGINT) * 3 % 29 + k % 2

@@ -69,6 +69,16 @@ def _(get):
     return io.validate_files(get("pages").select("page_id", F.encode("html", "UTF-8").alias("content"))).select("page_id", "kind", "reason")
 
 
+_FILES = "SELECT page_id, url AS path, CASE page_id % 5 WHEN 0 THEN '%PDF-1.4 ' WHEN 1 THEN 'PK' || chr(3) || chr(4) WHEN 2 THEN '%PD' WHEN 3 THEN '' ELSE ' %PDF' END || CASE WHEN page_id % 10 = 3 THEN '' ELSE coalesce(html, '') END AS body, CASE page_id % 7 WHEN 0 THEN 'application/PDF' WHEN 1 THEN 'application/vnd.ms-Excel' WHEN 2 THEN 'text/html' END AS content_type FROM {pages}"
+
+
+@query("s13_check_documents", f"SELECT page_id, path, strlen(body) AS length, CASE WHEN starts_with(body, '%PDF') THEN 'pdf' WHEN starts_with(body, 'PK' || chr(3) || chr(4)) THEN 'excel' WHEN contains(lower(content_type), 'pdf') THEN 'pdf' WHEN contains(lower(content_type), 'excel') THEN 'excel' END AS kind, CASE WHEN body = '' THEN 'empty' WHEN strlen(body) > 4000 THEN 'too_large' WHEN starts_with(body, '%PDF') OR starts_with(body, 'PK' || chr(3) || chr(4)) OR regexp_matches(content_type, '(?i)pdf|excel') THEN 'ok' ELSE 'not_document' END AS reason FROM ({_FILES})")
+def _(get):
+    pages = get("pages")
+    files = pages.sparkSession.sql(_FILES, pages=pages).select("page_id", "path", "content_type", F.encode("body", "UTF-8").alias("content"))
+    return io.check_documents(files.withColumn("length", F.length("content")), 4000).select("page_id", "path", "length", "kind", "reason")
+
+
 @query("c24_title_from_filename", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)/?$', 1), '[.][A-Za-z0-9]+$', ''), '[-_+.]+', ' ', 'g')) AS title FROM {pages}")
 def _(get):
     return get("pages").select("page_id", S.title_from_filename(F.col("url")).alias("title"))

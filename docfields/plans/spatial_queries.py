@@ -67,6 +67,19 @@ def _(get):
     return nearest_below(get("blocks").where("is_header"), get("blocks"))
 
 
+_ABOVE = "SELECT doc_id, page_no, ord, context_ord, context FROM (SELECT a.doc_id, a.page_no, a.ord, b.ord AS context_ord, b.v AS context, row_number() OVER (PARTITION BY a.doc_id, a.page_no, a.ord ORDER BY b.y2 DESC, b.ord) AS rn FROM {blocks} a LEFT JOIN (SELECT *, nullif(regexp_extract(text, '([AN] [0-9])', 1), '') AS v FROM {blocks}) b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND b.y2 < a.y1 AND b.v IS NOT NULL WHERE a.is_header) WHERE rn = 1"
+
+
+@query("j9_context_above", _ABOVE)
+def _(get):
+    return P.context_above(get("blocks").where("is_header"), get("blocks"), "([AN] [0-9])")
+
+
+@query("j9_context_below", "SELECT doc_id, page_no, ord, CASE WHEN rn <= 3 AND v IS NOT NULL THEN o END AS context_ord, CASE WHEN rn <= 3 THEN v END AS context FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, ord ORDER BY v IS NULL, rn) AS pick FROM (SELECT a.doc_id, a.page_no, a.ord, b.ord AS o, nullif(regexp_extract(b.text, 'N [0-9]'), '') AS v, row_number() OVER (PARTITION BY a.doc_id, a.page_no, a.ord ORDER BY b.y1, b.ord) AS rn FROM {blocks} a LEFT JOIN {blocks} b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND b.y1 > a.y2 WHERE a.is_header)) WHERE pick = 1")
+def _(get):
+    return P.context_below(get("blocks").where("is_header"), get("blocks"), "N [0-9]", 3)
+
+
 @query("j10_glyph_labels", f"SELECT doc_id, page_no, ord, label_ord FROM (SELECT a.doc_id, a.page_no, a.ord, b.ord AS label_ord, row_number() OVER (PARTITION BY a.doc_id, a.page_no, a.ord ORDER BY {DX} * {DX} + {DY} * {DY}, b.ord) AS rn FROM {{blocks}} a JOIN {{blocks}} b ON a.doc_id = b.doc_id AND a.page_no = b.page_no WHERE a.ord % 5 = 0 AND b.ord % 5 <> 0 AND abs({DY}) <= 50) WHERE rn = 1")
 def _(get):
     return P.glyph_labels(get("blocks").where("ord % 5 = 0"), get("blocks").where("ord % 5 <> 0"))

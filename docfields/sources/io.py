@@ -65,6 +65,37 @@ def validate_files(files: DataFrame, least: int = 1, most: int = 20 << 20) -> Da
     return files.withColumn("kind", kind).withColumn("reason", reason)
 
 
+# fixed values: what content types of documents contain
+TYPES = {"pdf": r"pdf", "excel": r"spreadsheet|excel|officedocument"}
+
+
+def read_files(spark: SparkSession, path: str, most: int = 20 << 20) -> DataFrame:
+    """Files below a path: path, length and content. The content of files of more than ``most`` bytes is never read; it is null.
+
+    Spark's binary files leave out those of no bytes; a caller that lists them itself adds them as rows of length 0, and ``check_documents`` rejects them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = files.where(F.col("length") <= most).select("path", "length", "content")
+    return small.unionByName(files.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content")))
+
+
+def check_documents(files: DataFrame, most: int = 20 << 20) -> DataFrame:
+    """Files (path, length, content, perhaps content_type) with kind and reason. A document begins as PDF or ZIP files do, or its content type says so: pdf or excel.
+
+    Reasons: empty (no bytes, or an unknown length), too_large, not_document, ok. The start of the content is looked at before the content type."""
+    magic = F.substring("content", 1, 4)
+    said = F.lower("content_type") if "content_type" in files.columns else F.lit(None).cast("string")
+    kind = F.when(magic == F.lit(b"%PDF"), "pdf").when(magic == F.lit(b"PK\x03\x04"), "excel").when(said.rlike(TYPES["pdf"]), "pdf").when(said.rlike(TYPES["excel"]), "excel")
+    reason = F.when(F.coalesce("length", F.lit(0)) == 0, "empty").when(F.col("length") > most, "too_large").when(kind.isNull(), "not_document").otherwise("ok")
+    return files.withColumn("kind", kind).withColumn("reason", reason)
+
+
+def route_files(checked: DataFrame, folder: str) -> None:
+    """Checked files in two tables of one write: outcome=valid with their content, outcome=rejected with their reason and without it."""
+    valid = F.col("reason") == "ok"
+    rows = checked.withColumn("content", F.when(valid, F.col("content"))).withColumn("outcome", F.when(valid, "valid").otherwise("rejected"))
+    rows.write.partitionBy("outcome").parquet(folder)
+
+
 def _flat(c: str, kind: str) -> Column:
     """An array, or a text that spells a list, as its entries joined by |; empty entries go."""
     if kind.startswith("array"):
