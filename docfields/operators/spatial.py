@@ -203,17 +203,27 @@ def cluster_lines(blocks: DataFrame, tolerance: int = 12) -> DataFrame:
     return lines.select(*PAGE, F.col("x.b.ord").alias("ord"), F.col("x.line").alias("line"))
 
 
-def merge_cells(blocks: DataFrame, gap: int = 20, column_width: int = 200, sure: int | None = None, sure_gap: int = 0) -> DataFrame:
-    """Blocks of a column become one cell while the next begins within the gap of the lowest end so far: gaps and islands.
-
-    A block of at least the confidence ``sure`` may lie ``sure_gap`` off. The column is ``col`` if blocks have one (of ``grid``), else x1 by width."""
+def _celled(blocks: DataFrame, gap: int, column_width: int, sure: int | None, sure_gap: int) -> DataFrame:
     column = F.col("col") if "col" in blocks.columns else F.floor(F.col("x1") / column_width)
     reach = F.lit(gap) if sure is None else F.when(F.col("conf_pct") >= sure, sure_gap).otherwise(gap)
     order = Window.partitionBy(*PAGE, "col").orderBy("y1", "ord")
     low = F.max("y2").over(order.rowsBetween(Window.unboundedPreceding, -1))
     flagged = blocks.withColumn("col", column).withColumn("new", F.coalesce((F.col("y1") - low > reach).cast("int"), F.lit(1)))
-    cells = flagged.withColumn("cell", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return cells.groupBy(*PAGE, "col", "cell").agg(F.min("y1").alias("y1"), F.max("y2").alias("y2"), F.count("*").alias("n"))
+    return flagged.withColumn("cell", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def merge_cells(blocks: DataFrame, gap: int = 20, column_width: int = 200, sure: int | None = None, sure_gap: int = 0) -> DataFrame:
+    """Blocks of a column become one cell while the next begins within the gap of the lowest end so far: gaps and islands.
+
+    A block of at least the confidence ``sure`` may lie ``sure_gap`` off. The column is ``col`` if blocks have one (of ``grid``), else x1 by width."""
+    return _celled(blocks, gap, column_width, sure, sure_gap).groupBy(*PAGE, "col", "cell").agg(F.min("y1").alias("y1"), F.max("y2").alias("y2"), F.count("*").alias("n"))
+
+
+def cell_texts(blocks: DataFrame, gap: int = 20, column_width: int = 200, sure: int | None = None, sure_gap: int = 0) -> DataFrame:
+    """The cells of ``merge_cells`` with their texts from top to bottom, the least confidence and the first block's number as ord."""
+    texts = F.sort_array(F.collect_list(F.struct("y1", "ord", F.trim("text").alias("text"))))
+    cells = _celled(blocks, gap, column_width, sure, sure_gap).groupBy(*PAGE, "col", "cell").agg(F.min("y1").alias("y1"), F.max("y2").alias("y2"), F.min("conf_pct").alias("conf_pct"), texts.alias("t"))
+    return cells.select(*PAGE, "col", "cell", "y1", "y2", "conf_pct", F.col("t")[0]["ord"].alias("ord"), F.array_join(F.transform("t", lambda b: b["text"]), " ").alias("text"))
 
 
 def words_to_cells(blocks: DataFrame, gap: int = 15) -> DataFrame:

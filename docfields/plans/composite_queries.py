@@ -57,6 +57,26 @@ def _(get):
     return C.kv_candidates(get("clause_docs"))
 
 
+_ANCHORS = {"validity": ("Bid Validity (Days)",), "payment": ("Payment Terms", "Payment"), "period": ("Contract Period",), "rules": ("Custom Rules",)}
+_PHRASES = " UNION ALL ".join(f"SELECT '{phrase.lower()}' AS anchor, '{field}' AS field_name, {k} AS rank" for k, (phrase, field) in enumerate((p, f) for f, ps in _ANCHORS.items() for p in ps))
+
+
+# every page of the view has its columns at 0 and 400, so its split lies between
+@query("x15_form_candidates", rf"""WITH g AS (SELECT *, x1 >= 200 AS side, CASE WHEN y1 - max(y2) OVER (PARTITION BY doc_id, page_no, x1 >= 200 ORDER BY y1, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 20 THEN 0 ELSE 1 END AS fresh FROM {{form_blocks}}),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page_no, side ORDER BY y1, ord) AS cell FROM g),
+    c AS (SELECT doc_id, page_no, side, cell, min(y1) AS y1, max(y2) AS y2, min(conf_pct) AS conf_pct, arg_min(ord, y1 * 1000 + ord) AS ord, string_agg(trim(text), ' ' ORDER BY y1, ord) AS text FROM i GROUP BY 1, 2, 3, 4),
+    o AS (SELECT l.doc_id, l.page_no, l.ord, l.text AS label, trim(r.text) AS value, least(l.conf_pct, r.conf_pct) AS conf_pct, row_number() OVER (PARTITION BY l.doc_id, l.page_no, l.ord ORDER BY least(l.y2, r.y2) - greatest(l.y1, r.y1) DESC, r.ord) AS p, row_number() OVER (PARTITION BY l.doc_id, l.page_no, r.ord ORDER BY least(l.y2, r.y2) - greatest(l.y1, r.y1) DESC, l.ord) AS q
+        FROM c l JOIN c r ON r.doc_id = l.doc_id AND r.page_no = l.page_no AND NOT l.side AND r.side AND least(l.y2, r.y2) > greatest(l.y1, r.y1)),
+    n AS (SELECT doc_id, page_no, ord, label, value, conf_pct, 'pair' AS way FROM o WHERE p = 1 AND q = 1 UNION ALL SELECT doc_id, page_no, ord, substr(text, 1, strpos(text, ':') - 1), trim(substr(text, strpos(text, ':') + 1)), conf_pct, 'colon' FROM {{form_blocks}} WHERE contains(text, ':')),
+    a AS ({_PHRASES}), t AS (SELECT *, lower(trim(label)) AS t FROM n WHERE trim(label) <> '' AND value <> ''),
+    s AS (SELECT t.*, a.*, CAST(floor(100 - 100 * list_min(list_transform(range(1, greatest(1, length(t) - length(anchor) + 1) + 1), lambda k: levenshtein(substr(t, k, length(anchor)), anchor))) / length(anchor)) AS BIGINT) AS score FROM t CROSS JOIN a),
+    h AS (SELECT *, floor(100 - 100 * list_min(list_transform(range(1, greatest(1, length(t) - 9) + 1), lambda k: levenshtein(substr(t, k, 10), 'emd detail'))) / 10) >= 85 AS head FROM s)
+    SELECT doc_id, page_no, ord, field_name, value, way, conf_pct * score / 100 AS conf_pct FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, ord, way ORDER BY score DESC, rank) AS rn FROM h WHERE score >= 80 AND NOT (head AND way = 'pair')) WHERE rn = 1
+    UNION ALL SELECT * FROM (SELECT DISTINCT doc_id, page_no, ord, field_name, trim(regexp_replace(substr(text, strpos(lower(text), anchor) + length(anchor)), '^[:/\s-]+', '')) AS value, 'suffix' AS way, conf_pct * 85 / 100 AS conf_pct FROM {{form_blocks}} JOIN a ON contains(lower(text), anchor)) WHERE value <> '' AND length(value) < 200""")
+def _(get):
+    return C.form_candidates(get("form_blocks"), _ANCHORS, ("EMD Detail",))
+
+
 @query("x16_schedules", "SELECT doc_id, page_no, segment, string_agg(ord || '=' || text, ';' ORDER BY ord) AS specs, count(*) AS n FROM (SELECT doc_id, page_no, ord, text, coalesce(h, 0) AS segment FROM (SELECT b.doc_id, b.page_no, b.ord, b.text, b.has, h.ord AS h, row_number() OVER (PARTITION BY b.doc_id, b.page_no, b.ord ORDER BY h.y1 DESC NULLS LAST, h.ord DESC) AS rn FROM (SELECT *, max(CASE WHEN is_header THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no) AS has FROM {blocks}) b LEFT JOIN (SELECT * FROM {blocks} WHERE is_header) h ON b.doc_id = h.doc_id AND b.page_no = h.page_no AND h.y1 <= b.y1) WHERE rn = 1 AND (has = 0 OR h IS NOT NULL)) GROUP BY ALL")
 def _(get):
     specs = F.array_join(F.transform(F.map_entries("specs"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ";")

@@ -33,6 +33,12 @@ PART_CELLS = (
     (10, "305", "'Part 1 & 2'", "k % 3 = 1"), (120, "303", "'Working and'", "true"), (200, "305", "'capital ' || CAST(c AS STRING) || ' Crore'", "true"), (10, "360", "'Bank  note'", "c % 2 = 0"),
 )
 
+#: Rows of forms: (y1, label, value, pages that have it); labels at the left, values at the right of a page.
+FORM_ROWS = (
+    (0, "'EMD Detail'", "CAST(c AS STRING)", "true"), (40, "'Bid Validty (Days)'", "CAST(c % 90 AS STRING)", "true"), (80, "'Payment Terms: ' || CAST(c % 30 AS STRING) || ' days'", "'as agreed'", "k % 2 = 0"), (120, "'Contract'", "'from '", "true"), (135, "'Period'", "CAST(c % 5 AS STRING) || ' years'", "k % 3 <> 0"),
+    (200, "'The Contract Period/ ' || CAST(c AS STRING)", "'x: y'", "c % 2 = 0"), (240, "'unrelated'", "'Custom Rules - apply'", "true"), (280, "':'", "' '", "k % 5 = 0"), (320, "'payment trms'", "'Payment Term: none'", "c % 3 = 0"),
+)
+
 VIEWS = {
     "occurrences": f"""
         SELECT tender_id, ord, CASE ord % 3 WHEN 0 THEN 'tender_value' WHEN 1 THEN 'pbg_percentage' ELSE 'courier_address' END AS field_name,
@@ -115,6 +121,10 @@ VIEWS = {
         f"SELECT CAST(floor(k / 2) AS BIGINT) AS doc_id, CAST(1 + k % 2 AS BIGINT) AS page_no, CAST({line * 10 + column} AS BIGINT) AS ord, CAST({column * 150} AS BIGINT) AS x1, CAST({line * 30} + (k + {column}) % 5 AS BIGINT) AS y1, {text} AS text FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {{orders}}) o WHERE {where}"
         for line, column, text, where in SCHEDULE_CELLS
     ),
+    "form_blocks": " UNION ALL ".join(
+        f"SELECT CAST(floor(k / 2) AS BIGINT) AS doc_id, CAST(1 + k % 2 AS BIGINT) AS page_no, CAST({2 * n + right} AS BIGINT) AS ord, CAST({400 * right} + k % 4 AS BIGINT) AS x1, CAST({y} + (c + {n}) % 7 AS BIGINT) AS y1, CAST({400 * right} + 300 AS BIGINT) AS x2, CAST({y} + 10 AS BIGINT) AS y2, CAST(60 + (c + {n}) % 40 AS BIGINT) AS conf_pct, {text} AS text FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {{orders}}) o WHERE {where}"
+        for n, (y, label, value, where) in enumerate(FORM_ROWS) for right, text in ((0, label), (1, value))
+    ),
     "part_blocks": " UNION ALL ".join(
         f"SELECT CAST(floor(k / 2) AS BIGINT) AS doc_id, CAST(1 + k % 2 AS BIGINT) AS page_no, CAST({n} AS BIGINT) AS ord, CAST({x} AS BIGINT) AS x1, CAST({y} AS BIGINT) AS y1, CAST({x} + 60 AS BIGINT) AS x2, CAST({y} + 8 AS BIGINT) AS y2, {text} AS text FROM (SELECT o_orderkey AS k, o_custkey AS c FROM {{orders}}) o WHERE {where}"
         for n, (x, y, text, where) in enumerate(PART_CELLS)

@@ -72,3 +72,19 @@ def test_files(spark, tmp_path):
     assert {(r.name, r.reason, r.content) for r in rejected} == {("d.txt", "not_document", None), ("e.pdf", "empty", None), ("f.pdf", "too_large", None)}
     typed = spark.createDataFrame([(b"hello", "Application/PDF"), (b"hello", "application/vnd.openxmlformats-officedocument"), (b"hello", None), (None, "x/pdf")], "content binary, content_type string").withColumn("length", F.length("content"))
     assert [(r.kind, r.reason) for r in io.check_documents(typed).collect()] == [("pdf", "ok"), ("excel", "ok"), (None, "not_document"), ("pdf", "empty")]
+
+
+def test_form_candidates(spark):
+    rows = [
+        ("EMD Detail", 0, 0, 90), ("7", 400, 2, 90), ("Bid Validity", 0, 40, 80), ("(Days)", 0, 55, 60), ("90", 400, 42, 70), ("Bid Validity (Days): 60", 0, 100, 50), ("", 400, 100, 90), (None, 400, 140, 90),
+        ("दिन/Payment Terms - 30 days", 0, 200, 100), ("Payment Terms " + "x" * 200, 0, 260, 100), (":", 0, 300, 100), ("nothing", 400, 301, 100),
+    ]
+    blocks = spark.createDataFrame([(1, 1, i, x, y, x + 300, y + 10, c, t) for i, (t, x, y, c) in enumerate(rows)], "doc_id long, page_no long, ord long, x1 long, y1 long, x2 long, y2 long, conf_pct long, text string")
+    anchors = {"validity": ("Bid Validity (Days)", "Validity"), "payment": ("Payment Terms",), "emd": ("EMD Detail",)}
+    read = lambda df: sorted((r.ord, r.field_name, r.value, r.way, r.conf_pct) for r in df.collect())
+    wanted = [
+        (2, "validity", "90", "pair", 60.0), (5, "validity", "(Days): 60", "suffix", 42.5), (5, "validity", "60", "colon", 50.0), (5, "validity", "60", "suffix", 42.5), (8, "payment", "30 days", "suffix", 85.0),
+    ]
+    assert read(C.form_candidates(blocks, anchors, ("EMD Detail",))) == sorted(wanted)
+    assert (0, "emd", "7", "pair", 90.0) in read(C.form_candidates(blocks, anchors))
+    assert read(C.form_candidates(blocks.limit(0), anchors, ("EMD Detail",))) == []
