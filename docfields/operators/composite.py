@@ -79,40 +79,24 @@ def form_candidates(blocks: DataFrame, anchors: dict[str, tuple[str, ...]], head
     """Labelled values of forms: a row for each label that is like an anchor of a field, with what it labels.
 
     Ways: colon, a block's text before and behind its first colon; suffix, what follows an anchor inside a block, of less than ``most`` characters (confidence 85 percent of the
-    block's); pair, the cells left and right of the page's column split that are each other's largest overlap in y. Labels meet anchors by ``rules.fuzzy_labels``, the best anchor first, then the first named. A left cell like a header (score 85)
+    block's); pair, the cells left and right of the page's column split that are each other's largest overlap in y. A label's anchor is that of the best ``rules.partial_ratio``, ``least`` or more, of several the first named. A left cell like a header (score 85)
     is no label. Confidence is the least one of the blocks times the score. Columns doc_id, page_no, ord (of the label), field_name, value, way, conf_pct.
 
-    Anchors and headers are the program's. The left cells of a page meet its right cells; a null or blank text, label or value gives nothing. Without blocks of a page there is no row."""
-    spark = blocks.sparkSession
+    Anchors and headers are the program's, so no join brings them. The left cells of a page meet its right cells; a null or blank text, label or value gives nothing. Without blocks of a page there is no row."""
     named = [(phrase.lower(), field) for field, phrases in anchors.items() for phrase in phrases]
-    order = {phrase: k for k, (phrase, _) in reversed([*enumerate(named)])}
-    labels = spark.createDataFrame([*order.items()], "field_name string, precedence int")
-    field_of = F.create_map(*[F.lit(x) for phrase, field in reversed(named) for x in (phrase, field) if order[phrase] == named.index((phrase, field))])
-    one_line = lambda c: F.regexp_replace(c, r"[\r\n]+", " ")
-
     colon = blocks.where(F.contains("text", F.lit(":"))).select(*BLOCK, "conf_pct", F.trim(F.substring_index("text", ":", 1)).alias("label"), F.trim(F.regexp_replace("text", r"^[^:]*:", "")).alias("value"), F.lit("colon").alias("way"))
-
-    split = P.column_split(blocks)
-    sided = blocks.join(split, P.PAGE).withColumn("col", (F.col("x1") >= F.col("split")).cast("int"))
+    sided = blocks.join(P.column_split(blocks), P.PAGE).withColumn("col", (F.col("x1") >= F.col("split")).cast("int"))
     cells = P.cell_texts(sided, gap)
-    left, right = cells.where("col = 0"), cells.where("col = 1")
-    pairs = P.mutual_pairs(left, right)
-    side = lambda df, p: df.select(*P.PAGE, *[F.col(c).alias(f"{p}_{c}") for c in ("ord", "text", "conf_pct")])
-    both = pairs.join(side(left, "a"), [*P.PAGE, "a_ord"]).join(side(right, "b"), [*P.PAGE, "b_ord"])
-    pair = both.select(*P.PAGE, F.col("a_ord").alias("ord"), F.least("a_conf_pct", "b_conf_pct").alias("conf_pct"), F.col("a_text").alias("label"), F.trim("b_text").alias("value"), F.lit("pair").alias("way"))
-
-    # each label is a text of one line for the fuzzy join
-    key = F.struct(*BLOCK, "way")
-    every = colon.unionByName(pair).where("trim(label) != '' and value != ''").withColumn("label", one_line(F.col("label")))
-    texts = every.select(key.alias("doc_id"), F.col("label").alias("text"))
-    like = Ru.fuzzy_labels(texts, labels, least).select("doc_id.*", "field_name", "score")
-    scored = every.join(like, [*BLOCK, "way"])
+    pairs = P.mutual_pairs(cells.where("col = 0"), cells.where("col = 1"), ("text", "conf_pct"))
+    pair = pairs.select(*P.PAGE, F.col("a_ord").alias("ord"), F.least("a_conf_pct", "b_conf_pct").alias("conf_pct"), F.col("a_text").alias("label"), F.trim("b_text").alias("value"), F.lit("pair").alias("way"))
+
+    every = colon.unionByName(pair).where("value != ''").withColumn("t", F.trim(F.regexp_replace(F.lower("label"), r"[\x{0900}-\x{097F}]+", " "))).where("t != ''")
+    known = F.array(*[F.struct(F.lit(phrase).alias("phrase"), F.lit(-k).alias("rank"), F.lit(field).alias("field_name")) for k, (phrase, field) in enumerate(named)])
+    best = F.array_max(F.transform(known, lambda a: F.struct(Ru.partial_ratio(F.col("t"), a["phrase"]).alias("score"), a["rank"].alias("rank"), a["field_name"].alias("field_name"))))
     if headers:
-        heads = spark.createDataFrame([(h,) for h in headers], "field_name string")
-        begun = Ru.fuzzy_labels(texts.where("doc_id.way = 'pair'"), heads, 85).select("doc_id.*")
-        scored = scored.join(begun, [*BLOCK, "way"], "left_anti")
+        every = every.where((F.col("way") != "pair") | ~F.exists(F.array(*[F.lit(h.lower()) for h in headers]), lambda h: Ru.partial_ratio(F.col("t"), h) >= 85))
     result = [*BLOCK, "field_name", "value", "way", "conf_pct"]
-    read = scored.withColumn("field_name", field_of[F.col("field_name")]).withColumn("conf_pct", F.col("conf_pct") * F.col("score") / 100)
+    read = every.withColumn("b", best).where(F.col("b.score") >= least).withColumn("field_name", F.col("b.field_name")).withColumn("conf_pct", F.col("conf_pct") * F.col("b.score") / 100)
 
     low = F.lower("text")
     rest = lambda phrase: F.trim(F.regexp_replace(F.substring(F.col("text"), F.locate(phrase, low) + len(phrase), F.length("text")), r"^[:\-/\s\x{0900}-\x{097F}]+", ""))

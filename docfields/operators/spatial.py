@@ -68,14 +68,14 @@ def adjacent_rows(blocks: DataFrame, gap: int = 50) -> DataFrame:
     return nexts.where(F.abs(F.col("next_y1") - F.col("y2")) < gap).select(*PAGE, "ord", "next_ord")
 
 
-def mutual_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Cells of two columns that are each other's largest overlap in y; the first wins ties."""
-    a, b = _as(left, "a", "ord", "y1", "y2"), _as(right, "b", "ord", "y1", "y2")
+def mutual_pairs(left: DataFrame, right: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Cells of two columns that are each other's largest overlap in y; the first wins ties. Columns to carry along come back as a_ and b_ ones."""
+    a, b = _as(left, "a", "ord", "y1", "y2", *carry), _as(right, "b", "ord", "y1", "y2", *carry)
     overlap = F.least("a_y2", "b_y2") - F.greatest("a_y1", "b_y1")
     pairs = a.join(b, PAGE).withColumn("overlap", overlap).where("overlap > 0")
     ra = F.row_number().over(Window.partitionBy(*PAGE, "a_ord").orderBy(F.desc("overlap"), "b_ord"))
     rb = F.row_number().over(Window.partitionBy(*PAGE, "b_ord").orderBy(F.desc("overlap"), "a_ord"))
-    return pairs.withColumn("ra", ra).withColumn("rb", rb).where("ra = 1 and rb = 1").select(*PAGE, "a_ord", "b_ord", "overlap")
+    return pairs.withColumn("ra", ra).withColumn("rb", rb).where("ra = 1 and rb = 1").select(*PAGE, "a_ord", "b_ord", "overlap", *[f"{p}_{c}" for p in "ab" for c in carry])
 
 
 def greedy_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
