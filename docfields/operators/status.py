@@ -217,10 +217,13 @@ def anchor_check(predictions: DataFrame, sources: DataFrame, before: int = 100,
 
     Flags need no support. A number must occur, by its first eight characters. Text must occur whatever the case and white space, or else all
     of its first four words over two letters. Criteria with numbers need 60 % of the different ones. Snippet: the text around the
-    place; null if unsupported or a flag. Missing values, and those of documents without a text, are not supported."""
+    place; null if unsupported or a flag. Missing values, and those of documents without a text, are not supported.
+
+    Texts are folded before the join, once a document and not once a mention in the rules. They are long and of unknown size, so they
+    are merged and never broadcast."""
     fold = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    value, text = fold(F.col("value")), fold(F.coalesce("text", F.lit("")))
-    low = F.lower(text)
+    folded = sources.select("doc_id", fold(F.col("text")).alias("_text")).hint("merge")
+    value, text, low = F.col("_value"), F.coalesce("_text", F.lit("")), F.lower(F.coalesce("_text", F.lit("")))
     number = F.regexp_replace(value, "[%₹,]", "")
     place = lambda part: F.call_function("instr", low, F.lower(part))
     numbers = F.array_distinct(F.regexp_extract_all(value, F.lit(r"(\d+(?:[.,]\d+)?)"), 1))
@@ -236,7 +239,7 @@ def anchor_check(predictions: DataFrame, sources: DataFrame, before: int = 100,
         .otherwise(F.coalesce(whole, by_words))
     )
     flag = F.coalesce("is_flag", F.lit(False))
-    joined = predictions.join(sources.select("doc_id", "text"), "doc_id", "left").withColumn("at", F.when(~flag, at))
+    joined = predictions.withColumn("_value", fold(F.col("value"))).join(folded, "doc_id", "left").withColumn("at", F.when(~flag, at))
     start = F.greatest(F.lit(1), F.col("at") - before)
     snippet = F.when(F.col("at") > 0, F.substring(text, start, F.col("at") + after - start + F.length(value)))
     return joined.select(*predictions.columns, (flag | F.coalesce(F.col("at") > 0, F.lit(False))).alias("supported"), snippet.alias("snippet"))
