@@ -4,6 +4,9 @@ import random
 import re
 from functools import cache
 
+from pyspark.sql import functions as F
+
+from docfields.functions import scalars as S
 from docfields.operators import rules
 
 
@@ -116,3 +119,32 @@ def test_fuzzy_labels_of_very_long_lines(spark):
     near = ratio(" total quantty " + filler[:20], "total quantity"), ratio("delivery perod: 5", "delivery period")
     assert found == [(1, 0, "Total Quantity", near[0]), (3, 0, "Delivery Period", near[1]), (3, 1, "Delivery Period", 100)]
     assert time.time() - began < 30
+
+
+def test_partial_ratio_by_pieces(spark):
+    texts = ["", "bid", "x" * 300 + "payment trms" + "y" * 300, "z" * 255 + "Payment terms".lower(), "q" * 600, "päyment terms", "terms of payment"]
+
+    anchor = "payment terms"
+    plain = {t: int((100 - 100 * min(edits(t[k : k + 13], anchor) for k in range(max(1, len(t) - 12))) / 13) // 1) for t in texts}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rules.partial_ratio(F.col("t"), F.lit(anchor)).alias("all"), rules.partial_ratio(F.col("t"), F.lit(anchor), 80).alias("some"), rules.may_be_like(F.col("t"), anchor, 80).alias("may")).collect()
+    for r in rows:
+        assert r["all"] == plain[r["t"]] and r["some"] == (r["all"] if r["all"] >= 80 else None)
+        assert r["may"] or r["some"] is None
+
+
+def test_long_texts_are_not_broadcast(spark):
+    from conftest import DATA
+    from docfields.catalog import QUERIES
+
+    for name in ("j12_fuzzy_label_join", "x19_supported_values"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan, name
+
+
+def test_address_with_a_longer_number(spark):
+    cases = {
+        "Cell 1, Block 2, City, 1310000": ("Cell 1", "Block 2, City", "1310000"), "Cell 100000, Block 2, City, 1310000": ("Cell 100000", "Block 2, City", "1310000"), "Cell 1, Block 2, City, 110001": ("Cell 1", "Block 2, City", "110001"),
+        "Plot 7, Pune 411001, 01123456789": ("Plot 7", "Pune 411001, 01123456789", "411001"), "City, 110001, 23456789": ("City", "23456789", "110001"), "House 12": ("House 12", None, None),
+    }
+    rows = spark.createDataFrame([(c,) for c in cases], "c string").select("c", S.address_parts(F.col("c")).alias("a")).select("c", "a.*").collect()
+    assert {r["c"]: (r["line1"], r["line2"], r["pin"]) for r in rows} == cases
