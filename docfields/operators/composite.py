@@ -91,12 +91,13 @@ def form_candidates(blocks: DataFrame, anchors: dict[str, tuple[str, ...]], head
     pair = pairs.select(*P.PAGE, F.col("a_ord").alias("ord"), F.least("a_conf_pct", "b_conf_pct").alias("conf_pct"), F.col("a_text").alias("label"), F.trim("b_text").alias("value"), F.lit("pair").alias("way"))
 
     every = colon.unionByName(pair).where("value != ''").withColumn("t", F.trim(F.regexp_replace(F.lower("label"), r"[\x{0900}-\x{097F}]+", " "))).where("t != ''")
-    known = F.array(*[F.struct(F.lit(phrase).alias("phrase"), F.lit(-k).alias("rank"), F.lit(field).alias("field_name")) for k, (phrase, field) in enumerate(named)])
-    best = F.array_max(F.transform(known, lambda a: F.struct(Ru.partial_ratio(F.col("t"), a["phrase"]).alias("score"), a["rank"].alias("rank"), a["field_name"].alias("field_name"))))
-    if headers:
-        every = every.where((F.col("way") != "pair") | ~F.exists(F.array(*[F.lit(h.lower()) for h in headers]), lambda h: Ru.partial_ratio(F.col("t"), h) >= 85))
+    # a phrase is scored only against labels that may be like it, and once a label: the best one is a row of its own, or each use would score anew
+    scores = [F.when(Ru.may_be_like(F.col("t"), phrase, least), F.struct(Ru.partial_ratio(F.col("t"), F.lit(phrase), least).alias("score"), F.lit(-k).alias("rank"), F.lit(field).alias("field_name"))) for k, (phrase, field) in enumerate(named)]
+    for h in headers:
+        like = F.when(Ru.may_be_like(F.col("t"), h.lower(), 85), Ru.partial_ratio(F.col("t"), F.lit(h.lower()), 85).isNotNull()).otherwise(False)
+        every = every.where((F.col("way") != "pair") | ~like)
     result = [*BLOCK, "field_name", "value", "way", "conf_pct"]
-    read = every.withColumn("b", best).where(F.col("b.score") >= least).withColumn("field_name", F.col("b.field_name")).withColumn("conf_pct", F.col("conf_pct") * F.col("b.score") / 100)
+    read = every.select("*", F.explode(F.filter(F.array(F.array_max(F.array(*scores))), lambda b: b["score"] >= least)).alias("b")).withColumn("field_name", F.col("b.field_name")).withColumn("conf_pct", F.col("conf_pct") * F.col("b.score") / 100)
 
     low = F.lower("text")
     rest = lambda phrase: F.trim(F.regexp_replace(F.substring(F.col("text"), F.locate(phrase, low) + len(phrase), F.length("text")), r"^[:\-/\s\x{0900}-\x{097F}]+", ""))
