@@ -78,3 +78,19 @@ def test_long_texts(spark, line):
     assert counted.n == {"1": 100_000, "S": 200_000, "\n": 1}[line[0]] and counted.depth == {"1": 1, "S": 2, "\n": 0}[line[0]]
     assert docs.select(Se.first_slice(F.col("text"), "item of", "([0-9])%").alias("v")).first().v == ("5" if line[0] == "1" else None)
     assert time.time() - start < 40
+
+
+def test_words_are_looked_for_after_the_texts_are_dealt_out(spark):
+    from conftest import DATA
+    from docfields.catalog import QUERIES
+
+    plan = QUERIES["x7_clause_references"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "Filter RLIKE" not in plan
+
+
+def test_lookup_keys_are_not_shuffled(spark):
+    from conftest import DATA
+    from docfields.catalog import QUERIES
+
+    plan = QUERIES["j2_lookup_fields"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
