@@ -94,3 +94,12 @@ def test_lookup_keys_are_not_shuffled(spark):
 
     plan = QUERIES["j2_lookup_fields"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_sections_are_made_where_their_texts_are(spark):
+    from conftest import DATA
+    from docfields.catalog import QUERIES
+
+    for name in ("x2_section_table", "x10_mentions"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan, name
