@@ -24,6 +24,8 @@ DOCUMENT = 400
 SAMPLE = 2000
 #: Languages whose sizes may be broadcast; beyond it only those of hot ones are.
 BROADCAST_LANGUAGES = 1 << 16
+#: Rows whose n-grams are held at once.
+COUNTED = 512
 #: Characters that are worked on at once within one document; counts do not depend on it.
 PIECE = 1 << 20
 _CHARACTER = np.uint64(21)  # bits
@@ -78,7 +80,7 @@ def ranked(found: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(k, COUNTED) for b in batches for k in range(0, b.num_rows, COUNTED)):
         by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found, counts = grams(text)
@@ -122,23 +124,28 @@ class Profiles:
         return self.names[k], float(near[k] / (PROFILE * len(best)))
 
 
-def learn(labelled: DataFrame) -> Profiles:
-    """Profiles of the languages of labelled (lang, text; doc_id if there is one).
-
-    Learns from at most SAMPLE different rows of a language, those of the least hash; what comes to the driver is at most
-    PROFILE n-grams a language. Rows without a language or a text teach nothing; nor do texts without letters."""
-    key = [c for c in ("doc_id", "text") if c in labelled.columns]
-    rows = labelled.select(labelled["lang"].cast("string").alias("lang"), labelled["text"].cast("string").alias("text"), F.xxhash64(*[labelled[c] for c in key]).alias("h")).where("lang is not null and text is not null")
-    # a cut that about 2 * SAMPLE rows pass, so that the exact cut sorts few rows
+def _drawn(rows: DataFrame, most: int) -> DataFrame:
+    """At most so many different rows (lang, text, h) of a language, those of the least h."""
+    # a cut that about 2 * most rows pass, so that the exact cut sorts few rows
     sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n")))
-    share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("n")).alias("share")
+    share = F.least(F.lit(1.0), F.lit(2.0 * most) / F.col("n")).alias("share")
     if sizes.count() <= BROADCAST_LANGUAGES:
         sized = rows.join(F.broadcast(sizes.select("lang", share)), "lang")
     else:
         sized = with_hot(rows, sizes.select("lang", share, "n"), "lang", sizes.agg(F.sum("n")).head()[0])
     first = written(sized.where(F.pmod("h", F.lit(1 << 30)) <= (1 << 30) * F.col("share")).select("lang", "text", "h"))
-    last = first.groupBy("lang").agg(F.get(F.sort_array(F.collect_set("h")), F.lit(SAMPLE)).alias("last"))
-    sample = first.join(last, "lang").where("last is null or h < last").select("lang", "text")
+    last = first.groupBy("lang").agg(F.get(F.sort_array(F.collect_set("h")), F.lit(most)).alias("last"))
+    return first.join(last, "lang").where("last is null or h < last")
+
+
+def learn(labelled: DataFrame, most: int | None = SAMPLE) -> Profiles:
+    """Profiles of the languages of labelled (lang, text; doc_id if there is one).
+
+    Learns from at most ``most`` different rows of a language, those of the least hash, or from all rows; what comes to the driver is at most
+    PROFILE n-grams a language. Rows without a language or a text teach nothing; nor do texts without letters."""
+    key = [c for c in ("doc_id", "text") if c in labelled.columns]
+    rows = labelled.select(labelled["lang"].cast("string").alias("lang"), labelled["text"].cast("string").alias("text"), F.xxhash64(*[labelled[c] for c in key]).alias("h")).where("lang is not null and text is not null")
+    sample = (rows if most is None else _drawn(rows, most)).select("lang", "text")
     totals = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = totals.withColumn("rank", rank).where(F.col("rank") <= PROFILE)

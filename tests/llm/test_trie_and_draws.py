@@ -221,3 +221,16 @@ def test_quality_learns_nothing_from_held_out_rows_or_without_labels(spark):
     again = quality(docs, turned).toPandas().sort_values("doc_id")
     assert (again.score.to_numpy() == found.score.to_numpy()).all()
     assert quality(docs, turned.limit(0)).toPandas().score.eq(0).all() and quality(docs.limit(0), docs).count() == 0
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    from docfields.llm import toxicity as X
+
+    # long texts teach as well
+    rows = [(k, f"n{k} " + "plain words of peace " * 3000 + ("vile scum " if k % 2 else ""), "en", k % 2) for k in range(48)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    found = [r["predicted"] for r in X.toxicity(docs, docs).orderBy("doc_id").collect()]
+    assert sum(a == r[3] for a, r in zip(found, rows)) >= 46
+    scores = np.array([0.9, 0.8, 0.7, 0.2])
+    assert X.best_threshold(scores, scores, np.ones(4), np.array([1, 1, 0, 0])) == pytest.approx(0.75)
+    assert X.best_threshold(np.array([0.2, 0.7]), np.array([0.4, 0.9]), np.array([50, 3]), np.array([1, 3])) == pytest.approx(0.55)
