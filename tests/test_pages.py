@@ -88,3 +88,21 @@ def test_form_candidates(spark):
     assert read(C.form_candidates(blocks, anchors, ("EMD Detail",))) == sorted(wanted)
     assert (0, "emd", "7", "pair", 90.0) in read(C.form_candidates(blocks, anchors))
     assert read(C.form_candidates(blocks.limit(0), anchors, ("EMD Detail",))) == []
+
+
+def test_views_are_dealt_out_by_document_once(spark, monkeypatch):
+    import re
+
+    from conftest import DATA
+    from docfields.plans import fixtures as X
+
+    shuffles = lambda df: len(re.findall(r"\bExchange ", df._jdf.queryExecution().executedPlan().toString()))
+    monkeypatch.setattr(X, "DEALT_ROWS", {"lineitem": 1000, "orders": 100})
+    for name, (_, _, _) in X.DEALT.items():
+        plain = spark.sql(X.VIEWS[name], **{x: X.table(spark, DATA, x) for x in re.findall(r"\{([a-z]\w*)\}", X.VIEWS[name])})
+        dealt = X.view(spark, DATA, name)
+        assert plain.schema.names == dealt.schema.names and plain.exceptAll(dealt).isEmpty() and dealt.exceptAll(plain).isEmpty()
+        assert shuffles(dealt) == 1 and dealt.rdd.getNumPartitions() > 4
+    blocks = X.view(spark, DATA, "blocks")
+    for found in (P.segments(blocks), P.merge_cells(blocks), P.words_to_cells(blocks), P.detect_tables(blocks), P.context_below(blocks.where("is_header"), blocks, "N [0-9]", 3).where("ord = 1")):
+        assert shuffles(found) <= 2
