@@ -1,8 +1,9 @@
 """Quality by Bradley-Terry scores: a document is preferred to another with the chance sigmoid(score - score').
 
 Scores are linear in features of the whole text, so a preference pair is one row of feature differences, and the logistic loss
-over pairs fits the weights. The pairs set a sampled document of label 1 before one of label 0. The threshold is the quantile
-of the scores of labelled rows kept apart that leaves as many below it as label 0 has; it falls on 0.3.
+over pairs fits the weights. The pairs set a document of label 1 before one of label 0. All labelled rows teach: shards of them are
+fitted each by a task, and the weights are their mean. The threshold is the quantile of the scores of labelled rows kept apart that
+leaves as many below it as label 0 has; it falls on 0.3.
 
 Features, as square roots of shares: of every byte; of words by shape (kinds of the first and the last two bytes, and length); of hashed
 words; and of words that repeat one of the words just before them.
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from docfields.llm import language
 from docfields.llm import text as T
+from docfields.llm.shards import averaged, dealt, with_marks
 from docfields.llm.tables import only, written
 
 THRESHOLD = 0.3
@@ -32,15 +34,16 @@ LAGS = 4
 SIZE = 256 + SHAPES + WORDS + LAGS + 1
 #: Documents whose features are held at once.
 ROWS = 512
-#: Labelled rows of each label that are fitted on at most, those with the least hash of the id, and their greatest length.
-SAMPLE = 2000
-SAMPLE_CHARS = 50_000
-#: Preference pairs an epoch, and epochs.
-PAIRS = 1 << 13
+#: Labelled rows of a shard, about.
+SHARD = 4096
+#: Preference pairs an epoch, if rows are few; else each row is in one at least. And epochs.
+PAIRS = 1 << 12
 EPOCHS = 30
 RIDGE = 1e-4
-#: The share of the sample that only places the threshold, one in so many by hash of the text.
+#: The share of the labelled rows that only places the threshold, one in so many by hash of the text.
 APART = 4
+#: Scores are counted in so many steps for the threshold.
+BINS = 1 << 14
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,13 +108,15 @@ class Model:
 
 
 def fit(x: np.ndarray, labels: np.ndarray, seed: int = 11) -> np.ndarray:
-    """Weights by Adam on the logistic loss of drawn pairs' feature differences, preferred minus other."""
+    """Weights by Adam on the logistic loss of pairs' feature differences, preferred minus other; every row is in a pair each epoch."""
     rng = np.random.default_rng(seed)
     good, poor = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     w, first, second, step = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
+    pairs = max(PAIRS, len(good), len(poor))
+    drawn = lambda rows: np.concatenate([rng.permutation(rows) for _ in range(-(-pairs // len(rows)))])[:pairs]
     for epoch in range(EPOCHS):
         rate = 0.05 * (1 - epoch / EPOCHS)
-        for better, worse in zip(np.array_split(rng.choice(good, PAIRS), PAIRS // 256), np.array_split(rng.choice(poor, PAIRS), PAIRS // 256)):
+        for better, worse in zip(np.array_split(drawn(good), pairs // 256), np.array_split(drawn(poor), pairs // 256)):
             difference = x[better] - x[worse]
             chance = 1 / (1 + np.exp(np.clip(difference @ w, -40, 40)))  # of the wrong order
             slope = RIDGE * w - difference.T @ chance / len(better)
@@ -127,34 +132,74 @@ def threshold(scores: np.ndarray, labels: np.ndarray, share: float) -> float:
     The rows of either label are weighed to that label's share, whatever their numbers are."""
     weight = np.where(labels == 0, share / max(1, (labels == 0).sum()), (1 - share) / max(1, (labels == 1).sum()))
     by = np.argsort(scores, kind="stable")
-    k = int(np.searchsorted(np.cumsum(weight[by]), share * (1 - 1e-9)))
-    return float((scores[by[k]] + scores[by[min(k + 1, len(by) - 1)]]) / 2)
+    return _quantile(scores[by], scores[by], weight[by], share)
+
+
+def _quantile(low: np.ndarray, high: np.ndarray, weight: np.ndarray, share: float) -> float:
+    """The quantile of steps in order with their least and greatest score: in the middle between the step at its place and the next."""
+    k = int(np.searchsorted(np.cumsum(weight), share * (1 - 1e-9)))
+    k = min(k, len(weight) - 1)
+    return float((high[k] + (low[k + 1] if k + 1 < len(low) else high[k])) / 2)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features that are not zero, as places and values."""
     for batch in batches:
         done = 0
         for x in _pieces(batch.column(0)):
             rest = [c.slice(done, len(x)) for c in batch.columns[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary()), *rest], ["x", *batch.schema.names[1:]])
+            own = [np.flatnonzero(r) for r in x]
+            columns = [[i.astype(np.uint16).tobytes() for i in own], [r[i].astype(np.float16).tobytes() for r, i in zip(x, own)]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.binary()) for c in columns], *rest], ["at", "x", *batch.schema.names[1:]])
             done += len(x)
 
 
+def _dense(at: pa.ChunkedArray | pa.Array, x: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    out = np.zeros((len(at), SIZE), np.float32)
+    for row, i, v in zip(out, at, x):
+        row[np.frombuffer(i.as_py(), np.uint16)] = np.frombuffer(v.as_py(), np.float16)
+    return out
+
+
+def _fitted(table: pa.Table) -> np.ndarray | None:
+    y = table.column("quality").to_numpy()
+    return fit(_dense(table.column("at"), table.column("x")), y) if 0 < y.sum() < len(y) else None
+
+
+def _raw(weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [_dense(*(c.slice(k, ROWS) for c in batch.columns[:2])) @ weights for k in range(0, batch.num_rows, ROWS)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(np.concatenate(raw) if raw else np.zeros(0))], ["quality", "raw"])
+
+    return run
+
+
 def train(labelled: DataFrame, share: float) -> Model:
-    """Fit on labelled (text, quality), at most 2 * SAMPLE rows; share: of label 0 among all labels."""
-    rows = labelled.select("text", "quality", F.xxhash64("text").alias("h"))
-    found = rows.mapInArrow(_rows, "x binary, quality int, h long").toPandas().sort_values(["h", "quality"])
-    y, apart = found["quality"].to_numpy(), (found["h"] % APART == 0).to_numpy()
-    if not 0 < y.sum() < len(y):
+    """Fit on all rows of labelled (doc_id, text, quality); share: of label 0 among all labels.
+
+    What comes to the driver is the weights, and two counts for each of BINS steps of the scores."""
+    h = F.xxhash64("text")
+    rows = labelled.select("text", "quality", (F.pmod(h, F.lit(APART)) == 0).alias("apart"), F.xxhash64("doc_id", h).alias("k"))
+    held = written(rows.mapInArrow(_rows, "at binary, x binary, quality int, apart boolean, k long"))
+    sizes = {(r["apart"], r["quality"]): r["n"] for r in held.groupBy("apart", "quality").agg(F.count("*").alias("n")).collect()}
+    if {y for _, y in sizes} != {0, 1}:
         return Model()
-    x = np.stack([np.frombuffer(r, np.float16) for r in found["x"]]).astype(np.float32)
-    if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
-        apart = np.zeros(len(y), bool)  # too few for a part of their own
-    w = fit(x[~apart], y[~apart])
-    kept = apart if apart.any() else ~apart
-    scores, own = x[kept] @ w, y[kept]
-    spread = max(1e-6, float(np.median(scores[own == 1]) - np.median(scores[own == 0])))
-    return Model(w.astype(np.float32), threshold(scores, own, share), 12 / spread)
+    if len(sizes) == 4:
+        fitted, kept = held.where("not apart"), held.where("apart")
+        own = {y: sizes[False, y] for y in (0, 1)}
+    else:  # too few for a part of their own
+        fitted = kept = held
+        own = {y: sizes.get((False, y), 0) + sizes.get((True, y), 0) for y in (0, 1)}
+    shards = -(-sum(own.values()) // SHARD)
+    w = averaged(dealt(fitted.drop("apart"), "quality", own, shards), shards, _fitted).astype(np.float32)
+    raw = written(kept.select("at", "x", "quality").mapInArrow(_raw(w.astype(np.float64)), "quality int, raw double"))
+    low, high = raw.agg(F.min("raw"), F.max("raw")).head()
+    step = F.floor((F.col("raw") - low) * (BINS / max(high - low, 1e-9)))
+    found = raw.groupBy(step.alias("step")).agg(F.min("raw").alias("low"), F.max("raw").alias("high"), F.count_if(F.col("quality") == 0).alias("poor"), F.count_if(F.col("quality") == 1).alias("good")).toPandas().sort_values("step")
+    lows, highs, poor, good = (found[c].to_numpy() for c in ("low", "high", "poor", "good"))
+    spread = max(1e-6, _quantile(lows, highs, good / good.sum(), 0.5) - _quantile(lows, highs, poor / poor.sum(), 0.5))
+    return Model(w, _quantile(lows, highs, share * poor / poor.sum() + (1 - share) * good / good.sum(), share), 12 / spread)
 
 
 def _score(sent):
@@ -176,9 +221,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = only(docs, doc_id="long", text="string")
     marks = only(labels, doc_id="long", quality="int").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1))
     marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    few = [marks.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
-    chosen = written(few[0].unionByName(few[1]))
-    labelled = docs.join(F.broadcast(chosen), "doc_id").where(f"length(coalesce(text, '')) <= {SAMPLE_CHARS}").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
+    labelled = with_marks(docs, marks)
     share = 1 - (marks.agg(F.avg("quality")).head()[0] or 0.0)
     sent = docs.sparkSession.sparkContext.broadcast(train(labelled, share))
     found = docs.mapInArrow(_score(sent), "doc_id long, score double")

@@ -223,6 +223,22 @@ def test_quality_learns_nothing_from_held_out_rows_or_without_labels(spark):
     assert quality(docs, turned.limit(0)).toPandas().score.eq(0).all() and quality(docs.limit(0), docs).count() == 0
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    from docfields.llm import quality as Q
+    from docfields.llm import shards as S
+
+    # long texts teach as well
+    rows = [(k, ("good words here " if k % 2 else "BAD!! BAD!! ") * 5000, k % 2) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    assert [r["predicted"] for r in Q.quality(docs, docs).orderBy("doc_id").collect()] == [r[2] for r in rows]
+    # every row is in a shard, and each shard has both labels however rare one is
+    rows = spark.range(9000).selectExpr("id", "int(id >= 3) as y", "id as k")
+    found = S.dealt(rows, "y", {0: 3, 1: 8997}, 5).toPandas()
+    assert found.id.nunique() == 9000 and (found.groupby("shard").y.nunique() == 2).all() and len(found) == 8997 + 3 * 5
+    seen = S.averaged(S.dealt(rows.selectExpr("*", "1 as n"), "y", {0: 3, 1: 8997}, 5), 5, lambda t: np.array([1.0, t.column("y").to_numpy().mean()]))
+    assert seen[0] == 1 and seen[1] == pytest.approx(8997 / 9012)
+
+
 def test_toxicity_learns_from_every_labelled_row(spark):
     from docfields.llm import toxicity as X
 
