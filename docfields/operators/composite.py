@@ -214,23 +214,33 @@ def keyword_udtf(docs: DataFrame, keyword: str, after: int) -> DataFrame:
 
 
 class LineCluster:
-    """Table function over one page's blocks in (y1, ord) order: each goes to the line whose mean y1 is within the tolerance, else begins the next line.
+    """Table function over blocks in the order of pages, each page's from k = 1 in (y1, ord) order: a block goes to the line whose mean y1 is within the tolerance, else begins the next line.
 
-    Only a line's sum and count are held, so a page may have any number of blocks."""
+    Blocks come in Arrow batches. Only a line's sum and count are held, from batch to batch too, so a page may have any number of blocks."""
 
     def __init__(self):
         self.total, self.count, self.line = 0, 0, 0
 
-    def eval(self, block, tolerance: int):
-        if self.count == 0 or abs(block["y1"] * self.count - self.total) > tolerance * self.count:
-            self.total, self.count, self.line = 0, 0, self.line + 1
-        self.total += block["y1"]
-        self.count += 1
-        yield block["doc_id"], block["page_no"], block["ord"], self.line
+    def eval(self, blocks, tolerance):
+        import pyarrow as pa
+
+        most, total, count, line, lines = tolerance[0].as_py(), self.total, self.count, self.line, []
+        for k, y in zip(blocks.column("k").to_pylist(), blocks.column("y1").to_pylist()):
+            if k == 1:
+                count, line = 0, 0
+            if count == 0 or abs(y * count - total) > most * count:
+                total, count, line = 0, 0, line + 1
+            total += y
+            count += 1
+            lines.append(line)
+        self.total, self.count, self.line = total, count, line
+        yield pa.table({**{c: blocks.column(c) for c in ("doc_id", "page_no", "ord")}, "line": pa.array(lines, pa.int32())})
 
 
 def line_udtf(blocks: DataFrame, tolerance: int = 12) -> DataFrame:
-    """``LineCluster`` over pages as partitions of a table argument; ``spatial.cluster_lines`` is the form inside the JVM, which holds a page as one array."""
-    lines = F.udtf(LineCluster, returnType="doc_id long, page_no long, ord long, line int")
-    pages = blocks.select(*P.PAGE, "ord", "y1").asTable().partitionBy(*P.PAGE).orderBy("y1", "ord")
-    return lines(pages, F.lit(tolerance))
+    """``LineCluster`` over a table argument; ``spatial.cluster_lines`` is the form inside the JVM, which holds a page as one array.
+
+    The window that numbers a page's blocks brings them together and in order, by document if they are dealt out so; PARTITION BY of the argument would shuffle them again and call Python once a block."""
+    lines = F.arrow_udtf(LineCluster, returnType="doc_id long, page_no long, ord long, line int")
+    k = F.row_number().over(Window.partitionBy(*P.PAGE).orderBy("y1", "ord"))
+    return lines(blocks.select(*P.PAGE, "ord", "y1", k.alias("k")).asTable(), F.lit(tolerance))

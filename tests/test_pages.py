@@ -106,3 +106,19 @@ def test_views_are_dealt_out_by_document_once(spark, monkeypatch):
     blocks = X.view(spark, DATA, "blocks")
     for found in (P.segments(blocks), P.merge_cells(blocks), P.words_to_cells(blocks), P.detect_tables(blocks), P.context_below(blocks.where("is_header"), blocks, "N [0-9]", 3).where("ord = 1")):
         assert shuffles(found) <= 2
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_line_table_function_is_dealt_once(spark):
+    """The function's blocks come as one window has them; with PARTITION BY in the argument they were shuffled again, a Python call a block."""
+    from conftest import DATA
+    from docfields.plans import fixtures as X
+
+    assert exchanges(C.line_udtf(X.view(spark, DATA, "blocks"))) == 1
+    long = spark.range(25_000).selectExpr("1L as doc_id", "1L as page_no", "id as ord", "id * 13 as y1")  # several batches: a line goes on in the next one
+    assert C.line_udtf(long, 13).where("line = 1 + ord div 2").count() == 25_000
+
+
