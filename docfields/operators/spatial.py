@@ -190,17 +190,36 @@ def cluster_lines(blocks: DataFrame, tolerance: int = 12) -> DataFrame:
 
     The running mean depends on the order, so it is a fold over one page's blocks, inside the JVM. Only sums and counts run along:
     the fold keeps an array of line numbers, and pages are bounded by what a page holds."""
-    listed = F.array_sort(F.collect_list(F.struct("y1", "ord")))
+    pages = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y1", "ord"))).alias("b"))
+    numbers = _line_numbers(F.transform("b", lambda b: b["y1"]), tolerance)
+    lines = pages.select(*PAGE, F.explode(F.arrays_zip(F.col("b"), numbers.alias("line"))).alias("x"))
+    return lines.select(*PAGE, F.col("x.b.ord").alias("ord"), F.col("x.line").alias("line"))
+
+
+def _line_numbers(places: Column, tolerance: int) -> Column:
+    """The number of each place's line, from 1; places in order."""
     start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("line"), F.expr("cast(array() as array<int>)").alias("out"))
 
-    def step(a: Column, b: Column) -> Column:
-        new = (a["n"] == 0) | (F.abs(b["y1"] * a["n"] - a["s"]) > tolerance * a["n"])
-        line = a["line"] + new.cast("int")
-        return F.struct(F.when(new, b["y1"]).otherwise(a["s"] + b["y1"]).alias("s"), F.when(new, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), line.alias("line"), F.concat(a["out"], F.array(line)).alias("out"))
+    def step(a: Column, y: Column) -> Column:
+        new = (a["n"] == 0) | (F.abs(y * a["n"] - a["s"]) > tolerance * a["n"])
+        state = lambda s, n, line: F.struct(s.alias("s"), n.alias("n"), line.alias("line"), F.concat(a["out"], F.array(line)).alias("out"))
+        # the test stands once: a lambda evaluates each use anew
+        return F.when(new, state(y, F.lit(1).cast("long"), a["line"] + 1)).otherwise(state(a["s"] + y, a["n"] + 1, a["line"]))
 
-    pages = blocks.groupBy(*PAGE).agg(listed.alias("b"))
-    lines = pages.select(*PAGE, F.explode(F.arrays_zip(F.col("b"), F.aggregate("b", start, step)["out"].alias("line"))).alias("x"))
-    return lines.select(*PAGE, F.col("x.b.ord").alias("ord"), F.col("x.line").alias("line"))
+    return F.aggregate(places, start, step)["out"]
+
+
+def _line_means(places: Column, tolerance: int) -> Column:
+    """The mean of each line's places as a whole number, line by line; places in order. The fold holds the sums of the line that is open and the means of those before."""
+    mean = lambda a: F.array((a["s"] / a["n"]).cast("long"))
+    start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("n"), F.expr("cast(array() as array<bigint>)").alias("out"))
+
+    def step(a: Column, y: Column) -> Column:
+        new = F.abs(y * a["n"] - a["s"]) > tolerance * a["n"]
+        open_ = F.struct((a["s"] + y).alias("s"), (a["n"] + 1).alias("n"), a["out"].alias("out"))
+        return F.when(new, F.struct(y.alias("s"), F.lit(1).cast("long").alias("n"), F.concat(a["out"], mean(a)).alias("out"))).otherwise(open_)
+
+    return F.aggregate(places, start, step, lambda a: F.concat(a["out"], mean(a)))
 
 
 def _celled(blocks: DataFrame, gap: int, column_width: int, sure: int | None, sure_gap: int) -> DataFrame:
@@ -273,15 +292,13 @@ def page_markup(regions: DataFrame) -> DataFrame:
 def grid(blocks: DataFrame, x_tolerance: int = 20, y_tolerance: int = 12) -> DataFrame:
     """Rows by ``cluster_lines``; columns are the clusters that the same fold makes of x1, each known by its mean as a whole number. A block goes to the
     column of the nearest such number, the first of several, which need not be the cluster it was counted in. The texts of each (row,
-    column) from top to bottom and left to right, and the mean x1 and y1."""
-    rows = cluster_lines(blocks, y_tolerance).withColumnRenamed("line", "row")
-    turned = blocks.select(*PAGE, "ord", F.col("x1").alias("y1"))
-    own = [*PAGE, "ord"]
-    clusters = cluster_lines(turned, x_tolerance).join(turned, own).groupBy(*PAGE, "line").agg((F.sum("y1") / F.count("*")).cast("long").alias("centre"))
-    columns = clusters.groupBy(*PAGE).agg(F.collect_list(F.struct("line", "centre")).alias("columns"))
-    nearest = F.array_min(F.transform("columns", lambda c: F.struct(F.abs(F.col("x1") - c["centre"]).alias("far"), c["line"].alias("line"))))["line"]
-    placed = blocks.join(rows, own).join(columns, PAGE).withColumn("column", nearest)
+    column) from top to bottom and left to right, and the mean x1 and y1. A page's blocks are brought together once, as one array, and both folds go over it."""
+    pages = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y1", "ord", "x1", "text"))).alias("b"))
+    across = F.array_sort(F.transform("b", lambda b: F.struct(b["x1"].alias("at"), b["ord"].alias("ord"))))
+    folded = pages.withColumn("rows", _line_numbers(F.transform("b", lambda b: b["y1"]), y_tolerance)).withColumn("columns", _line_means(F.transform(across, lambda b: b["at"]), x_tolerance))
+    nearest = lambda b: F.array_min(F.transform("columns", lambda c, k: F.struct(F.abs(b["x1"] - c).alias("far"), (k + 1).alias("line"))))["line"]
+    cells = F.transform("b", lambda b, k: F.struct(F.get(F.col("rows"), k).alias("row"), nearest(b).alias("column"), *[b[c].alias(c) for c in ("y1", "x1", "ord", "text")]))
     texts = F.sort_array(F.collect_list(F.struct("y1", "x1", "ord", "text")))
-    return placed.groupBy(*PAGE, "row", "column").agg(
+    return folded.select(*PAGE, F.inline(cells)).groupBy(*PAGE, "row", "column").agg(
         F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("cell_text"), F.avg("x1").alias("x"), F.avg("y1").alias("y")
     )
