@@ -122,3 +122,22 @@ def test_line_table_function_is_dealt_once(spark):
     assert C.line_udtf(long, 13).where("line = 1 + ord div 2").count() == 25_000
 
 
+def test_grid_brings_a_page_together_once(spark):
+    from conftest import DATA
+    from docfields.plans import fixtures as X
+
+    found = P.grid(X.view(spark, DATA, "blocks"))
+    assert exchanges(found) == 1 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_field_candidates_read_anchors_once(spark):
+    from conftest import DATA
+    from docfields.catalog import QUERIES
+
+    assert QUERIES["x14_field_candidates"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_few_rows_a_partition():
+    from docfields.plans import fixtures as X
+
+    assert X.DEALT_ROWS["lineitem"] <= 50_000 and X.DEALT_ROWS["orders"] <= 5_000  # a task's sorts hold about 2.5 kB a row
