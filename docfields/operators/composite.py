@@ -46,26 +46,28 @@ def field_candidates(blocks: DataFrame, rules: list[tuple[str, tuple[str, ...],
     anchored = held.select("*", F.explode(matched).alias("r")).select(*held.columns, "r.*")
     kinds = sorted({kind for *_, kind in rules})
     typed = lambda text: F.coalesce(*[F.when(F.col("kind") == kind, Ru.typed(text, kind)) for kind in kinds])
-    own = typed(F.col("text"))
-    ways = [("row", typed(F.col("rest"))), ("same", F.when(own != F.trim("text"), own)), ("next", typed(F.col("following")))]
-    first = F.coalesce(*[F.when(value.isNotNull(), F.struct(F.lit(way).alias("path"), value.alias("value"))) for way, value in ways])
-    read = anchored.withColumn("found", first)
-    near = _nearest_typed(read.where("found is null"), blocks, typed)
-    result = [*BLOCK, "field_name", "value", "path", "anchor"]
-    every = read.where("found is not null").select(*BLOCK, "field_name", "found.value", "found.path", "anchor").select(*result).unionByName(near.select(*result))
+    # way by way, each value a column of its own: every use of an expression would type the text anew
+    read = anchored.withColumn("row", typed(F.col("rest"))).withColumn("own", F.when(F.col("row").isNull(), typed(F.col("text")))).withColumn("same", F.when(F.col("own") != F.trim("text"), F.col("own")))
+    read = read.withColumn("next", F.when(F.col("row").isNull() & F.col("same").isNull(), typed(F.col("following"))))
+    first = F.coalesce(*[F.when(F.col(way).isNotNull(), F.struct(F.lit(way).alias("path"), F.col(way).alias("value"))) for way in ("row", "same", "next")])
+    # every anchor is read once: those without a value meet their page's blocks, the others go through the same join without a partner
+    read = read.withColumn("found", first).withColumn("once", F.when(F.col("found").isNotNull(), F.monotonically_increasing_id()))
+    every = _or_nearest_typed(read, blocks, typed)
     worth = F.create_map(*[F.lit(x) for kv in WAYS.items() for x in kv])[F.col("path")]
     return every.withColumn("conf_pct", F.least(F.lit(100), F.col("anchor") + worth)).drop("anchor")
 
 
-def _nearest_typed(anchors: DataFrame, blocks: DataFrame, typed, reach: int = 150) -> DataFrame:
-    """Anchors with the value of the nearest block right of or below them that has one of their type."""
-    b = blocks.select(*P.PAGE, *[F.col(c).alias(f"b_{c}") for c in ("ord", "x1", "y1", "x2", "y2")], F.col("text").alias("b_text"))
+def _or_nearest_typed(anchors: DataFrame, blocks: DataFrame, typed, reach: int = 150) -> DataFrame:
+    """Anchors with the value that was found (path, value), else that of the nearest block right of or below them that has one of their type; without either they go."""
+    b = blocks.select(*[F.col(c).alias(f"b_{c}") for c in (*P.PAGE, "ord", "x1", "y1", "x2", "y2")], F.col("text").alias("b_text"))
     dx = F.col("b_x1") + F.col("b_x2") - F.col("x1") - F.col("x2")
     dy = F.col("b_y1") + F.col("b_y2") - F.col("y1") - F.col("y2")
     beside = ((F.col("b_x1") >= F.col("x2")) & (F.abs(dy) < 60)) | ((F.col("b_y1") >= F.col("y2")) & (F.abs(dx) < 300))
-    pairs = anchors.join(b, P.PAGE).where(F.col("ord") != F.col("b_ord")).withColumn("d", dx * dx + dy * dy).where(beside & (F.col("d") < 4 * reach * reach))
-    valued = pairs.withColumn("v", typed(F.col("b_text"))).where("v is not null")
-    return valued.groupBy(*BLOCK, "field_name", "anchor").agg(F.min(F.struct("d", "b_ord", "v")).alias("m")).select(*BLOCK, "field_name", F.col("m.v").alias("value"), F.lit("near").alias("path"), "anchor")
+    page = (F.col("doc_id") == F.col("b_doc_id")) & (F.col("page_no") == F.col("b_page_no"))
+    pairs = anchors.join(b, page & F.col("found").isNull() & (F.col("ord") != F.col("b_ord")) & beside & (dx * dx + dy * dy < 4 * reach * reach), "left")
+    valued = pairs.withColumn("v", F.when(F.col("b_ord").isNotNull(), typed(F.col("b_text")))).where("found is not null or v is not null")
+    best = valued.groupBy(*BLOCK, "field_name", "anchor", "found", "once").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "b_ord", "v")).alias("m"))
+    return best.select(*BLOCK, "field_name", F.coalesce("found.value", "m.v").alias("value"), F.coalesce("found.path", F.lit("near")).alias("path"), "anchor")
 
 
 def kv_candidates(docs: DataFrame, most: int = 200) -> DataFrame:
