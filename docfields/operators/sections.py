@@ -32,23 +32,25 @@ def section_table(docs: DataFrame, kinds=KINDS, key: list[str] | None = None) ->
     key = key or ["doc_id"]
     head = lambda pattern: rf"(?i)^[ \t]*{pattern}"
     cut = r"(?i)\n(?=[ \t]*(?:" + "|".join(pattern for _, _, pattern in kinds) + "))"
-    pieces = docs.where("text is not null").select(*key, F.length("text").alias("size"), F.posexplode(F.split("text", cut)).alias("k", "own"))
-    line = F.substring_index("own", "\n", 1)
+    pieces = docs.where("text is not null").select(*key, F.length("text").alias("size"), F.posexplode(F.split("text", cut)).alias("k", "own")).withColumn("line", F.substring_index("own", "\n", 1))
+    line = F.col("line")
     first = F.coalesce(*[F.when(line.rlike(head(p)), F.struct(F.lit(level).alias("level"), F.lit(kind).alias("kind"), F.upper(F.regexp_extract(line, head(p), 1)).alias("number"))) for level, kind, p in kinds])
-    forward = Window.partitionBy(*key).orderBy("k")
-    opens = F.first("h.level").over(forward.rowsBetween(Window.unboundedPreceding, 0)).isNull()
-    placed = pieces.withColumn("h", first).withColumn("opens", opens).withColumn("start", (1 + F.coalesce(F.sum(F.length("own") + 1).over(forward.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int"))
-    # without a heading at its very start a text opens with a piece of level 0; else numbers begin at 1
-    flat = placed.select(*key, "size", "own", "start", (F.col("k") + F.when(F.col("opens"), 0).otherwise(1)).alias("n"), F.coalesce("h.level", F.lit(0)).alias("level"), "h.kind", "h.number", F.concat_ws("-", "h.kind", "h.number").alias("label"), F.when(F.col("h").isNotNull(), F.trim(F.substring_index("own", "\n", 1))).alias("heading"))
+    # what the windows need is read from a piece before them, so a piece's text goes along only if it is asked for
+    flat = pieces.withColumn("h", first).select(*key, "k", "size", "own", (F.length("own") + 1).alias("taken"), F.coalesce("h.level", F.lit(0)).alias("level"), "h.kind", "h.number", F.concat_ws("-", "h.kind", "h.number").alias("label"), F.when(F.col("h").isNotNull(), F.trim("line")).alias("heading"))
     levels = sorted({level for level, _, _ in kinds})
-    order, backward = Window.partitionBy(*key).orderBy("n"), Window.partitionBy(*key).orderBy(F.desc("n"))
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), backward.rowsBetween(Window.unboundedPreceding, -1)
-    ancestor = lambda level: F.last(F.when(F.col("level").between(1, level), F.struct("level", "n", "label")), ignorenulls=True).over(before)
-    held = lambda level: F.when((ancestor(level)["level"] == level) & (F.col("level") >= level), ancestor(level))
+    forward, backward = Window.partitionBy(*key).orderBy("k"), Window.partitionBy(*key).orderBy(F.desc("k"))
+    before, after = forward.rowsBetween(Window.unboundedPreceding, 0), backward.rowsBetween(Window.unboundedPreceding, -1)
+    # one sort for everything that comes from above, and one for the ends
+    ancestors = [F.last(F.when(F.col("level").between(1, level), F.struct("level", "k", "label")), ignorenulls=True).over(before).alias(f"_{level}") for level in levels]
+    placed = flat.select("*", F.first("level").over(before).alias("opening"), F.sum("taken").over(before).alias("upto"), *ancestors)
+    placed = placed.withColumns({"start": (1 + F.col("upto") - F.col("taken")).cast("int"), "shift": F.when(F.col("opening") == 0, 0).otherwise(1)})
     next_start = lambda level: F.min(F.when(F.col("level") <= level, F.col("start"))).over(after)
     stop = reduce(lambda c, level: c.when(F.col("level") == level, next_start(level)), levels, F.when(F.col("level") == 0, F.min("start").over(after)))
-    tree = flat.withColumn("tree", F.filter(F.array(*[held(level) for level in levels]), lambda x: x.isNotNull())).withColumn("stop", F.coalesce(stop - 1, F.col("size") + 1))
-    return tree.select(*key, "n", "level", "kind", "number", "label", "heading", "start", "stop", F.get(F.col("tree"), F.size("tree") - 2)["n"].alias("parent"), F.transform("tree", lambda x: x["label"]).alias("path"), F.transform("tree", lambda x: x["n"]).alias("above"), "own")
+    held = lambda level: F.when((F.col(f"_{level}")["level"] == level) & (F.col("level") >= level), F.col(f"_{level}"))
+    tree = placed.withColumn("tree", F.filter(F.array(*[held(level) for level in levels]), lambda x: x.isNotNull())).withColumn("stop", F.coalesce(stop - 1, F.col("size") + 1))
+    # without a heading at its very start a text opens with a piece of level 0; else numbers begin at 1
+    n = lambda k: k + F.col("shift")
+    return tree.select(*key, n(F.col("k")).alias("n"), "level", "kind", "number", "label", "heading", "start", "stop", n(F.get(F.col("tree"), F.size("tree") - 2)["k"]).alias("parent"), F.transform("tree", lambda x: x["label"]).alias("path"), F.transform("tree", lambda x: n(x["k"])).alias("above"), "own")
 
 
 def in_sections(values: DataFrame, sections: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -88,9 +90,11 @@ def deferred_values(sections: DataFrame, heading: str, inner: str, refer: str, g
     value = F.nullif(F.regexp_extract("own", rf"(?i){inner}", group), F.lit(""))
     target = F.nullif(F.upper(F.regexp_replace(F.regexp_extract("own", rf"(?i){refer}", 1), r"[ \t-]+", "-")), F.lit(""))
     read = sections.withColumn("value", value)
-    clauses = read.where(F.col("heading").rlike(rf"(?i){heading}")).select(*key, "n", "heading", F.when(F.col("value").isNull(), target).alias("target"), F.col("value").alias("mine"))
-    held = read.where("value is not null").select(*key, "n", "value", F.explode(F.array_distinct("path")).alias("target"))
-    firsts = held.groupBy(*key, "target").agg(F.min_by("value", "n").alias("theirs"))
-    joined = clauses.join(firsts, [*key, "target"], "left")
+    # texts are cut once: a section goes to the labels above it with its value, and to the label that it refers to with the question
+    asks = F.when(F.col("heading").rlike(rf"(?i){heading}"), F.array(F.struct(F.when(F.col("value").isNull(), target).alias("target"), F.lit(True).alias("asks")))).otherwise(F.array())
+    held = F.when(F.col("value").isNotNull(), F.transform(F.array_distinct("path"), lambda p: F.struct(p.alias("target"), F.lit(False).alias("asks")))).otherwise(F.array())
+    rows = read.select(*key, "n", "heading", "value", F.inline(F.concat(asks, held)))
+    theirs = F.min(F.when(~F.col("asks"), F.struct("n", "value"))).over(Window.partitionBy(*key, "target"))["value"]
+    joined = rows.withColumn("theirs", F.when(F.col("target").isNotNull(), theirs)).where("asks").withColumnRenamed("value", "mine")
     status = F.when(F.col("mine").isNotNull(), "own").when(F.col("theirs").isNotNull(), "deferred").when(F.col("target").isNotNull(), "unresolved").otherwise("none")
     return joined.select(*key, "n", "heading", "target", F.coalesce("mine", "theirs").alias("value"), status.alias("status"))

@@ -103,3 +103,20 @@ def test_sections_are_made_where_their_texts_are(spark):
     for name in ("x2_section_table", "x10_mentions"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan, name
+
+
+def test_sections_are_sorted_twice_and_cut_once(spark):
+    from conftest import DATA
+    from docfields.catalog import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan("x2_section_table").count("Sort [") == 2
+    assert plan("j19_deferred_sections").count("Generate posexplode") == 1
+
+
+def test_mentions_look_at_first_letters_first(spark):
+    from docfields.operators import extract as X
+
+    text = "See xBOQ, BOQ_1 and corrigendum 2.  Then\tannexure-ii.PDF again?\n\nVolume III!  An addendum;Specification 4 holds. scheduled... schedule"
+    both = spark.createDataFrame([(text,)], "text string").select(*[F.regexp_extract_all("text", F.lit(p), 1) for p in (X.MENTIONS, X._MENTION)], *[F.split("text", p) for p in (r"(?<=[.!?])\s+", r"\s(?<=[.!?]\s)\s*")]).head()
+    assert both[0] == both[1] and len(both[0]) == 7 and both[2] == both[3]
