@@ -38,8 +38,8 @@ START = 20_000
 RIDGE = 1e-4
 #: Steps end when a projected step of length one would move no rate by more than this.
 CLOSE = 1e-6
-#: After so many steps the rates that they lead to are written; before, they are taken again.
-HELD_STEPS = 16
+#: After so many steps the rates that they lead to are written, then after twice as many each time; before, they are taken again.
+HELD_STEPS = 64
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +190,11 @@ def _advanced(steps: list[Step], k: int):
 
 
 class _AllRows:
-    """Steps over a table of members. The rates lie in a table of HELD_STEPS steps ago at most; from there the steps are taken again."""
+    """Steps over a table of members. From the rates that lie in a table, the steps since then are taken again; they are written after HELD_STEPS
+    steps, then after twice as many as last time, so all rows are written a few times only, however many steps it takes."""
 
     def __init__(self, members: DataFrame, k: int, before: list[Step]):
-        self.k, self.steps = k, []
+        self.k, self.steps, self.until = k, [], HELD_STEPS
         self.held = members.select("n_tokens", "posterior", F.lit(1.0).alias("rate"))
         self._hold(before)
 
@@ -202,9 +203,9 @@ class _AllRows:
             self.held = written(self.held.mapInArrow(_advanced(steps, self.k), "n_tokens long, posterior array<double>, rate double"))
 
     def __call__(self, step: Step) -> np.ndarray:
-        if len(self.steps) == HELD_STEPS:
+        if len(self.steps) == self.until:
             self._hold(self.steps)
-            self.steps = []
+            self.steps, self.until = [], 2 * self.until
         self.steps.append(step)
         out = np.zeros(2 * self.k + self.k**2 + 2)
         for r in self.held.mapInArrow(_task_sums(self.steps), "place int, part double").groupBy("place").agg(F.sum("part").alias("sum"), F.max("part").alias("most")).collect():

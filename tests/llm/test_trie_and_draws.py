@@ -250,3 +250,20 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     scores = np.array([0.9, 0.8, 0.7, 0.2])
     assert X.best_threshold(scores, scores, np.ones(4), np.array([1, 1, 0, 0])) == pytest.approx(0.75)
     assert X.best_threshold(np.array([0.2, 0.7]), np.array([0.4, 0.9]), np.array([50, 3]), np.array([1, 3])) == pytest.approx(0.55)
+
+
+def test_mixing_writes_its_rows_a_few_times(spark, monkeypatch):
+    import numpy as np
+    from docfields.llm import mixing
+
+    writes = []
+    monkeypatch.setattr(mixing, "HELD_STEPS", 2)
+    monkeypatch.setattr(mixing, "written", lambda df: writes.append(1) or df.localCheckpoint())
+    members = spark.createDataFrame([(1, 5, [0.9, 0.1]), (2, 7, [0.3, 0.7])], "doc_id long, n_tokens long, posterior array<double>")
+    sums, rate = mixing._AllRows(members, 2, []), np.ones(2)
+    n, p = np.array([5.0, 7.0]), np.array([[0.9, 0.1], [0.3, 0.7]])
+    for i in range(13):
+        step = (0.1, np.array([0.2, -0.1]) * (i + 1))
+        assert np.allclose(sums(step), mixing._sums(n, p, rate, step), rtol=1e-9)
+        rate = mixing.taken(p, rate, [step])
+    assert len(writes) == 2  # after 2 and 6 steps; before, after every second one
