@@ -129,35 +129,39 @@ def schedule_records(blocks: DataFrame, tolerance: int = 12) -> DataFrame:
 
     A line with a consignee and a quantity or days heads a table: its cells' words are the columns' roles until a line of totals or a schedule. A line
     that names a schedule, or a further item with its number of pieces, begins the next. Of several values the last counts; a number in the item's
-    line stands in for a missing quantity. Lines are clustered page by page, and states are windows over them. Columns doc_id, page_no,
+    line stands in for a missing quantity. Lines are clustered page by page, with their texts, so nothing is joined; states are windows over them. Columns doc_id, page_no,
     schedule, one for each role, item and specs (name=value in the order of lines)."""
-    cells = P.cluster_lines(blocks, tolerance).join(blocks.select(*BLOCK, "x1", "text"), BLOCK)
-    lines = cells.groupBy(*P.PAGE, "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("x1", "ord", "text"))), lambda c: F.trim(c["text"])).alias("cells")).withColumn("t", F.array_join("cells", " "))
-    low = F.lower("t")
-    heads = low.rlike(ROLES["consignee_name"]) & (low.rlike(ROLES["quantity"]) | low.rlike(ROLES["delivery_days"]))
+    cells = F.transform(F.sort_array("c"), lambda c: F.trim(c["text"]))
+    lines = P.lines_of(blocks, ("x1", "ord", "text"), tolerance, "c").select(*P.PAGE, "line", cells.alias("cells")).withColumn("t", F.array_join("cells", " ")).withColumn("low", F.lower("t"))
+    head = F.lower(F.col("cells")[0])
     role_of = lambda c: F.coalesce(*[F.when(F.lower(c).rlike(words), role) for role, words in ROLES.items()])
     several = F.size("cells") >= 2
-    spec = several & F.lower(F.col("cells")[0]).rlike(SPECIFICATION) & ~F.lower(F.col("cells")[0]).rlike(NOT_SPECIFICATION)
-    number, item = F.regexp_extract("t", SCHEDULE, 1).try_cast("int"), F.nullif(F.regexp_extract("t", ITEM, 0), F.lit(""))
-    kind = F.when(number.isNotNull(), "schedule").when(item.isNotNull(), "item").when(spec, "spec").when(heads, "head").when(low.rlike(TABLE_END), "end").otherwise("body")
-    order = Window.partitionBy(*P.PAGE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    heads = F.col("low").rlike(ROLES["consignee_name"]) & (F.col("low").rlike(ROLES["quantity"]) | F.col("low").rlike(ROLES["delivery_days"]))
+    spec = several & head.rlike(SPECIFICATION) & ~head.rlike(NOT_SPECIFICATION)
+    # patterns of an item and a schedule run once a line, and only where their bracket or word stands
+    read = lines.withColumn("number", F.when(F.contains("low", F.lit("schedule")), F.regexp_extract("t", SCHEDULE, 1).try_cast("int")))
+    read = read.withColumn("item0", F.when(F.col("number").isNull() & F.contains("t", F.lit("(")), F.regexp_extract("t", ITEM, 0)))
+    kind = F.when(F.col("number").isNotNull(), "schedule").when(F.col("item0") != "", "item").when(spec, "spec").when(heads, "head").when(F.col("low").rlike(TABLE_END), "end").otherwise("body")
     # the end of a table is a head without columns
     roles = F.when(F.col("kind") == "head", F.transform("cells", role_of)).when(F.col("kind").isin("end", "schedule"), F.array().cast("array<string>"))
-    named = F.when(F.col("kind") == "schedule", F.struct("line", number.alias("number")))
-    told = lines.withColumn("kind", kind).withColumn("roles", F.last(roles, ignorenulls=True).over(order)).withColumn("named", F.last(named, ignorenulls=True).over(order)).withColumn("item", F.when(F.col("kind") == "item", item))
-    since = Window.partitionBy(*P.PAGE, "named.line").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    further = F.greatest(F.lit(0), F.count("item").over(since) - 1)
-    placed = told.withColumn("schedule", (F.coalesce("named.number", F.lit(1)) + further).cast("int"))
+    told = read.withColumn("kind", kind).withColumn("roles0", roles).withColumn("item", F.when(F.col("kind") == "item", F.col("item0"))).drop("low", "item0")
+    order = Window.partitionBy(*P.PAGE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    named = F.when(F.col("kind") == "schedule", F.struct("number", "items"))
+    placed = told.withColumn("roles", F.last("roles0", ignorenulls=True).over(order)).withColumn("items", F.count("item").over(order)).withColumn("named", F.last(named, ignorenulls=True).over(order))
+    # items since the schedule's line, or on the page without one
+    further = F.greatest(F.lit(0), F.col("items") - F.coalesce("named.items", F.lit(0)) - 1)
+    placed = placed.withColumn("schedule", (F.coalesce("named.number", F.lit(1)) + further).cast("int"))
     value = lambda role: F.when((F.col("kind") == "body") & several, F.get(F.col("cells"), (F.array_position("roles", F.lit(role)) - 1).cast("int")))
-    digits = lambda role: F.nullif(F.regexp_replace(value(role), r"\D", ""), F.lit("")).try_cast("int")
-    pieces = F.when(F.col("kind") == "item", F.regexp_extract("t", ITEM, 2).try_cast("int"))
+    digits = lambda role: F.nullif(F.regexp_replace(role, r"\D", ""), F.lit("")).try_cast("int")
     name = F.trim(F.regexp_replace(F.regexp_replace(F.col("cells")[0], r"^[^a-zA-Z0-9\s]+", ""), r"^[/\\_.:\-]+\s*", ""))
-    entry = F.when(F.col("kind") == "spec", F.struct("line", F.concat(name, F.lit("="), F.array_join(F.slice("cells", 2, F.size("cells")), " ")).alias("text")))
-    last = lambda c, by="line": F.max_by(c, F.when(c.isNotNull(), F.col(by)))
-    found = placed.withColumn("own", F.coalesce(*[value(r) for r in ROLES])).where("own is not null or kind in ('item', 'spec')")
+    entry = F.when(F.col("kind") == "spec", F.concat(name, F.lit("="), F.array_join(F.slice("cells", 2, F.size("cells")), " ")))
+    found = placed.select(*P.PAGE, "schedule", "line", "item", "t", "kind", entry.alias("entry"), *[value(role).alias(role) for role in ROLES]).where(F.coalesce(*ROLES).isNotNull() | F.col("kind").isin("item", "spec"))
+    pieces = F.when(F.col("kind") == "item", F.regexp_extract("t", ITEM, 2).try_cast("int"))
+    found = found.select(*P.PAGE, "schedule", "line", "item", pieces.alias("pieces"), "entry", "consignee_name", "consignee_address", digits("quantity").alias("quantity"), digits("delivery_days").alias("delivery_days"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line")))
     return found.groupBy(*P.PAGE, "schedule").agg(
-        last(value("consignee_name")).alias("consignee_name"), last(value("consignee_address")).alias("consignee_address"), F.coalesce(last(digits("quantity")), last(pieces)).alias("quantity"), last(digits("delivery_days")).alias("delivery_days"),
-        last(F.col("item")).alias("item"), F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), ";").alias("specs"),
+        last("consignee_name").alias("consignee_name"), last("consignee_address").alias("consignee_address"), F.coalesce(last("quantity"), last("pieces")).alias("quantity"), last("delivery_days").alias("delivery_days"),
+        last("item").alias("item"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("entry").isNotNull(), F.struct("line", "entry")))), lambda e: e["entry"]), ";").alias("specs"),
     )
 
 

@@ -196,6 +196,22 @@ def cluster_lines(blocks: DataFrame, tolerance: int = 12) -> DataFrame:
     return lines.select(*PAGE, F.col("x.b.ord").alias("ord"), F.col("x.line").alias("line"))
 
 
+def lines_of(blocks: DataFrame, carry: tuple[str, ...], tolerance: int = 12, name: str = "cells") -> DataFrame:
+    """The lines of ``cluster_lines``, from 1, each with the named columns of its blocks as one array, from top to bottom. The blocks are brought together once and not joined again."""
+    pages = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("y1", "ord", F.struct(*carry).alias("c")))).alias("b"))
+    kind = ", ".join(f"{c}: {blocks.schema[c].dataType.simpleString()}" for c in carry)
+    start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("n"), F.expr(f"cast(array() as array<struct<{kind}>>)").alias("open"), F.expr(f"cast(array() as array<array<struct<{kind}>>>)").alias("out"))
+
+    def step(a: Column, b: Column) -> Column:
+        one, state = F.array(b["c"]), lambda s, n, o, out: F.struct(s.alias("s"), n.alias("n"), o.alias("open"), out.alias("out"))
+        # the first block opens a line; later ones close the line before
+        new = F.abs(b["y1"] * a["n"] - a["s"]) > tolerance * a["n"]
+        return F.when(new, state(b["y1"], F.lit(1).cast("long"), one, F.concat(a["out"], F.array(a["open"])))).otherwise(state(a["s"] + b["y1"], a["n"] + 1, F.concat(a["open"], one), a["out"]))
+
+    lines = F.aggregate("b", start, step, lambda a: F.concat(a["out"], F.array(a["open"])))
+    return pages.select(*PAGE, F.posexplode(lines).alias("line", name)).withColumn("line", F.col("line") + 1)
+
+
 def _line_numbers(places: Column, tolerance: int) -> Column:
     """The number of each place's line, from 1; places in order."""
     start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("line"), F.expr("cast(array() as array<int>)").alias("out"))

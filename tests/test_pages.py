@@ -2,8 +2,10 @@
 
 import random
 
+from conftest import DATA
 from pyspark.sql import functions as F
 
+from docfields.catalog import QUERIES
 from docfields.operators import composite as C
 from docfields.operators import spatial as P
 from docfields.sources import io
@@ -141,3 +143,16 @@ def test_few_rows_a_partition():
     from docfields.plans import fixtures as X
 
     assert X.DEALT_ROWS["lineitem"] <= 50_000 and X.DEALT_ROWS["orders"] <= 5_000  # a task's sorts hold about 2.5 kB a row
+
+
+def test_lines_of_is_cluster_lines_with_texts(spark):
+    rng = random.Random(16)
+    blocks = spark.createDataFrame([(k % 3, 1 + k % 2, k, rng.randrange(300), rng.randrange(90), f"t{k}") for k in range(120)], "doc_id long, page_no long, ord long, x1 long, y1 long, text string")
+    found = {(r.doc_id, r.page_no, c.ord): (r.line, c.text) for r in P.lines_of(blocks, ("ord", "text")).collect() for c in r.cells}
+    assert found == {(r.doc_id, r.page_no, r.ord): (r.line, f"t{r.ord}") for r in P.cluster_lines(blocks).collect()}
+
+
+def test_schedule_records_join_nothing(spark):
+    """Spark takes the blocks that a view makes of an order for few rows, so a join would broadcast them all through the driver."""
+    plan = QUERIES["x16_schedule_records"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
