@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfields.functions import scalars as S
@@ -181,26 +181,40 @@ NOTE = r"(?is)^.*?(?:line of credit|bank).*$"
 
 
 def part_amounts(blocks: DataFrame, tables: DataFrame, clause: str, words: tuple[str, ...], noted: bool = False) -> DataFrame:
-    """Amounts of the parts in tables of a clause: "Part n ... number Lakh, Crore or Cr" in a table's text, joined by "; ", and the note below it if wanted.
-
-    A table belongs to the clause whose number stands closest above it; without a number above, to the clause whose words it has, all of them. Its text is that of the blocks within it, in bins of ten in y (half a bin rounds
-    to the even one), then from left to right. Tables are rows (doc_id, page_no, ord, x1, y1, x2, y2). Columns doc_id, page_no, ord, value, note; tables without amounts have no row. A note is what
-    one of the ten blocks below says of a line of credit or a bank, with single spaces, 200 characters at most as in the records that it goes to."""
-    box = ["x1", "y1", "x2", "y2"]
-    inside = P.contained_pairs(blocks, tables)
-    held = inside.join(blocks.select(*BLOCK, *box[:2], "text"), BLOCK)
+    """``clause_part_amounts`` of one clause: doc_id, page_no, ord, value, note."""
+    return clause_part_amounts(blocks, tables, [(clause, words, noted)]).drop("clause")
+
+
+def clause_part_amounts(blocks: DataFrame, tables: DataFrame, clauses: list[tuple[str, tuple[str, ...], bool]]) -> DataFrame:
+    """Amounts of the parts in tables of clauses (number, words, whether a note is wanted): "Part n ... number Lakh, Crore or Cr" in a table's text, joined by "; ", and the note below it if wanted.
+
+    A table belongs to the clause whose number stands closest above it; without a number above, to each clause whose words it has, all of them. Its text is that of the blocks within it, in bins of ten in y (half a bin rounds
+    to the even one), then from left to right. Tables are rows (doc_id, page_no, ord, x1, y1, x2, y2). Columns doc_id, page_no, ord, clause, value, note; tables without amounts have no row. A note is what
+    one of the ten blocks below says of a line of credit or a bank, with single spaces, 200 characters at most as in the records that it goes to.
+
+    Tables take what stands above and below them along to their blocks, so blocks and tables are joined once, for all clauses."""
+    box = ("x1", "y1", "x2", "y2")
+    placed = P.context_above(tables, blocks, CLAUSES, carry=box).select(*BLOCK, *box, F.col("context").alias("above"))
+    below = F.lit(None).cast("string")
+    if any(noted for *_, noted in clauses):
+        placed = P.context_below(placed, blocks, NOTE, carry=(*box, "above"))
+        below = F.left(F.trim(F.regexp_replace("context", r"\s+", " ")), F.lit(200))
+    placed = placed.select(*BLOCK, *box, "above", below.alias("below"))
+    held = P.contained_pairs(blocks, placed, ("x1", "y1", "text"), ("above", "below"))
     texts = F.sort_array(F.collect_list(F.struct(F.bround(F.col("y1") / 10).alias("bin"), "x1", "ord", F.trim("text").alias("text"))))
-    text = held.groupBy(*P.PAGE, "region_ord").agg(F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("text")).withColumnRenamed("region_ord", "ord")
-    above = P.context_above(tables, blocks, CLAUSES).select(*BLOCK, "context")
-    meant = F.col("context").isNull()
-    for word in words:
-        meant = meant & F.contains(F.lower("text"), F.lit(word))
+    text = held.groupBy(*P.PAGE, F.col("region_ord").alias("ord")).agg(F.first("region_above").alias("above"), F.first("region_below").alias("below"), F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("text"))
+    low = F.lower("text")
+
+    def meant(clause: str, words: tuple[str, ...], noted: bool) -> Column:
+        said = F.col("above").isNull()
+        for word in words:
+            said = said & F.contains(low, F.lit(word))
+        note = F.col("below") if noted else F.lit(None).cast("string")
+        return F.when((F.col("above") == clause) | said, F.struct(F.lit(clause).alias("clause"), note.alias("note")))
+
+    of = text.select(*BLOCK, "text", F.inline(F.array_compact(F.array(*[meant(*c) for c in clauses]))))
     amounts = F.transform(F.regexp_extract_all("text", F.lit(PART_AMOUNT), 1), lambda m: F.trim(m))
-    rows = text.join(above, BLOCK).where((F.col("context") == clause) | meant).select(*BLOCK, F.array_join(amounts, "; ").alias("value")).where("value != ''")
-    if not noted:
-        return rows.withColumn("note", F.lit(None).cast("string"))
-    note = F.left(F.trim(F.regexp_replace("context", r"\s+", " ")), F.lit(200))
-    return rows.join(P.context_below(tables, blocks, NOTE).select(*BLOCK, note.alias("note")), BLOCK, "left")
+    return of.select(*BLOCK, "clause", F.array_join(amounts, "; ").alias("value"), "note").where("value != ''")
 
 
 class KeywordWindows:

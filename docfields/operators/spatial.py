@@ -17,15 +17,17 @@ def _as(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
     return df.select(*PAGE, *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
 
 
-def contained_pairs(blocks: DataFrame, regions: DataFrame) -> DataFrame:
-    """Blocks in regions (with ord): the centre inside, or at least half of the block's area. A row each pair: ord, region_ord, shared.
+def contained_pairs(blocks: DataFrame, regions: DataFrame, carry: tuple[str, ...] = (), region_carry: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks in regions (with ord): the centre inside, or at least half of the block's area. A row each pair: ord, region_ord, shared, and the named columns to carry along, those of the region as region_ ones.
 
     The centre must lie in the region, or the boxes meet; both are tested page by page, in bands of 100 in y: a block goes to each band that it touches, a region too, and
     a pair counts in the first band that both touch."""
-    b, r = _as(blocks, "b", "ord", "x1", "y1", "x2", "y2"), _as(regions, "r", "ord", "x1", "y1", "x2", "y2")
+    box = ("ord", "x1", "y1", "x2", "y2")
+    b, r = _as(blocks, "b", *dict.fromkeys(box + carry)), _as(regions, "r", *dict.fromkeys(box + region_carry))
     bands = lambda df, p: df.withColumn(f"{p}_band", F.floor(F.col(f"{p}_y1") / 100)).withColumn("band", F.explode(F.sequence(f"{p}_band", F.greatest(f"{p}_band", F.floor(F.col(f"{p}_y2") / 100)))))
-    pairs = bands(b, "b").join(bands(r, "r"), [*PAGE, "band"]).where(F.col("band") == F.greatest("b_band", "r_band"))
-    return _contained(pairs).select(*PAGE, F.col("b_ord").alias("ord"), F.col("r_ord").alias("region_ord"), "shared")
+    # rows that a generator makes count as one each in Spark's estimates, so it would broadcast regions of any number
+    pairs = bands(b, "b").join(bands(r, "r").hint("merge"), [*PAGE, "band"]).where(F.col("band") == F.greatest("b_band", "r_band"))
+    return _contained(pairs).select(*PAGE, F.col("b_ord").alias("ord"), F.col("r_ord").alias("region_ord"), "shared", *[F.col(f"b_{c}").alias(c) for c in carry], *[F.col(f"r_{c}").alias(f"region_{c}") for c in region_carry])
 
 
 def _contained(pairs: DataFrame) -> DataFrame:
@@ -94,32 +96,34 @@ def greedy_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select(*PAGE, F.inline(F.aggregate("a", start, step)))
 
 
-def context_above(boxes: DataFrame, blocks: DataFrame, pattern: str, group: int = 1) -> DataFrame:
-    """Each box (doc_id, page_no, ord, y1) with what the pattern finds in the closest block that ends above it and has it, or nulls: context_ord and context.
+def context_above(boxes: DataFrame, blocks: DataFrame, pattern: str, group: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each box (doc_id, page_no, ord, y1) with what the pattern finds in the closest block that ends above it and has it, or nulls: context_ord and context, and the named columns of the box to carry along.
 
-    Of blocks that end level the first in order counts. Boxes and blocks go once through a window in y, so a page is no product."""
+    Of blocks that end level the first in order counts. Boxes and blocks that have it go once through a window in y, so a page is no product."""
     found = F.nullif(F.regexp_extract("text", pattern, group), F.lit(""))
-    ends = blocks.select(*PAGE, F.col("y2").alias("y"), F.lit(1).alias("is_block"), F.col("ord").alias("k"), F.when(found.isNotNull(), F.struct(F.col("ord").alias("context_ord"), found.alias("context"))).alias("c"))
-    tops = boxes.select(*PAGE, F.col("y1").alias("y"), F.lit(0).alias("is_block"), F.col("ord").alias("k"), F.lit(None).alias("c"))
+    kept = F.struct(*carry) if carry else F.lit(None)
+    tops = boxes.select(*PAGE, F.col("y1").alias("y"), F.lit(0).alias("is_block"), F.col("ord").alias("k"), F.lit(None).alias("c"), kept.alias("box"))
+    ends = blocks.where(found.isNotNull()).select(*PAGE, F.col("y2").alias("y"), F.lit(1).alias("is_block"), F.col("ord").alias("k"), F.struct(F.col("ord").alias("context_ord"), found.alias("context")).alias("c"), F.lit(None).alias("box"))
     # a box comes before the blocks that end where it begins
     order = Window.partitionBy(*PAGE).orderBy("y", "is_block", F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    return ends.unionByName(tops).withColumn("c", F.last("c", ignorenulls=True).over(order)).where("is_block = 0").select(*PAGE, F.col("k").alias("ord"), "c.*")
+    return ends.unionByName(tops).withColumn("c", F.last("c", ignorenulls=True).over(order)).where("is_block = 0").select(*PAGE, F.col("k").alias("ord"), "c.*", *[F.col("box")[c].alias(c) for c in carry])
 
 
-def context_below(boxes: DataFrame, blocks: DataFrame, pattern: str, most: int = 10, group: int = 0) -> DataFrame:
-    """Each box (doc_id, page_no, ord, y2) with what the pattern finds in the first of the ``most`` blocks below it that has it, or nulls: context_ord and context.
+def context_below(boxes: DataFrame, blocks: DataFrame, pattern: str, most: int = 10, group: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each box (doc_id, page_no, ord, y2) with what the pattern finds in the first of the ``most`` blocks below it that has it, or nulls: context_ord and context, and the named columns of the box to carry along.
 
-    Blocks begin below the box's end and count from top to bottom, level ones in order. Two windows over boxes and blocks in y: how many blocks do not lie below, and from the bottom up the closest block with the pattern."""
+    Blocks begin below the box's end and count from top to bottom, level ones in order. Two windows in y: one over boxes and blocks counts the blocks down to each, one over boxes and the blocks with the pattern goes from the bottom up."""
     found = F.nullif(F.regexp_extract("text", pattern, group), F.lit(""))
-    nth = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y1", "ord"))
-    tops = blocks.withColumn("nth", nth).select(*PAGE, F.col("y1").alias("y"), F.lit(0).alias("is_box"), F.col("ord").alias("k"), "nth", F.when(found.isNotNull(), F.struct("nth", F.col("ord").alias("context_ord"), found.alias("context"))).alias("c"))
-    ends = boxes.select(*PAGE, F.col("y2").alias("y"), F.lit(1).alias("is_box"), F.col("ord").alias("k"), F.lit(None).cast("int").alias("nth"), F.lit(None).alias("c"))
+    kept = F.struct(*carry) if carry else F.lit(None)
+    tops = blocks.select(*PAGE, F.col("y1").alias("y"), F.lit(0).alias("is_box"), F.col("ord").alias("k"), found.alias("found"), F.lit(None).alias("box"))
+    ends = boxes.select(*PAGE, F.col("y2").alias("y"), F.lit(1).alias("is_box"), F.col("ord").alias("k"), F.lit(None).alias("found"), kept.alias("box"))
     order = [F.col("y"), F.col("is_box"), F.col("k")]
     upto = Window.partitionBy(*PAGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     later = Window.partitionBy(*PAGE).orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    both = tops.unionByName(ends).withColumn("passed", F.coalesce(F.max("nth").over(upto), F.lit(0))).withColumn("c", F.last("c", ignorenulls=True).over(later))
-    near = F.when(F.col("c.nth") <= F.col("passed") + most, F.col("c"))
-    return both.where("is_box = 1").select(*PAGE, F.col("k").alias("ord"), near["context_ord"].alias("context_ord"), near["context"].alias("context"))
+    counted = tops.unionByName(ends).withColumn("nth", F.count_if(F.col("is_box") == 0).over(upto)).where("is_box = 1 or found is not null")
+    both = counted.withColumn("c", F.last(F.when(F.col("found").isNotNull(), F.struct("nth", F.col("k").alias("context_ord"), F.col("found").alias("context"))), ignorenulls=True).over(later))
+    near = F.when(F.col("c.nth") <= F.col("nth") + most, F.col("c"))
+    return both.where("is_box = 1").select(*PAGE, F.col("k").alias("ord"), near["context_ord"].alias("context_ord"), near["context"].alias("context"), *[F.col("box")[c].alias(c) for c in carry])
 
 
 def header_above(blocks: DataFrame, strict: bool = True) -> DataFrame:

@@ -126,8 +126,7 @@ _EXECUTED, _WORKING = ("1.2", ("executed", "value"), False), ("2.3", ("working",
 
 @query("x17_part_amounts", _parts(*_EXECUTED) + " UNION ALL " + _parts(*_WORKING))
 def _(get):
-    of = lambda clause, words, noted: C.part_amounts(get("part_blocks"), get("part_tables"), clause, words, noted).select("doc_id", "page_no", "ord", F.lit(clause).alias("clause"), "value", "note")
-    return of(*_EXECUTED).unionByName(of(*_WORKING))
+    return C.clause_part_amounts(get("part_blocks"), get("part_tables"), [_EXECUTED, _WORKING])
 
 
 @query("e4_keyword_udtf", "SELECT doc_id, strpos(text, 'BOQ') AS place, substr(text, strpos(text, 'BOQ') + 3, 5) AS \"right\" FROM {clause_docs}")

@@ -156,3 +156,19 @@ def test_schedule_records_join_nothing(spark):
     """Spark takes the blocks that a view makes of an order for few rows, so a join would broadcast them all through the driver."""
     plan = QUERIES["x16_schedule_records"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_part_amounts_join_once_and_broadcast_nothing(spark):
+    plan = QUERIES["x17_part_amounts"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Join") == 1 and "Broadcast" not in plan
+
+
+def test_part_amounts_of_clauses_are_those_of_each(spark):
+    rng = random.Random(17)
+    rows = [(1, p, i, x, y, x + 60, y + 8, rng.choice(["see 1.2", "2.3", "Part 1 value 7 Lakh", "part-2 executed 5 Cr", "working capital", "a  bank", None])) for p in range(8) for i in range(40) for x, y in [(rng.randrange(300), rng.randrange(400))]]
+    blocks = spark.createDataFrame(rows, BOXES)
+    tables = spark.createDataFrame([(1, p, n, 0, y, 400, y + 90) for p in range(8) for n, y in enumerate((0, 60, 250))], BOXES.replace(", text string", ""))
+    clauses = [("1.2", ("executed", "value"), False), ("2.3", ("working", "capital"), True)]
+    both = [tuple(r) for r in C.clause_part_amounts(blocks, tables, clauses).collect()]
+    each = [(*r[:3], c[0], *r[3:]) for c in clauses for r in C.part_amounts(blocks, tables, *c).collect()]
+    assert sorted(both, key=str) == sorted(each, key=str) and any(r[-1] for r in both)
