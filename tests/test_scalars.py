@@ -214,6 +214,11 @@ def test_clause_references(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, "deposit", "GCC 12"), (1, "payment", "para 7"), (1, "worth", "GCC 12")]
 
 
+def test_texts_without_a_stem_are_not_cut(spark):
+    plan = X.clause_windows(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(") >= len(X.FAMILIES)
+
+
 def test_addresses_in_long_runs(spark):
     texts = ["a" * 1_000_000, "x" * 500_000 + "@b.org", "a@b.com-x@y.org, A@B.com;q@r.s t@u.vw", "@@a@b.c@d.ef", "a@" + "b." * 100 + "org", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
