@@ -214,6 +214,37 @@ def test_clause_references(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, "deposit", "GCC 12"), (1, "payment", "para 7"), (1, "worth", "GCC 12")]
 
 
+def test_clause_references_by_plain_loops(spark):
+    """Against loops over every word; some texts hold the character that marks a cut."""
+    rng = random.Random(9)
+    bits = ["payment ", "Payment terms", "clause 4.2 ", "sec-IV ", "x" * 60, "y " * 210, X.CUT, "GCC 12", " net worth ", "LD ", "LD ", "para 7", "\n"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(120)] + [None, "", "clause 3 LD" + " LD" * 300, "LD" * 5 + " LD," * 200 + "clause 3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    families, wanted = ("payment", "damages", "worth"), {}
+    for k, text in enumerate(texts):
+        for f in families:
+            for m in re.finditer(X.family_pattern(f), text or ""):
+                ahead = re.search(X.REFERENCE, text[m.end() : m.end() + X.FAMILIES[f][2]])
+                behind = [r[0] for r in re.finditer(X.REFERENCE, text[max(0, m.start() - X.FAMILIES[f][1]) : m.start()])]
+                if ahead or behind:
+                    wanted[k, f] = (ahead[0] if ahead else behind[-1]).strip()
+                    break
+    assert {(r.doc_id, r.family): r.reference for r in X.clause_references(df, families).collect()} == wanted
+    windows = df.where("text is not null").select("doc_id", *[X.family_windows(F.col("text"), f).alias(f) for f in families]).collect()
+    assert all(r[f] == windows_by_plain_loops(texts[r.doc_id], f) for r in windows for f in families)
+
+
+def test_clause_references_stay_in_their_row(spark):
+    from conftest import DATA
+    from docfields.catalog import QUERIES
+
+    plan = QUERIES["x7_clause_references"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("FileScan") == 1
+    df = spark.createDataFrame([(1, "payment " * 100_000), (2, ("payment " + "x " * 300) * 2_000 + "clause 4")], "doc_id long, text string")
+    began = time.time()
+    assert [tuple(r) for r in X.clause_references(df, ("payment",)).collect()] == [] and time.time() - began < 40
+
+
 def test_texts_without_a_stem_are_not_cut(spark):
     plan = X.clause_windows(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Contains(") >= len(X.FAMILIES)
