@@ -86,26 +86,31 @@ def form_candidates(blocks: DataFrame, anchors: dict[str, tuple[str, ...]], head
 
     Anchors and headers are the program's, so no join brings them. The left cells of a page meet its right cells; a null or blank text, label or value gives nothing. Without blocks of a page there is no row."""
     named = [(phrase.lower(), field) for field, phrases in anchors.items() for phrase in phrases]
-    colon = blocks.where(F.contains("text", F.lit(":"))).select(*BLOCK, "conf_pct", F.trim(F.substring_index("text", ":", 1)).alias("label"), F.trim(F.regexp_replace("text", r"^[^:]*:", "")).alias("value"), F.lit("colon").alias("way"))
-    sided = blocks.join(P.column_split(blocks), P.PAGE).withColumn("col", (F.col("x1") >= F.col("split")).cast("int"))
-    cells = P.cell_texts(sided, gap)
-    pairs = P.mutual_pairs(cells.where("col = 0"), cells.where("col = 1"), ("text", "conf_pct"))
-    pair = pairs.select(*P.PAGE, F.col("a_ord").alias("ord"), F.least("a_conf_pct", "b_conf_pct").alias("conf_pct"), F.col("a_text").alias("label"), F.trim("b_text").alias("value"), F.lit("pair").alias("way"))
-
-    every = colon.unionByName(pair).where("value != ''").withColumn("t", F.trim(F.regexp_replace(F.lower("label"), r"[\x{0900}-\x{097F}]+", " "))).where("t != ''")
+    low = F.lower("text")
+    rest = lambda phrase: F.trim(F.regexp_replace(F.substring(F.col("text"), F.locate(phrase, low) + len(phrase), F.length("text")), r"^[:\-/\s\x{0900}-\x{097F}]+", ""))
+    none = F.lit(None).cast("string")
+    # what blocks say by themselves: behind a colon, behind an anchor
+    colon = F.when(F.contains("text", F.lit(":")), F.struct(none.alias("field_name"), F.trim(F.substring_index("text", ":", 1)).alias("label"), F.trim(F.regexp_replace("text", r"^[^:]*:", "")).alias("value"), F.lit("colon").alias("way")))
+    suffixes = [F.when(F.contains(low, F.lit(phrase)), F.struct(F.lit(field).alias("field_name"), none.alias("label"), rest(phrase).alias("value"), F.lit("suffix").alias("way"))) for phrase, field in named]
+    said = F.filter(F.array_distinct(F.array(colon, *suffixes)), lambda x: x.isNotNull() & (x["value"] != "") & ((x["way"] == "colon") | (F.length(x["value"]) < most)))
+    own = blocks.select(*BLOCK, "conf_pct", F.inline(said))
+    # the blocks come together page by page once, for the split, the cells and the pairs
+    pages = P.split_pages(blocks.withColumns({c: F.col(c).cast("long") for c in ("y1", "y2", "conf_pct", "ord")}), "y1", "ord", "y2", "conf_pct", "text", "x1")
+    side = lambda keeps: P.cells_in(F.filter("rows", keeps), gap)
+    celled = pages.select(*P.PAGE, side(lambda r: r["x1"] < F.col("split")).alias("a"), side(lambda r: r["x1"] >= F.col("split")).alias("b"))
+    pairs = P.mutual_cells(celled, ("text", "conf_pct"))
+    pair = pairs.select(*P.PAGE, F.col("a_ord").alias("ord"), F.least("a_conf_pct", "b_conf_pct").alias("conf_pct"), none.alias("field_name"), F.col("a_text").alias("label"), F.trim("b_text").alias("value"), F.lit("pair").alias("way"))
+
+    every = own.unionByName(pair.where("value != ''")).withColumn("t", F.trim(F.regexp_replace(F.lower("label"), r"[\x{0900}-\x{097F}]+", " "))).where("t != '' or way = 'suffix'")
     # a phrase is scored only against labels that may be like it, and once a label: the best one is a row of its own, or each use would score anew
     scores = [F.when(Ru.may_be_like(F.col("t"), phrase, least), F.struct(Ru.partial_ratio(F.col("t"), F.lit(phrase), least).alias("score"), F.lit(-k).alias("rank"), F.lit(field).alias("field_name"))) for k, (phrase, field) in enumerate(named)]
     for h in headers:
         like = F.when(Ru.may_be_like(F.col("t"), h.lower(), 85), Ru.partial_ratio(F.col("t"), F.lit(h.lower()), 85).isNotNull()).otherwise(False)
         every = every.where((F.col("way") != "pair") | ~like)
-    result = [*BLOCK, "field_name", "value", "way", "conf_pct"]
-    read = every.select("*", F.explode(F.filter(F.array(F.array_max(F.array(*scores))), lambda b: b["score"] >= least)).alias("b")).withColumn("field_name", F.col("b.field_name")).withColumn("conf_pct", F.col("conf_pct") * F.col("b.score") / 100)
-
-    low = F.lower("text")
-    rest = lambda phrase: F.trim(F.regexp_replace(F.substring(F.col("text"), F.locate(phrase, low) + len(phrase), F.length("text")), r"^[:\-/\s\x{0900}-\x{097F}]+", ""))
-    found = F.filter(F.array(*[F.when(F.contains(low, F.lit(phrase)), F.struct(F.lit(field).alias("field_name"), rest(phrase).alias("value"))) for phrase, field in named]), lambda x: x.isNotNull() & (x["value"] != "") & (F.length(x["value"]) < most))
-    suffix = blocks.select(*BLOCK, "conf_pct", F.inline(F.array_distinct(found))).select(*BLOCK, "field_name", "value", F.lit("suffix").alias("way"), (F.col("conf_pct") * 85 / 100).alias("conf_pct"))
-    return read.select(*result).unionByName(suffix.select(*result))
+    by_anchor = F.array(F.struct(F.lit(85).cast("long").alias("score"), F.lit(0).alias("rank"), F.col("field_name")))
+    best = F.when(F.col("way") == "suffix", by_anchor).otherwise(F.filter(F.array(F.array_max(F.array(*scores))), lambda b: b["score"] >= least))
+    read = every.select(*BLOCK, "value", "way", "conf_pct", F.explode(best).alias("b"))
+    return read.select(*BLOCK, "b.field_name", "value", "way", (F.col("conf_pct") * F.col("b.score") / 100).alias("conf_pct"))
 
 
 def schedules(blocks: DataFrame) -> DataFrame:

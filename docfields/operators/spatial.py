@@ -74,7 +74,18 @@ def mutual_pairs(left: DataFrame, right: DataFrame, carry: tuple[str, ...] = ())
     """Cells of two columns that are each other's largest overlap in y; the first wins ties. Columns to carry along come back as a_ and b_ ones."""
     a, b = _as(left, "a", "ord", "y1", "y2", *carry), _as(right, "b", "ord", "y1", "y2", *carry)
     overlap = F.least("a_y2", "b_y2") - F.greatest("a_y1", "b_y1")
-    pairs = a.join(b, PAGE).withColumn("overlap", overlap).where("overlap > 0")
+    return _mutual(a.join(b, PAGE).withColumn("overlap", overlap).where("overlap > 0"), carry)
+
+
+def mutual_cells(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``mutual_pairs`` of pages' cells that stand in two arrays, a and b (ord, y1, y2 and what to carry along): they need not be made twice and joined."""
+    overlap = lambda a, b: F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"])
+    pair = lambda a, b: F.struct(a["ord"].alias("a_ord"), b["ord"].alias("b_ord"), overlap(a, b).alias("overlap"), *[x[c].alias(f"{p}_{c}") for p, x in (("a", a), ("b", b)) for c in carry])
+    met = F.flatten(F.transform("a", lambda a: F.transform(F.filter("b", lambda b: overlap(a, b) > 0), lambda b: pair(a, b))))
+    return _mutual(pages.select(*PAGE, F.inline(met)), carry)
+
+
+def _mutual(pairs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     ra = F.row_number().over(Window.partitionBy(*PAGE, "a_ord").orderBy(F.desc("overlap"), "b_ord"))
     rb = F.row_number().over(Window.partitionBy(*PAGE, "b_ord").orderBy(F.desc("overlap"), "a_ord"))
     return pairs.withColumn("ra", ra).withColumn("rb", rb).where("ra = 1 and rb = 1").select(*PAGE, "a_ord", "b_ord", "overlap", *[f"{p}_{c}" for p in "ab" for c in carry])
@@ -294,6 +305,40 @@ def column_split(blocks: DataFrame, default: int = 300, width: int = 20, narrowe
     return sided.join(best, PAGE, "left").select(*PAGE, F.coalesce(fair, F.floor(-F.col("m.k") + F.col("m.gap") / 2), F.lit(default)).cast("long").alias("split"))
 
 
+def split_pages(blocks: DataFrame, *columns: str, default: int = 300, width: int = 20, narrowest: int = 0) -> DataFrame:
+    """Pages with their ``column_split`` as split and the named columns of their blocks as one array, rows. The blocks come together once, bin by bin and then page by page, so nothing is joined."""
+    wide = F.col("x2") - F.col("x1") >= narrowest
+    row = F.struct("x1", "ord", F.coalesce(wide, F.lit(False)).alias("wide"), F.struct(*columns).alias("c"))
+    bins = blocks.groupBy(*PAGE, F.floor(F.col("x1") / width).alias("bin")).agg(F.count_if(wide).alias("n"), F.min(F.when(wide, F.col("ord"))).alias("first"), F.collect_list(row).alias("rows"))
+    pages = bins.groupBy(*PAGE).agg(F.sum("n").alias("all"), F.collect_list(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("k"), "first", "bin"))).alias("bins"), F.flatten(F.collect_list("rows")).alias("rows")).where("`all` > 0")
+    top = pages.withColumn("top", F.transform(F.slice(F.sort_array("bins"), 1, 2), lambda b: b["bin"])).withColumn("low", F.array_min("top")).withColumn("high", F.array_max("top"))
+    mids = top.withColumn("mid", F.when((F.size("top") == 2) & (F.col("high") - F.col("low") >= 4), F.floor((F.col("low") + F.col("high") + 1) * width / 2)))
+    sided = mids.withColumn("left", F.when(F.col("mid").isNotNull(), F.size(F.filter("rows", lambda r: r["wide"] & (r["x1"] < F.col("mid"))))))
+    fair = F.when((F.col("left") * 100 >= 15 * F.col("all")) & ((F.col("all") - F.col("left")) * 100 >= 15 * F.col("all")), F.col("mid"))
+    placed = F.sort_array(F.transform(F.filter("rows", lambda r: r["wide"]), lambda r: F.struct(r["x1"].alias("x1"), r["ord"].alias("ord"))))
+    gap = lambda w, r, i: F.when(((i + 1) * 100 >= 15 * F.col("all")) & ((i + 1) * 100 <= 85 * F.col("all")) & (F.get(w, i + 1)["x1"] > r["x1"]), F.struct((F.get(w, i + 1)["x1"] - r["x1"]).alias("gap"), (-r["x1"]).alias("k")))
+    best = F.get(F.transform(F.array(placed), lambda w: F.array_max(F.transform(w, lambda r, i: gap(w, r, i)))), F.lit(0))
+    # only pages without two full bins look for their gaps
+    middle = F.get(F.transform(F.array(best), lambda m: F.floor(-m["k"] + m["gap"] / 2)), F.lit(0))
+    return sided.select(*PAGE, F.coalesce(fair, middle, F.lit(default)).cast("long").alias("split"), F.transform("rows", lambda r: r["c"]).alias("rows"))
+
+
+def cells_in(rows: Column, gap: int = 20) -> Column:
+    """The cells of ``cell_texts`` that one column's blocks make (y1, ord, y2, conf_pct, text; all longs and a string), as an array fold: y1, y2, conf_pct, ord and text of each. Only the cell that is open runs along."""
+    opened = "cast(array() as array<struct<y1: bigint, y2: bigint, conf_pct: bigint, ord: bigint, texts: array<string>>>)"
+    start = F.struct(F.lit(None).cast("long").alias("low"), F.expr(opened).alias("open"), F.expr(opened).alias("out"))
+    cell = lambda b: F.struct(b["y1"].alias("y1"), b["y2"].alias("y2"), b["conf_pct"].alias("conf_pct"), b["ord"].alias("ord"), F.array(F.trim(b["text"])).alias("texts"))
+
+    def step(a: Column, b: Column) -> Column:
+        more = lambda c: F.struct(F.least(c["y1"], b["y1"]).alias("y1"), F.greatest(c["y2"], b["y2"]).alias("y2"), F.least(c["conf_pct"], b["conf_pct"]).alias("conf_pct"), c["ord"].alias("ord"), F.concat(c["texts"], F.array(F.trim(b["text"]))).alias("texts"))
+        low = F.greatest(a["low"], b["y2"]).alias("low")
+        # a block within the gap of the lowest end so far goes to the open cell, any other one closes it
+        return F.when(b["y1"] - a["low"] <= gap, F.struct(low, F.transform(a["open"], more).alias("open"), a["out"].alias("out"))).otherwise(F.struct(low, F.array(cell(b)).alias("open"), F.concat(a["out"], a["open"]).alias("out")))
+
+    done = F.aggregate(F.sort_array(F.transform(rows, lambda b: F.struct(*[b[c].alias(c) for c in ("y1", "ord", "y2", "conf_pct", "text")]))), start, step, lambda a: F.concat(a["out"], a["open"]))
+    return F.transform(done, lambda c: F.struct(*[c[x].alias(x) for x in ("y1", "y2", "conf_pct", "ord")], F.array_join(c["texts"], " ").alias("text")))
+
+
 def reading_order(regions: DataFrame) -> DataFrame:
     """Regions numbered from the top, then from the left."""
     return regions.withColumn("reading_order", F.row_number().over(Window.partitionBy(*PAGE).orderBy("y1", "x1", "x2", "y2")) - 1)

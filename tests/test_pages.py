@@ -172,3 +172,30 @@ def test_part_amounts_of_clauses_are_those_of_each(spark):
     both = [tuple(r) for r in C.clause_part_amounts(blocks, tables, clauses).collect()]
     each = [(*r[:3], c[0], *r[3:]) for c in clauses for r in C.part_amounts(blocks, tables, *c).collect()]
     assert sorted(both, key=str) == sorted(each, key=str) and any(r[-1] for r in both)
+
+
+def test_form_pages_are_split_and_celled_as_rows_are(spark):
+    """Arrays of a page's blocks give what column_split, cell_texts and mutual_pairs give by windows and joins."""
+    rng = random.Random(15)
+    rows = []
+    for page in range(60):
+        xs = [rng.choice([[0, 400], [0, 30], [0, 200, 210, 500], list(range(0, 600, 37))])][0]
+        for i in range(rng.choice([1, 2, 7, 40])):
+            x, y = rng.choice(xs) + rng.randrange(3), rng.randrange(0, 700)
+            rows.append((page, 1, i, x, y, x + rng.choice([-5, 40, 90]), y + rng.randint(0, 30), rng.randrange(50, 100), rng.choice([" a", "b ", "c: d", None])))
+    blocks = spark.createDataFrame(rows, "doc_id long, page_no long, ord long, x1 long, y1 long, x2 long, y2 long, conf_pct long, text string")
+    pages = P.split_pages(blocks, "y1", "ord", "y2", "conf_pct", "text", "x1")
+    assert {(r.doc_id, r.split) for r in pages.collect()} == {(r.doc_id, r.split) for r in P.column_split(blocks).collect()}
+    side = lambda keeps: P.cells_in(F.filter("rows", keeps))
+    celled = pages.select("doc_id", "page_no", side(lambda r: r["x1"] < F.col("split")).alias("a"), side(lambda r: r["x1"] >= F.col("split")).alias("b"))
+    cells = P.cell_texts(blocks.join(P.column_split(blocks), ["doc_id", "page_no"]).withColumn("col", (F.col("x1") >= F.col("split")).cast("int")))
+    found = {(r.doc_id, k, *c) for r in celled.collect() for k in "ab" for c in r[k]}
+    assert found == {(r.doc_id, "ab"[r.col], r.y1, r.y2, r.conf_pct, r.ord, r.text) for r in cells.collect()}
+    named = ("doc_id", "a_ord", "b_ord", "overlap", "a_text", "b_text")
+    both = [sorted((tuple(r[c] for c in named) for r in df.collect()), key=str) for df in (P.mutual_cells(celled, ("text",)), P.mutual_pairs(cells.where("col = 0"), cells.where("col = 1"), ("text",)))]
+    assert both[0] == both[1] and both[0]
+
+
+def test_form_candidates_read_blocks_twice_and_join_nothing(spark):
+    plan = QUERIES["x15_form_candidates"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 2
